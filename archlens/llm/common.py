@@ -34,20 +34,21 @@ class Scratch:
     """Tables written to the shared folder: they cut lineage, and a lost executor costs no recomputation."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.kept = spark, f"{shared_dir(spark)}/archlens-{uuid.uuid4().hex}", []
+        self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/archlens-{uuid.uuid4().hex}", {}
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}-{len(self.kept)}"
+        path = f"{self.base}/{name}-{len(self.paths)}"
         df.write.parquet(path)
-        self.kept.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no later step reads."""
         for df in frames:
-            for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
-                hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            path, _ = self.paths[id(df)]
+            hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

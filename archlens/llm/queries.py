@@ -4,13 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from archlens.llm import exact_topk, mixing, url_filter, warc
 from archlens.llm.common import table
+from archlens.llm.embed_dedup import near_duplicate_vectors
 from archlens.llm.minhash_dedup import near_duplicates
+from archlens.llm.packing import pack
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {"op5_minhash_dedup": op5_minhash_dedup}
-ORACLES: dict[str, str] = {}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {"op3_exact_topk": op3_exact_topk, "op9_embed_dedup": op9_embed_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op10_packing": op10_packing}
+ORACLES: dict[str, str] = {"op3_exact_topk": exact_topk.ORACLE, "op6_warc": warc.ORACLE, "op8_url_filter": url_filter.ORACLE, "op7_mixing": mixing.ORACLE}

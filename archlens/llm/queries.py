@@ -9,6 +9,8 @@ from archlens.llm.common import table
 from archlens.llm.embed_dedup import near_duplicate_vectors
 from archlens.llm.minhash_dedup import near_duplicates
 from archlens.llm.packing import pack
+from archlens.llm.quality import quality
+from archlens.llm.toxicity import toxicity
 
 
 def tokenizer_path() -> str:
@@ -17,10 +19,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -46,5 +56,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op3_exact_topk": op3_exact_topk, "op9_embed_dedup": op9_embed_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op10_packing": op10_packing}
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_quality": op4_quality, "op3_exact_topk": op3_exact_topk, "op9_embed_dedup": op9_embed_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {"op3_exact_topk": exact_topk.ORACLE, "op6_warc": warc.ORACLE, "op8_url_filter": url_filter.ORACLE, "op7_mixing": mixing.ORACLE}

@@ -78,7 +78,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
 
 
-def runs(batches: Iterator, key: str) -> Iterator:
+def runs(batches: Iterator, key: str, least: int = 4096) -> Iterator:
     """Tables of whole runs of equal keys, from batches sorted by key; the caller bounds the length of a run."""
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -90,7 +90,7 @@ def runs(batches: Iterator, key: str) -> Iterator:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < 4096 or held[0].column(key)[0].equals(batch.column(key)[-1]):
+        if rows < least or held[0].column(key)[0].equals(batch.column(key)[-1]):
             continue
         whole = pa.Table.from_batches(held).combine_chunks()
         keys = whole.column(key)

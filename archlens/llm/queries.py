@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archlens.llm import exact_topk, mixing, url_filter, warc
+from archlens.llm import exact_topk, license_scan, mixing, url_filter, warc
 from archlens.llm.common import table
 from archlens.llm.embed_dedup import near_duplicate_vectors
 from archlens.llm.minhash_dedup import near_duplicates
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,5 +60,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_quality": op4_quality, "op3_exact_topk": op3_exact_topk, "op9_embed_dedup": op9_embed_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op10_packing": op10_packing}
-ORACLES: dict[str, str] = {"op3_exact_topk": exact_topk.ORACLE, "op6_warc": warc.ORACLE, "op8_url_filter": url_filter.ORACLE, "op7_mixing": mixing.ORACLE}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_toxicity": op2_toxicity, "op4_quality": op4_quality, "op3_exact_topk": op3_exact_topk, "op9_embed_dedup": op9_embed_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op10_packing": op10_packing}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op3_exact_topk": exact_topk.ORACLE, "op6_warc": warc.ORACLE, "op8_url_filter": url_filter.ORACLE, "op7_mixing": mixing.ORACLE}

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from archlens.plans.base import ORACLES, QUERIES  # noqa: F401
+from archlens.plans import answers, evaluation, extraction, graphs, model, text  # noqa: F401

@@ -19,7 +19,7 @@ def glob_pattern(glob: str) -> str:
         elif c == "?":
             out += "."
         elif end > 0:
-            inside = glob[i + 1 : end].replace("\\", "\\\\")
+            inside = "".join("\\" + x if x in "[\\&" else x for x in glob[i + 1 : end])
             out += "[" + ("^" + inside[1:] if inside[0] == "!" else inside) + "]"
             i = end
         else:

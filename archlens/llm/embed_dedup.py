@@ -197,8 +197,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", column
 
     n_links: rows other than its own whose cosine is at least as given, of those in its component; component_id: smallest id that
     links reach. Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
-    kept; so are vectors of different lengths to each other. Equal vectors link with each other. A repeated id is a
-    row of its own. An empty table gives an empty result; further columns are ignored.
+    kept; so are rows with a null id, and vectors of different lengths to each other. Equal vectors link with each other.
+    Ids are taken to be unique: rows that repeat an id are returned each, and share its component. An empty table gives an empty result; further columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession)
     rows = scratch.put(prepared(vectors, id_column, column), "vectors")
@@ -210,6 +210,6 @@ def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", column
     members = classes.join(comps, "id").select("component", "id", "copies", "vector")
     counts = scratch.put(link_counts(members, cosine), "counts")
     placed = classes.select("id", "same", "copies").join(comps, "id", "left").join(counts, "id", "left").select(F.col("same").alias("s"), (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("c"))
-    out = rows.join(placed, rows["same"] == placed["s"], "left")
+    out = rows.join(placed, (rows["same"] == placed["s"]) & rows["id"].isNotNull(), "left")
     own = F.coalesce(F.col("c"), F.col("id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))

@@ -13,7 +13,7 @@ LOOKALIKES = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 
 _SCRIPTS = str.maketrans(LOOKALIKES | {"­": None, "​": None, "‌": None, "‍": None, "⁠": None, "﻿": None})
-_SUBSTITUTED = re.compile(r"(?=[\w@$!|€]*[^\W\d_])(?=\w*[0-9]|\w+[@$!|€]\w)[\w@$!|€]+")
+_SUBSTITUTED = re.compile(r"(?=[\w@$!|€]*[^\W\d_])(?=[\w@$!|€]*(?:[0-9]|[@$!|€][^\W_]))[\w@$!|€]+")
 _LETTERS = str.maketrans(DIGITS)
 _GAPS = re.compile(r"[\W_]+")
 #: i, l and 1 are one letter once folded, for 1 stands for either.

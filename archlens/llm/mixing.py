@@ -45,15 +45,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return stepped.withColumn("common", common).select("source", "source_size", F.when(F.col("common").isNull() | F.col("capped"), (most * F.col("source_size")).cast("double")).otherwise(F.col("weight") * F.col("common")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of docs(doc_id, text, source, ...).
-
-    size is the number of words of the whole text (null: 0), taken the words that the mix takes of it, repeats counted:
-    a multiple of size. A null source is a source of its own, the last. Rows of one source whose ids agree share a hash
-    and are taken together; the last such group is taken where that ends nearer to the target. A source without
-    words has target 0 and takes nothing. Reruns agree, whatever the partitioning. An empty table gives an empty
-    result; further columns are ignored.
-    """
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, hash) of each row, and (of, source_size, target, full, end) of each source: a row is taken ``full``
+    times, and once more if its hash is below ``end``."""
     scratch = Scratch(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = scratch.put(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), hash_of("doc_id").alias("hash")), "sizes")
@@ -95,9 +89,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     # ``at`` is now the hash at which the budget is passed; it is taken too where that ends nearer.
     near = F.col("done") + F.col("last") - F.col("budget") <= F.col("budget") - F.col("done")
     end = edge.select(F.col("source").alias("s"), F.when(F.col("over"), F.col("low")).otherwise(F.col("at") + near.cast("long")).alias("end"))
-    plan = goal.join(end, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("of"), "source_size", "target", "full", "end")
-    copies = F.col("full") + (F.col("hash") < F.col("end")).cast("long")
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return rows, goal.join(end, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("of"), "source_size", "target", "full", "end")
+
+
+def copies():
+    return F.col("full") + (F.col("hash") < F.col("end")).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for each row of docs(doc_id, text, source, ...).
+
+    size is the number of words of the whole text (null: 0), taken the words that the mix takes of it, repeats counted:
+    a multiple of size. A null source is a source of its own, the last. Rows of one source whose ids agree share a hash
+    and are taken together; the last such group is taken where that ends nearer to the target. A source without
+    words has target 0 and takes nothing. Reruns agree, whatever the partitioning. An empty table gives an empty
+    result; further columns are ignored.
+    """
+    rows, by_source = plan(docs, weights, most)
+    return rows.join(by_source, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"), copies().alias("copies"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The rows of docs, each as often as `mix` takes it. Texts are not shuffled: only the small table of sources is joined."""
+    _, by_source = plan(docs, weights, most)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("source").cast("string").alias("__source"), hash_of("doc_id").alias("hash"))
+    taken = own.join(by_source, F.col("__source").eqNullSafe(F.col("of"))).select("doc", copies().alias("copies")).where("copies > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
 
 
 #: The same for DuckDB: the threshold from a running sum in hash order.

@@ -26,16 +26,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words a shingle, similarity 0.8. Texts without words stay."""
-    kept = near_duplicates(docs, k=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of near duplicates: five words a shingle, similarity 0.8.
+
+    Texts without words stay, and rows without an id; of rows that repeat an id one stays.
+    """
+    found = near_duplicates(docs, k=5, percent=80).groupBy(F.col("doc_id").alias("__id")).agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("__n"))
+    left = docs.join(found, docs["doc_id"] == found["__id"], "left").where("coalesce(__kept, true)")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return left.where("coalesce(__n, 1) = 1").select(*columns).unionByName(left.where("__n > 1").dropDuplicates(["doc_id"]).select(*columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, which may be never."""
-    copies = mixing.mix(docs).select("doc_id", "copies").where("copies > 0")
-    taken = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,3 +104,23 @@ def test_pipeline_stages_take_effect(spark):
             continue
         assert out.columns == columns
         docs_ = spark.createDataFrame(rows, docs_.schema)
+
+
+def test_pipeline_stands_odd_rows(spark):
+    marks = labels(spark, [(i, 1, 0, None) for i in range(8)])
+    rows = docs(spark, [*ODD, (4, "one", "b")])
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:
+        marks.write.parquet(f"{d}/labels.parquet")
+        at, kept = rows, []
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, d)
+            kept.append(sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in at.collect()))
+            assert at.columns == rows.columns
+        assert kept[0] == kept[1] == [-1, 1, 2, 3, 4, 4, 4, 5, 6, 7] and kept[2] == [-1, 1, 2, 3, 4, 6, 7]
+        assert corpus_pipeline.STAGES[-1][1](spark, at, d).count() > 0
+        empty = docs(spark, [])
+        for _, stage in corpus_pipeline.STAGES:
+            empty = stage(spark, empty, d)
+            assert empty.count() == 0

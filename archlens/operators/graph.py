@@ -106,3 +106,50 @@ def boundary_search(start: DataFrame, pairs: DataFrame, group: Column, max_depth
             break
         seen = seen.unionByName(frontier)
     return seen
+
+
+def first_cycle(edges: DataFrame) -> DataFrame:
+    """(step, id) of the first cycle that a depth-first search over sorted nodes meets; no rows without one.
+
+    The witness depends on the order of the search, so the edges go to one task: meant for graphs of groups, whose number
+    the author of the grouping bounds. Whether there is a cycle at all is a question for `closure`.
+    """
+
+    def work(pdf):
+        import pandas as pd
+
+        near: dict = {}
+        for a, b in sorted(set(zip(pdf["src"], pdf["dst"], strict=True))):
+            near.setdefault(a, []).append(b)
+        done, out = set(), []
+        for root in sorted(near):
+            stack, path = [(root, iter(near.get(root, [])))], [root]
+            while stack and not out:
+                node, rest = stack[-1]
+                nxt = next(rest, None)
+                if nxt is None:
+                    done.add(node)
+                    stack.pop()
+                    path.pop()
+                elif nxt in path:
+                    out = [*path[path.index(nxt) :], nxt]
+                elif nxt not in done:
+                    stack.append((nxt, iter(near.get(nxt, []))))
+                    path.append(nxt)
+            if out:
+                break
+        return pd.DataFrame({"step": range(len(out)), "id": out})
+
+    return edges.select("src", "dst", F.lit(True).alias("all")).groupBy("all").applyInPandas(work, "step int, id string")
+
+
+def within_budget(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
+    """rows with ``kept``: in order, each that still fits its group's budget; one that does not is skipped and the next tried.
+
+    That is no prefix of a running sum, so a group is folded as an array of sizes in the JVM.
+    """
+    sizes = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{dict(rows.dtypes)[order]}>").alias("kept"))
+    step = lambda a, x: F.when(a["used"] + x["s"] <= budget, F.struct((a["used"] + x["s"]).alias("used"), F.concat(a["kept"], F.array(x["o"])).alias("kept"))).otherwise(a)
+    kept = sizes.select(F.col(group).alias("__g"), F.explode(F.aggregate("all", start, step)["kept"]).alias("__o"), F.lit(True).alias("__k"))
+    return rows.join(kept, (F.col(group) == F.col("__g")) & (F.col(order) == F.col("__o")), "left").withColumn("kept", F.coalesce("__k", F.lit(False))).drop("__g", "__o", "__k")

@@ -255,3 +255,44 @@ def group_edge_cycles(spark, sf_dir):
     edges = group_edges(spark, sf_dir).select("src", "dst", "type")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
     return edges.join(back, ["src", "dst", "type"], "left_semi").where("src < dst").select("src", "dst").distinct()
+
+
+@query("cycle_witness")
+def cycle_witness(spark, sf_dir):
+    """The first cycle between groups, by sorted depth-first search."""
+    return graph.first_cycle(group_edges(spark, sf_dir).where("type = 'import'").select("src", "dst"))
+
+
+@query("tour_citations", "with tours(tour, step, path) as (select 'tour ' || top, rank, path from (select top, path, row_number() over (partition by top order by lines desc, path) as rank from code_files) where rank <= 2 union all select 'lost', 1, 'nowhere.py') select tour, step, tours.path, code_files.path is null as orphan from tours left join code_files using (path)", ("code_files",))
+def tour_citations(spark, sf_dir):
+    """Citations of tours with those that name no file."""
+    from pyspark.sql import Window
+
+    files = code_files(spark, sf_dir)
+    order = Window.partitionBy("top").orderBy(F.desc("lines"), "path")
+    tours = files.withColumn("step", F.row_number().over(order).cast("long")).where("step <= 2").select(F.concat(F.lit("tour "), "top").alias("tour"), "step", "path")
+    tours = tours.unionByName(spark.createDataFrame([("lost", 1, "nowhere.py")], "tour string, step long, path string"))
+    known = files.select("path", F.lit(False).alias("orphan"))
+    return tours.join(known, "path", "left").select("tour", "step", "path", F.coalesce("orphan", F.lit(True)).alias("orphan"))
+
+
+@query("step_subgraph", "select distinct e.src, e.dst from path_edges e join seeds s on e.src = s.path or e.dst = s.path where type = 'import'", ("path_edges", "seeds"))
+def step_subgraph(spark, sf_dir):
+    """Import links that touch the files of a step."""
+    s, edges = seeds(spark, sf_dir).select("path"), path_edges(spark, sf_dir).where("type = 'import'").select("src", "dst")
+    return edges.join(s, edges["src"] == s["path"], "left_semi").union(edges.join(s, edges["dst"] == s["path"], "left_semi")).distinct()
+
+
+@query("context_pages", "select path, n, first_line from (select path, row_number() over (partition by folder order by lines, path) as n, lines as first_line from code_files) where n <= 3", ("code_files",))
+def context_pages(spark, sf_dir):
+    """The three shortest files of each folder, which a context bundle takes first."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("folder").orderBy("lines", "path")
+    return code_files(spark, sf_dir).withColumn("n", F.row_number().over(order).cast("long")).where("n <= 3").select("path", "n", F.col("lines").alias("first_line"))
+
+
+@query("context_budget")
+def context_budget(spark, sf_dir):
+    """Files of each folder that fit a budget of 100 lines, taken in order of path, those that do not fit passed over."""
+    return graph.within_budget(code_files(spark, sf_dir).select("path", "folder", "lines"), "folder", "path", "lines", 100).where("kept").select("path", "folder", "lines")

@@ -149,3 +149,15 @@ def test_rpc_and_descriptions(spark):
     assert [r["url"] for r in extract.http_references(files).collect()] == ["/api/items"]
     got = {r["path"]: r["descr"] for r in extract.descriptions(files).collect()}
     assert got["app/util.py"] == "Helpers for reading files." and got["web/lib/a.ts"] == "exports: A, run" and len(got) == len(SOURCES)
+
+
+def test_first_cycle(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "d"), ("d", "e"), ("c", "a"), ("e", "b"), ("b", "c")], "src string, dst string")
+    assert [r["id"] for r in graph.first_cycle(edges).orderBy("step").collect()] == ["a", "b", "c", "a"]
+    assert graph.first_cycle(edges.where("src = 'a'")).count() == 0
+
+
+def test_budget_skips_what_does_not_fit(spark):
+    rows = spark.createDataFrame([("g", 1, 5), ("g", 2, 9), ("g", 3, 4), ("g", 4, 2), ("h", 1, 99)], "g string, o int, n int")
+    got = graph.within_budget(rows, "g", "o", "n", 10).where("kept").collect()
+    assert sorted((r["g"], r["o"]) for r in got) == [("g", 1), ("g", 3)]

@@ -138,7 +138,7 @@ def first_cycle(edges: DataFrame) -> DataFrame:
                     path.append(nxt)
             if out:
                 break
-        return pd.DataFrame({"step": range(len(out)), "id": out})
+        return pd.DataFrame({"step": range(len(out)), "id": out}).astype({"step": "int32", "id": object})
 
     return edges.select("src", "dst", F.lit(True).alias("all")).groupBy("all").applyInPandas(work, "step int, id string")
 

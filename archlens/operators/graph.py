@@ -7,6 +7,8 @@ checkpointed, so plans stay short and a lost executor repeats no level.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +22,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the folder that the session names."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="archlens-checkpoints-"))
+        own = tempfile.mkdtemp(prefix="archlens-checkpoints-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
     return df.checkpoint()
 
 

@@ -13,11 +13,10 @@ LOOKALIKES = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 
 _SCRIPTS = str.maketrans(LOOKALIKES | {"­": None, "​": None, "‌": None, "‍": None, "⁠": None, "﻿": None})
-_SUBSTITUTED = re.compile(r"(?=[\w@$!|€]*[^\W\d_])(?=[\w@$!|€]*(?:[0-9]|[@$!|€][^\W_]))[\w@$!|€]+")
+_SUBSTITUTED = re.compile(r"(?<![\w@$!|€])(?=[\w@$!|€]*[^\W\d_])(?=[\w@$!|€]*(?:[0-9]|[@$!|€][^\W_]))[\w@$!|€]+")
 _LETTERS = str.maketrans(DIGITS)
 _GAPS = re.compile(r"[\W_]+")
-#: i, l and 1 are one letter once folded, for 1 stands for either.
-_SAME = str.maketrans({"l": "i"})
+_ODD = re.compile("[" + "".join(map(chr, _SCRIPTS)) + "]")
 
 
 def fold(text: str) -> str:
@@ -27,7 +26,10 @@ def fold(text: str) -> str:
     """
     text = text.lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).lower().translate(_SCRIPTS)
+        text = unicodedata.normalize("NFKC", text).lower()
+        if _ODD.search(text):
+            text = text.translate(_SCRIPTS)
     if any(c in text for c in "0134579@$!|€8"):
         text = _SUBSTITUTED.sub(lambda m: m[0].rstrip("@$!|€").translate(_LETTERS), text)
-    return " " + _GAPS.sub(" ", text).strip().translate(_SAME) + " "
+    # i, l and 1 are one letter once folded, for 1 stands for either.
+    return " " + _GAPS.sub(" ", text).strip().replace("l", "i") + " "

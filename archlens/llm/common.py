@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="archlens-checkpoints-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 

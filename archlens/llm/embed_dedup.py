@@ -6,7 +6,8 @@
    the ends of neighbouring ranges are compared in a step of their own, so no neighbour is lost at a border.
 3. Links of all passes are united into components.
 4. A window is a bound on partners, so the rest is found exactly: inside each component all its classes are compared,
-   in blocks, and only their numbers of links leave a task.
+   in blocks, and only their numbers of links leave a task. In a large component the vectors near its mean direction
+   are linked by the triangle inequality of angles and only counted, so a huge group of near copies is not squared.
 
 Two vectors of angle a agree on one sign with chance 1 - a / pi, so close pairs lie next to each other in most passes;
 a pair that no pass brings together is found only if other links join the two.
@@ -153,16 +154,67 @@ def window_links(classes: DataFrame, cosine: float, scratch: Scratch, seed: int
     return scratch.put(got.where("a is not null").select("a", "b").unionByName(border).distinct(), "pairs")
 
 
-def link_counts(members: DataFrame, cosine: float) -> DataFrame:
+def _centred(members: DataFrame, cosine: float) -> DataFrame:
+    """members with ``core``: in a component of more than a block, whether a vector lies so near to the component's mean direction
+    that any two such vectors are surely linked, since angles obey the triangle inequality.
+    """
+    import math
+
+    near = math.cos(math.acos(max(-1.0, min(1.0, cosine))) / 2) + 1e-9
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total: dict = {}
+        for batch in batches:
+            for c, v in zip(batch.column("component").to_pylist(), batch.column("vector").to_pylist(), strict=True):
+                v = np.frombuffer(v, np.float64)
+                if len(total.get((c, len(v)), ())):
+                    total[c, len(v)] += v
+                else:
+                    total[c, len(v)] = v.copy()
+        yield pa.RecordBatch.from_pydict({"component": [c for c, _ in total], "part": [v.tobytes() for v in total.values()]}, schema=pa.schema([("component", pa.int64()), ("part", pa.binary())]))
+
+    def mean(group):
+        import numpy as np
+        import pyarrow as pa
+
+        m = np.sum([np.frombuffer(x, np.float64) for x in group.column("part").to_pylist()], axis=0)
+        m = m / max(float(np.sqrt(m @ m)), 1e-300)
+        return pa.table({"c": group.column("component").slice(0, 1), "mean": pa.array([m.tobytes()], pa.binary())})
+
+    def judge(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            ok = [m is not None and float(np.frombuffer(v, np.float64) @ np.frombuffer(m, np.float64)) >= near for v, m in zip(batch.column("vector").to_pylist(), batch.column("mean").to_pylist(), strict=True)]
+            yield batch.drop_columns(["mean"]).append_column("core", pa.array(ok, pa.bool_()))
+
+    large = members.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("component")
+    parts = members.join(large, "component", "left_semi").select("component", "vector").mapInArrow(sums, "component long, part binary")
+    means = parts.groupBy("component").applyInArrow(mean, "c long, mean binary")
+    told = members.join(means, F.col("component") == F.col("c"), "left").select("component", "id", "copies", "vector", "mean")
+    return told.mapInArrow(judge, "component long, id long, copies long, vector binary, core boolean")
+
+
+def link_counts(members: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
     """(id, n_links) of members (component, id, copies, vector): copies of other classes of the component that link with id.
 
-    A component is dealt into blocks; each task compares two blocks, so none holds a whole component.
+    A component is dealt into blocks; each task compares two blocks, so none holds a whole component. Vectors of a component's
+    core are all linked with each other: they are counted, and compared with the others only.
     """
-    sized = members.join(members.groupBy("component").agg(F.count("*").alias("size")), "component").where("size > 1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    dealt = sized.withColumn("blocks", blocks).withColumn("block", own)
-    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("key"), (F.col("block") <= F.col("other")).alias("left"), "component", "block", "id", "copies", "vector")
+    told = scratch.put(_centred(members, cosine), "members")
+    weights = told.groupBy("component").agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rest"), F.sum(F.when(F.col("core"), F.col("copies"))).alias("held"))
+    sized = told.join(weights, "component").where("n_core + n_rest > 1")
+    core_blocks, rest_blocks = F.ceil(F.col("n_core") / BLOCK).cast("long"), F.ceil(F.col("n_rest") / BLOCK).cast("long")
+    dealt = sized.withColumn("cores", core_blocks).withColumn("blocks", core_blocks + rest_blocks)
+    block = F.when(F.col("core"), F.pmod(F.xxhash64("id"), F.greatest("cores", F.lit(1).cast("long")))).otherwise(F.col("cores") + F.pmod(F.xxhash64("id"), F.greatest(F.col("blocks") - F.col("cores"), F.lit(1).cast("long"))))
+    first = F.when(F.col("core"), F.col("cores")).otherwise(F.lit(0).cast("long"))
+    others = F.when(first < F.col("blocks"), F.sequence(first, F.col("blocks") - 1))
+    both = dealt.withColumn("block", block).withColumn("other", F.explode(others)).select(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "component", "block", "id", "copies", "vector")
+    inside = sized.where("core").select("id", (F.col("held") - F.col("copies")).alias("n"))
 
     def work(batches):
         import numpy as np
@@ -189,7 +241,7 @@ def link_counts(members: DataFrame, cosine: float) -> DataFrame:
 
     small_batches(members.sparkSession, 4096)
     parts = both.repartition("key").sortWithinPartitions("key", "block", "id").select("key", "component", "block", "id", "copies", "vector")
-    return parts.mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n_links"))
+    return parts.mapInArrow(work, "id long, n long").unionByName(inside).groupBy("id").agg(F.sum("n").alias("n_links"))
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", cosine: float = 0.95) -> DataFrame:
@@ -208,7 +260,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", column
     links = window_links(classes, cosine, scratch)
     comps = components(links, scratch)
     members = classes.join(comps, "id").select("component", "id", "copies", "vector")
-    counts = scratch.put(link_counts(members, cosine), "counts")
+    counts = scratch.put(link_counts(members, cosine, scratch), "counts")
     placed = classes.select("id", "same", "copies").join(comps, "id", "left").join(counts, "id", "left").select(F.col("same").alias("s"), (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("c"))
     out = rows.join(placed, (rows["same"] == placed["s"]) & rows["id"].isNotNull(), "left")
     own = F.coalesce(F.col("c"), F.col("id"))

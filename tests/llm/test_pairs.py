@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from archlens.llm import minhash_dedup
+from archlens.llm import embed_dedup, minhash_dedup
 from archlens.llm.components import components
 from archlens.llm.common import Scratch
 from archlens.llm.embed_dedup import near_duplicate_vectors
@@ -63,12 +63,27 @@ def test_texts_equal_brute_force(spark, k):
 def test_long_lists_are_posted_again(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "LONGEST", 8)
     monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    monkeypatch.setattr(minhash_dedup, "WINDOW", 16)
     base = [f"w{i}" for i in range(80)]
     rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(40)] + [(100 + i, " ".join(f"y{i}_{j}" for j in range(30)) + " " + " ".join(base[:20])) for i in range(20)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs(spark, rows), 4).collect()}
     assert got == brute(rows, 4)
 
 
+def test_huge_groups_are_stars_first(spark, monkeypatch):
+    for name, value in (("BLOCK", 4), ("HUGE", 2), ("PIVOTS", 2)):
+        monkeypatch.setattr(minhash_dedup, name, value)
+    rows = corpus(20, seed=8)
+    base = [f"w{i}" for i in range(80)]
+    for i in range(60):
+        text = list(base)
+        for j in range(random.Random(i).randrange(1, 5)):
+            text[(7 * i + 13 * j) % 80] = f"x{i}_{j}"
+        rows.append((1000 + i, " ".join(text)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs(spark, rows), 4).collect()}
+    assert got == brute(rows, 4)
+
+
 def test_odd_texts(spark):
     got = near_duplicates(docs(spark, ODD), 4).collect()
     assert len(got) == len(ODD)
@@ -92,7 +107,9 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], 1, "c") for i, v in rows], "vec_id long, embedding array<float>, id int, component string")
 
 
-def test_vectors_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [1024, 8])
+def test_vectors_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
     rng = np.random.default_rng(5)
     rows = []
     for _ in range(60):

@@ -87,7 +87,7 @@ def _keys(classes: DataFrame, seed: int) -> DataFrame:
 
 
 def _linked(pass_, ids, vectors, cosine, first=0):
-    """Pairs of neighbours within the window, in the given order, with cosine at least as given; those of i >= first - window."""
+    """A spanning forest of the pairs of neighbours within the window whose cosine is at least as given; those of i >= first - window."""
     import numpy as np
 
     a, b = [], []
@@ -103,11 +103,27 @@ def _linked(pass_, ids, vectors, cosine, first=0):
         a.append(ids[i])
         b.append(ids[i + step])
     a, b = np.concatenate([*a, np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*b, np.empty(0, np.int64)]).astype(np.int64)
+    up: dict = {}
+
+    def top(x):
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    keep = []
+    for e, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            up[x] = y
+            keep.append(e)
+    a, b = a[keep], b[keep]
     return np.minimum(a, b), np.maximum(a, b)
 
 
 def window_links(classes: DataFrame, cosine: float, scratch: Scratch, seed: int = 7) -> DataFrame:
-    """Distinct pairs (a, b) of classes that lie in each other's window in some pass and whose cosine is high enough."""
+    """Distinct pairs (a, b) of classes in each other's window in some pass whose cosine is high enough: of each batch of an order a
+    spanning forest, which joins the same classes as all pairs would and stays in proportion to the rows."""
     ordered = scratch.put(_keys(classes, seed), "keys")
     ordered = ordered.repartitionByRange("pass", "key", "id").sortWithinPartitions("pass", "key", "id").withColumn("part", F.spark_partition_id())
     edge = "a long, b long, part int, place int, pass int, id long, vector binary"

@@ -14,9 +14,9 @@ FOR_FILES = {"CALLERS": "DOWNSTREAM", "CALLEES": "UPSTREAM", "TRACE": "UPSTREAM"
 
 class Engine:
     """nodes(id, kind, label, path, aliases, descr), edges(src, dst, type), and where there are any search_text(id, name, path,
-    docstring), symbols(id, name) and calls(src, dst, confidence)."""
+    docstring), symbols(id, name) and calls(src, dst, confidence). Searches go on to the end where no max_depth is given."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, search_text: DataFrame | None = None, symbols: DataFrame | None = None, calls: DataFrame | None = None, max_depth: int = 20):
+    def __init__(self, nodes: DataFrame, edges: DataFrame, search_text: DataFrame | None = None, symbols: DataFrame | None = None, calls: DataFrame | None = None, max_depth: int | None = None):
         self.nodes, self.edges, self.search_text, self.symbols, self.calls, self.max_depth = nodes, edges, search_text, symbols, calls, max_depth
 
     def parse(self, questions: DataFrame) -> DataFrame:

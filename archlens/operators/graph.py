@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,15 +38,26 @@ def adjacency(edges: DataFrame, reverse: bool = False, types: tuple[str, ...] |
     return kept.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
 
 
-def search(starts: DataFrame, pairs: DataFrame, max_depth: int, targets: DataFrame | None = None) -> DataFrame:
-    """(qid, id, depth, chain) of every node reached from starts(qid, id), the starts at depth 0.
+def levels(max_depth: int | None):
+    """Depths from 1 on, without an end where max_depth is None: the search ends with its frontier."""
+    return count(1) if max_depth is None else range(1, max_depth + 1)
+
+
+def joined(seen: DataFrame, frontier: DataFrame, depth: int) -> DataFrame:
+    """seen with the frontier; cut now and then, so the plan of a deep search stays short."""
+    both = seen.unionByName(frontier)
+    return both if depth % 16 else cut(both)
+
+
+def search(starts: DataFrame, pairs: DataFrame, max_depth: int | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """(qid, id, depth, chain) of every node reached from starts(qid, id), the starts at depth 0; without max_depth, to the end.
 
     chain: the smallest of the shortest chains from a start. With targets(qid, id) a question stops at the level
     in which it first reaches one.
     """
     frontier = cut(starts.select("qid", "id").distinct().select("qid", "id", F.lit(0).alias("depth"), F.array("id").alias("chain")))
     seen = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in levels(max_depth):
         if targets is not None:
             done = seen.join(targets, ["qid", "id"], "left_semi").select("qid").distinct()
             frontier = frontier.join(done, "qid", "left_anti")
@@ -54,7 +66,7 @@ def search(starts: DataFrame, pairs: DataFrame, max_depth: int, targets: DataFra
         frontier = cut(fresh.select("qid", "id", F.lit(depth).alias("depth"), "chain"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = joined(seen, frontier, depth)
     return seen
 
 
@@ -94,21 +106,21 @@ def layering(nodes: DataFrame, pairs: DataFrame, reach: DataFrame) -> DataFrame:
         return comp.join(after, comp["component"] == after["c"]).select("id", "component", F.col("d").alias("column"))
 
 
-def boundary_search(start: DataFrame, pairs: DataFrame, group: Column, max_depth: int) -> DataFrame:
+def boundary_search(start: DataFrame, pairs: DataFrame, group: Column, max_depth: int | None = None) -> DataFrame:
     """(qid, id, depth, crossed) of a search whose state is (node, has crossed a group boundary); starts are not met again.
 
     start(qid, id, home): home is the group of the start; group: the group of column ``id``.
     """
     frontier = cut(start.select("qid", "id", F.lit(0).alias("depth"), F.lit(False).alias("crossed"), "home"))
     seen, origin = frontier, start.select("qid", F.col("id").alias("origin"))
-    for depth in range(1, max_depth + 1):
+    for depth in levels(max_depth):
         grown = frontier.join(pairs, frontier["id"] == pairs["src"]).select("qid", F.col("dst").alias("id"), "crossed", "home")
         state = grown.withColumn("crossed", F.col("crossed") | (group != F.col("home"))).groupBy("qid", "id", "crossed", "home").agg(F.lit(depth).alias("depth"))
         fresh = state.join(seen.select("qid", "id", "crossed"), ["qid", "id", "crossed"], "left_anti").join(origin, "qid").where("id <> origin")
         frontier = cut(fresh.select("qid", "id", "depth", "crossed", "home"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = joined(seen, frontier, depth)
     return seen
 
 

@@ -198,7 +198,7 @@ def answer_batch(spark, sf_dir):
     parsed = asked.select("qid", T.intent(T.normalize_question(F.col("question"))).alias("i")).select("qid", "i.op", F.regexp_replace("i.target", "^where is ", "").alias("target"))
     bound = graph.cut(parsed.join(files, "target", "left").select("qid", "op", "path"))
     pairs = path_edges(spark, sf_dir)
-    go = lambda op, back: graph.search(bound.where((F.col("op") == op) & F.col("path").isNotNull()).select("qid", F.col("path").alias("id")), graph.adjacency(pairs, reverse=back), 2)
+    go = lambda op, back: graph.search(bound.where((F.col("op") == op) & F.col("path").isNotNull()).select("qid", F.col("path").alias("id")), graph.adjacency(pairs, reverse=back))
     rows = go("DOWNSTREAM", True).unionByName(go("UPSTREAM", False)).groupBy("qid").agg(F.count("*").alias("n"))
     status = F.when(F.col("path").isNull(), "no-match").otherwise("matched")
     return bound.join(rows, "qid", "left").select("qid", "op", F.col("path").alias("target"), status.alias("status"), F.coalesce("n", F.when(F.col("path").isNull(), 0).otherwise(1)).cast("long").alias("n_nodes"))

@@ -9,8 +9,11 @@
 4. Classes that collisions connect are confirmed together on full shingle sets, each set moved once for a
    block of ``BLOCK`` classes: one set is compared with all others that collide with it and are not yet in its component.
    Only links of a spanning forest leave the task; components are built from these.
-5. Lists of over ``LONGEST`` classes are posted again under pairs of their keys. Only what is longer still even so is
-   compared in windows of neighbours by set size and sketch; this bounds memory.
+5. Where keys have lists of over ``LONGEST`` classes, their classes count such keys last: any order of coordinates that all
+   share will do for a prefix, so rarer ones, of all ``COORDS``, are posted instead. What is still too long is compared with
+   ``PIVOTS`` of its own classes; what the best of these joins is one group, and is only compared with the rest, block
+   by block and with blocks of a fitting set size. Nothing is left out; a table all of whose texts consist of the same few
+   passages costs the square of its rows.
 
 A pair of similarity 0.8 agrees on 64 * 0.8 = 51 coordinates on average, with a deviation of 3.2; at a threshold
 of 38 it is missed with a chance of about 1e-5, and a more similar pair with less.
@@ -18,6 +21,8 @@ of 38 it is missed with a chance of about 1e-5, and a more similar pair with les
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +33,7 @@ COORDS, MATCHES = 64, 38
 PREFIX = COORDS - MATCHES + 1
 #: Classes in a posting list that one task compares at most.
 LONGEST = 4096
-#: Neighbours that are compared in lists that are too long even under two keys.
+#: Classes of a too long list that are compared with its pivots at once.
 WINDOW = 512
 #: Classes, and bytes of shingle sets, in a block; a task confirms two blocks at a time.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
@@ -68,7 +73,7 @@ def _shingles(text: str | None, k: int, memo: dict):
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, keys, sketch); keys and set_hash are null for an empty set."""
+    """(doc_id, n_shingles, set_hash, low, sketch); low, the minima, and set_hash are null for an empty set."""
     small_batches(docs.sparkSession)
 
     def work(batches):
@@ -79,31 +84,27 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
         rng = np.random.default_rng(20_011)
         mul = rng.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         add = rng.integers(0, 2**63, COORDS, dtype=np.uint64)
-        seat = rng.integers(1, 2**63, PREFIX, dtype=np.uint64)
         memo: dict = {}
         for batch in batches:
-            out = {"doc_id": [], "n_shingles": [], "set_hash": [], "keys": [], "sketch": []}
+            out = {"doc_id": [], "n_shingles": [], "set_hash": [], "low": [], "sketch": []}
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = _shingles(text, k, memo)
                 out["doc_id"].append(i)
                 out["n_shingles"].append(len(s))
                 if not len(s):
-                    for c in ("set_hash", "keys", "sketch"):
+                    for c in ("set_hash", "low", "sketch"):
                         out[c].append(None)
                     continue
                 low = np.full(COORDS, 0xFFFFFFFF, np.uint64)
                 for at in range(0, len(s), 1024):
                     part = s[at : at + 1024]
                     np.minimum(low, ((part[None, :] * mul[:, None] + add[:, None]) >> np.uint64(32)).min(axis=1), out=low)
-                keys = (low[:PREFIX] + np.uint64(1)) * seat
-                keys ^= keys >> np.uint64(31)
-                keys *= np.uint64(0x94D049BB133111EB)
                 out["set_hash"].append(xxhash.xxh3_128_digest(s.tobytes()))
-                out["keys"].append(keys.view(np.int64).tolist())
+                out["low"].append(low.astype(np.uint32).view(np.int32).tolist())
                 out["sketch"].append((low ^ (low >> np.uint64(8)) ^ (low >> np.uint64(16))).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("low", pa.list_(pa.int32())), ("sketch", pa.binary())]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, n_shingles long, set_hash binary, keys array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, n_shingles long, set_hash binary, low array<int>, sketch binary")
 
 
 def forest(sk, n, ids, percent: int) -> list[tuple[int, int]]:
@@ -273,6 +274,76 @@ def _confirm(members: DataFrame, docs: DataFrame, scratch: Scratch, k: int, perc
     return scratch.put(links if stars is None else links.unionByName(stars), "links")
 
 
+def _tokens(reps: DataFrame, low) -> DataFrame:
+    """(id, c, key) of each coordinate in low."""
+    return reps.select("id", F.posexplode(low).alias("c", "v")).select("id", "c", F.xxhash64("c", "v").alias("key"))
+
+
+def _rarer(reps: DataFrame, live: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, size): live(key, id, size) where classes with keys of over ``LONGEST`` classes post rarer ones in their place.
+
+    All classes order their coordinates in the same way: those that are not frequent by place, then the frequent ones, the
+    rarest first. Two that agree on ``MATCHES`` still agree on one of the first ``PREFIX`` of each. A class without a frequent
+    key among its first keeps them, and what others post from later places it does not need.
+    """
+    from pyspark.sql import Window
+
+    common = live.where(F.col("size") > LONGEST)
+    held = scratch.put(_tokens(reps.join(common.select("id").distinct(), "id", "left_semi"), F.col("low")), "held")
+    later = held.where(F.col("c") >= PREFIX).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > LONGEST)
+    frequent = scratch.put(common.select("key", "size").distinct().unionByName(later), "frequent")
+    order = Window.partitionBy("id").orderBy(F.col("size").asc_nulls_first(), "c")
+    first = held.join(frequent, "key", "left").withColumn("at", F.row_number().over(order)).where(F.col("at") <= PREFIX)
+    more = scratch.put(first.where((F.col("c") >= PREFIX) | F.col("size").isNotNull()).select("key", "id"), "more")
+    sizes = more.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return live.where(F.col("size") <= LONGEST).unionByName(more.join(sizes, "key").select("key", "id", "size"))
+
+
+def _blocks(lists: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lists (key, id, n, sketch) of any length as lists for pairs of blocks, and collisions (a, b) with pivots.
+
+    Classes that collide with the pivot which most collide with are connected by it: they form the core of the list, whose
+    blocks meet the rest only. Sets of sizes too far apart for a link lie in bands that are not neighbours and do not meet.
+    """
+
+    def near(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            n, m = (batch.column(x).to_numpy() for x in ("n", "pivot_n"))
+            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            sk, pivot = (batch.column(x).to_pylist() for x in ("sketch", "pivot_sketch"))
+            for at in range(0, len(n), WINDOW):
+                x, y = (np.frombuffer(b"".join(z[at : at + WINDOW]), np.uint8).reshape(-1, COORDS) for z in (sk, pivot))
+                ok[at : at + WINDOW] &= (x == y).sum(axis=1) >= MATCHES
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(x).filter(keep) for x in ("key", "id", "pivot")], names=["key", "id", "pivot"])
+
+    small_batches(lists.sparkSession, 4096)
+    one = F.struct(F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
+    picked = lists.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(one, F.xxhash64("id", F.lit(i))) for i in range(PIVOTS)])).alias("p"))
+    tried = lists.join(picked, "key").select("key", "id", "n", "sketch", F.explode("p").alias("p")).select("key", "id", "n", "sketch", "p.*")
+    stars = scratch.put(tried.mapInArrow(near, "key long, id long, pivot long"), "pivots")
+    best = stars.groupBy("key", "pivot").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("pivot"))
+    core = stars.join(best, ["key", "pivot"], "left_semi").select("key", "id", F.lit(True).alias("core"))
+    # A little wider than the sizes of a link can differ, so rounding parts no pair.
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) + 1e-6)).cast("long")
+    rows = scratch.put(lists.join(core, ["key", "id"], "left").withColumn("core", F.coalesce("core", F.lit(False))).withColumn("band", band), "long")
+    sizes = scratch.put(rows.groupBy("key", "core", "band").agg(F.ceil(F.count("*") / max(1, LONGEST // 2)).cast("long").alias("blocks")), "sizes")
+    other = sizes.select(F.col("key").alias("k"), F.struct(F.col("core").alias("core"), F.col("band").alias("band"), F.col("blocks").alias("blocks")).alias("o"))
+    meets = (F.col("key") == F.col("k")) & (F.abs(F.col("band") - F.col("o.band")) <= 1) & ~(F.col("core") & F.col("o.core"))
+    code = lambda core, band, block: F.xxhash64(core, band, block)
+    all_ = F.flatten(F.transform("os", lambda o: F.transform(F.sequence(F.lit(0).cast("long"), o["blocks"] - 1), lambda r: code(o["core"], o["band"], r))))
+    plan = sizes.join(other, meets).groupBy("key", "core", "band", "blocks").agg(F.collect_list("o").alias("os")).select("key", "core", "band", "blocks", all_.alias("all"))
+    dealt = rows.join(plan, ["key", "core", "band"]).withColumn("own", code(F.col("core"), F.col("band"), F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    # Two blocks at a time; a block alone only where there is no other.
+    others = F.array_remove("all", F.col("own"))
+    dealt = dealt.select("key", "id", "n", "sketch", "own", F.explode(F.when(F.size(others) > 0, others).otherwise(F.array("own"))).alias("other"))
+    pairs = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "n", "sketch")
+    return pairs, stars.select(F.col("id").alias("a"), F.col("pivot").alias("b")).where("a <> b")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...).
 
@@ -287,28 +358,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     signed = scratch.put(signatures(docs, k), "signatures")
     some = signed.where("set_hash is not null and doc_id is not null")
     classes = some.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    reps = some.join(classes.select("id", F.col("set_hash").alias("h")), (F.col("doc_id") == F.col("id")) & (F.col("set_hash") == F.col("h"))).select("id", F.col("n_shingles").alias("n"), "keys", "sketch").dropDuplicates(["id"])
+    reps = some.join(classes.select("id", F.col("set_hash").alias("h")), (F.col("doc_id") == F.col("id")) & (F.col("set_hash") == F.col("h"))).select("id", F.col("n_shingles").alias("n"), "low", "sketch").dropDuplicates(["id"])
     reps = scratch.put(reps, "classes")
 
-    posted = reps.select("id", F.explode(F.array_distinct("keys")).alias("key"))
+    posted = _tokens(reps, F.slice("low", 1, PREFIX)).select("id", "key")
     lists = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     live = scratch.put(posted.join(lists, "key"), "postings")
-    hot = live.where(F.col("size") > LONGEST)
-    if hot.limit(1).count():
-        held = hot.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("ks"))
-        two = held.select("id", F.explode("ks").alias("k1"), "ks").select("id", "k1", F.explode("ks").alias("k2")).where("k1 < k2").select("id", F.xxhash64("k1", "k2").alias("key"))
-        # A pair that agrees on a single prefix coordinate, a long list, meets under that key itself, in windows.
-        again = two.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        live = scratch.put(live.where(F.col("size") <= LONGEST).unionByName(two.join(again, "key").where(F.col("size") <= LONGEST)), "postings")
-        windowed = hot.select("key", "id")
-    else:
-        windowed = None
-
     sketches = reps.select("id", "n", "sketch")
+    met = None
+    if live.where(F.col("size") > LONGEST).limit(1).count():
+        live = scratch.put(_rarer(reps, live, scratch), "postings")
+        long_ = live.where(F.col("size") > LONGEST)
+        if long_.limit(1).count():
+            dealt, met = _blocks(scratch.put(long_.select("key", "id").join(sketches, "id"), "long"), scratch, percent)
+            met = met.unionByName(_collide(dealt, percent))
+        live = live.where(F.col("size") <= LONGEST)
+
     small_batches(spark, 4096)
-    met = _collide(live.select("key", "id").join(sketches, "id"), percent)
-    if windowed is not None:
-        met = met.unionByName(_windows(windowed.join(sketches, "id"), percent))
+    short = _collide(live.select("key", "id").join(sketches, "id"), percent)
+    met = short if met is None else met.unionByName(short)
     groups = components(met, scratch)
     links = _confirm(groups.join(sketches, "id"), docs, scratch, k, percent)
     comps = components(links, scratch).withColumnRenamed("id", "rep")
@@ -316,29 +384,3 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     out = signed.join(placed, (signed["set_hash"] == placed["h"]) & signed["doc_id"].isNotNull(), "left")
     own = F.coalesce(F.col("c"), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
-
-
-def _windows(lists: DataFrame, percent: int) -> DataFrame:
-    """Collisions of neighbours in lists that are too long to compare as a whole: dealt by range, so no task holds a list."""
-    parts = lists.repartitionByRange("key", "n", "sketch", "id").sortWithinPartitions("key", "n", "sketch", "id")
-
-    def work(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        tail = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if tail is None else pa.concat_tables([tail, t])
-            key, ids, n = (t.column(x).to_numpy() for x in ("key", "id", "n"))
-            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDS)
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            pairs: set = set()
-            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                for at in range(lo, hi, WINDOW):
-                    end = min(at + 2 * WINDOW, hi)
-                    pairs |= {(min(p), max(p)) for p in forest(sk[at:end], n[at:end], ids[at:end], percent)}
-            tail = t.slice(max(0, len(key) - WINDOW))
-            yield pa.RecordBatch.from_pydict({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    return parts.mapInArrow(work, "a long, b long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: A word: a run of characters other than the ASCII white space characters. ``bytes.split()`` splits the same way.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch: texts may be very long, so batches are small.
+#: Rows that a Python worker turns into objects at once; Spark itself bounds the bytes of an Arrow batch (64 MB by default).
 BATCH_ROWS = 512
 
 
@@ -22,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none is a local one set."""
+    """The folder that driver and executors share. Where the session names none, a local master gets one of its own; a cluster must name it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="archlens-checkpoints-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
@@ -34,13 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage, and a lost executor costs no recomputation."""
+    """Tables written to the shared folder: they cut lineage, and a lost executor costs no recomputation.
+
+    ``drop`` deletes what no later step reads, ``keep`` all but what a lazy result still reads; the rest goes when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/archlens-{uuid.uuid4().hex}", {}
+        self.spark, self.base, self.paths, self.number = spark, f"{shared_dir(spark)}/archlens-{uuid.uuid4().hex}", {}, 0
+        self._path, self._conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        atexit.register(self._delete, self.base)
+
+    def _delete(self, path: str) -> None:
+        with contextlib.suppress(Exception):  # at the driver's end the JVM may be gone
+            self._path(path).getFileSystem(self._conf).delete(self._path(path), True)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}-{len(self.paths)}"
+        path = f"{self.base}/{name}-{self.number}"
+        self.number += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
@@ -49,14 +62,20 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no later step reads."""
         for df in frames:
-            path, _ = self.paths[id(df)]
-            hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            path, _ = self.paths.pop(id(df))
+            self._delete(path)
 
+    def keep(self, *frames: DataFrame) -> None:
+        """Deletes all tables but these."""
+        left = {id(df) for df in frames}
+        self.drop(*[df for key, (_, df) in list(self.paths.items()) if key not in left])
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds what a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def sliced(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
+    """Arrow batches of at most so many rows: bounds the objects that a Python worker holds, whatever the session's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -68,7 +87,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
     """(doc_id, text, y) of at most ``limit`` labelled rows outside the held-out fold, lowest hash first.
 
     ``limit`` bounds the sample whatever the size of the corpus. Rows with a null label or id take no part;
-    an id that is labelled more than once counts once, with its highest label.
+    an id that is labelled more than once counts once, with its highest label; of several texts of an id the first by value is taken.
     """
     picked = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
@@ -78,7 +97,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    met = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
 def runs(batches: Iterator, key: str, least: int = 4096) -> Iterator:

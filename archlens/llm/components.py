@@ -7,32 +7,48 @@ from pyspark.sql import functions as F
 
 from archlens.llm.common import Scratch
 
+#: Edges up to which the tables of a round are broadcast (4 MB of numbers); beyond, both sides of its joins are written and shuffled.
+BROADCAST = 250_000
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
-    """(id, component) for each end of an edge (a, b); component: the smallest id that can be reached.
 
-    Alternates large-star and small-star steps: each hangs a node's neighbours on the smallest of them, so
-    chains halve and a hub is a partial minimum, never a collected list. Loops and repeated edges are harmless.
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component) for each end of an edge (a, b); component: the smallest id that can be reached. Ids are any 64-bit numbers.
+
+    Alternates large-star and small-star steps: each hangs a node's neighbours on the smallest of them, so chains halve and a
+    hub is a partial minimum, never a collected list. Few edges are joined by broadcast; of more, both sides of each join are
+    tables, so that adaptive execution can split a hub's edges over many tasks. Loops and repeated edges are harmless; it ends when a
+    round changes nothing.
     """
-    now = scratch.put(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
+    ends = edges.where("a is not null and b is not null and a <> b")
+    now = scratch.put(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     mark = _mark(now)
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after = scratch.put(small, "cc")
+    while mark[0]:
+        made: list = []
+
+        def side(df: DataFrame, few: bool = mark[0] <= BROADCAST, made: list = made) -> DataFrame:
+            if few:
+                return F.broadcast(df)
+            made.append(scratch.put(df, "side"))
+            return made[-1]
+
+        # The larger end of an edge hangs on the least neighbour of the smaller one, where that is not the end itself.
+        low = side(now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")))
+        large = now.join(low, now["v"] == low["id"], "left").select("u", F.coalesce("m", "v").alias("v"))
+        if mark[0] > BROADCAST:
+            large = scratch.put(large.distinct(), "side")
+            made.append(large)
+        least = side(large.groupBy("u").agg(F.min("v").alias("m")))
+        both = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+        after = scratch.put(large.join(least, "u").select(F.explode(both).alias("e")).select("e.*").where("u <> v").distinct(), "cc")
         was, mark = mark, _mark(after)
-        scratch.drop(now)
+        scratch.drop(now, *made)
         now = after
         if was == mark:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h"), F.sum("v").alias("s")).first()
+    exact = lambda c: F.sum(c.cast("decimal(38,0)"))
+    row = edges.agg(F.count("*").alias("n"), exact(F.xxhash64("u", "v")).alias("h"), exact(F.col("v")).alias("s")).first()
     return row["n"], row["h"], row["s"]

@@ -4,8 +4,8 @@
    each). Texts with equal sets are one class at once, whatever their number.
 2. Prefix: a pair that agrees on ``MATCHES`` coordinates or more agrees on one of the first
    ``COORDS - MATCHES + 1``; only these are posted, under (coordinate, value). Posting lists of one class go.
-3. Merging: inside a list the sketches of classes are compared and collisions counted; what lies below the match
-   threshold is skipped. Only a spanning forest of the collisions leaves the task, never all pairs.
+3. Merging: inside a list the collisions of classes are counted, ``SKIP`` coordinates after the other; classes that can no
+   longer reach the match threshold are skipped. Only a spanning forest of the collisions leaves the task, never all pairs.
 4. Classes that collisions connect are confirmed together on full shingle sets, each set moved once for a
    block of ``BLOCK`` classes: one set is compared with all others that collide with it and are not yet in its component.
    Only links of a spanning forest leave the task; components are built from these.
@@ -26,11 +26,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import Scratch, runs, small_batches
+from archlens.llm.common import Scratch, runs, sliced
 from archlens.llm.components import components
 
 COORDS, MATCHES = 64, 38
 PREFIX = COORDS - MATCHES + 1
+#: Coordinates that are counted before classes are skipped.
+SKIP = 16
 #: Classes in a posting list that one task compares at most.
 LONGEST = 4096
 #: Classes of a too long list that are compared with its pivots at once.
@@ -72,58 +74,86 @@ def _shingles(text: str | None, k: int, memo: dict):
     return np.unique(mixed)
 
 
+def _set_hash(s) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+def _digest(text):
+    """A column that tells texts apart; null for a null text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, low, sketch); low, the minima, and set_hash are null for an empty set."""
-    small_batches(docs.sparkSession)
+    """(doc_id, digest, n_shingles, set_hash, low, sketch); low, the minima, and set_hash are null for an empty set."""
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
         rng = np.random.default_rng(20_011)
         mul = rng.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         add = rng.integers(0, 2**63, COORDS, dtype=np.uint64)
         memo: dict = {}
-        for batch in batches:
-            out = {"doc_id": [], "n_shingles": [], "set_hash": [], "low": [], "sketch": []}
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("low", pa.list_(pa.int32())), ("sketch", pa.binary())])
+        for batch in sliced(batches):
+            n, set_hash, lows, sketch = [], [], [], []
+            for text in batch.column("text").to_pylist():
                 s = _shingles(text, k, memo)
-                out["doc_id"].append(i)
-                out["n_shingles"].append(len(s))
+                n.append(len(s))
                 if not len(s):
-                    for c in ("set_hash", "low", "sketch"):
-                        out[c].append(None)
+                    for c in (set_hash, lows, sketch):
+                        c.append(None)
                     continue
                 low = np.full(COORDS, 0xFFFFFFFF, np.uint64)
                 for at in range(0, len(s), 1024):
                     part = s[at : at + 1024]
                     np.minimum(low, ((part[None, :] * mul[:, None] + add[:, None]) >> np.uint64(32)).min(axis=1), out=low)
-                out["set_hash"].append(xxhash.xxh3_128_digest(s.tobytes()))
-                out["low"].append(low.astype(np.uint32).view(np.int32).tolist())
-                out["sketch"].append((low ^ (low >> np.uint64(8)) ^ (low >> np.uint64(16))).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("low", pa.list_(pa.int32())), ("sketch", pa.binary())]))
+                set_hash.append(_set_hash(s))
+                lows.append(low.astype(np.uint32).view(np.int32).tolist())
+                sketch.append((low ^ (low >> np.uint64(8)) ^ (low >> np.uint64(16))).astype(np.uint8).tobytes())
+            made = [pa.array(c, f.type) for c, f in zip((n, set_hash, lows, sketch), list(schema)[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *made], schema=schema)
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(text).alias("digest"), text.alias("text"))
+    return rows.mapInArrow(work, "doc_id long, digest binary, n_shingles long, set_hash binary, low array<int>, sketch binary")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, n_shingles long, set_hash binary, low array<int>, sketch binary")
+
+def colliding(sk, rest, i):
+    """Which of the classes ``rest`` agree with class i on ``MATCHES`` coordinates or more: counted in blocks of coordinates, and
+    what cannot reach the threshold with those that are left is skipped."""
+    import numpy as np
+
+    at, count = np.arange(len(rest)), np.zeros(len(rest), np.int64)
+    for c in range(0, COORDS, SKIP):
+        count = count[at] if c else count
+        rest = rest[at] if c else rest
+        count = count + (sk[rest, c : c + SKIP] == sk[i, c : c + SKIP]).sum(axis=1)
+        at = np.flatnonzero(count >= MATCHES - (COORDS - c - SKIP))
+    return rest[at]
 
 
 def forest(sk, n, ids, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of collisions, breadth first: each class in turn takes those of the rest that collide with it."""
     import numpy as np
 
-    rest, queue, out = np.arange(len(n)), [], []
-    while len(rest):
-        if queue:
+    left, queue, out = np.ones(len(n), bool), [], []
+    for first in range(len(n)):
+        if not left[first]:
+            continue
+        left[first] = False
+        queue.append(first)
+        while queue:
             i = queue.pop()
-        else:
-            i, rest = int(rest[0]), rest[1:]
-        if not len(rest):
-            break
-        ok = ((sk[rest] == sk[i]).sum(axis=1) >= MATCHES) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
-        hit = rest[ok]
-        out += [(int(ids[i]), int(ids[j])) for j in hit]
-        queue += hit.tolist()
-        rest = rest[~ok]
+            rest = np.flatnonzero(left)
+            if not len(rest):
+                return out
+            hit = colliding(sk, rest[100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])], i)
+            out += [(int(ids[i]), int(ids[j])) for j in hit]
+            left[hit] = False
+            queue += hit.tolist()
     return out
 
 
@@ -202,16 +232,20 @@ def confirmed(sets: list, sk, percent: int) -> list[tuple[int, int]]:
 
 
 def _confirm(members: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the links inside each group of members (component, id, n, sketch)."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(members.select("id"), "id", "left_semi")
+    """(a, b): a spanning forest of the links inside each group of members (component, id, n, sketch, doc_id, digest, set_hash)."""
+    members = scratch.put(members, "members")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(text).alias("digest"), text.alias("text"))
+    named = members.select(F.col("doc_id").alias("i"), F.col("digest").alias("d"))
+    texts = rows.join(named, rows["doc_id"].eqNullSafe(named["i"]) & (rows["digest"] == named["d"]), "left_semi").select("text")
 
     def hashed(batches):
         import pyarrow as pa
 
         memo: dict = {}
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([_shingles(x, k, memo).tobytes() for x in batch.column("text").to_pylist()], pa.binary())], names=["id", "shingles"])
+        for batch in sliced(batches, 128):
+            sets = [_shingles(x, k, memo) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_hash", "shingles"])
 
     def work(batches):
         import numpy as np
@@ -233,7 +267,7 @@ def _confirm(members: DataFrame, docs: DataFrame, scratch: Scratch, k: int, perc
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches, 128):
             ok = []
             for x, y in zip(batch.column("shingles"), batch.column("pivot_set"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -242,8 +276,9 @@ def _confirm(members: DataFrame, docs: DataFrame, scratch: Scratch, k: int, perc
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("id").filter(keep), batch.column("pivot").filter(keep)], names=["a", "b"])
 
-    small_batches(spark, 128)
-    sets = texts.mapInArrow(hashed, "id long, shingles binary").dropDuplicates(["id"])
+    sets = texts.mapInArrow(hashed, "set_hash binary, shingles binary").dropDuplicates(["set_hash"])
+    sets = sets.join(members.select("set_hash", "id"), "set_hash").select("id", "shingles")
+    members = members.select("component", "id", "n", "sketch")
     blocks_of = lambda count, n: F.greatest(F.ceil(count / BLOCK), F.ceil(n * 8 / BLOCK_BYTES)).cast("long")
     sizes = scratch.put(members.groupBy("component").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")), "sizes")
     huge = sizes.where(F.col("blocks") > HUGE).select("component")
@@ -310,7 +345,7 @@ def _blocks(lists: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             n, m = (batch.column(x).to_numpy() for x in ("n", "pivot_n"))
             ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
             sk, pivot = (batch.column(x).to_pylist() for x in ("sketch", "pivot_sketch"))
@@ -320,7 +355,6 @@ def _blocks(lists: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(x).filter(keep) for x in ("key", "id", "pivot")], names=["key", "id", "pivot"])
 
-    small_batches(lists.sparkSession, 4096)
     one = F.struct(F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
     picked = lists.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(one, F.xxhash64("id", F.lit(i))) for i in range(PIVOTS)])).alias("p"))
     tried = lists.join(picked, "key").select("key", "id", "n", "sketch", F.explode("p").alias("p")).select("key", "id", "n", "sketch", "p.*")
@@ -344,22 +378,14 @@ def _blocks(lists: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame
     return pairs, stars.select(F.col("id").alias("a"), F.col("pivot").alias("b")).where("a <> b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...).
-
-    A document's set holds its distinct k-word shingles (lower-cased A-Z; the whole sequence where it is shorter).
-    Documents link where 100 * intersection >= percent * union; component_id is the smallest doc_id that can be reached,
-    kept marks it. Null, empty and wordless texts have no set, link with nothing and are kept. Rows that repeat a
-    doc_id are one document: each row is returned, with the same component. A null doc_id gives a null component
-    and is kept. An empty table gives an empty result; further columns are ignored.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    signed = scratch.put(signatures(docs, k), "signatures")
-    some = signed.where("set_hash is not null and doc_id is not null")
-    classes = some.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    reps = some.join(classes.select("id", F.col("set_hash").alias("h")), (F.col("doc_id") == F.col("id")) & (F.col("set_hash") == F.col("h"))).select("id", F.col("n_shingles").alias("n"), "low", "sketch").dropDuplicates(["id"])
-    reps = scratch.put(reps, "classes")
+def _grouped(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, digest, n_shingles, component, least) for each row of docs: a number that linked texts share and the least doc_id among
+    them, both null for an empty set. What counts is the text: rows that repeat an id, and rows without one, are like any others."""
+    signed = scratch.put(signatures(docs, k).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    some = signed.where("set_hash is not null")
+    alike = [F.first(c).alias(c) for c in ("n_shingles", "low", "sketch")]
+    told = some.groupBy("set_hash").agg(F.min(F.struct("row", "doc_id", "digest")).alias("r"), F.min("doc_id").alias("least"), *alike)
+    reps = scratch.put(told.select(F.col("r.row").alias("id"), "r.doc_id", "r.digest", "set_hash", "least", F.col("n_shingles").alias("n"), "low", "sketch"), "classes")
 
     posted = _tokens(reps, F.slice("low", 1, PREFIX)).select("id", "key")
     lists = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -374,13 +400,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             met = met.unionByName(_collide(dealt, percent))
         live = live.where(F.col("size") <= LONGEST)
 
-    small_batches(spark, 4096)
     short = _collide(live.select("key", "id").join(sketches, "id"), percent)
     met = short if met is None else met.unionByName(short)
     groups = components(met, scratch)
-    links = _confirm(groups.join(sketches, "id"), docs, scratch, k, percent)
+    links = _confirm(groups.join(reps.select("id", "n", "sketch", "doc_id", "digest", "set_hash"), "id"), docs, scratch, k, percent)
     comps = components(links, scratch).withColumnRenamed("id", "rep")
-    placed = classes.join(comps, classes["id"] == comps["rep"], "left").select(F.col("set_hash").alias("h"), F.coalesce("component", "id").alias("c"))
-    out = signed.join(placed, (signed["set_hash"] == placed["h"]) & signed["doc_id"].isNotNull(), "left")
-    own = F.coalesce(F.col("c"), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    classes = scratch.put(reps.select("id", "set_hash", "least").join(comps, F.col("id") == F.col("rep"), "left").select("set_hash", "least", "component", "id"), "linked")
+    leasts = scratch.put(classes.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("least").alias("l")), "leasts")
+    placed = classes.join(leasts, classes["component"] == leasts["c"], "left").select(F.col("set_hash").alias("h"), F.coalesce("component", "id").alias("component"), F.when(F.col("c").isNotNull(), F.col("l")).otherwise(F.col("least")).alias("least"))
+    placed = scratch.put(placed, "placed")
+    scratch.keep(signed, placed)
+    return signed.join(placed, signed["set_hash"] == placed["h"], "left").select("doc_id", "digest", "n_shingles", "component", "least")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...).
+
+    A document's set holds its distinct k-word shingles (lower-cased A-Z; the whole sequence where it is shorter).
+    Documents link where 100 * intersection >= percent * union; component_id is the smallest doc_id that can be reached,
+    kept marks it. Null, empty and wordless texts have no set, link with nothing and are kept. Rows that repeat a
+    doc_id are returned each, by their own texts. A row without id links like others; it is kept only where no linked row has an
+    id. An empty table gives an empty result; further columns are ignored.
+    """
+    rows = _grouped(docs, k, percent, Scratch(docs.sparkSession))
+    own = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return rows.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull()))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, of linked texts one: that with the smallest doc_id (none comes last), of equal ids the first by digest of its
+    text, of rows equal in both any one. Texts without words all stay. All columns are kept, whatever their names."""
+    scratch = Scratch(docs.sparkSession)
+    rows = _grouped(docs, k, percent, scratch).where("component is not null")
+    pair = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    told = scratch.put(rows.groupBy("doc_id", "digest").agg(F.min("component").alias("component"), F.count("*").alias("times")), "texts")
+    first = scratch.put(told.groupBy(F.col("component").alias("c")).agg(F.min(pair).alias("first")), "first")
+    stays = told.join(first, told["component"] == first["c"]).select("doc_id", "digest", "times", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).alias("stays"))
+    stays = scratch.put(stays.select(F.struct("doc_id", "digest").alias("key"), "times", "stays"), "stays")
+    scratch.keep(stays)
+    doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    doc = doc.withColumn("id", F.col("doc.doc_id").cast("long")).withColumn("digest", _digest(F.col("doc.text").cast("string")))
+    met = doc.join(stays, doc["id"].eqNullSafe(F.col("key.doc_id")) & doc["digest"].eqNullSafe(F.col("key.digest")), "left").where("coalesce(stays, true)")
+    once = met.where("coalesce(times, 1) = 1").select("doc")
+    again = met.where("times > 1").dropDuplicates(["id", "digest"]).select("doc")
+    return once.unionByName(again).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -13,7 +13,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import Scratch, small_batches
+from archlens.llm.common import Scratch, sliced
 
 WINDOW = 1024
 #: Pieces in a bucket, about; a bucket is one task's work.
@@ -25,8 +25,9 @@ END_ID = 0
 def encoder(path: str):
     """texts -> lists of ids, equal to those of the ``tokenizers`` file at path with add_special_tokens=False.
 
-    The file's byte-level BPE is run by a faster engine from the same vocabulary, whose ids are the merge ranks. Texts
-    that hold a special token's string, and files of another kind, go through ``tokenizers`` itself.
+    The file's byte-level BPE is run by a faster engine from the same vocabulary if its ids are the ranks of its merges and it cuts
+    texts by the public pattern; that is read from the file. Texts that hold a special token's string, and files of another
+    kind, go through ``tokenizers`` itself.
     """
     import public_tokenizers
     import tiktoken
@@ -39,7 +40,7 @@ def encoder(path: str):
     def plain(texts):
         return [x.ids for x in slow.encode_batch(texts, add_special_tokens=False)]
 
-    if model["model"]["type"] != "BPE" or "ByteLevel" not in json.dumps(model.get("pre_tokenizer")) or model.get("normalizer"):
+    if not ranked(model, public_tokenizers.PATTERN):
         return plain
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(seen))}
@@ -61,6 +62,22 @@ def encoder(path: str):
     return encode
 
 
+def ranked(model: dict, pattern: str) -> bool:
+    """Whether a tokenizer file is byte-level BPE that cuts by the pattern and numbers its pieces in the order of their merges."""
+    bpe, cut = model["model"], json.dumps(model.get("pre_tokenizer"), ensure_ascii=False)
+    if bpe["type"] != "BPE" or "ByteLevel" not in cut or model.get("normalizer") or bpe.get("dropout") or bpe.get("ignore_merges"):
+        return False
+    said = model["pre_tokenizer"]
+    steps = said.get("pretokenizers", [said])
+    patterns = [x["pattern"].get("Regex") for x in steps if x.get("type") == "Split"]
+    own = any(x.get("use_regex", True) for x in steps if x.get("type") == "ByteLevel")
+    if [*patterns, *([pattern] if own and not patterns else [])] != [pattern] or (own and patterns) or any(x.get("add_prefix_space") for x in steps):
+        return False
+    joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in bpe["merges"]]
+    ids = [bpe["vocab"].get(x, -1) for x in joined]
+    return all(a < b for a, b in zip(ids, ids[1:])) and all(i >= 256 for i in ids[:1])
+
+
 class Capacities:
     """A segment tree over remaining capacities 0..size: which is the least that holds an open window and has room."""
 
@@ -115,8 +132,7 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, salt): full windows of each document and its rest."""
-    small_batches(docs.sparkSession)
+    """(doc_id, start, length, ids_crc32, doc_tokens, salt): full windows of each document and its rest; salt: a row's place in its task."""
 
     def work(batches):
         import zlib
@@ -126,7 +142,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
 
         encode = encoder(tokenizer)
         row = 0
-        for batch in batches:
+        for batch in sliced(batches):
             out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt")}
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             for i, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
@@ -145,7 +161,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, bucket: int = BU
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece of docs(doc_id, text, ...).
 
     A document is its ids and an end id, so a null or empty text is a piece of length 1. Pieces of a sequence lie
-    without gaps from offset 0 and never exceed ``window`` ids. Rows that repeat a doc_id are packed each. An
+    without gaps from offset 0 and never exceed ``window`` ids. Rows that repeat a doc_id are packed each. Which pieces share a
+    sequence depends on a row's place in its file, so that copies of a text are spread; pieces themselves do not. An
     empty table gives an empty result; further columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import held_out, small_batches, training_rows
+from archlens.llm.common import held_out, sliced, training_rows
 
 #: Labelled rows that are learned from at most.
 SAMPLE = 20_000
@@ -137,37 +137,44 @@ def grow(x: np.ndarray, y: np.ndarray) -> Trees:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Learns from at most ``sample`` labelled rows, of which only statistics reach the driver."""
-    small_batches(docs.sparkSession)
 
     def told(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": [statistics(t) for t in batch.column("text").to_pylist()]}, schema=pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.float64()))]))
+        schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.float64()))])
+        for batch in sliced(batches):
+            x = [statistics(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": x}, schema=schema)
 
-    rows = training_rows(docs, labels, "quality", sample).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "y")
+    rows = training_rows(docs, labels, "quality", sample).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("y").cast("int").alias("y"))
     got = rows.mapInArrow(told, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), float).reshape(-1, len(STATISTICS))
     return grow(x, got["y"].to_numpy(float))
 
 
-def scores(docs: DataFrame, model: Trees) -> DataFrame:
-    """docs with quality_score (0 to 1), by whole texts."""
-    small_batches(docs.sparkSession)
+def judged(docs: DataFrame, model: Trees) -> DataFrame:
+    """(doc, score): each row of docs as a struct, whatever its columns are called, beside its score."""
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(model.predict(np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS))))
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("quality_score", F.pandas_udf(score, "double")(F.col("text").cast("string")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return rows.withColumn("score", F.pandas_udf(score, "double")(F.col("doc.text").cast("string")))
+
+
+def scores(docs: DataFrame, model: Trees, score: str = "quality_score") -> DataFrame:
+    """docs with a column ``score`` (0 to 1), by whole texts; a column of docs that is called so gives way."""
+    return judged(docs, model).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != score], F.col("score").alias(score))
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text, ...); labels(doc_id, quality, ...).
 
     Every row gets a score, null and empty texts too; predicted is 1 from 0.3. Repeated rows score alike. A null
-    doc_id is not held out. Without usable labels every score is the same, 0.5. An empty table gives an empty result.
+    doc_id is not held out. Without usable labels every score is the same, 0.5. An empty table gives an empty result; further
+    columns are ignored.
     """
-    judged = scores(docs.select("doc_id", "text"), fit(docs, labels, sample))
-    return judged.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+    rows = judged(docs.select("doc_id", "text"), fit(docs, labels, sample)).select("doc.doc_id", "score")
+    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -1,9 +1,10 @@
 """URL filtering by listed rules: a blocked Bloom filter in front of an exact hash join.
 
 A rule is a host and a path; it fits a URL whose host is the rule's or a subdomain of it and whose path starts with
-the rule's. A URL therefore can only fit the keys made of a suffix of its host and a prefix of its path of a length that
-some rule has. The keys are tested against the filter, in which each key sets ``PROBES`` bits of one 512-bit block;
-the few that pass are joined with the list, which removes false positives, and the longest rule decides.
+the rule's. The filter holds the hosts of the list and its whole rules; each key sets ``PROBES`` bits of one 512-bit block. First the
+suffixes of a URL's host are tested; those that pass are joined with the listed hosts and the lengths of the paths listed
+there. Only prefixes of these lengths are tested as whole rules; the few that pass are joined with the list, which
+removes false positives, and the longest rule decides. So a URL costs one test for each label of its host, however long the list.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import Scratch, small_batches
+from archlens.llm.common import Scratch, sliced
 
 #: Bits a block, bits a key sets, bits of the filter for each key, and the most blocks a filter may have (64 MB).
 BLOCK_BITS, PROBES, BITS_PER_KEY, MOST_BLOCKS = 512, 8, 16, 1 << 20
@@ -60,25 +61,30 @@ class BlockedBloom:
 
 
 def build_filter(hashes: DataFrame) -> BlockedBloom:
-    """The filter of a column of hashes. Parts are built on executors; the driver ORs at most ``MOST_BLOCKS`` blocks at a time."""
-    n = hashes.count()
-    bloom = BlockedBloom(n)
-    blocks = bloom.blocks
+    """The filter of a column of hashes. Parts are built on executors and joined there by blocks; the driver gets one row a block, of
+    which there are at most ``MOST_BLOCKS``."""
+    import numpy as np
+
+    bloom = BlockedBloom(hashes.count())
+    blocks, words = bloom.blocks, [f"w{i}" for i in range(bloom.words.shape[1])]
 
     def part(batches):
         import pyarrow as pa
 
-        import numpy as np
-
         own = BlockedBloom(0)
-        own.blocks, own.words = blocks, np.zeros((blocks, BLOCK_BITS // 64), np.uint64)
+        own.blocks, own.words = blocks, np.zeros((blocks, len(words)), np.uint64)
         for batch in batches:
             own.add(batch.column(0).to_numpy())
-        for at in np.flatnonzero(own.words.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_pydict({"block": [at] * own.words.shape[1], "word": list(range(own.words.shape[1])), "bits": own.words[at].view(np.int64).tolist()}, schema=pa.schema([("block", pa.int64()), ("word", pa.int64()), ("bits", pa.int64())]))
-
-    for r in hashes.mapInArrow(part, "block long, word long, bits long").groupBy("block", "word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        bloom.words[r["block"], r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+        at = np.flatnonzero(own.words.any(axis=1))
+        for i in range(0, len(at), 1 << 16):
+            some = at[i : i + (1 << 16)]
+            bits = own.words[some].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(bits[:, j]) for j in range(len(words))]], names=["block", *words])
+
+    schema = "block long, " + ", ".join(f"{w} long" for w in words)
+    told = hashes.mapInArrow(part, schema).groupBy("block").agg(*[F.bit_or(w).alias(w) for w in words]).toArrow()
+    if told.num_rows:
+        bloom.words[told.column("block").to_numpy()] = np.stack([told.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
     return bloom
 
 
@@ -101,35 +107,38 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = OTHERWISE) -> Dat
     spark = pages.sparkSession
     scratch = Scratch(spark)
     listed = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).where("r_host is not null and r_path is not null").groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))
-    hashed = listed.withColumn("key", F.xxhash64("r_host", "r_path"))
-    # The lengths of paths in the list: as many as the list's author uses, not a number of rows.
-    lengths = sorted(r[0] for r in listed.select(F.length("r_path").alias("n")).distinct().collect())
-    bloom = build_filter(hashed.select("key"))
-    blocks, words = bloom.blocks, bloom.words
-    sent = spark.sparkContext.broadcast(words)
-
-    host, path = parts()
-    rows = scratch.put(pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row")), "urls")
-    labels = F.split("host", r"\.")
-    suffixes = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    prefixes = F.array_distinct(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])) if lengths else F.array().cast("array<string>")
-    keys = rows.select("row", F.explode(suffixes).alias("k_host"), prefixes.alias("ps")).select("row", "k_host", F.explode("ps").alias("k_path")).where("k_path is not null").withColumn("key", F.xxhash64("k_host", "k_path"))
+    hashed = scratch.put(listed.withColumn("key", F.xxhash64("r_host", "r_path")), "rules")
+    # At most as many lengths for a host as its longest path has characters.
+    hosts = scratch.put(hashed.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths")).withColumn("key", F.xxhash64("r_host")), "hosts")
+    bloom = build_filter(hashed.select("key").unionByName(hosts.select("key")))
+    blocks = bloom.blocks
+    sent = spark.sparkContext.broadcast(bloom.words)
 
     def passing(batches):
         import pyarrow as pa
 
         own = BlockedBloom(0)
         own.blocks, own.words = blocks, sent.value
-        for batch in batches:
+        for batch in sliced(batches, 8192):
             yield batch.filter(pa.array(own.test(batch.column("key").to_numpy())))
 
-    small_batches(spark, 8192)
-    hits = keys.mapInArrow(passing, keys.schema)
+    def tested(keys: DataFrame) -> DataFrame:
+        return keys.mapInArrow(passing, keys.schema)
+
+    host, path = parts()
+    rows = scratch.put(pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row")), "urls")
+    labels = F.split("host", r"\.")
+    suffixes = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    near = tested(rows.select("row", "path", F.explode(suffixes).alias("k_host")).withColumn("key", F.xxhash64("k_host")))
+    known = near.drop("key").join(hosts.select("r_host", "lengths"), F.col("k_host") == F.col("r_host")).select("row", "path", "k_host", F.explode("lengths").alias("n"))
+    keys = known.where(F.length("path") >= F.col("n")).select("row", "k_host", F.substring("path", F.lit(1), F.col("n")).alias("k_path"))
+    hits = tested(keys.withColumn("key", F.xxhash64("k_host", "k_path")))
     same = (F.col("key") == F.col("r_key")) & (F.col("k_host") == F.col("r_host")) & (F.col("k_path") == F.col("r_path"))
     fits = hits.join(hashed.withColumnRenamed("key", "r_key"), same)
     text = F.concat("r_host", "r_path")
     best = fits.groupBy("row").agg(F.min(F.struct((-F.length(text)).alias("n"), (-F.length("r_host")).alias("m"), text.alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best"))
-    return rows.join(best, "row", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
+    told = rows.join(best, "row", "left")
+    return told.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
 
 
 #: The same for DuckDB.

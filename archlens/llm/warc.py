@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import Scratch, small_batches
+from archlens.llm.common import Scratch, sliced
 
 #: Bytes of payload after which an archive is closed, and bytes inflated at a time.
 ARCHIVE_BYTES, STEP = 16 << 20, 1 << 16
@@ -112,22 +112,34 @@ def read(chunks: Iterable[bytes]) -> Iterator[tuple[dict, bytes]]:
         yield headers, block
 
 
+def first_pages(rows: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:
+    """(page, same, refers_to) of the pages that revisit another: rows(page_id, same, bytes), same: the payload's digest.
+
+    Only ids and digests are grouped and joined, as tables on either side, so a payload that a third of all pages has is split.
+    """
+    light = scratch.put(rows.where(F.col("bytes") >= least).select("page_id", "same"), "digests")
+    first = scratch.put(light.groupBy(F.col("same").alias("s")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    met = light.join(first, F.col("same") == F.col("s")).where("page_id <> first")
+    return met.select(F.col("page_id").alias("page"), "same", F.col("first").alias("refers_to")).distinct()
+
+
 def write_archives(pages: DataFrame, least: int = 0, size: int = ARCHIVE_BYTES) -> DataFrame:
     """(archive) for pages(page_id, url, html): binary archives, each of bounded size.
 
-    Of equal payloads of ``least`` bytes or more the smallest page_id is a response and the others revisit it.
+    Of equal payloads of ``least`` bytes or more the smallest page_id is a response and the others revisit it; payloads count as equal if
+    their SHA-1 agrees, which is what a revisit by identical payload digest says. Payloads are dealt by page, never by digest.
     """
-    small_batches(pages.sparkSession, 128)
     payload = F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("same", F.sha1("payload"))
-    first = rows.where(F.octet_length("payload") >= least).groupBy(F.col("same").alias("s")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    told = rows.join(first, F.col("same") == F.col("s"), "left").select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("same", F.unhex(F.sha1("payload")))
+    again = first_pages(rows.select("page_id", "same", F.octet_length("payload").alias("bytes")), Scratch(pages.sparkSession), least).withColumnRenamed("same", "digest")
+    told = rows.join(again, (F.col("page_id") == F.col("page")) & (F.col("same") == F.col("digest")), "left").select("page_id", "url", "payload", "refers_to")
 
     def work(batches):
         import pyarrow as pa
 
         parts, held = [], 0
-        for batch in batches:
+        for batch in sliced(batches, 128):
             for r in batch.to_pylist():
                 parts.append(record(r["page_id"], r["url"], r["payload"], r["refers_to"]))
                 held += len(parts[-1])
@@ -142,7 +154,6 @@ def write_archives(pages: DataFrame, least: int = 0, size: int = ARCHIVE_BYTES)
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """A row for each record of the archives: (page_id, url, payload_bytes, payload_digest, record_type, refers_to)."""
-    small_batches(archives.sparkSession, 1)
 
     def work(batches):
         import pyarrow as pa

@@ -136,3 +136,63 @@ def test_odd_vectors(spark):
     assert got[6] == [(3, 6, True)] * 2 and got[7] == [(3, 6, False)] and got[8] == [(3, 6, False)]
     assert got[10] == [(1, 10, True)] and got[11] == [(1, 10, False)]
     assert near_duplicate_vectors(vectors(spark, [])).count() == 0
+
+
+BIG = 2**63 - 300
+
+
+def test_components_of_any_numbers(spark, monkeypatch):
+    from archlens.llm import components as module
+
+    edges = [(BIG + i, BIG + i + 1) for i in range(90)] + [(-(2**63), -5), (-5, 2**62), *[(BIG + 200, BIG + 201 + i) for i in range(40)]]
+    want = {**{BIG + i: BIG for i in range(91)}, -(2**63): -(2**63), -5: -(2**63), 2**62: -(2**63), **{BIG + 200 + i: BIG + 200 for i in range(41)}}
+    for few in (module.BROADCAST, 0):
+        monkeypatch.setattr(module, "BROADCAST", few)
+        got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
+        assert got == want
+
+
+def test_large_and_negative_ids(spark):
+    rows = [(BIG - 7 * i if i % 2 else -(2**63) + 5 * i, t) for i, t in corpus(20, seed=5)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs(spark, rows), 4).collect()}
+    assert got == brute(rows, 4)
+    x = [(BIG + i, [1, i / 100]) for i in range(5)] + [(-(2**63) + i, [-1, i / 100]) for i in range(5)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicate_vectors(vectors(spark, x)).collect()}
+    assert got == {**{BIG + i: (4, BIG) for i in range(5)}, **{-(2**63) + i: (4, -(2**63)) for i in range(5)}}
+
+
+def test_repeated_and_missing_ids_with_other_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b + " end"), (None, a), (None, "only here and nowhere else"), (3, a), (3, a)]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs(spark, rows), 4).collect()), key=repr)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, 1, False), (None, None, True), (3, 1, False), (3, 1, False)], key=repr)
+    left = sorted(((r["doc_id"], r["text"]) for r in minhash_dedup.deduplicated(docs(spark, rows), 4).collect()), key=repr)
+    assert left == sorted([(1, a), (1, b), (None, "only here and nowhere else")], key=repr)
+    same = [(7, a), (7, a), (None, b), (None, b), (8, None), (8, "")]
+    assert sorted((r["doc_id"] or 0 for r in minhash_dedup.deduplicated(docs(spark, same), 4).collect())) == [0, 7, 8, 8]
+
+
+def test_passes_grow_with_the_table():
+    passes = [embed_dedup.passes_for(10**e, 0.95) for e in (2, 4, 6, 8, 10)]
+    assert passes == sorted(passes) and passes[0] == embed_dedup.FEWEST and passes[-1] > 2 * passes[1]
+
+
+@pytest.mark.parametrize("spread", [None, 0.42])
+def test_recall_of_planted_links(spark, spread):
+    """Isolated pairs of a cosine a little above the threshold; in the second case a third of all vectors lie in one dense cluster whose
+    members, of a mutual cosine of about 0.85, are not linked themselves."""
+    rng = np.random.default_rng(9)
+    d, n = 64, 6000
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    x = unit(rng.standard_normal((n, d)))
+    if spread:
+        x[: n // 3] = unit(unit(rng.standard_normal((1, d))) + spread * unit(rng.standard_normal((n // 3, d))))
+    other = rng.standard_normal((n, d))
+    other = unit(other - (other * x).sum(axis=1)[:, None] * x)
+    y = 0.955 * x + np.sqrt(1 - 0.955**2) * other
+    both = np.float32(np.concatenate([x, y[: n // 2]]))
+    m = unit(both.astype(np.float64))
+    near = m @ m.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = near_duplicate_vectors(vectors(spark, list(enumerate(both)))).agg({"n_links": "sum"}).first()[0]
+    assert near.sum() >= n and 0.9 * near.sum() <= got <= near.sum()

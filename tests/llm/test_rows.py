@@ -220,3 +220,35 @@ def test_licences(spark):
             assert got[i] == want(t), i
     assert got[3][0] == "mit-grant" and got[2][1] == 0 and len(got) == len({r[0] for r in rows})
     assert license_scan(docs(spark, [])).count() == 0 and license_scan(docs(spark, rows), {}).count() == len(got)
+
+
+def test_top_k_leaves_chunks_out(spark, monkeypatch):
+    from archlens.llm import exact_topk
+
+    monkeypatch.setattr(exact_topk, "CHUNK", 64)
+    monkeypatch.setattr(exact_topk, "QUERIES", 8)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((30, 16))
+    rows = [(i, np.float32(centres[i % 30] / np.linalg.norm(centres[i % 30]) + rng.standard_normal(16) * 0.01)) for i in range(1800)]
+    x = {i: np.floor(1024 * v.astype(np.float64)).astype(np.int64) for i, v in rows}
+    got, work = defaultdict(list), {}
+    for r in top_k(vectors(spark, rows), every=60, evaluated=True).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+        work[r["query_id"]] = r["evaluated"]
+    for q in range(0, 1800, 60):
+        assert got[q] == sorted(((i, int(v @ x[q])) for i, v in x.items() if i != q), key=lambda p: (-p[1], p[0]))[:10]
+    assert sum(work.values()) < 0.3 * 30 * 1800
+
+
+def test_faster_tokenizer_is_used_only_where_it_agrees():
+    import copy
+    import json
+
+    import public_tokenizers
+
+    model = json.load(open(tokenizer_path(), encoding="utf-8"))
+    assert packing.ranked(model, public_tokenizers.PATTERN)
+    for change in (lambda m: m["model"]["merges"].reverse(), lambda m: m.update(normalizer={"type": "NFC"}), lambda m: m.update(pre_tokenizer={"type": "Whitespace"}), lambda m: m["pre_tokenizer"].update(add_prefix_space=True)):
+        other = copy.deepcopy(model)
+        change(other)
+        assert not packing.ranked(other, public_tokenizers.PATTERN)

@@ -1,8 +1,11 @@
 """Recursive dataflow over edge tables: search from many seeds at once, closure, components, layering.
 
 A search visits level after level; only rows new in a level are expanded. Of the chains that reach a node in the same
-level the smallest is kept, which is the chain that a first-in-first-out search over sorted neighbours finds. Each level is
-checkpointed, so plans stay short and a lost executor repeats no level.
+level the smallest is kept, which is the chain that a first-in-first-out search over sorted neighbours finds.
+
+There are two ways, with equal results. A graph of at most ``LOCAL_PAIRS`` pairs, which is counted first, is sent to the executors as
+arrays of numbers: each question is searched by one task, a level at a time, and all questions are one job. A larger graph
+stays a table: each level of all questions is a join, checkpointed, so plans stay short and a lost executor repeats no level.
 """
 
 from __future__ import annotations
@@ -12,17 +15,21 @@ import shutil
 import tempfile
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Edge types that are drawn but are no dependency.
 IGNORED = ("realtime",)
+#: Pairs that are broadcast at most: 12 bytes each, and the names of their ends once.
+LOCAL_PAIRS = 1_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that the session names."""
+    """df with its lineage cut, in the folder that the session names; a cluster must name one."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="archlens-checkpoints-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(own)
@@ -30,12 +37,134 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame, reverse: bool = False, types: tuple[str, ...] | None = None) -> DataFrame:
-    """Distinct (src, dst) of dependency edges, turned round if asked."""
+    """(src, dst) of dependency edges, turned round if asked; pairs may repeat."""
     kept = edges.where(~F.col("type").isin(*IGNORED)) if "type" in edges.columns else edges
     if types is not None:
         kept = kept.where(F.col("type").isin(*types))
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    return kept.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
+    return kept.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+
+
+class Arrays:
+    """A graph as arrays: sorted names, and for each the places of its neighbours, in order and once each."""
+
+    def __init__(self, names, starts, ends):
+        self.names, self.starts, self.ends = names, starts, ends
+
+    @classmethod
+    def of(cls, pairs: DataFrame) -> Arrays | None:
+        """Null where the graph has more pairs than are broadcast."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = pairs.select("src", "dst").limit(LOCAL_PAIRS + 1).toArrow()
+        if found.num_rows > LOCAL_PAIRS:
+            return None
+        both = pa.chunked_array([*found.column("src").chunks, *found.column("dst").chunks], found.schema.field("src").type).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(both.dictionary).to_numpy()
+        names = both.dictionary.take(pa.array(order))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        codes = rank[both.indices.to_numpy()] if len(order) else np.empty(0, np.int64)
+        n = len(names)
+        keys = np.unique(codes[: found.num_rows] * max(1, n) + codes[found.num_rows :])
+        src, dst = np.divmod(keys, max(1, n))
+        return cls(names, np.searchsorted(src, np.arange(n + 1)), dst)
+
+    def place(self, names) -> dict:
+        """Places of names that the graph has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = pc.index_in(pa.array(names, self.names.type), self.names).to_pylist()
+        return {a: i for a, i in zip(names, found, strict=True) if i is not None}
+
+    def next_of(self, level):
+        """(neighbour, place in level) of all neighbours of a level, in order."""
+        import numpy as np
+
+        many = self.starts[level + 1] - self.starts[level]
+        at = np.arange(many.sum()) + np.repeat(self.starts[level] - many.cumsum() + many, many)
+        return self.ends[at], np.repeat(np.arange(len(level)), many)
+
+    def levels(self, seeds, most: int | None, goals=(), avoid=()):
+        """(depth, chains) of each level: a row of places for each node that the level is the first to reach."""
+        import numpy as np
+
+        seen = np.zeros(len(self.names), bool)
+        seen[list(avoid)] = True
+        seen[seeds] = True
+        goal = np.zeros(len(self.names), bool)
+        goal[list(goals)] = True
+        chains = np.asarray(sorted(seeds), np.int64)[:, None]
+        for depth in count():
+            yield depth, chains
+            if goal[chains[:, -1]].any() or depth == most:
+                return
+            nodes, back = self.next_of(chains[:, -1])
+            fresh = ~seen[nodes]
+            nodes, back = nodes[fresh], back[fresh]
+            first = np.sort(np.unique(nodes, return_index=True)[1])
+            if not len(first):
+                return
+            seen[nodes[first]] = True
+            chains = np.concatenate([chains[back[first]], nodes[first][:, None]], axis=1)
+
+
+def search(starts: DataFrame, pairs: DataFrame, max_depth: int | None = None, targets: DataFrame | None = None, avoid: DataFrame | None = None) -> DataFrame:
+    """(qid, id, depth, chain) of every node reached from starts(qid, id), the starts at depth 0; without max_depth, to the end.
+
+    chain: the smallest of the shortest chains from a start. With targets(qid, id) a question stops at the level
+    in which it first reaches one. Nodes of avoid(qid, id) are not entered.
+    """
+    arrays = Arrays.of(pairs)
+    if arrays is None:
+        return _search_joined(starts, pairs.distinct(), max_depth, targets, avoid)
+    role = lambda df, n: df.select("qid", F.col("id").cast("string").alias("id"), F.lit(n).alias("role"))
+    asked = role(starts, 0)
+    for n, df in ((1, targets), (2, avoid)):
+        if df is not None:
+            asked = asked.unionByName(role(df, n))
+    kind = dict(starts.dtypes)["qid"]
+    sent = starts.sparkSession.sparkContext.broadcast(arrays)
+
+    def work(batches):
+        from itertools import groupby
+
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("qid", "id", "role")), strict=True))
+        for qid, mine in groupby(rows, key=lambda r: r[0]):
+            by: tuple = ([], [], [])
+            for _, name, n in mine:
+                by[n].append(name)
+            yield from _reached(sent.value, qid, *by, max_depth, kind)
+
+    dealt = asked.distinct().repartition("qid").sortWithinPartitions("qid", "role", "id")
+    return dealt.mapInArrow(work, f"qid {kind}, id string, depth int, chain array<string>")
+
+
+def _reached(graph: Arrays, qid, starts: list, goals: list, avoid: list, most: int | None, kind: str):
+    """Batches of what one question reaches."""
+    import numpy as np
+    import pyarrow as pa
+
+    place = graph.place(sorted({*starts, *goals, *avoid}))
+    told = lambda n: pa.array([qid] * n, pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string())
+    names = ["qid", "id", "depth", "chain"]
+    own = sorted({s for s in starts if s not in place})
+    if own:  # starts without edges reach themselves
+        yield pa.RecordBatch.from_arrays([told(len(own)), pa.array(own), pa.array([0] * len(own), pa.int32()), pa.array([[s] for s in own], pa.list_(pa.string()))], names=names)
+    seeds = [place[s] for s in set(starts) if s in place]
+    if not seeds:
+        return
+    at = lambda ids: [place[x] for x in ids if x in place]
+    alone = set(own) & set(goals)
+    for depth, chains in graph.levels(seeds, 0 if alone else most, at(goals), at(avoid)):
+        for lo in range(0, len(chains), 20_000):
+            part = chains[lo : lo + 20_000]
+            flat = graph.names.take(pa.array(part.ravel()))
+            whole = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, depth + 1), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([told(len(part)), graph.names.take(pa.array(part[:, -1])), pa.array(np.full(len(part), depth, np.int32)), whole], names=names)
 
 
 def levels(max_depth: int | None):
@@ -43,18 +172,7 @@ def levels(max_depth: int | None):
     return count(1) if max_depth is None else range(1, max_depth + 1)
 
 
-def joined(seen: DataFrame, frontier: DataFrame, depth: int) -> DataFrame:
-    """seen with the frontier; cut now and then, so the plan of a deep search stays short."""
-    both = seen.unionByName(frontier)
-    return both if depth % 16 else cut(both)
-
-
-def search(starts: DataFrame, pairs: DataFrame, max_depth: int | None = None, targets: DataFrame | None = None) -> DataFrame:
-    """(qid, id, depth, chain) of every node reached from starts(qid, id), the starts at depth 0; without max_depth, to the end.
-
-    chain: the smallest of the shortest chains from a start. With targets(qid, id) a question stops at the level
-    in which it first reaches one.
-    """
+def _search_joined(starts: DataFrame, pairs: DataFrame, max_depth: int | None, targets: DataFrame | None, avoid: DataFrame | None) -> DataFrame:
     frontier = cut(starts.select("qid", "id").distinct().select("qid", "id", F.lit(0).alias("depth"), F.array("id").alias("chain")))
     seen = frontier
     for depth in levels(max_depth):
@@ -63,15 +181,18 @@ def search(starts: DataFrame, pairs: DataFrame, max_depth: int | None = None, ta
             frontier = frontier.join(done, "qid", "left_anti")
         grown = frontier.join(pairs, frontier["id"] == pairs["src"]).select("qid", F.col("dst").alias("id"), F.concat("chain", F.array("dst")).alias("chain"))
         fresh = grown.groupBy("qid", "id").agg(F.min("chain").alias("chain")).join(seen.select("qid", "id"), ["qid", "id"], "left_anti")
+        if avoid is not None:
+            fresh = fresh.join(avoid, ["qid", "id"], "left_anti")
         frontier = cut(fresh.select("qid", "id", F.lit(depth).alias("depth"), "chain"))
         if frontier.isEmpty():
             break
-        seen = joined(seen, frontier, depth)
+        # The plan of a deep search stays short.
+        seen = seen.unionByName(frontier) if depth % 16 else cut(seen.unionByName(frontier))
     return seen
 
 
 def closure(pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Distinct (src, dst) with a path of one edge or more."""
+    """Distinct (src, dst) with a path of one edge or more. All pairs of a dense graph: meant for graphs of groups."""
     known = cut(pairs.select("src", "dst").distinct())
     fresh, depth = known, 1
     while max_depth is None or depth < max_depth:
@@ -84,79 +205,164 @@ def closure(pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
     return known
 
 
-def strong_components(nodes: DataFrame, reach: DataFrame) -> DataFrame:
-    """(id, component): the smallest node that reaches it and is reached, from nodes(id) and a closure."""
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("low"))
-    return nodes.join(mutual, "id", "left").select("id", F.least("id", F.coalesce("low", "id")).alias("component"))
+def _components_of(graph: Arrays):
+    """For each node the place of the first node of its strong component: one depth-first pass with a stack of open components."""
+    import numpy as np
 
+    n = len(graph.names)
+    order, root_of = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    at, ends = graph.starts.tolist(), graph.ends.tolist()
+    number, waiting, roots = 0, [], []
+    for first in range(n):
+        if order[first] >= 0:
+            continue
+        path = [(first, at[first])]
+        order[first] = number
+        number += 1
+        waiting.append(first)
+        roots.append(first)
+        while path:
+            node, edge = path[-1]
+            if edge < at[node + 1]:
+                path[-1] = (node, edge + 1)
+                to = ends[edge]
+                if order[to] < 0:
+                    order[to] = number
+                    number += 1
+                    waiting.append(to)
+                    roots.append(to)
+                    path.append((to, at[to]))
+                elif root_of[to] < 0:  # joins all components opened since
+                    while order[roots[-1]] > order[to]:
+                        roots.pop()
+                continue
+            path.pop()
+            if roots and roots[-1] == node:
+                roots.pop()
+                where = len(waiting) - 1
+                while waiting[where] != node:
+                    where -= 1
+                members = waiting[where:]
+                del waiting[where:]
+                root_of[members] = min(members)
+    return root_of
+
+
+def strong_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, component): the smallest node that reaches it and is reached, from nodes(id) and pairs(src, dst).
+
+    A graph that is small enough is one depth-first pass of one task. In a larger one the greatest node that reaches each is
+    spread along the edges; those that reach it back are its component and are taken out, until none is left.
+    """
+    arrays = Arrays.of(pairs)
+    if arrays is not None:
+        spark = nodes.sparkSession
+        sent = spark.sparkContext.broadcast(arrays)
+
+        def work(batches):
+            import pyarrow as pa
+
+            for _ in batches:
+                graph = sent.value
+                yield pa.RecordBatch.from_arrays([graph.names, graph.names.take(pa.array(_components_of(graph)))], names=["i", "c"])
+
+        found = spark.range(0, 1, 1, 1).mapInArrow(work, "i string, c string")
+        return nodes.join(found, nodes["id"] == found["i"], "left").select("id", F.coalesce("c", "id").alias("component"))
+    left = cut(nodes.select("id").distinct())
+    open_ = cut(pairs.where("src <> dst").distinct())
+    done = None
+    while not left.isEmpty():
+        label = cut(left.select("id", F.col("id").alias("top")))
+        while True:
+            told = open_.join(label, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("i")).agg(F.max("top").alias("m"))
+            after = cut(label.join(told, F.col("id") == F.col("i"), "left").select("id", F.greatest("top", F.coalesce("m", "top")).alias("top")))
+            same = after.join(label, ["id", "top"], "left_anti").isEmpty()
+            label = after
+            if same:
+                break
+        inside = open_.join(label.select(F.col("id").alias("src"), F.col("top").alias("a")), "src").join(label.select(F.col("id").alias("dst"), F.col("top").alias("b")), "dst").where("a = b")
+        back = search(label.where("id = top").select(F.col("id").alias("qid"), "id"), adjacency(inside.select("src", "dst"), reverse=True))
+        found = cut(back.join(back.groupBy("qid").agg(F.min("id").alias("component")), "qid").select("id", "component"))
+        done = found if done is None else cut(done.unionByName(found))
+        left = cut(left.join(found, "id", "left_anti"))
+        gone = found.select("id")
+        open_ = cut(open_.join(gone, open_["src"] == gone["id"], "left_anti").join(gone, open_["dst"] == gone["id"], "left_anti"))
+    return done if done is not None else nodes.select("id", F.col("id").alias("component"))
 
-def layering(nodes: DataFrame, pairs: DataFrame, reach: DataFrame) -> DataFrame:
+
+def layering(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, component, column): the longest path to a component in the condensation of the graph."""
-    comp = cut(strong_components(nodes, reach))
+    comp = cut(strong_components(nodes, pairs))
     a, b = comp.select(F.col("id").alias("src"), F.col("component").alias("ca")), comp.select(F.col("id").alias("dst"), F.col("component").alias("cb"))
     arcs = cut(pairs.join(a, "src").join(b, "dst").where("ca <> cb").select("ca", "cb").distinct())
     depth = cut(comp.select(F.col("component").alias("c")).distinct().withColumn("d", F.lit(0)))
     while True:
         pushed = depth.join(arcs, F.col("c") == F.col("ca")).groupBy(F.col("cb").alias("c")).agg((F.max("d") + 1).alias("e"))
         after = cut(depth.join(pushed, "c", "left").select("c", F.greatest("d", F.coalesce("e", F.lit(0))).alias("d")))
-        if not after.exceptAll(depth).isEmpty():
+        if not after.join(depth, ["c", "d"], "left_anti").isEmpty():
             depth = after
             continue
         return comp.join(after, comp["component"] == after["c"]).select("id", "component", F.col("d").alias("column"))
 
 
-def boundary_search(start: DataFrame, pairs: DataFrame, group: Column, max_depth: int | None = None) -> DataFrame:
-    """(qid, id, depth, crossed) of a search whose state is (node, has crossed a group boundary); starts are not met again.
+def boundary_search(starts: DataFrame, edges: DataFrame, inner: tuple[str, ...] = ("import",), max_depth: int | None = None) -> DataFrame:
+    """(qid, id, depth, chain) of what starts(qid, id) reach by at least one edge whose type is not ``inner``: the shortest such chain.
 
-    start(qid, id, home): home is the group of the start; group: the group of column ``id``.
+    A state is a node and whether a boundary has been crossed; the start is not met again.
     """
-    frontier = cut(start.select("qid", "id", F.lit(0).alias("depth"), F.lit(False).alias("crossed"), "home"))
-    seen, origin = frontier, start.select("qid", F.col("id").alias("origin"))
-    for depth in levels(max_depth):
-        grown = frontier.join(pairs, frontier["id"] == pairs["src"]).select("qid", F.col("dst").alias("id"), "crossed", "home")
-        state = grown.withColumn("crossed", F.col("crossed") | (group != F.col("home"))).groupBy("qid", "id", "crossed", "home").agg(F.lit(depth).alias("depth"))
-        fresh = state.join(seen.select("qid", "id", "crossed"), ["qid", "id", "crossed"], "left_anti").join(origin, "qid").where("id <> origin")
-        frontier = cut(fresh.select("qid", "id", "depth", "crossed", "home"))
-        if frontier.isEmpty():
-            break
-        seen = joined(seen, frontier, depth)
-    return seen
+    state = lambda c, flag: F.concat(F.col(c), F.lit("\x01" + flag))
+    plain = F.col("type").isin(*inner)
+    steps = edges.select(
+        F.explode(F.array(F.struct(state("src", "0").alias("src"), F.when(plain, state("dst", "0")).otherwise(state("dst", "1")).alias("dst")), F.struct(state("src", "1").alias("src"), state("dst", "1").alias("dst")))).alias("e")
+    ).select("e.*")
+    found = search(starts.select("qid", state("id", "0").alias("id")), steps, max_depth, avoid=starts.select("qid", state("id", "1").alias("id")))
+    return found.where(F.col("id").endswith("1")).select("qid", F.substring_index("id", "\x01", 1).alias("id"), "depth", F.transform("chain", lambda x: F.substring_index(x, "\x01", 1)).alias("chain"))
 
 
-def first_cycle(edges: DataFrame) -> DataFrame:
-    """(step, id) of the first cycle that a depth-first search over sorted nodes meets; no rows without one.
+def all_cycles(edges: DataFrame) -> DataFrame:
+    """(step, cycle) of every edge that goes back to an open node in a depth-first search over sorted nodes: the chain that it closes.
 
-    The witness depends on the order of the search, so the edges go to one task: meant for graphs of groups, whose number
-    the author of the grouping bounds. Whether there is a cycle at all is a question for `closure`.
+    The order of a depth-first search is not relational, so the graph goes to one task; it must be small enough to be broadcast.
     """
+    arrays = Arrays.of(edges)
+    if arrays is None:
+        raise ValueError("cycles are listed of graphs that one task can hold; see strong_components for others")
+    spark = edges.sparkSession
+    sent = spark.sparkContext.broadcast(arrays)
+
+    def work(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            graph, out = sent.value, []
+            names, at, ends = graph.names.to_pylist(), graph.starts.tolist(), graph.ends.tolist()
+            where, state, path = {}, [0] * len(names), []
+            for first in range(len(names)):
+                if state[first]:
+                    continue
+                path.append([first, at[first]])
+                state[first], where[first] = 1, 0
+                while path:
+                    node, edge = path[-1]
+                    if edge == at[node + 1]:
+                        state[node] = 2
+                        path.pop()
+                        continue
+                    path[-1][1] += 1
+                    to = ends[edge]
+                    if state[to] == 1:
+                        out.append([names[x] for x, _ in path[where[to] :]] + [names[to]])
+                    elif not state[to]:
+                        state[to], where[to] = 1, len(path)
+                        path.append([to, at[to]])
+            yield pa.RecordBatch.from_arrays([pa.array(range(1, len(out) + 1), pa.int64()), pa.array(out, pa.list_(pa.string()))], names=["step", "cycle"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(work, "step long, cycle array<string>")
 
-    def work(pdf):
-        import pandas as pd
-
-        near: dict = {}
-        for a, b in sorted(set(zip(pdf["src"], pdf["dst"], strict=True))):
-            near.setdefault(a, []).append(b)
-        done, out = set(), []
-        for root in sorted(near):
-            stack, path = [(root, iter(near.get(root, [])))], [root]
-            while stack and not out:
-                node, rest = stack[-1]
-                nxt = next(rest, None)
-                if nxt is None:
-                    done.add(node)
-                    stack.pop()
-                    path.pop()
-                elif nxt in path:
-                    out = [*path[path.index(nxt) :], nxt]
-                elif nxt not in done:
-                    stack.append((nxt, iter(near.get(nxt, []))))
-                    path.append(nxt)
-            if out:
-                break
-        return pd.DataFrame({"step": range(len(out)), "id": out}).astype({"step": "int32", "id": object})
 
-    return edges.select("src", "dst", F.lit(True).alias("all")).groupBy("all").applyInPandas(work, "step int, id string")
+def first_cycle(edges: DataFrame) -> DataFrame:
+    """(step, id) of the first cycle that a depth-first search over sorted nodes meets; no rows without one."""
+    return all_cycles(edges).where("step = 1").select(F.posexplode("cycle").alias("step", "id"))
 
 
 def within_budget(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:

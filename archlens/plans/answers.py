@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from archlens.functions import text as T
 from archlens.operators import graph, ranking
 from archlens.plans.base import query
-from archlens.plans.graphs import BACKWARD, DEPTH, FORWARD, SEEDS, chains, starts, walk_sql
+from archlens.plans.graphs import BACKWARD, FORWARD, SEEDS, starts, walk_sql
 from archlens.plans.text import CONCEPT, NORMAL, TERMS_RAW
 from archlens.sources.tables import code_files, path_edges, seeds, table
 
@@ -17,7 +17,7 @@ ASKED = "asked as (select qid, 'What depends on ' || path || '?' as question fro
 
 @query(
     "q_dependents",
-    walk_sql(f"select qid, f.path as id from (select qid, regexp_extract({NORMAL.format('question')}, '^(what|which|who)\\s+(\\w+\\s+)?(depends? on|uses?|imports?)\\s+(.+)$', 4) as target from (select qid, 'What depends on ' || path || '?' as question from seeds)) join code_files f on lower(f.path) = target", BACKWARD, DEPTH, "select qid, 'DOWNSTREAM' as op, chain[1] as target, id, depth, array_to_string(list_reverse(chain), '>') as witness from best where depth > 0"),
+    walk_sql(f"select qid, f.path as id from (select qid, regexp_extract({NORMAL.format('question')}, '^(what|which|who)\\s+(\\w+\\s+)?(depends? on|uses?|imports?)\\s+(.+)$', 4) as target from (select qid, 'What depends on ' || path || '?' as question from seeds)) join code_files f on lower(f.path) = target", BACKWARD, "select qid, 'DOWNSTREAM' as op, chain[1] as target, id, depth, array_to_string(list_reverse(chain), '>') as witness from best where depth > 0"),
     ("seeds", "path_edges"),
     recursive=True,
 )
@@ -27,7 +27,7 @@ def q_dependents(spark, sf_dir):
     parsed = asked.select("qid", T.intent(T.normalize_question(F.col("question"))).alias("i")).where("i.op = 'DOWNSTREAM'").select("qid", "i.op", "i.target")
     files = code_files(spark, sf_dir).select("path", F.lower("path").alias("target"))
     bound = parsed.join(files, "target").select("qid", "op", F.col("path").alias("id"))
-    found = graph.search(bound.select("qid", "id"), graph.adjacency(path_edges(spark, sf_dir), reverse=True), DEPTH)
+    found = graph.search(bound.select("qid", "id"), graph.adjacency(path_edges(spark, sf_dir), reverse=True))
     return found.where("depth > 0").select("qid", F.lit("DOWNSTREAM").alias("op"), F.element_at("chain", 1).alias("target"), "id", "depth", F.array_join(F.reverse("chain"), ">").alias("witness"))
 
 
@@ -159,33 +159,41 @@ def name_collisions(spark, sf_dir):
     return names.distinct().groupBy("name").agg(F.count_distinct("kind").alias("kinds"), F.count("*").alias("n")).where("kinds > 1")
 
 
-PAGE = 20
-PAGED = walk_sql(SEEDS, FORWARD, DEPTH, ", r as (select qid, id, depth, chain, row_number() over (partition by qid order by depth, chain) as n from best where depth > 0) ")
+#: Rows from which a page is asked for, and nodes of a packet.
+OFFSET, MOST_NODES = 150, 200
+PAGED = walk_sql(SEEDS, FORWARD, ", r as (select qid, id, depth, chain, row_number() over (partition by qid order by depth, chain) as n from best where depth > 0) ")
 
 
-@query("page_offset", PAGED + f"select qid, n, id from r where n > {PAGE} and n <= {2 * PAGE}", ("seeds", "path_edges"), recursive=True)
+def reached_rows(spark, sf_dir):
+    found = graph.search(starts(spark, sf_dir), graph.adjacency(path_edges(spark, sf_dir))).where("depth > 0")
+    return found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("depth", "chain")).cast("long"))
+
+
+@query("page_offset", PAGED + f"select qid, n, id from r where n > {OFFSET} and n <= {OFFSET + MOST_NODES}", ("seeds", "path_edges"), recursive=True)
 def page_offset(spark, sf_dir):
-    """The second page of each answer."""
-    found = graph.search(starts(spark, sf_dir), graph.adjacency(path_edges(spark, sf_dir)), DEPTH).where("depth > 0")
-    n = F.row_number().over(Window.partitionBy("qid").orderBy("depth", "chain"))
-    return found.withColumn("n", n.cast("long")).where((F.col("n") > PAGE) & (F.col("n") <= 2 * PAGE)).select("qid", "n", "id")
+    """The rows that follow an offset, in the order of the search."""
+    return reached_rows(spark, sf_dir).where((F.col("n") > OFFSET) & (F.col("n") <= OFFSET + MOST_NODES)).select("qid", "n", "id")
 
 
 @query(
     "page_chain_budget",
-    PAGED + """, seen as (select qid, node, min(n) as n from (select qid, unnest(chain) as node, n from r) group by 1, 2), cost as (select r.qid, r.n, count(s.node) as c from r left join seen s on r.qid = s.qid and r.n = s.n group by 1, 2),
-    run as (select qid, n, sum(c) over (partition by qid order by n) as used from cost) select qid, count(*) as rows, cast(max(used) as bigint) as nodes from run where used <= 12 group by 1""",
+    PAGED + f""", t as (select qid, count(*) as total from r group by 1), p as (select * from r where n > {OFFSET}), seen as (select qid, node, min(n) as n from (select qid, unnest(chain[2:]) as node, n from p) group by 1, 2),
+    cost as (select p.qid, p.n, count(s.node) as c from p left join seen s on p.qid = s.qid and p.n = s.n group by 1, 2),
+    run as (select qid, n, 1 + sum(c) over (partition by qid order by n) as used from cost)
+    select qid, count(*) as rows, cast(max(used) as bigint) as nodes, case when max(n) < any_value(total) then 'offset:' || max(n) end as continuation from run join t using (qid) where used <= {MOST_NODES} group by 1""",
     ("seeds", "path_edges"),
     recursive=True,
 )
 def page_chain_budget(spark, sf_dir):
-    """How many rows fit a page of twelve nodes when each row brings the nodes of its chain that are not there yet."""
-    found = graph.search(starts(spark, sf_dir), graph.adjacency(path_edges(spark, sf_dir)), DEPTH).where("depth > 0")
-    rows = found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("depth", "chain")))
-    first = rows.select("qid", "n", F.explode("chain").alias("node")).groupBy("qid", "node").agg(F.min("n").alias("n")).groupBy("qid", "n").agg(F.count("*").alias("c"))
-    used = F.sum(F.coalesce("c", F.lit(0))).over(Window.partitionBy("qid").orderBy("n"))
-    run = rows.select("qid", "n").join(first, ["qid", "n"], "left").withColumn("used", used)
-    return run.where("used <= 12").groupBy("qid").agg(F.count("*").alias("rows"), F.max("used").cast("long").alias("nodes"))
+    """How many rows fit a packet after an offset when each row brings the nodes of its chain that are not there yet, and where to go on."""
+    rows = graph.cut(reached_rows(spark, sf_dir).select("qid", "n", "chain"))
+    total = rows.groupBy("qid").agg(F.count("*").alias("total"))
+    page = rows.where(F.col("n") > OFFSET)
+    first = page.select("qid", "n", F.explode(F.slice("chain", 2, F.size("chain"))).alias("node")).groupBy("qid", "node").agg(F.min("n").alias("n")).groupBy("qid", "n").agg(F.count("*").alias("c"))
+    used = 1 + F.sum(F.coalesce("c", F.lit(0))).over(Window.partitionBy("qid").orderBy("n"))
+    run = page.select("qid", "n").join(first, ["qid", "n"], "left").withColumn("used", used).where(F.col("used") <= MOST_NODES)
+    told = run.groupBy("qid").agg(F.count("*").alias("rows"), F.max("used").cast("long").alias("nodes"), F.max("n").alias("last")).join(total, "qid")
+    return told.select("qid", "rows", "nodes", F.when(F.col("last") < F.col("total"), F.concat(F.lit("offset:"), F.col("last").cast("string"))).alias("continuation"))
 
 
 @query("answer_batch")

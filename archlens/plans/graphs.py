@@ -1,25 +1,26 @@
-"""Queries of the graph plane. Searches start from a batch of questions and go to a bounded depth."""
+"""Queries of the graph plane. Searches start from a batch of questions and go on until nothing new is met."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from archlens.operators import graph
 from archlens.plans.base import query
-from archlens.sources.tables import code_files, group_edges, path_edges, seeds, table
+from archlens.sources.tables import TIERS, call_edges, call_sites, code_files, code_symbols, group_edges, path_edges, seeds, table
 
-DEPTH = 3
 
+def walk_sql(start: str, edges: str, select: str) -> str:
+    """Breadth first to the end: each (qid, id) once, with its depth and the smallest of its shortest chains, as ``best``."""
+    return f"""with starts as ({start}), pairs as materialized (select distinct src, dst from ({edges})),
+    walk(qid, id, depth, chain) using key (qid, id) as (select qid, id, 0, [id] from starts union
+      select w.qid, p.dst, any_value(w.depth) + 1, min(list_append(w.chain, p.dst)) from walk w join pairs p on w.id = p.src
+      where not exists (select 1 from recurring.walk r where r.qid = w.qid and r.id = p.dst) group by w.qid, p.dst),
+    best as (select * from walk) {select}"""
 
-def walk_sql(start: str, edges: str, depth: int, select: str) -> str:
-    """Every walk to a depth, of which the first by (depth, chain) of each (qid, id) is kept as ``best``."""
-    return f"""with starts as ({start}), pairs as ({edges}),
-    walk as (select qid, id, 0 as depth, [id] as chain from starts union all select qid, p.dst, depth + 1, list_append(chain, p.dst) from walk w join pairs p on w.id = p.src where depth < {depth}),
-    best as (select * from (select *, row_number() over (partition by qid, id order by depth, chain) as rn from walk) where rn = 1) {select}"""
 
-
-FORWARD = "select distinct src, dst from path_edges"
-BACKWARD = "select distinct dst as src, src as dst from path_edges"
+FORWARD = "select src, dst from path_edges where type <> 'realtime'"
+BACKWARD = "select dst as src, src as dst from path_edges where type <> 'realtime'"
 SEEDS = "select qid, path as id from seeds"
 ROWS = "select qid, id, depth, array_to_string(chain, '>') as chain from best where depth > 0"
 
@@ -32,86 +33,140 @@ def starts(spark, sf_dir):
     return seeds(spark, sf_dir).select("qid", F.col("path").alias("id"))
 
 
-@query("reach_forward", walk_sql(SEEDS, FORWARD, DEPTH, ROWS), ("seeds", "path_edges"), recursive=True)
+def forward(spark, sf_dir):
+    return graph.adjacency(path_edges(spark, sf_dir))
+
+
+def backward(spark, sf_dir):
+    return graph.adjacency(path_edges(spark, sf_dir), reverse=True)
+
+
+@query("reach_forward", walk_sql(SEEDS, FORWARD, ROWS), ("seeds", "path_edges"), recursive=True)
 def reach_forward(spark, sf_dir):
-    return chains(graph.search(starts(spark, sf_dir), graph.adjacency(path_edges(spark, sf_dir)), DEPTH))
+    return chains(graph.search(starts(spark, sf_dir), forward(spark, sf_dir)))
 
 
-@query("reach_backward", walk_sql(SEEDS, BACKWARD, DEPTH, ROWS), ("seeds", "path_edges"), recursive=True)
+@query("reach_backward", walk_sql(SEEDS, BACKWARD, ROWS), ("seeds", "path_edges"), recursive=True)
 def reach_backward(spark, sf_dir):
-    return chains(graph.search(starts(spark, sf_dir), graph.adjacency(path_edges(spark, sf_dir), reverse=True), DEPTH))
+    return chains(graph.search(starts(spark, sf_dir), backward(spark, sf_dir)))
 
 
-FOLDER_STARTS = "select 1 as qid, path as id from code_files where folder = 'brand11/economy'"
-FOLDER_TARGETS = "select 1 as qid, path as id from code_files where folder = 'brand22/promo'"
+FOLDER_SEEDS = "select dense_rank() over (order by folder) as qid, path as id from code_files where folder in (select min(folder) from code_files group by top)"
 
 
-def inside(spark, sf_dir, folder):
-    return code_files(spark, sf_dir).where(F.col("folder") == folder).select(F.lit(1).cast("long").alias("qid"), F.col("path").alias("id"))
+def folder_seeds(spark, sf_dir):
+    """(qid, id): the files of the first folder of each top folder, a question each."""
+    files = code_files(spark, sf_dir)
+    first = files.groupBy("top").agg(F.min("folder").alias("folder")).select("folder", F.dense_rank().over(Window.orderBy("folder")).cast("long").alias("qid"))
+    return files.join(F.broadcast(first), "folder").select("qid", F.col("path").alias("id"))
 
 
-@query("folder_reach", walk_sql(FOLDER_STARTS, FORWARD, 2, "select qid, id, depth, array_to_string(chain, '>') as chain from best where depth > 0 and id not in (select id from starts)"), ("code_files", "path_edges"), recursive=True)
+@query("folder_reach", walk_sql(FOLDER_SEEDS, FORWARD, "select qid, id, depth, array_to_string(chain, '>') as chain from best where depth > 0"), ("code_files", "path_edges"), recursive=True)
 def folder_reach(spark, sf_dir):
     """From all files of a folder at once; its own files are left out."""
-    own = inside(spark, sf_dir, "brand11/economy")
-    found = graph.search(own, graph.adjacency(path_edges(spark, sf_dir)), 2)
-    return chains(found.join(own, ["qid", "id"], "left_anti"))
+    return chains(graph.search(folder_seeds(spark, sf_dir), forward(spark, sf_dir)))
 
 
-@query("shortest_path", walk_sql("select qid, path as id from seeds where qid < 25", FORWARD, 5, "select qid, depth, array_to_string(chain, '>') as chain from best join (select qid - 1 as q, path from seeds) t on qid = q and id = t.path"), ("seeds", "path_edges"), recursive=True)
+@query("shortest_path", walk_sql(SEEDS, FORWARD, "select t.q as qid, depth, array_to_string(chain, '>') as chain from (select qid - 1 as q, path from seeds where qid > 1) t left join best on qid = q and id = t.path"), ("seeds", "path_edges"), recursive=True)
 def shortest_path(spark, sf_dir):
-    """From each question's file to the next one's, by five edges at most; questions without a path have no row."""
+    """From each question's file to the next one's; without a path there is a row without a chain."""
     s = starts(spark, sf_dir)
-    targets = s.select((F.col("qid") - 1).alias("qid"), "id")
-    found = graph.search(s.where("qid < 25"), graph.adjacency(path_edges(spark, sf_dir)), 5, targets)
-    return found.join(targets, ["qid", "id"], "left_semi").select("qid", "depth", F.array_join("chain", ">").alias("chain"))
+    targets = s.where("qid > 1").select((F.col("qid") - 1).alias("qid"), "id")
+    found = graph.search(s.join(targets.select("qid"), "qid", "left_semi"), forward(spark, sf_dir), targets=targets)
+    met = found.join(targets, ["qid", "id"], "left_semi").select("qid", "depth", F.array_join("chain", ">").alias("chain"))
+    return targets.select("qid").join(met, "qid", "left")
 
 
-@query("folder_path", walk_sql(FOLDER_STARTS, FORWARD, 4, f"select 1 as qid, depth, array_to_string(chain, '>') as chain from best where id in (select id from ({FOLDER_TARGETS})) order by depth, chain limit 1"), ("code_files", "path_edges"), recursive=True)
+@query(
+    "folder_path",
+    walk_sql(FOLDER_SEEDS, FORWARD, f", ends as (select qid - 1 as qid, id from ({FOLDER_SEEDS}) where qid > 1), met as (select b.qid, min((b.depth, b.chain)) as m from best b join ends using (qid, id) group by 1) select e.qid, m[1] as depth, array_to_string(m[2], '>') as chain from (select distinct qid from ends) e left join met using (qid)"),
+    ("code_files", "path_edges"),
+    recursive=True,
+)
 def folder_path(spark, sf_dir):
-    targets = inside(spark, sf_dir, "brand22/promo")
-    found = graph.search(inside(spark, sf_dir, "brand11/economy"), graph.adjacency(path_edges(spark, sf_dir)), 4, targets)
+    """From any file of a folder to any of the next one's; folders that share a file are no hops apart."""
+    s = folder_seeds(spark, sf_dir)
+    targets = s.where("qid > 1").select((F.col("qid") - 1).alias("qid"), "id")
+    asked = targets.select("qid").distinct()
+    found = graph.search(s.join(asked, "qid", "left_semi"), forward(spark, sf_dir), targets=targets)
     best = found.join(targets, ["qid", "id"], "left_semi").groupBy("qid").agg(F.min(F.struct("depth", "chain")).alias("b"))
-    return best.select("qid", "b.depth", F.array_join("b.chain", ">").alias("chain"))
+    return asked.join(best, "qid", "left").select("qid", "b.depth", F.array_join("b.chain", ">").alias("chain"))
 
 
-#: Folders of an import graph without its thin edges: sparse enough to have several components.
-FOLDER_GRAPH = "select src_folder as src, dst_folder as dst from path_edges where type = 'import' and src_top < dst_top and src_folder <> dst_folder group by all"
-CYCLIC = FOLDER_GRAPH.replace("src_top < dst_top and ", "substr(src_top, 6, 1) = substr(dst_top, 6, 1) and split_part(src_folder, '/', 2) = split_part(dst_folder, '/', 2) and ")
+FOLDER_GRAPH = "select distinct src_folder as src, dst_folder as dst from path_edges where type = 'import' and src_folder <> dst_folder"
+GROUP_GRAPH = "select distinct src, dst from group_edges where type <> 'realtime'"
 REACH = "reach as (select src, dst from pairs union select r.src, p.dst from reach r join pairs p on r.dst = p.src)"
+IMPORTS = "select distinct src, dst from path_edges where type = 'import'"
 
 
-def folder_graph(spark, sf_dir, acyclic):
+def folder_graph(spark, sf_dir):
     edges = path_edges(spark, sf_dir).where("type = 'import' and src_folder <> dst_folder")
-    kind = lambda c: F.substring_index(c, "/", -1)
-    keep = F.col("src_top") < F.col("dst_top") if acyclic else (F.substring("src_top", 6, 1) == F.substring("dst_top", 6, 1)) & (kind("src_folder") == kind("dst_folder"))
-    return edges.where(keep).select(F.col("src_folder").alias("src"), F.col("dst_folder").alias("dst")).distinct()
+    return edges.select(F.col("src_folder").alias("src"), F.col("dst_folder").alias("dst")).distinct()
+
+
+def import_graph(spark, sf_dir):
+    return path_edges(spark, sf_dir).where("type = 'import'").select("src", "dst").distinct()
 
 
 def nodes_of(pairs):
     return pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
 
 
-@query("group_closure", f"with pairs as ({CYCLIC}), {REACH} select src, dst from reach", ("path_edges",), recursive=True)
+@query("group_closure", f"with pairs as ({GROUP_GRAPH}), {REACH} select src, dst from reach", ("group_edges",), recursive=True)
 def group_closure(spark, sf_dir):
-    return graph.closure(folder_graph(spark, sf_dir, acyclic=False))
+    """Every group with all that it depends on, directly or not."""
+    return graph.closure(graph.adjacency(group_edges(spark, sf_dir)).distinct())
+
+
+@query("group_reach", f"with pairs as ({GROUP_GRAPH}), {REACH} select id, array_to_string(list_sort(list(dst) filter (dst is not null)), ',') as upstream, (select array_to_string(list_sort(list(b.src)), ',') from reach b where b.dst = id and b.src <> id) as downstream from (select distinct top as id from code_files) left join reach on src = id and dst <> id group by id", ("code_files", "group_edges"), recursive=True)
+def group_reach(spark, sf_dir):
+    """Of each group what it depends on and what depends on it, itself left out."""
+    reach = graph.cut(graph.closure(graph.adjacency(group_edges(spark, sf_dir)).distinct()).where("src <> dst"))
+    listed = lambda key, c, name: reach.groupBy(F.col(key).alias("id")).agg(F.array_join(F.array_sort(F.collect_list(c)), ",").alias(name))
+    groups = code_files(spark, sf_dir).select(F.col("top").alias("id")).distinct()
+    return groups.join(listed("src", "dst", "upstream"), "id", "left").join(listed("dst", "src", "downstream"), "id", "left").withColumn("upstream", F.coalesce("upstream", F.lit("")))
 
 
-@query("group_has_cycle", f"with pairs as ({CYCLIC}), {REACH} select src as id from reach where src = dst", ("path_edges",), recursive=True)
+@query("group_has_cycle", f"with pairs as ({GROUP_GRAPH}), {REACH} select src as id from reach where src = dst", ("group_edges",), recursive=True)
 def group_has_cycle(spark, sf_dir):
-    """Nodes that lie on a cycle."""
-    return graph.closure(folder_graph(spark, sf_dir, acyclic=False)).where("src = dst").select(F.col("src").alias("id"))
+    """Groups that lie on a cycle: alone in a component only with an edge to themselves."""
+    pairs = graph.cut(graph.adjacency(group_edges(spark, sf_dir)).distinct())
+    comp = graph.strong_components(nodes_of(pairs), pairs)
+    return comp.join(comp.groupBy("component").count().where("count > 1"), "component", "left_semi").select("id").union(pairs.where("src = dst").select("src")).distinct()
 
 
-@query("scc", f"with pairs as ({CYCLIC}), {REACH} select n.id, least(n.id, coalesce(min(a.dst), n.id)) as component from (select src as id from pairs union select dst from pairs) n left join (select r.src, r.dst from reach r join reach b on r.src = b.dst and r.dst = b.src) a on n.id = a.src group by n.id", ("path_edges",), recursive=True)
+COMPONENTS = "comp as (select n.id, least(n.id, coalesce(min(a.dst), n.id)) as component from (select src as id from pairs union select dst from pairs) n left join (select r.src, r.dst from reach r join reach b on r.src = b.dst and r.dst = b.src) a on n.id = a.src group by n.id)"
+
+
+@query("scc", f"with pairs as ({FOLDER_GRAPH}), {REACH}, {COMPONENTS} select id, component from comp", ("path_edges",), recursive=True)
 def scc(spark, sf_dir):
-    pairs = graph.cut(folder_graph(spark, sf_dir, acyclic=False))
-    return graph.strong_components(nodes_of(pairs), graph.closure(pairs))
+    pairs = graph.cut(folder_graph(spark, sf_dir))
+    return graph.strong_components(nodes_of(pairs), pairs)
+
+
+def closure_sql(name: str, at: str, to: str) -> str:
+    """(qid, id) of all that each end of a pair reaches, itself included."""
+    return f"""{name}(qid, id) using key (qid, id) as (select n, n from (select src as n from pairs union select dst from pairs) union
+      select w.qid, p.{to} from {name} w join pairs p on w.id = p.{at} where not exists (select 1 from recurring.{name} r where r.qid = w.qid and r.id = p.{to}) group by 1, 2)"""
+
+
+@query(
+    "file_components",
+    f"""with pairs as materialized ({IMPORTS}), {closure_sql("fore", "src", "dst")}, {closure_sql("back", "dst", "src")},
+    low as (select f.qid as id, min(f.id) as component from fore f join back b on f.qid = b.qid and f.id = b.id group by 1)
+    select component, count(*) as files from low group by 1""",
+    ("path_edges",),
+    recursive=True,
+)
+def file_components(spark, sf_dir):
+    """Strong components of the import graph of files, with their sizes."""
+    pairs = graph.cut(import_graph(spark, sf_dir))
+    return graph.strong_components(nodes_of(pairs), pairs).groupBy("component").agg(F.count("*").alias("files"))
 
 
 @query(
     "layering",
-    f"""with pairs as ({CYCLIC}), {REACH}, comp as (select n.id, least(n.id, coalesce(min(a.dst), n.id)) as component from (select src as id from pairs union select dst from pairs) n left join (select r.src, r.dst from reach r join reach b on r.src = b.dst and r.dst = b.src) a on n.id = a.src group by n.id),
+    f"""with pairs as ({FOLDER_GRAPH}), {REACH}, {COMPONENTS},
     arcs as (select distinct a.component as ca, b.component as cb from pairs p join comp a on p.src = a.id join comp b on p.dst = b.id where a.component <> b.component),
     depth as (select component as c, 0 as d from comp union select cb, d + 1 from depth join arcs on c = ca)
     select id, component, max(d) as "column" from comp join depth on component = c group by all""",
@@ -119,8 +174,8 @@ def scc(spark, sf_dir):
     recursive=True,
 )
 def layering(spark, sf_dir):
-    pairs = graph.cut(folder_graph(spark, sf_dir, acyclic=False))
-    return graph.layering(nodes_of(pairs), pairs, graph.closure(pairs))
+    pairs = graph.cut(folder_graph(spark, sf_dir))
+    return graph.layering(nodes_of(pairs), pairs)
 
 
 @query("layout_rows", "select id, lane, row_number() over (partition by lane order by id) - 1 as row, n as height from (select folder as id, top as lane, count(*) over (partition by top) as n from (select distinct folder, top from code_files))", ("code_files",))
@@ -133,9 +188,9 @@ def layout_rows(spark, sf_dir):
     return rows.withColumn("row", (F.row_number().over(lane.orderBy("id")) - 1).cast("long")).withColumn("height", F.count("*").over(lane))
 
 
-@query("two_cycles", "select distinct a.src, a.dst from path_edges a join path_edges b on a.src = b.dst and a.dst = b.src where a.src < a.dst", ("path_edges",))
+@query("two_cycles", f"with p as (select distinct src, dst from ({FORWARD})) select a.src, a.dst from p a join p b on a.src = b.dst and a.dst = b.src where a.src < a.dst", ("path_edges",))
 def two_cycles(spark, sf_dir):
-    pairs = graph.adjacency(path_edges(spark, sf_dir))
+    pairs = forward(spark, sf_dir).distinct()
     back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return pairs.join(back, ["src", "dst"], "left_semi").where("src < dst")
 
@@ -155,39 +210,53 @@ def edge_collapse(spark, sf_dir):
     return path_edges(spark, sf_dir).where("src_folder <> dst_folder").select(F.col("src_folder").alias("src"), F.col("dst_folder").alias("dst"), "type").distinct()
 
 
-IMPACT = "select distinct dst as src, src as dst from path_edges where type in ('import', 'http', 'rpc')"
+#: Reverse imports from each question's file; the file itself is not met again.
+IMPORTED = "select dst as src, src as dst from path_edges where type = 'import'"
 
 
-def impact(spark, sf_dir, depth):
-    pairs = graph.adjacency(path_edges(spark, sf_dir), reverse=True, types=("import", "http", "rpc"))
-    return graph.search(starts(spark, sf_dir), pairs, depth)
+def importers(spark, sf_dir):
+    return graph.search(starts(spark, sf_dir), graph.adjacency(path_edges(spark, sf_dir), reverse=True, types=("import",)))
 
 
-@query("impact_direct", "select distinct qid, e.src as id from seeds join path_edges e on e.dst = path where e.src <> path", ("seeds", "path_edges"))
+@query("impact_direct", "select distinct qid, e.src as id from seeds join path_edges e on e.dst = path where e.src <> path and type = 'import'", ("seeds", "path_edges"))
 def impact_direct(spark, sf_dir):
-    return impact(spark, sf_dir, 1).where("depth = 1").select("qid", "id")
+    """Files that import each question's file."""
+    edges = path_edges(spark, sf_dir).where("type = 'import' and src <> dst")
+    s = seeds(spark, sf_dir)
+    return s.join(edges, s["path"] == edges["dst"]).select("qid", F.col("src").alias("id")).distinct()
 
 
-@query("impact_transitive", walk_sql(SEEDS, IMPACT, DEPTH, "select qid, id, depth from best where depth > 1"), ("seeds", "path_edges"), recursive=True)
+@query("impact_transitive", walk_sql(SEEDS, IMPORTED, "select qid, id, depth, array_to_string(list_reverse(chain), '>') as chain from best where depth > 1"), ("seeds", "path_edges"), recursive=True)
 def impact_transitive(spark, sf_dir):
-    return impact(spark, sf_dir, DEPTH).where("depth > 1").select("qid", "id", "depth")
+    """Files that reach each question's file by imports, but not at once, with the chain from the consumer."""
+    return importers(spark, sf_dir).where("depth > 1").select("qid", "id", "depth", F.array_join(F.reverse("chain"), ">").alias("chain"))
+
+
+STATES = """select dst || chr(1) || f as src, src || chr(1) || case when type = 'import' then f else '1' end as dst from path_edges, (values ('0'), ('1')) v(f) where type in ('import', 'http', 'rpc')"""
 
 
 @query(
     "impact_boundary",
-    f"""with starts as (select qid, path as id from seeds), pairs as ({IMPACT}),
-    walk as (select qid, id, id as origin, split_part(id, '/', 1) as home, 0 as depth, false as crossed from starts
-      union select qid, p.dst, origin, home, depth + 1, crossed or split_part(p.dst, '/', 1) <> home from walk w join pairs p on w.id = p.src where depth < {DEPTH} and p.dst <> origin)
-    select qid, id, min(depth) as depth from walk where crossed group by qid, id""",
+    walk_sql("select qid, path || chr(1) || '0' as id from seeds", STATES, "select qid, split_part(id, chr(1), 1) as id, depth from best where ends_with(id, '1')").replace("where not exists", "where not exists (select 1 from starts s where s.qid = w.qid and replace(s.id, chr(1) || '0', chr(1) || '1') = p.dst) and not exists"),
     ("seeds", "path_edges"),
     recursive=True,
 )
 def impact_boundary(spark, sf_dir):
-    """First distance at which each file is met by a chain that has left the group of its start."""
-    pairs = graph.adjacency(path_edges(spark, sf_dir), reverse=True, types=("import", "http", "rpc"))
-    start = starts(spark, sf_dir).withColumn("home", F.substring_index("id", "/", 1))
-    found = graph.boundary_search(start, pairs, F.substring_index("id", "/", 1), DEPTH)
-    return found.where("crossed").groupBy("qid", "id").agg(F.min("depth").alias("depth"))
+    """Consumers that reach each question's file through at least one HTTP or RPC link, by the shortest such chain."""
+    edges = path_edges(spark, sf_dir).where("type in ('import', 'http', 'rpc')").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+    return graph.boundary_search(starts(spark, sf_dir), edges).select("qid", "id", "depth")
+
+
+@query(
+    "impact_tests",
+    walk_sql(SEEDS, IMPORTED, "select qid, id, depth from best where depth > 0 and regexp_matches(case when fid % 11 = 0 then 'tests/' || id when fid % 11 = 1 then replace(id, '/' || stem, '/test_' || stem) else id end, '(^|/)(tests?|__tests__|e2e)(/|$)|(^|/)test_[^/]+\\.py$')").replace("as (select * from walk)", "as (select w.*, f.fid, f.stem from walk w join code_files f on f.path = w.id)"),
+    ("seeds", "path_edges"),
+    recursive=True,
+)
+def impact_tests(spark, sf_dir):
+    """Tests among the files that import each question's file, directly or not."""
+    tests = test_files(spark, sf_dir).select("id")
+    return importers(spark, sf_dir).where("depth > 0").join(tests, "id", "left_semi").select("qid", "id", "depth")
 
 
 # What makes a path a test.
@@ -204,19 +273,50 @@ TEST_FILE = r"(^|/)test_[^/]+\.py$|\.(test|spec)\.(c?[jt]sx?|mjs)$"
 )
 def linked_tests(spark, sf_dir):
     """Files that a rule calls tests, by folder or name, and how many files link with them."""
+    edges, files = path_edges(spark, sf_dir), test_files(spark, sf_dir)
+    return files.join(edges, files["id"] == edges["dst"], "left").groupBy("id", "reason").agg(F.count_distinct("src").alias("callers"))
+
+
+def test_files(spark, sf_dir):
+    """(id, reason): every eleventh file lies in a folder of tests, every eleventh is called like a test."""
     renamed = F.when(F.col("fid") % 11 == 0, F.concat(F.lit("tests/"), "path")).when(F.col("fid") % 11 == 1, F.replace("path", F.concat(F.lit("/"), "stem"), F.concat(F.lit("/test_"), "stem"))).otherwise(F.col("path"))
     reason = F.when(renamed.rlike(TEST_FOLDER), "folder").when(renamed.rlike(TEST_FILE), "file")
-    files = code_files(spark, sf_dir).select(F.col("path").alias("id"), reason.alias("reason")).where("reason is not null")
-    edges = path_edges(spark, sf_dir)
-    return files.join(edges, files["id"] == edges["dst"], "left").groupBy("id", "reason").agg(F.count_distinct("src").alias("callers"))
+    return code_files(spark, sf_dir).select(F.col("path").alias("id"), reason.alias("reason")).where("reason is not null")
 
 
-@query("route_edges", "select distinct e.src, e.dst, e.type from path_edges e join (select qid, path from seeds) a on e.src = a.path join (select path from seeds) b on e.dst = b.path union select distinct e.src, e.dst, e.type from path_edges e where e.src_folder = 'brand11/economy' and e.dst_folder = 'brand11/economy'", ("seeds", "path_edges"))
+@query(
+    "route_edges",
+    walk_sql(SEEDS, FORWARD, ", hops as (select qid, unnest(chain[:-2]) as a, unnest(chain[2:]) as b from best join (select qid - 1 as q, path from seeds) t on qid = q and id = t.path) select src_folder as selection, src, dst, type from path_edges where src_folder = dst_folder and type <> 'realtime' union select 'path ' || qid, src, dst, type from hops join path_edges on src = a and dst = b and type <> 'realtime'"),
+    ("seeds", "path_edges"),
+    recursive=True,
+)
 def route_edges(spark, sf_dir):
-    """Edges with both ends in a selection: the questions' files, and a folder."""
-    chosen, edges = seeds(spark, sf_dir).select("path"), path_edges(spark, sf_dir)
-    both = edges.join(chosen, edges["src"] == chosen["path"], "left_semi").join(chosen, edges["dst"] == chosen["path"], "left_semi")
-    return both.select("src", "dst", "type").union(edges.where("src_folder = 'brand11/economy' and dst_folder = 'brand11/economy'").select("src", "dst", "type")).distinct()
+    """Edges that a selection shows: with both ends in a folder's files, and along each question's path."""
+    edges = path_edges(spark, sf_dir).where("type <> 'realtime'")
+    inside = edges.where("src_folder = dst_folder").select(F.col("src_folder").alias("selection"), "src", "dst", "type")
+    s = starts(spark, sf_dir)
+    targets = s.where("qid > 1").select((F.col("qid") - 1).alias("qid"), "id")
+    found = graph.search(s.join(targets.select("qid"), "qid", "left_semi"), forward(spark, sf_dir), targets=targets).join(targets, ["qid", "id"], "left_semi").where("depth > 0")
+    hops = found.select("qid", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda i: F.struct(F.element_at("chain", i).alias("src"), F.element_at("chain", i + 1).alias("dst")))).alias("h"))
+    along = hops.select(F.concat(F.lit("path "), F.col("qid").cast("string")).alias("selection"), "h.*").join(edges.select("src", "dst", "type"), ["src", "dst"]).select("selection", "src", "dst", "type")
+    return inside.unionByName(along).distinct()
+
+
+@query(
+    "route_status",
+    walk_sql(SEEDS, FORWARD, "select qid, 'UPSTREAM' as op, 'Dependencies: ' || (count(*) - 1) as status from best group by 1 union all select q, 'PATH', case when max(b.id) is null then 'No directed route found' else 'Directed route found' end from (select qid - 1 as q, path from seeds where qid > 1) t left join best b on b.qid = q and b.id = t.path group by q union all select qid, 'LOCATE', 'Located node' from seeds"),
+    ("seeds", "path_edges"),
+    recursive=True,
+)
+def route_status(spark, sf_dir):
+    """What is said of a route: the number of dependencies, whether there is a path, or that a node was found."""
+    found = graph.cut(graph.search(starts(spark, sf_dir), forward(spark, sf_dir)).select("qid", "id"))
+    told = found.groupBy("qid").agg(F.concat(F.lit("Dependencies: "), (F.count("*") - 1).cast("string")).alias("status")).select("qid", F.lit("UPSTREAM").alias("op"), "status")
+    s = starts(spark, sf_dir)
+    targets = s.where("qid > 1").select((F.col("qid") - 1).alias("qid"), "id")
+    met = targets.join(found.withColumn("met", F.lit(True)), ["qid", "id"], "left")
+    paths = met.select("qid", F.lit("PATH").alias("op"), F.when(F.col("met"), "Directed route found").otherwise("No directed route found").alias("status"))
+    return told.unionByName(paths).unionByName(s.select("qid", F.lit("LOCATE").alias("op"), F.lit("Located node").alias("status")))
 
 
 @query("hop_types", "select src, dst, min(type) as type, count(*) as n from path_edges group by 1, 2", ("path_edges",))
@@ -225,9 +325,9 @@ def hop_types(spark, sf_dir):
     return path_edges(spark, sf_dir).groupBy("src", "dst").agg(F.min("type").alias("type"), F.count("*").alias("n"))
 
 
-@query("incoming_prior", "select path as id, count(src) as incoming, round(least(0.08, ln(1 + count(src)) * 0.015), 6) as prior from code_files left join path_edges on dst = path group by 1", ("code_files", "path_edges"))
+@query("incoming_prior", "select path as id, count(src) as incoming, round(least(0.08, ln(1 + count(src)) * 0.015), 6) as prior from code_files left join path_edges on dst = path and type <> 'realtime' group by 1", ("code_files", "path_edges"))
 def incoming_prior(spark, sf_dir):
-    n = path_edges(spark, sf_dir).groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("incoming"))
+    n = path_edges(spark, sf_dir).where("type <> 'realtime'").groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("incoming"))
     rows = code_files(spark, sf_dir).select("path").join(n, "path", "left").select(F.col("path").alias("id"), F.coalesce("incoming", F.lit(0)).cast("long").alias("incoming"))
     return rows.withColumn("prior", F.round(F.least(F.lit(0.08), F.log1p("incoming") * 0.015), 6))
 
@@ -257,10 +357,30 @@ def group_edge_cycles(spark, sf_dir):
     return edges.join(back, ["src", "dst", "type"], "left_semi").where("src < dst").select("src", "dst").distinct()
 
 
-@query("cycle_witness")
+#: Depth-first search over sorted nodes as one row that is rewritten: open path, next neighbour of each, closed nodes, edges that go back.
+DEPTH_FIRST = """adj as materialized (select map(list(src), list(near)) as near, list(id order by id) as ids from (select n.id, n.id as src, coalesce(list_sort(list(distinct dst) filter (dst is not null)), []) as near from (select src as id from pairs union select dst from pairs) n left join pairs on src = n.id group by 1)),
+    dfs(step, path, nxt, shut, back) as (
+      select 0, [ids[1]], [1], []::varchar[], null::varchar[] from adj
+      union all
+      select step + 1,
+        case when node is null then list_filter(ids, lambda x: not list_contains(shut, x))[1:1] when dst is null then path[:-2] when open or closed then path else list_append(path, dst) end,
+        case when node is null then [1] when dst is null then nxt[:-2] when open or closed then list_append(nxt[:-2], nxt[-1] + 1) else list_append(list_append(nxt[:-2], nxt[-1] + 1), 1) end,
+        case when node is not null and dst is null then list_append(shut, node) else shut end,
+        case when open then list_append(path[list_position(path, dst):], dst) end
+      from (select *, list_contains(path, dst) as open, list_contains(shut, dst) as closed from (select *, near[node][nxt[-1]] as dst from (select *, path[-1] as node from dfs, adj)))
+      where len(shut) < len(ids))"""
+
+
+@query("file_cycles", f"with pairs as ({GROUP_GRAPH}), {DEPTH_FIRST} select row_number() over (order by step) as step, array_to_string(back, '>') as cycle from dfs where back is not null", ("group_edges",), recursive=True)
+def file_cycles(spark, sf_dir):
+    """Every edge between groups that goes back to an open node of a sorted depth-first search, with the cycle it closes."""
+    return graph.all_cycles(graph.adjacency(group_edges(spark, sf_dir))).select("step", F.array_join("cycle", ">").alias("cycle"))
+
+
+@query("cycle_witness", f"with pairs as (select distinct src, dst from group_edges where type = 'import'), {DEPTH_FIRST}, first as (select back from dfs where back is not null order by step limit 1) select unnest(range(0, len(back))) as step, unnest(back) as id from first", ("group_edges",), recursive=True)
 def cycle_witness(spark, sf_dir):
     """The first cycle between groups, by sorted depth-first search."""
-    return graph.first_cycle(group_edges(spark, sf_dir).where("type = 'import'").select("src", "dst"))
+    return graph.first_cycle(group_edges(spark, sf_dir).where("type = 'import'").select("src", "dst")).select(F.col("step").cast("long").alias("step"), "id")
 
 
 @query("tour_citations", "with tours(tour, step, path) as (select 'tour ' || top, rank, path from (select top, path, row_number() over (partition by top order by lines desc, path) as rank from code_files) where rank <= 2 union all select 'lost', 1, 'nowhere.py') select tour, step, tours.path, code_files.path is null as orphan from tours left join code_files using (path)", ("code_files",))
@@ -283,6 +403,111 @@ def step_subgraph(spark, sf_dir):
     return edges.join(s, edges["src"] == s["path"], "left_semi").union(edges.join(s, edges["dst"] == s["path"], "left_semi")).distinct()
 
 
+# Calls between definitions.
+
+
+@query(
+    "call_graph",
+    "select src, dst, ['resolved', 'instance-local', 'typed', 'through-decorator'][max(list_position(['resolved', 'instance-local', 'typed', 'through-decorator'], confidence))] as confidence, count(*) as sites, array_to_string(list_sort(list(distinct line)), ',') as lines from call_sites where dst is not null group by 1, 2",
+    ("call_sites",),
+)
+def call_graph(spark, sf_dir):
+    """Call edges: the weakest tier of their sites, and the sites in order."""
+    rank = F.array_position(F.array(*map(F.lit, TIERS)), F.col("confidence"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_set("line")), lambda x: x.cast("string")), ",")
+    rows = call_sites(spark, sf_dir).where("dst is not null").groupBy("src", "dst").agg(F.max(rank).alias("r"), F.count("*").alias("sites"), lines.alias("lines"))
+    return rows.select("src", "dst", F.element_at(F.array(*map(F.lit, TIERS)), F.col("r").cast("int")).alias("confidence"), "sites", "lines")
+
+
+@query("call_counts", "select confidence as what, count(*) as n from call_sites group by 1 union all select 'symbols', count(*) from code_symbols union all select 'entry points', count(*) from code_symbols where entry_point", ("code_symbols", "call_sites"))
+def call_counts(spark, sf_dir):
+    """Sites of each tier, unresolved ones, definitions and entry points."""
+    symbols = code_symbols(spark, sf_dir)
+    count = lambda what, df: df.agg(F.lit(what).alias("what"), F.count("*").alias("n")).select("what", "n")
+    return call_sites(spark, sf_dir).groupBy(F.col("confidence").alias("what")).agg(F.count("*").alias("n")).union(count("symbols", symbols)).union(count("entry points", symbols.where("entry_point")))
+
+
+@query("certain_calls", "select src, dst, count(*) as sites, count(distinct line) as lines from call_sites where confidence = 'resolved' group by 1, 2", ("call_sites",))
+def certain_calls(spark, sf_dir):
+    """Edges as they are with resolved sites only; those without one are dropped."""
+    return call_sites(spark, sf_dir).where("confidence = 'resolved'").groupBy("src", "dst").agg(F.count("*").alias("sites"), F.count_distinct("line").alias("lines"))
+
+
+ASKED_SYMBOLS = "asked as (select row_number() over (order by id) as qid, id from code_symbols where sid % 97 = 3)"
+
+
+def asked_symbols(spark, sf_dir):
+    """(qid, id): a batch of questions about definitions, as many as there are."""
+    return code_symbols(spark, sf_dir).where("sid % 97 = 3").select(F.row_number().over(Window.orderBy("id")).cast("long").alias("qid"), "id")
+
+
+CERTAIN = "(select src, null as dst, path, line, position, 0 as original from call_sites where confidence not in ('resolved', 'unresolved') union all select src, dst, path, line, position, 1 from call_sites where confidence = 'unresolved')"
+
+
+@query("certain_unresolved", f"select src, line, position, case original when 1 then 'unresolved' else 'inferred' end as was, row_number() over (partition by src order by position, original, line) as n from {CERTAIN}", ("call_sites",))
+def certain_unresolved(spark, sf_dir):
+    """What is unresolved when only certain calls count: inferred sites are merged in before what was unresolved at the same place."""
+    rows = call_sites(spark, sf_dir).where("confidence <> 'resolved'").withColumn("original", (F.col("confidence") == "unresolved").cast("int"))
+    n = F.row_number().over(Window.partitionBy("src").orderBy("position", "original", "line")).cast("long")
+    return rows.withColumn("n", n).select("src", "line", "position", F.when(F.col("original") == 1, "unresolved").otherwise("inferred").alias("was"), "n")
+
+
+@query(
+    "unresolved_selected",
+    f"with {ASKED_SYMBOLS}, picked as (select (qid - 1) // 5 as packet, id from asked), u as (select packet, src, line, position, row_number() over (partition by packet order by position, src, line) as n, count(*) over (partition by packet) as total from call_sites join picked on src = id where confidence = 'unresolved') select packet, n, src, line, total from u where n <= 100",
+    ("code_symbols", "call_sites"),
+)
+def unresolved_selected(spark, sf_dir):
+    """Unresolved calls in the symbols that a packet selects: the first hundred in their order, and the number of all."""
+    picked = asked_symbols(spark, sf_dir).select(F.floor((F.col("qid") - 1) / 5).alias("packet"), F.col("id").alias("src"))
+    rows = call_sites(spark, sf_dir).where("confidence = 'unresolved'").join(F.broadcast(picked), "src")
+    every = Window.partitionBy("packet")
+    told = rows.withColumn("n", F.row_number().over(every.orderBy("position", "src", "line")).cast("long")).withColumn("total", F.count("*").over(every))
+    return told.where("n <= 100").select("packet", "n", "src", "line", "total")
+
+
+@query("symbol_callers", f"with {ASKED_SYMBOLS} select qid, src as id, tier, src = dst as recursive from asked join call_edges on dst = id", ("code_symbols", "call_edges"))
+def symbol_callers(spark, sf_dir):
+    """Callers, one call away; a definition that calls itself is an edge but no witness."""
+    asked, calls = asked_symbols(spark, sf_dir), call_edges(spark, sf_dir)
+    return asked.join(calls, asked["id"] == calls["dst"]).select("qid", F.col("src").alias("id"), "tier", (F.col("src") == F.col("dst")).alias("recursive"))
+
+
+def tiered(found, calls):
+    """found with ``tier``, the weakest of the calls of each chain; null for the start."""
+    hops = found.where("depth > 0").select("qid", "id", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda i: F.struct(F.element_at("chain", i).alias("a"), F.element_at("chain", i + 1).alias("b")))).alias("h")).select("qid", "id", "h.a", "h.b")
+    weakest = hops.join(calls, (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst"))).groupBy("qid", "id").agg(F.max("tier").alias("tier"))
+    return found.join(weakest, ["qid", "id"], "left")
+
+
+@query(
+    "symbol_trace",
+    walk_sql("select row_number() over (order by id) as qid, id from code_symbols where sid % 97 = 3", "select src, dst from call_edges where src <> dst", ", hops as (select qid, id, depth, unnest(chain[:-2]) as a, unnest(chain[2:]) as b from best where depth > 0) select qid, h.id, depth, max(tier) as tier from hops h join call_edges c on a = c.src and b = c.dst group by all"),
+    ("code_symbols", "call_edges"),
+    recursive=True,
+)
+def symbol_trace(spark, sf_dir):
+    """All that a definition's calls lead to, with the weakest confidence of the chain."""
+    calls = graph.cut(call_edges(spark, sf_dir))
+    found = graph.cut(graph.search(asked_symbols(spark, sf_dir), calls.where("src <> dst").select("src", "dst")).where("depth > 0"))
+    return tiered(found, calls).select("qid", "id", "depth", "tier")
+
+
+@query(
+    "symbol_flow",
+    walk_sql("select row_number() over (order by id) as qid, id from code_symbols where sid % 97 = 3", "select src, dst from call_edges where tier = 1", ", goals as (select row_number() over (order by id) - 1 as q, id as goal from code_symbols where sid % 97 = 3) select q as qid, goal, case when chain is null then 'no-path' else 'matched' end as status, array_to_string(chain, '>') as chain from goals left join best on qid = q and id = goal where q > 0"),
+    ("code_symbols", "call_edges"),
+    recursive=True,
+)
+def symbol_flow(spark, sf_dir):
+    """The shortest chain of certain calls from each definition to the next one asked about."""
+    asked = asked_symbols(spark, sf_dir)
+    goals = asked.where("qid > 1").select((F.col("qid") - 1).alias("qid"), "id")
+    found = graph.search(asked.join(goals.select("qid"), "qid", "left_semi"), call_edges(spark, sf_dir).where("tier = 1").select("src", "dst"), targets=goals)
+    met = found.join(goals, ["qid", "id"], "left_semi").select("qid", F.array_join("chain", ">").alias("chain"))
+    return goals.join(met, "qid", "left").select("qid", F.col("id").alias("goal"), F.when(F.col("chain").isNull(), "no-path").otherwise("matched").alias("status"), "chain")
+
+
 @query("context_pages", "select path, n, first_line from (select path, row_number() over (partition by folder order by lines, path) as n, lines as first_line from code_files) where n <= 3", ("code_files",))
 def context_pages(spark, sf_dir):
     """The three shortest files of each folder, which a context bundle takes first."""

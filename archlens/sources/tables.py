@@ -21,10 +21,11 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, type with multiplicity."""
+    """src, dst, type with multiplicity: a reference for each order."""
     n = table(spark, sf_dir, "part").count()
-    kind = F.when(F.col("l_returnflag") == "R", "import").when(F.col("l_returnflag") == "A", "http").otherwise("rpc")
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_linestatus = 'F'").select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") % n).alias("dst"), kind.alias("type"))
+    kind = F.when(F.col("o_orderpriority").startswith("5") & (F.col("o_orderstatus") == "P"), "realtime")
+    kind = kind.when(F.col("o_orderstatus") == "F", "import").when(F.col("o_orderstatus") == "O", "http").otherwise("rpc")
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % n).alias("src"), (F.col("o_orderkey") % n).alias("dst"), kind.alias("type"))
 
 
 def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,3 +48,37 @@ def group_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, path: the first file of each top folder, one for each of a batch of questions."""
     return code_files(spark, sf_dir).groupBy("top").agg(F.min("path").alias("path")).select(F.row_number().over(Window.orderBy("path")).cast("long").alias("qid"), "path")
+
+
+#: Confidence of a call from strongest to weakest.
+TIERS = ("resolved", "instance-local", "typed", "through-decorator")
+
+
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sid, id, name, qualname, path, decorated, entry_point, lines: a definition in each file."""
+    name = F.substring_index("stem", "_", 1)
+    lines = F.col("lines")
+    return code_files(spark, sf_dir).select(
+        F.col("fid").alias("sid"), F.concat("path", F.lit("#"), name, F.lit("@1")).alias("id"), name.alias("name"), F.regexp_replace("stem", "_[0-9]+$", "").alias("qualname"), "path",
+        (lines % 5 == 0).alias("decorated"), (lines % 10 == 0).alias("entry_point"), "lines",
+    )
+
+
+def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, confidence, path, line, position: a call for each line item; dst is null where it is not resolved."""
+    n = table(spark, sf_dir, "part").count()
+    symbols = code_symbols(spark, sf_dir)
+    a, b = symbols.select(F.col("sid").alias("l_partkey"), F.col("id").alias("src"), "path"), symbols.select(F.col("sid").alias("to"), F.col("id").alias("dst"))
+    number = F.col("l_linenumber")
+    tier = F.when(number <= 3, TIERS[0]).when(number == 4, TIERS[1]).when(number == 5, TIERS[2]).when(number == 6, TIERS[3]).otherwise("unresolved")
+    items = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") % n).alias("to"), "l_linenumber", "l_quantity", "l_orderkey")
+    return items.join(a, "l_partkey").join(b, "to").select("src", F.when(number < 7, F.col("dst")).alias("dst"), tier.alias("confidence"), "path", (F.col("l_quantity") + 1).cast("int").alias("line"), F.col("l_orderkey").alias("position"))
+
+
+def tier_rank(column: str = "confidence"):
+    return F.array_position(F.array(*map(F.lit, TIERS)), F.col(column))
+
+
+def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, tier: the weakest of a pair's sites, 1 is strongest."""
+    return call_sites(spark, sf_dir).where("dst is not null").groupBy("src", "dst").agg(F.max(tier_rank()).alias("tier"))

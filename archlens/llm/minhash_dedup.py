@@ -26,6 +26,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archlens.llm.bloom import build_filter
 from archlens.llm.common import Scratch, runs, sliced
 from archlens.llm.components import components
 
@@ -234,18 +235,20 @@ def confirmed(sets: list, sk, percent: int) -> list[tuple[int, int]]:
 def _confirm(members: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
     """(a, b): a spanning forest of the links inside each group of members (component, id, n, sketch, doc_id, digest, set_hash)."""
     members = scratch.put(members, "members")
+    # Texts are read where they lie: a filter of those that stand for a class lets these through, and only their sets are moved.
+    sent = docs.sparkSession.sparkContext.broadcast(build_filter(members.select(F.xxhash64("doc_id", "digest").alias("key"))))
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(text).alias("digest"), text.alias("text"))
-    named = members.select(F.col("doc_id").alias("i"), F.col("digest").alias("d"))
-    texts = rows.join(named, rows["doc_id"].eqNullSafe(named["i"]) & (rows["digest"] == named["d"]), "left_semi").select("text")
+    rows = docs.select(text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), _digest(text)).alias("key"))
 
     def hashed(batches):
         import pyarrow as pa
 
         memo: dict = {}
-        for batch in sliced(batches, 128):
-            sets = [_shingles(x, k, memo) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_hash", "shingles"])
+        for batch in sliced(batches, 4096):
+            batch = batch.filter(pa.array(sent.value.test(batch.column("key").to_numpy())))
+            for part in sliced([batch], 128):
+                sets = [_shingles(x, k, memo) for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_hash", "shingles"])
 
     def work(batches):
         import numpy as np
@@ -276,7 +279,7 @@ def _confirm(members: DataFrame, docs: DataFrame, scratch: Scratch, k: int, perc
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("id").filter(keep), batch.column("pivot").filter(keep)], names=["a", "b"])
 
-    sets = texts.mapInArrow(hashed, "set_hash binary, shingles binary").dropDuplicates(["set_hash"])
+    sets = rows.mapInArrow(hashed, "set_hash binary, shingles binary").dropDuplicates(["set_hash"])
     sets = sets.join(members.select("set_hash", "id"), "set_hash").select("id", "shingles")
     members = members.select("component", "id", "n", "sketch")
     blocks_of = lambda count, n: F.greatest(F.ceil(count / BLOCK), F.ceil(n * 8 / BLOCK_BYTES)).cast("long")

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from archlens.functions.text import concept_terms, normalize_question
 
-# Field weights, BM25 parameters and floors, scores of the tiers, acceptance.
+# Field weights, BM25 parameters and floors, temperature.
 FIELDS = {"name": 2.0, "path": 0.5, "docstring": 1.5}
 K1, B, FLOOR, COVERAGE, HITS = 1.2, 0.75, 4.0, 0.5, 8
-TIERS = {"path": 60, "basename": 50, "stem": 40, "partial": 30, "fuzzy": 20}
-EVIDENCE, COVERED, MARGIN, TEMPERATURE = 4.0, 0.6, 1.0, 1.5
+TEMPERATURE = 1.5
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -58,20 +57,9 @@ def edit_distance(a: Column, b: Column, cap: int = 2) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > cap, cap + 1).otherwise(F.when(d == -1, cap + 1).otherwise(d))
 
 
-def fuzzy_limit(a: Column) -> Column:
-    """Edits that a name may differ by: none below five letters, one below eight, else two."""
-    return F.when(F.length(a) < 5, 0).when(F.length(a) < 8, 1).otherwise(2)
-
-
 def head(scores: DataFrame) -> DataFrame:
     """scores(qid, idx, id, score) with rank, probability (softmax) and margin to the runner-up, 0 if there is none."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "idx")
     every = Window.partitionBy("qid")
     p = F.exp((F.col("score") - F.max("score").over(every)) / TEMPERATURE)
     return scores.withColumn("rank", F.row_number().over(order)).withColumn("e", p).withColumn("p", F.col("e") / F.sum("e").over(every)).withColumn("margin", F.col("score") - F.coalesce(F.lead("score").over(order), F.lit(0.0))).drop("e")
-
-
-def decision(score: Column, coverage: Column, margin: Column, tier: Column, missing: Column) -> Column:
-    """Exact, Likely, Needs your choice or No match."""
-    accepted = (score >= EVIDENCE) & (coverage >= COVERED) & (margin >= MARGIN) & ~missing & (tier != "fuzzy")
-    return F.when(accepted & tier.isin("path", "basename"), "Exact").when(accepted, "Likely").when(score > 0, "Needs your choice").otherwise("No match")

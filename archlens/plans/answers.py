@@ -9,8 +9,8 @@ from archlens.functions import text as T
 from archlens.operators import graph, ranking
 from archlens.plans.base import query
 from archlens.plans.graphs import BACKWARD, FORWARD, SEEDS, starts, walk_sql
-from archlens.plans.text import CONCEPT, NORMAL, TERMS_RAW
-from archlens.sources.tables import code_files, path_edges, seeds, table
+from archlens.plans.text import NORMAL
+from archlens.sources.tables import code_files, path_edges, seeds
 
 ASKED = "asked as (select qid, 'What depends on ' || path || '?' as question from seeds)"
 
@@ -31,88 +31,31 @@ def q_dependents(spark, sf_dir):
     return found.where("depth > 0").select("qid", F.lit("DOWNSTREAM").alias("op"), F.element_at("chain", 1).alias("target"), "id", "depth", F.array_join(F.reverse("chain"), ">").alias("witness"))
 
 
-#: Requests for files: a path, a basename, a stem, a part of a stem, a misspelt stem and an unknown name, each for one file of each group.
-REQUESTS = """requests as (select qid * 10 + k as qid, case k when 0 then path when 1 then stem || '.py' when 2 then stem when 3 then regexp_extract(stem, '^([^_]*)', 1) when 4 then 'x' || stem else 'no such thing' end as name
-  from (select qid, path, regexp_extract(path, '([^/]*)[.]py$', 1) as stem from seeds), (select unnest(range(0, 6)) as k))"""
-TIER_SQL = f"""with {REQUESTS}, t as (select r.qid, f.path as id, case when f.path = name then 60 when f.stem || '.py' = name then 50 when f.stem = name then 40
-    when length(name) >= 3 and contains(f.stem, name) then 30
-    when abs(length(f.stem) - length(name)) <= 2 and levenshtein(f.stem, name) <= case when length(name) < 5 then 0 when length(name) < 8 then 1 else 2 end then 20 - levenshtein(f.stem, name) end as score from requests r, code_files f)"""
+#: Rows that tie at the top are told apart by number: short names that many files begin with.
+HEAD_SQL = """with s as (select qid, f.path as id, 30.0 - levenshtein(f.folder, split_part(s.path, '/', 1) || '/' || split_part(s.path, '/', 2)) as score, f.fid as idx from seeds s join code_files f on f.top = split_part(s.path, '/', 1)),
+  h as (select *, row_number() over w as rank, score - coalesce(lead(score) over w, 0) as margin, exp((score - max(score) over (partition by qid)) / 1.5) as e from s window w as (partition by qid order by score desc, idx))"""
 
 
-def requests(spark, sf_dir):
-    s = seeds(spark, sf_dir).withColumn("stem", F.regexp_extract("path", "([^/]*)[.]py$", 1)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))
-    k = F.col("k")
-    name = F.when(k == 0, F.col("path")).when(k == 1, F.concat("stem", F.lit(".py"))).when(k == 2, F.col("stem")).when(k == 3, F.regexp_extract("stem", "^([^_]*)", 1)).when(k == 4, F.concat(F.lit("x"), "stem")).otherwise("no such thing")
-    return s.select((F.col("qid") * 10 + k).alias("qid"), name.alias("name"))
-
-
-def tiers(spark, sf_dir):
-    """Each request against each file: the requests are a batch of bounded size, the files are scanned once."""
-    files = code_files(spark, sf_dir).select(F.col("path").alias("id"), "stem")
-    n, s = F.col("name"), F.col("stem")
-    d = ranking.edit_distance(s, n)
-    score = F.when(F.col("id") == n, 60).when(F.concat(s, F.lit(".py")) == n, 50).when(s == n, 40).when((F.length(n) >= 3) & F.contains(s, n), 30).when(d <= ranking.fuzzy_limit(n), 20 - d)
-    batch = requests(spark, sf_dir).agg(F.collect_list(F.struct("qid", "name")).alias("batch"))
-    rows = files.crossJoin(F.broadcast(batch)).select("id", "stem", F.explode("batch").alias("r")).select("id", "stem", "r.qid", "r.name")
-    return rows.withColumn("score", score).where("score is not null").select("qid", "id", "score")
-
-
-@query("filename_tiers", TIER_SQL + " select qid, id, score from t where score is not null", ("code_files", "seeds"))
-def filename_tiers(spark, sf_dir):
-    return tiers(spark, sf_dir).select("qid", "id", F.col("score").cast("long").alias("score"))
-
-
-HEAD_SQL = TIER_SQL + """, h as (select *, row_number() over w as rank, score - coalesce(lead(score) over w, 0) as margin, exp((score - max(score) over (partition by qid)) / 1.5) as e from t where score is not null window w as (partition by qid order by score desc, id))"""
+def scores(spark, sf_dir):
+    """(qid, idx, id, score): the files of each question's group by how near their folder is to its own."""
+    own = seeds(spark, sf_dir).select("qid", F.substring_index("path", "/", 1).alias("top"), F.substring_index("path", "/", 2).alias("home"))
+    files = code_files(spark, sf_dir).select("top", "folder", F.col("path").alias("id"), F.col("fid").alias("idx"))
+    return files.join(F.broadcast(own), "top").select("qid", "idx", "id", (30.0 - F.levenshtein("folder", "home")).alias("score"))
 
 
 @query("softmax_head", HEAD_SQL + " select qid, rank, id, round(e / sum(e) over (partition by qid), 6) as p, cast(margin as double) as margin from h qualify rank <= 3", ("code_files", "seeds"))
 def softmax_head(spark, sf_dir):
-    """The three best of each request with probability and margin."""
-    rows = ranking.head(tiers(spark, sf_dir).withColumn("idx", F.col("id")))
+    """The three best of each question with probability and margin; equal scores in order of their number."""
+    rows = ranking.head(scores(spark, sf_dir))
     return rows.where("rank <= 3").select("qid", F.col("rank").cast("long").alias("rank"), "id", F.round("p", 6).alias("p"), F.col("margin").cast("double").alias("margin"))
 
 
-@query(
-    "decision",
-    HEAD_SQL + """ select r.qid, case when score >= 4 and margin >= 1 and score >= 50 then 'Exact' when score >= 4 and margin >= 1 and score >= 30 then 'Likely' when score > 0 then 'Needs your choice' else 'No match' end as label,
-    case when score >= 4 and margin >= 1 and score >= 30 then h.id end as chosen from requests r left join h on r.qid = h.qid and h.rank = 1""",
-    ("code_files", "seeds"),
-)
-def decision(spark, sf_dir):
-    """Exact, Likely, a choice or nothing for each request; never a guess between equals or on a misspelling."""
-    best = ranking.head(tiers(spark, sf_dir).withColumn("idx", F.col("id"))).where("rank = 1").select("qid", "id", "score", "margin")
-    rows = requests(spark, sf_dir).join(best, "qid", "left").fillna({"score": 0, "margin": 0.0})
-    tier = F.when(F.col("score") >= 60, "path").when(F.col("score") >= 50, "basename").when(F.col("score") >= 40, "stem").when(F.col("score") >= 30, "partial").otherwise("fuzzy")
-    label = ranking.decision(F.col("score"), F.lit(1.0), F.col("margin"), tier, F.lit(False))
-    return rows.select("qid", label.alias("label"), F.when(label.isin("Exact", "Likely"), F.col("id")).alias("chosen"))
-
-
-@query("tied_best", HEAD_SQL + " select qid, id, score from (select *, rank() over (partition by qid order by score desc) as place from h) where place = 1 or rank <= 3", ("code_files", "seeds"))
+@query("tied_best", HEAD_SQL + " select qid, id, cast(score as double) as score from (select *, rank() over (partition by qid order by score desc) as place from h) where place = 1 or rank <= 3", ("code_files", "seeds"))
 def tied_best(spark, sf_dir):
     """All that share the best score, filled up to three."""
     best = Window.partitionBy("qid").orderBy(F.desc("score"))
-    rows = tiers(spark, sf_dir).withColumn("place", F.rank().over(best)).withColumn("n", F.row_number().over(best.orderBy(F.desc("score"), "id")))
-    return rows.where("place = 1 or n <= 3").select("qid", "id", F.col("score").cast("long").alias("score"))
-
-
-GROUPS = """groups as (select p_brand as id, lower(p_brand) as label, string_agg(distinct lower(split_part(p_type, ' ', 2)), ' ') as descr from part group by 1), wanted(qid, question) as (values (1, 'brand#11 anodized'), (2, 'the brushed code'), (3, 'brand 45'), (4, 'nothing here'))"""
-WANTED = [(1, "brand#11 anodized"), (2, "the brushed code"), (3, "brand 45"), (4, "nothing here")]
-
-
-@query(
-    "architecture_scores",
-    f"""with {GROUPS}, q as (select qid, list_distinct({TERMS_RAW.format('question')}) as t from wanted), g as (select id, list_distinct({TERMS_RAW.format('label')}) as l, list_distinct({TERMS_RAW.format('descr')}) as d from groups),
-    s as (select qid, id, case when len(t) = 0 then 0 else len(list_intersect(t, l)) / len(t) end as ol, case when len(t) = 0 then 0 else len(list_intersect(t, d)) / len(t) end as od, case when len(t) = 0 then 0 else len(list_filter(t, lambda x: list_contains(l, x) or list_contains(d, x))) / len(t) end as cov from q, g)
-    select qid, id, round(case when ol = 1 then 8 else 4 * ol end + 1.5 * od, 6) as score, round(cov, 6) as coverage from s""",
-)
-def architecture_scores(spark, sf_dir):
-    """Groups by how much of a question their label and description hold; a full label counts double."""
-    kinds = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("id")).agg(F.array_join(F.collect_set(F.lower(F.get(F.split("p_type", " "), F.lit(1)))), " ").alias("descr"))
-    groups = kinds.select("id", T.terms(F.lower("id")).alias("l"), T.terms(F.col("descr")).alias("d"))
-    q = spark.createDataFrame(WANTED, "qid int, question string").select("qid", T.terms(F.col("question")).alias("t"))
-    share = lambda c: F.when(F.size("t") == 0, 0.0).otherwise(F.size(F.array_intersect("t", c)) / F.size("t"))
-    rows = groups.crossJoin(F.broadcast(q)).withColumn("ol", share("l")).withColumn("od", share("d"))
-    return rows.select("qid", "id", F.round(F.when(F.col("ol") == 1, 8.0).otherwise(4 * F.col("ol")) + 1.5 * F.col("od"), 6).alias("score"), F.round(share(F.array_union("l", "d")), 6).alias("coverage"))
+    rows = scores(spark, sf_dir).withColumn("place", F.rank().over(best)).withColumn("n", F.row_number().over(best.orderBy(F.desc("score"), "idx")))
+    return rows.where("place = 1 or n <= 3").select("qid", "id", F.col("score").cast("double").alias("score"))
 
 
 ALIASES = [("The Hub", "brand11"), ("the hub ", "brand12"), ("core", "brand22"), ("economy", "brand33"), ("  Core", "brand22")]
@@ -134,13 +77,6 @@ def alias_merge(spark, sf_dir):
     return rows.withColumn("alias", F.lower(F.trim(F.regexp_replace("alias", r"\s+", " ")))).dropDuplicates(["alias", "node"])
 
 
-@query("synonym_rank", "select qid, max(score) as score from (select 1 as qid, 8.0 as score union all select 1, 6.0 union all select 2, 30 * 0.75) group by 1")
-def synonym_rank(spark, sf_dir):
-    """Best of a literal score and of scores by a synonym, which count three quarters."""
-    rows = spark.createDataFrame([(1, 8.0, False), (1, 8.0, True), (2, 30.0, True)], "qid int, score double, synonym boolean")
-    return rows.groupBy("qid").agg(F.max(F.when(F.col("synonym"), F.col("score") * 0.75).otherwise(F.col("score"))).alias("score"))
-
-
 @query(
     "name_collisions",
     "select name, count(distinct kind) as kinds, count(*) as n from (select distinct name, kind, id from (select lower(stem) as name, 'file' as kind, path as id from code_files union all select lower(regexp_extract(unnest([top, folder]), '([^/]*)$', 1)), 'layer', unnest([top, folder]) from code_files union all select lower(split_part(replace(stem, '_', ' '), ' ', 1)), 'symbol', path from code_files union all select split_part(folder, '/', 2), 'symbol', path from code_files)) group by 1 having count(distinct kind) > 1",

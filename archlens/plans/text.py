@@ -65,7 +65,7 @@ def duck_intent():
         p = pattern.replace("'", "''")
         fits = f"regexp_matches(normal, '{p}')"
         if op == "MALFORMED":
-            fits += f" and not (regexp_matches(normal, '{T.HANDLERS}') and not regexp_matches(normal, '^from\\s+|^how\\b.*\\b(reach|connect|get to)\\b'))"
+            fits += f" and not (regexp_matches(normal, '{T.HANDLERS}') and not regexp_matches(normal, '{T.ENDS_MISSING}'))"
         got = lambda g, p=p: "null" if g is None else f"regexp_extract(normal, '{p}', {g})"
         fields["op"].append((fits, f"'{'PATH' if op == 'MALFORMED' else op}'"))
         fields["target"].append((fits, "null" if op in ("PATH", "MALFORMED") else got(a)))
@@ -116,19 +116,14 @@ def fuzzy_names(spark, sf_dir):
     return a.join(b, "n").where("name < other").withColumn("d", ranking.edit_distance(F.col("name"), F.col("other"))).where("d <= 2").select("name", "other", "d")
 
 
-@query("synonym_variants", "select 'db' as word, unnest(['database']) as variant union all select 'database', 'db' union all select 'config', unnest(['configuration', 'settings']) union all select 'configuration', unnest(['config', 'settings']) union all select 'settings', unnest(['config', 'configuration']) union all select 'msg', 'message' union all select 'message', 'msg' union all select 'auth', 'authentication' union all select 'authentication', 'auth' union all select 'repo', 'repository' union all select 'repository', 'repo' union all select 'env', 'environment' union all select 'environment', 'env'")
-def synonym_variants(spark, sf_dir):
-    groups = spark.createDataFrame([(list(g),) for g in T.SYNONYMS], "g array<string>")
-    return groups.select(F.explode("g").alias("word"), "g").select("word", F.explode("g").alias("variant")).where("word <> variant")
-
-
-TEXTS = r"""texts as (select doc_id as id, left(source, 80) as name, left(source || '/' || lang, 120) as path, left(trim(regexp_replace(split_part(text, chr(10), 1), '[ \t\r\n]+', ' ', 'g')), 300) as docstring from documents)"""
+TEXTS = r"""texts as (select doc_id as id, left(source, 80) as name, left(source || '/' || lang, 120) as path, left(trim(regexp_replace(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\n\s*\n')[1], '[ \t\r\n]+', ' ', 'g')), 300) as docstring from documents)"""
 PROBES = "probes(qid, question) as (values (1, 'that the mission'), (2, 'src3 thing'), (3, 'zebra'), (4, 'ener shth'), (5, 'src7 onan'))"
 PROBE_ROWS = [(1, "that the mission"), (2, "src3 thing"), (3, "zebra"), (4, "ener shth"), (5, "src7 onan")]
 
 
 def code_text(spark, sf_dir):
-    first = F.trim(F.regexp_replace(F.substring_index("text", "\n", 1), r"[ \t\r\n]+", " "))
+    body = F.regexp_replace("text", r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    first = F.trim(F.regexp_replace(F.get(F.split(body, r"\n\s*\n", 2), F.lit(0)), r"[ \t\r\n]+", " "))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("source", 1, 80).alias("name"), F.substring(F.concat_ws("/", "source", "lang"), 1, 120).alias("path"), F.substring(first, 1, 300).alias("docstring"))
 
 

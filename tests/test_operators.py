@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archlens.functions import text as T
-from archlens.operators import assign, graph, qlog, ranking
+from archlens.operators import assign, graph, qlog, ranking, scoring
 from archlens.plans.extraction import SOURCES, sources
 from archlens.sources import extract
 
@@ -42,14 +42,61 @@ def test_search_equals_fifo_in_any_order(spark, seed):
         assert got == want
 
 
-def test_components_and_layers(spark):
-    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("a", "e"), ("f", "f")]
+@pytest.fixture(params=["arrays", "joins"])
+def way(request, monkeypatch):
+    """Both ways of the graph operators: a graph that is broadcast, and one that is not."""
+    if request.param == "joins":
+        monkeypatch.setattr(graph, "LOCAL_PAIRS", -1)
+    return request.param
+
+
+def test_search_both_ways(spark, way):
+    rng = random.Random(4)
+    nodes = [f"n{i:02}" for i in range(40)]
+    edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(90)]
+    pairs = spark.createDataFrame(edges + edges[:5], "src string, dst string")
+    starts = spark.createDataFrame([(1, "n01"), (1, "n00"), (2, "alone"), (3, "n05"), (4, "alone")], "qid long, id string")
+    targets = spark.createDataFrame([(3, "n20"), (3, "n05"), (4, "alone"), (1, "n39")], "qid long, id string")
+    avoid = spark.createDataFrame([(1, "n02"), (3, "n07")], "qid long, id string")
+    got = sorted((r["qid"], r["id"], r["depth"], tuple(r["chain"])) for r in graph.search(starts, pairs, avoid=avoid).collect())
+    near = {}
+    for x, y in sorted(set(edges)):
+        near.setdefault(x, []).append(y)
+    want = []
+    for q, seeds, out in ((1, ["n00", "n01"], "n02"), (2, ["alone"], None), (3, ["n05"], "n07"), (4, ["alone"], None)):
+        chain, queue = {s: (s,) for s in seeds}, deque(seeds)
+        while queue:
+            x = queue.popleft()
+            for y in near.get(x, []):
+                if y not in chain and y != out:
+                    chain[y] = (*chain[x], y)
+                    queue.append(y)
+        want += [(q, k, len(v) - 1, v) for k, v in chain.items()]
+    assert got == sorted(want)
+    found = graph.search(starts, pairs, targets=targets).collect()
+    assert max(r["depth"] for r in found if r["qid"] == 3) == 0 and [r["depth"] for r in found if r["qid"] == 4] == [0]
+    assert graph.search(starts, pairs.where("false")).count() == 5 and graph.search(starts.where("false"), pairs).count() == 0
+
+
+def test_components_and_layers(spark, way):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("a", "e"), ("f", "f"), ("h", "i"), ("i", "h"), ("i", "a")]
     pairs = spark.createDataFrame(edges, "src string, dst string")
-    nodes = spark.createDataFrame([(x,) for x in "abcdefg"], "id string")
-    reach = graph.closure(pairs)
-    assert {(r["src"], r["dst"]) for r in reach.collect()} >= {("a", "a"), ("a", "e"), ("f", "f")}
-    got = {r["id"]: (r["component"], r["column"]) for r in graph.layering(nodes, pairs, reach).collect()}
-    assert got == {"a": ("a", 0), "b": ("a", 0), "c": ("a", 0), "d": ("d", 1), "e": ("e", 2), "f": ("f", 0), "g": ("g", 0)}
+    nodes = spark.createDataFrame([(x,) for x in "abcdefghi"], "id string")
+    got = {r["id"]: (r["component"], r["column"]) for r in graph.layering(nodes, pairs).collect()}
+    assert got == {"a": ("a", 1), "b": ("a", 1), "c": ("a", 1), "d": ("d", 2), "e": ("e", 3), "f": ("f", 0), "g": ("g", 0), "h": ("h", 0), "i": ("h", 0)}
+    assert {(r["src"], r["dst"]) for r in graph.closure(pairs).collect()} >= {("a", "a"), ("a", "e"), ("f", "f"), ("h", "e")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_equal_mutual_reach(spark, way, seed):
+    rng = random.Random(seed)
+    nodes = [f"n{i:02}" for i in range(30)]
+    edges = {(rng.choice(nodes), rng.choice(nodes)) for _ in range(45)}
+    reach = {x: set(plain_search(edges, x, 99)) for x in nodes}
+    want = {x: min(y for y in reach[x] if x in reach[y]) for x in nodes}
+    frame = spark.createDataFrame(sorted(edges), "src string, dst string")
+    got = {r["id"]: r["component"] for r in graph.strong_components(spark.createDataFrame([(x,) for x in nodes], "id string"), frame).collect()}
+    assert got == want
 
 
 @pytest.mark.parametrize(
@@ -89,10 +136,42 @@ def test_grammar(spark, question, want):
 
 
 def test_decision_never_guesses(spark):
-    rows = [(60, 1.0, 60.0, "path", False, "Exact"), (40, 1.0, 0.0, "stem", False, "Needs your choice"), (18, 1.0, 18.0, "fuzzy", False, "Needs your choice"), (0, 0.0, 0.0, "stem", False, "No match"), (50, 1.0, 10.0, "stem", True, "Needs your choice"), (40, 0.5, 9.0, "stem", False, "Needs your choice")]
-    df = spark.createDataFrame(rows, "s int, c double, m double, t string, x boolean, want string")
-    got = df.select("want", ranking.decision(F.col("s"), F.col("c"), F.col("m"), F.col("t"), F.col("x")).alias("got")).collect()
-    assert all(r["want"] == r["got"] for r in got)
+    """(qid, idx, score, coverage, tier, missing) of the rows of each text, and what is decided."""
+    rows = [
+        (1, 1, 60.0, 1.0, "path", False), (2, 1, 40.0, 1.0, "stem", False), (2, 2, 40.0, 1.0, "stem", False), (3, 1, 18.0, 1.0, "fuzzy", False), (4, 1, 0.0, 0.0, "none", True),
+        (5, 1, 50.0, 1.0, "stem", True), (6, 1, 40.0, 0.5, "stem", False), (7, 1, 40.0, 1.0, "stem", False), (7, 2, 39.5, 1.0, "stem", False), (8, 1, 40.0, 1.0, "stem", False), (8, 2, 20.0, 1.0, "partial", False),
+    ]
+    df = spark.createDataFrame([(q, i, f"n{i}", s, s, c, t, t == "path", "filename", m, "file") for q, i, s, c, t, m in rows], "qid int, idx long, id string, score double, evidence double, coverage double, tier string, exact boolean, mode string, missing boolean, branch string")
+    texts = spark.createDataFrame([(q,) for q in range(1, 10)], "qid int")
+    got = {r["qid"]: (r["label"], r["choice"] if r["yes"] else None, r["suggestions"]) for r in scoring.heads(texts, scoring.finished(df)).collect()}
+    choice, none = "Needs your choice", ("No match", None, [])
+    assert got == {1: ("Exact match", "n1", ["n1"]), 2: (choice, None, ["n1", "n2"]), 3: (choice, None, ["n1"]), 4: none, 5: (choice, None, ["n1"]), 6: none, 7: (choice, None, ["n1", "n2"]), 8: ("Likely match", "n1", ["n1", "n2"]), 9: none}
+
+
+def test_misspellings_meet_by_pieces(spark):
+    """Names at most two edits apart that may pass for a misspelling: what meets by equal pieces is all that a comparison of all finds."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcd", k=rng.randrange(3, 14))) for _ in range(60)]
+    for w in list(words):
+        x = list(w)
+        for _ in range(rng.randrange(1, 3)):
+            i = rng.randrange(len(x) + 1)
+            x[i : i + rng.randrange(0, 2)] = rng.choice(["a", "e", ""])
+        words.append("".join(x))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a):
+            new = [i + 1]
+            for j, d in enumerate(b):
+                new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (c != d)))
+            row = new
+        return row[-1]
+
+    names = sorted({w for w in words if w})
+    want = {(a, b, edits(a, b)) for a in names for b in names if len(a) >= 5 and len(b) >= 3 and 0 < edits(a, b) <= (1 if len(a) < 8 else 2) and edits(a, b) / max(len(a), len(b)) <= 0.2}
+    frame = spark.createDataFrame([(n,) for n in names], "a string")
+    assert {(r["a"], r["b"], r["d"]) for r in scoring.near_names(frame, frame.withColumnRenamed("a", "b")).collect()} == want and want
 
 
 def test_concept_search_needs_every_word(spark):

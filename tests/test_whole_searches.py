@@ -4,8 +4,6 @@ import os
 from collections import deque
 
 import pytest
-from pyspark.sql import functions as F
-
 from archlens.engine import Engine
 from archlens.operators import graph
 from archlens.plans.registry import QUERIES
@@ -38,11 +36,13 @@ def test_engine_follows_a_long_chain(spark):
 
 
 def test_boundary_search_follows_a_long_chain(spark):
-    ids = [f"{'a' if i < 30 else 'b'}/{i:02}" for i in range(33)]
-    pairs = spark.createDataFrame(list(zip(ids, ids[1:])), "src string, dst string")
-    start = spark.createDataFrame([(1, ids[0], "a")], "qid long, id string, home string")
-    found = graph.boundary_search(start, pairs, F.substring_index("id", "/", 1)).where("crossed")
-    assert sorted((r["id"], r["depth"]) for r in found.collect()) == [(ids[i], i) for i in (30, 31, 32)]
+    """The only link that is no import comes late; what lies behind it is met across a boundary, and the start is not met again."""
+    ids = [f"f{i:02}" for i in range(33)]
+    edges = [(a, b, "http" if b == "f29" else "import") for a, b in zip(ids, ids[1:])] + [(ids[-1], ids[0], "rpc"), (ids[0], ids[5], "rpc")]
+    start = spark.createDataFrame([(1, ids[0])], "qid long, id string")
+    found = graph.boundary_search(start, spark.createDataFrame(edges, "src string, dst string, type string"))
+    got = {r["id"]: (r["depth"], r["chain"]) for r in found.collect()}
+    assert set(got) == set(ids[5:]) and got["f05"] == (1, ["f00", "f05"]) and got["f32"][0] == 28
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")

@@ -5,7 +5,8 @@ Distances of every vector to many pivots are computed once. For a query q and a
 (|q|^2 + |v|^2 - L^2) / 2 is an upper bound of the inner product. Candidates are evaluated in the order of their
 bounds until the k-th best score found exceeds every bound that is left; ties of scores are still evaluated.
 
-1. Vectors are dealt into chunks of bounded size, those of a chunk nearest to the same pivot; so are queries, into blocks.
+1. Vectors are dealt into chunks of bounded size, those of a chunk nearest to the same pivot; so are queries, into blocks, unless
+   they are so few that some pivots share one: each block costs a copy of the chunks it needs.
 2. Each query is answered within its own chunk first: its k-th score there is a floor.
 3. Ranges of distances of a block and a chunk bound all their inner products at once: where that lies below the floors of the block,
    the chunk is never sent to it. Otherwise a task holds one block and one chunk, skips what lies below a query's floor, and keeps k rows
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from archlens.llm.common import Scratch, sliced
 
 SCALE, PIVOTS = 1024, 48
-#: Vectors in a chunk and queries in a block at most; chunks that even a small table is dealt into; candidates evaluated at once.
-CHUNK, QUERIES, FEWEST, STEP = 65_536, 16_384, 16, 256
+#: Vectors in a chunk and queries in a block at most; candidates evaluated at once.
+CHUNK, QUERIES, STEP = 65_536, 16_384, 256
 #: Chunks whose ranges are broadcast (40 MB of numbers); of more, none is left out beforehand.
 RANGES = 100_000
 
@@ -136,9 +137,12 @@ def _ranges(rows: DataFrame, group: str, floored: bool) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, name: str, most: int, fewest: int, scratch: Scratch) -> DataFrame:
-    """rows with a number ``name``: groups of at most about ``most`` rows of the same length and nearest pivot."""
+    """rows with a number ``name``: groups of at most about ``most`` rows, of the same length and nearest pivot where there are as many
+    groups as pivots."""
     n = rows.count()
-    size = max(1, min(most, -(-n // fewest)))
+    if -(-n // most) < fewest:
+        return scratch.put(rows.withColumn(name, F.pmod("cell", F.lit(max(1, -(-n // most)))).cast("long")), name)
+    size = most
     cells = rows.groupBy("dim", "cell").agg(F.ceil(F.count("*") / size).cast("long").alias("parts"))
     cells = cells.select(F.col("dim").alias("d"), F.col("cell").alias("c"), "parts")
     part = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))
@@ -190,10 +194,10 @@ def top_k(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddin
     rows = scaled(vectors, id_column, column)
     # As many pivots as a parameter says, whatever the size of the table.
     pivots = [r["v"] for r in rows.select("v", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(PIVOTS).collect()]
-    table = _dealt(scratch.put(_pivoted(rows, pivots), "pivots"), "chunk", CHUNK, FEWEST, scratch)
+    table = _dealt(scratch.put(_pivoted(rows, pivots), "pivots"), "chunk", CHUNK, 0, scratch)
     one = F.min(F.struct("v", "dim", "far", "cell", F.col("chunk").alias("home"))).alias("q")
     asked = table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(one).select("vec_id", "q.*")
-    queries = _dealt(scratch.put(asked, "asked"), "block", QUERIES, 1, scratch)
+    queries = _dealt(scratch.put(asked, "asked"), "block", QUERIES, PIVOTS, scratch)
 
     schema = "query_id long, vec_id long, score long, evaluated long"
     at_home = queries.withColumn("chunk", F.col("home")).withColumn("floor", F.lit(None).cast("long"))

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archlens.operators.graph import cut
+
 
 def glob_pattern(glob: str) -> str:
     """A glob as an anchored pattern: ``*`` any characters, ``?`` one, ``[...]`` a class."""
@@ -66,3 +68,17 @@ def folders(files: DataFrame) -> DataFrame:
     labels = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     every = files.where(F.col("path").contains("/")).select(F.explode(labels).alias("label")).distinct()
     return every.select("label", F.when(F.col("label").contains("/"), F.regexp_replace("label", "/[^/]*$", "")).alias("parent"), (F.size(F.split("label", "/")) - 1).alias("depth"))
+
+
+def compacted(files: DataFrame) -> DataFrame:
+    """(label, compact_label) of the folders of files(path): one without files of its own whose only child is a folder is shown as that."""
+    every = folders(files)
+    kids = every.where("parent is not null").groupBy(F.col("parent").alias("p")).agg(F.count("*").alias("n"), F.min("label").alias("only"))
+    own = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("p")).distinct()
+    steps = cut(kids.where("n = 1").join(own, "p", "left_anti").select("p", "only"))
+    shown = cut(every.select("label", F.col("label").alias("compact_label")))
+    while True:
+        after = cut(shown.join(steps, F.col("compact_label") == F.col("p"), "left").select("label", F.coalesce("only", "compact_label").alias("compact_label")))
+        if after.join(shown, ["label", "compact_label"], "left_anti").isEmpty():
+            return after
+        shown = after

@@ -197,17 +197,23 @@ def folder_descendants(spark, sf_dir):
     return code_files(spark, sf_dir).select(F.explode(F.array("top", "folder")).alias("label"), "path", "folder").groupBy("label").agg(F.count("*").alias("files"), F.count_distinct("folder").alias("folders"), F.min("path").alias("first_path"))
 
 
+DEEP = "deep as (select case when fid % 3 = 0 then top || '/only/' || split_part(folder, '/', 2) || '/x/' || stem else path end as path from code_files)"
+
+
 @query(
     "folder_compact",
-    """with f as (select distinct unnest([top, folder]) as label from code_files), k as (select regexp_replace(label, '/[^/]*$', '') as label, count(*) as n, min(label) as only_child from f where contains(label, '/') group by 1)
-    select f.label, case when k.n = 1 then only_child else f.label end as compact_label from f left join k using (label)""",
+    f"""with {DEEP}, f as (select distinct array_to_string(string_split(path, '/')[1:i], '/') as label from deep, (select unnest(range(1, 9)) as i) where i < len(string_split(path, '/'))),
+    k as (select regexp_replace(label, '/[^/]*$', '') as label, count(*) as n, min(label) as only_child from f where contains(label, '/') group by 1),
+    own as (select distinct regexp_replace(path, '/[^/]*$', '') as label from deep),
+    step as (select label, label as shown from f union select s.label, only_child from step s join k on s.shown = k.label and n = 1 and s.shown not in (select label from own))
+    select label, max(shown) as compact_label from step group by 1""",
     ("code_files",),
+    recursive=True,
 )
 def folder_compact(spark, sf_dir):
-    """A folder whose only child is a folder is shown with it; paths here have two levels, so one step is the fixpoint."""
-    every = assign.folders(code_files(spark, sf_dir))
-    kids = every.where("parent is not null").groupBy(F.col("parent").alias("p")).agg(F.count("*").alias("n"), F.min("label").alias("only_child"))
-    return every.join(kids, every["label"] == kids["p"], "left").select("label", F.when(F.col("n") == 1, F.col("only_child")).otherwise(F.col("label")).alias("compact_label"))
+    """A folder without files of its own whose only child is a folder is shown with it, along the whole chain."""
+    deep = F.when(F.col("fid") % 3 == 0, F.concat("top", F.lit("/only/"), F.substring_index("folder", "/", -1), F.lit("/x/"), "stem")).otherwise(F.col("path"))
+    return assign.compacted(code_files(spark, sf_dir).select(deep.alias("path")))
 
 
 @query("manual_edges", "select src, dst, 'manual' as type, 1 as weight, cast(null as varchar) as sample, coalesce(why, '') as why from (values ('brand11', 'brand12', 'shared cache'), ('brand12', 'brand13', null)) t(src, dst, why)")
@@ -279,17 +285,9 @@ def page_refs(spark, sf_dir):
     return hrefs(spark, sf_dir).join(urls, "href", "left").select("page_id", "href", F.coalesce("known", F.lit(False)).alias("resolved"))
 
 
-CATEGORIES = ["anchor", "external", "missing", "unresolved"]
 CATEGORY = "case when href like '#%' then 'anchor' when href like 'http%' then 'external' else 'unresolved' end"
 
 
-@query("trust_findings", f"with {HREFS} select c.category, count(h.href) as n from (values ('anchor'), ('external'), ('missing'), ('unresolved')) c(category) left join (select *, {CATEGORY} as category from hrefs) h using (category) group by 1")
-def trust_findings(spark, sf_dir):
-    """Findings by category; categories without any are listed too."""
-    counts = hrefs(spark, sf_dir).groupBy(F.expr(CATEGORY).alias("category")).agg(F.count("*").alias("n"))
-    return spark.createDataFrame([(c,) for c in CATEGORIES], "category string").join(counts, "category", "left").select("category", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-
-
 @query("trust_filter", f"with {HREFS} select page_id, href from hrefs where {CATEGORY} = 'unresolved' and contains(lower(href), 'the')")
 def trust_filter(spark, sf_dir):
     return hrefs(spark, sf_dir).where((F.expr(CATEGORY) == "unresolved") & F.lower("href").contains("the"))
@@ -330,36 +328,65 @@ def violations_folders(spark, sf_dir):
 
 @query(
     "build_checks",
-    OWNED_SQL + """select 'unmapped' as name, (select count(*) from code_files where path not in (select path from owned)) as n
+    OWNED_SQL + """, manual(src, dst) as (values ('brand11', 'brand12'), ('brand12', 'nowhere'))
+    select name, n, n = 0 or starts_with(name, 'note') as ok from (
+    select 'unresolved imports' as name, (select count(*) from path_edges where type = 'import' and dst in (select path from code_files where lines <= 1)) as n
+    union all select 'unmapped', (select count(*) from code_files where path not in (select path from owned))
     union all select 'double mapped', (select count(*) from (select path from owned group by path having count(*) > 1))
     union all select 'empty group', (select count(*) from (select distinct id from spec) where id not in (select layer from first_owner))
-    union all select 'self edge', (select count(*) from code_edges where src = dst)""",
-    ("code_files", "code_edges"),
+    union all select 'group cycles', (select count(*) from (select distinct a.src from group_edges a join group_edges b on a.src = b.dst and a.dst = b.src where a.type = 'import' and b.type = 'import'))
+    union all select 'manual edges', (select count(*) from manual where src not in (select id from spec) or dst not in (select id from spec))
+    union all select 'dangling group edges', (select count(*) from group_edges where src not in (select top from code_files) or dst not in (select top from code_files))
+    union all select 'dangling file edges', (select count(*) from code_edges where src not in (select fid from code_files) or dst not in (select fid from code_files))
+    union all select 'note: dropped edges', (select count(*) from refs) - (select count(*) from code_edges)
+    union all select 'note: self edges', (select count(*) from code_edges where src = dst))""",
+    ("code_files", "code_edges", "path_edges", "group_edges"),
 )
 def build_checks(spark, sf_dir):
-    files = owned(spark, sf_dir)
+    """Eight checks that a map must pass, each with what it found, and notes."""
+    files, edges, groups = owned(spark, sf_dir), code_edges(spark, sf_dir), group_edges(spark, sf_dir)
     spec = spark.createDataFrame([(g["id"],) for g in SPEC], "layer string")
-    count = lambda name, df: df.agg(F.lit(name).alias("name"), F.count("*").alias("n")).select("name", "n")
-    return (
-        count("unmapped", files.where(F.size("owners") == 0))
-        .union(count("double mapped", files.where(F.size("owners") > 1)))
-        .union(count("empty group", spec.join(files.select(F.get("owners", F.lit(0)).alias("layer")), "layer", "left_anti")))
-        .union(count("self edge", code_edges(spark, sf_dir).where("src = dst")))
-    )
-
-
-@query("manifest_digest", "select doc_id // 1000 as block, sha256(string_agg(cast(doc_id as varchar) || ':' || sha256(text), ',' order by doc_id)) as digest, count(*) as n from documents group by 1")
+    manual = spark.createDataFrame([("brand11", "brand12"), ("brand12", "nowhere")], "src string, dst string")
+    lost = lambda df, known, key: df.join(known.select(F.col(key).alias("src")), "src", "left_anti").select("src", "dst").union(df.join(known.select(F.col(key).alias("dst")), "dst", "left_anti").select("src", "dst")).distinct()
+    imports = groups.where("type = 'import'").select("src", "dst")
+    back = imports.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    tops, fids = code_files(spark, sf_dir).select("top").distinct(), code_files(spark, sf_dir).select("fid")
+    short = code_files(spark, sf_dir).where("lines <= 1").select(F.col("path").alias("dst"))
+    found = {
+        "unresolved imports": path_edges(spark, sf_dir).where("type = 'import'").join(short, "dst", "left_semi"),
+        "unmapped": files.where(F.size("owners") == 0),
+        "double mapped": files.where(F.size("owners") > 1),
+        "empty group": spec.join(files.select(F.get("owners", F.lit(0)).alias("layer")), "layer", "left_anti"),
+        "group cycles": imports.join(back, ["src", "dst"], "left_semi").select("src").distinct(),
+        "manual edges": lost(manual, spec, "layer"),
+        "dangling group edges": lost(groups.select("src", "dst"), tops, "top"),
+        "dangling file edges": lost(edges.select("src", "dst"), fids, "fid"),
+        "note: dropped edges": refs(spark, sf_dir).exceptAll(edges),
+        "note: self edges": edges.where("src = dst"),
+    }
+    out = None
+    for name, df in found.items():
+        row = df.agg(F.lit(name).alias("name"), F.count("*").alias("n")).select("name", "n", ((F.col("n") == 0) | F.lit(name.startswith("note"))).alias("ok"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query("manifest_digest", "with b as (select doc_id // 1000 as block, sha256(string_agg(cast(doc_id as varchar) || ':' || sha256(text), ',' order by doc_id)) as digest, count(*) as n from documents group by 1) select sha256(string_agg(digest, ',' order by block)) as digest, cast(sum(n) as bigint) as n from b")
 def manifest_digest(spark, sf_dir):
-    """Digests of the ordered list of (id, digest), in blocks of a thousand ids so that no task holds the list."""
+    """One digest of the ordered list of (id, digest): of the digests of its blocks of a thousand ids, so that no task holds the list."""
     rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 1000).alias("block"), "doc_id", F.concat_ws(":", "doc_id", F.sha2("text", 256)).alias("line"))
     listed = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "line"))).alias("rows"), F.count("*").alias("n"))
-    return listed.select("block", F.sha2(F.array_join(F.col("rows.line"), ","), 256).alias("digest"), "n")
+    blocks = listed.select("block", F.sha2(F.array_join(F.col("rows.line"), ","), 256).alias("digest"), "n")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"]), ",")
+    return blocks.agg(F.sha2(whole, 256).alias("digest"), F.sum("n").alias("n"))
 
 
-@query("mermaid_export", "select src, 'graph LR' || chr(10) || string_agg('  ' || src || ' --> ' || dst, chr(10) order by dst) as chart from (select distinct src, dst from group_edges) group by 1", ("group_edges",))
+@query("mermaid_export", "select 'graph LR' || chr(10) || string_agg('  ' || src || ' --> ' || dst, chr(10) order by src, dst) as chart from (select distinct src, dst from group_edges where type <> 'realtime')", ("group_edges",))
 def mermaid_export(spark, sf_dir):
-    edges = group_edges(spark, sf_dir).select("src", "dst").distinct()
-    return edges.groupBy("src").agg(F.concat(F.lit("graph LR\n"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("  "), "src", F.lit(" --> "), "dst"))), "\n")).alias("chart"))
+    """The graph of groups as one chart."""
+    edges = group_edges(spark, sf_dir).where("type <> 'realtime'").select("src", "dst").distinct()
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("src", "dst"))), lambda e: F.concat(F.lit("  "), e["src"], F.lit(" --> "), e["dst"]))
+    return edges.agg(F.concat(F.lit("graph LR\n"), F.array_join(lines, "\n")).alias("chart"))
 
 
 @query("release_comparison", f"with {OLD_NEW} select coalesce(o.path, n.path) as path, case when o.path is null then 'added' when n.path is null then 'deleted' when sha256(cast(o.lines as varchar)) = sha256(cast(n.lines as varchar)) then 'same' else 'changed' end as state from o full join n on o.path = n.path", ("code_files",))

@@ -235,7 +235,7 @@ def decision(spark, sf_dir):
 
 
 #: Texts that literally mean nothing, tried with synonyms.
-HOPELESS = ("db {number}", "config {first} env", "msg {number} repo", "authentication {first} database of {number}")
+HOPELESS = ("db {number}", "config {first} env", "msg {number} repo")
 _pairs = ", ".join(f"('{w}', '{x}', {10 * i + j})" for i, g in enumerate(T.SYNONYMS) for w in g for j, x in enumerate(g) if x != w)
 _hopeless = WANTED_SQL.replace(_texts, ", ".join(f"'{t}'" for t in HOPELESS)).replace(f"range(0, {len(TEXTS)})", f"range(0, {len(HOPELESS)})").replace("texts as materialized", "base as materialized")
 VARIANTS_SQL = _hopeless + f""", syn(word, into_, ord) as (values {_pairs}), cut as (select qid, text, unnest(string_split(text, ' ')) as word, unnest(range(1, len(string_split(text, ' ')) + 1)) as pos from base),

@@ -64,11 +64,16 @@ def read_blobs(spark: SparkSession, root: str) -> DataFrame:
     return files.select(cut.alias("path"), F.lit("100644").alias("mode"), F.col("length").alias("size"), "content")
 
 
+def checked(documents: DataFrame, expected: DataFrame) -> DataFrame:
+    """(name, document, ok) of documents(name, document) against expected(name, sha256)."""
+    found = documents.withColumn("found", F.sha2("document", 256))
+    return found.join(expected, "name", "left").select("name", "document", F.coalesce(F.col("found") == F.col("sha256"), F.lit(False)).alias("ok"))
+
+
 def checked_documents(spark: SparkSession, paths: list[str] | str, expected: DataFrame) -> DataFrame:
     """(name, document, ok) of whole JSON files against expected(name, sha256)."""
     files = spark.read.format("binaryFile").load(paths)
-    named = files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("content").cast("string").alias("document"), F.sha2("content", 256).alias("found"))
-    return named.join(expected, "name", "left").select("name", "document", F.coalesce(F.col("found") == F.col("sha256"), F.lit(False)).alias("ok"))
+    return checked(files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("content").cast("string").alias("document")), expected)
 
 
 def eval_cases(cases: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -25,6 +25,17 @@ def read_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataF
     return rows.where("entry_id is not null and kind in ('question', 'verdict') and seq is not null")
 
 
+def read_generations(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a log and of the generation before it, ``path.1``, with ``generation`` 0 for the older one."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    out = None
+    for n, at in enumerate((path + ".1", path)):
+        if hadoop(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop(at)):
+            rows = read_lines(spark, at).withColumn("generation", F.lit(n))
+            out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], SCHEMA + ", generation int") if out is None else out
+
+
 def fold_step(key, frames: Iterator, state) -> Iterator:
     """New entries of one id against its state, in order of seq."""
     import pandas as pd

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from archlens.functions import text as T
 from archlens.operators import assign, graph, qlog, ranking, scoring
-from archlens.plans.extraction import SOURCES, sources
 from archlens.sources import extract
 
 
@@ -202,32 +201,44 @@ def test_log_lines_are_read_leniently(spark, tmp_path):
     assert [r["entry_id"] for r in read_lines(spark, str(tmp_path)).collect()] == [1]
 
 
-def test_imports(spark):
-    files = sources(spark)
-    got = {(r["src"], r["dst"], r["kind"]) for r in extract.resolve_specifiers(extract.js_specifiers(files), files).collect()}
-    assert got == {("web/index.ts", "web/lib/a.ts", "import"), ("web/index.ts", "web/lib/b/index.ts", "import"), ("web/index.ts", "@scope/pkg", "external"), ("web/lib/a.ts", "web/index.ts", "import")}
-    got = {(r["src"], r["dst"], r["kind"]) for r in extract.python_imports(files).collect()}
-    assert {("app/main.py", "app/util.py", "import"), ("app/main.py", "app/__init__.py", "import"), ("app/__init__.py", "app/util.py", "import"), ("app/util.py", "json", "external"), ("app/main.py", "importlib", "external")} <= got
-    assert [r["call"] for r in extract.dynamic_imports(files).collect()] == ["import(n"]
-
-
-def test_call_edges(spark):
-    facts = extract.python_facts(sources(spark))
-    got = {(r["src"], r["dst"]): r["confidence"] for r in extract.call_edges(facts).collect()}
-    assert got[("app/main.py#main", "app/util.py#helper")] == "resolved"
-    assert got[("app/main.py#Child.go", "app/util.py#Base.load")] == "resolved"
-    assert got[("app/main.py#main", "app/main.py#Child.go")] == "instance-local"
-    order = sorted((r["class"], r["position"], r["ancestor"]) for r in extract.linearizations(facts).collect())
-    assert ("app/main.py#Child", 1, "app/util.py#Base") in order
-    assert [r["fact"] for r in extract.python_facts(spark.createDataFrame([("x.py", "def ("), ("y.py", None)], "path string, text string")).collect()] == ["unparsed"]
-
-
-def test_rpc_and_descriptions(spark):
-    files = sources(spark)
-    assert [(r["name"], r["definition"]) for r in extract.rpc_references(files).collect()] == [("count_items", "db/migrations/002.sql")]
-    assert [r["url"] for r in extract.http_references(files).collect()] == ["/api/items"]
-    got = {r["path"]: r["descr"] for r in extract.descriptions(files).collect()}
-    assert got["app/util.py"] == "Helpers for reading files." and got["web/lib/a.ts"] == "exports: A, run" and len(got) == len(SOURCES)
+def test_files_that_do_not_parse(spark):
+    facts = extract.python_facts(spark.createDataFrame([("x.py", "def ("), ("y.py", None)], "path string, text string"))
+    assert [r["fact"] for r in facts.collect()] == ["unparsed"]
+
+
+def test_long_strings_and_comments_do_not_break_the_scan(spark):
+    text = "'" + "a\\'" * 20_000 + "'\n/*" + "x" * 300_000 + "*/\nimport './real'\n" + "`" + "\\`" * 20_000 + "import './no'`"
+    got = extract.js_specifiers(spark.createDataFrame([("a.ts", text)], "path string, text string")).collect()
+    assert [r["spec"] for r in got] == ["./real"]
+
+
+@pytest.mark.parametrize(
+    "bases, cls, want",
+    [
+        ({"O": [], "A": ["O"], "B": ["O"], "C": ["A", "B"]}, "C", ["C", "A", "B", "O"]),
+        ({"A": [], "B": ["A"], "C": ["A", "B"]}, "C", None),
+        ({"A": ["B"], "B": ["A"]}, "A", None),
+        ({"A": [None]}, "A", None),
+        ({"O": [], "X": ["O"], "Y": ["O"], "Z": ["O"], "P": ["X", "Y"], "Q": ["Y", "Z"], "R": ["P", "Q"]}, "R", ["R", "P", "X", "Q", "Y", "Z", "O"]),
+    ],
+)
+def test_linear_order(bases, cls, want):
+    assert extract.linear_order(cls, bases) == want
+
+
+def test_linear_order_equals_the_interpreter():
+    rng = random.Random(1)
+    for _ in range(200):
+        bases, classes = {}, {}
+        for i in range(7):
+            above = rng.sample(list(classes), min(len(classes), rng.randrange(0, 4)))
+            bases[f"c{i}"] = above
+            try:
+                classes[f"c{i}"] = type(f"c{i}", tuple(classes[b] for b in above), {})
+            except TypeError:
+                assert extract.linear_order(f"c{i}", bases) is None
+                break
+            assert extract.linear_order(f"c{i}", bases) == [c.__name__ for c in classes[f"c{i}"].__mro__[:-1]]
 
 
 def test_first_cycle(spark):

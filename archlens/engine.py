@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from archlens.functions import text as T
 from archlens.operators import graph, ranking
 
-#: What an operation about symbols means for files and folders.
-FOR_FILES = {"CALLERS": "DOWNSTREAM", "CALLEES": "UPSTREAM", "TRACE": "UPSTREAM", "FLOW": "PATH"}
+#: Confidence of a call from strongest to weakest.
+TIERS = ("resolved", "instance-local", "typed", "through-decorator")
 
 
 class Engine:
@@ -57,6 +57,59 @@ class Engine:
         calls = self.calls.where("confidence = 'resolved'") if certain else self.calls
         return ids.join(calls, ids["id"] == calls["src"]).select("qid", F.col("dst").alias("id"), "confidence")
 
+    def trace(self, ids: DataFrame, certain: bool = False, reverse: bool = False) -> DataFrame:
+        """(qid, id, depth, chain, tier) of all that calls of ids lead to, or of all that lead to them; tier: the weakest call of the chain.
+
+        A call of a definition by itself is an edge, but leads nowhere new.
+        """
+        calls = graph.cut(self.ranked_calls(certain))
+        found = graph.cut(graph.search(ids, graph.adjacency(calls.where("src <> dst"), reverse=reverse), self.max_depth).where("depth > 0"))
+        return self.weakest(found, calls, reverse)
+
+    def flow(self, pairs: DataFrame, certain: bool = False) -> DataFrame:
+        """(qid, id, depth, chain, tier) of the shortest chain of calls of pairs(qid, source, target); none where there is none."""
+        calls = graph.cut(self.ranked_calls(certain))
+        targets = pairs.select("qid", F.col("target").alias("id"))
+        found = graph.search(pairs.select("qid", F.col("source").alias("id")), calls.where("src <> dst").select("src", "dst"), self.max_depth, targets)
+        return self.weakest(graph.cut(found.join(targets, ["qid", "id"], "left_semi")), calls)
+
+    def ranked_calls(self, certain: bool) -> DataFrame:
+        rank = F.array_position(F.array(*map(F.lit, TIERS)), F.col("confidence"))
+        calls = self.calls.where("confidence = 'resolved'") if certain else self.calls
+        return calls.groupBy("src", "dst").agg(F.max(rank).alias("tier"))
+
+    @staticmethod
+    def weakest(found: DataFrame, calls: DataFrame, reverse: bool = False) -> DataFrame:
+        hop = lambda i: F.struct(F.element_at("chain", i).alias("a"), F.element_at("chain", i + 1).alias("b"))
+        hops = found.where("depth > 0").select("qid", "id", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")), hop)).alias("h")).select("qid", "id", "h.a", "h.b")
+        a, b = ("dst", "src") if reverse else ("src", "dst")
+        worst = hops.join(calls, (F.col("a") == F.col(a)) & (F.col("b") == F.col(b))).groupBy("qid", "id").agg(F.max("tier").alias("t"))
+        told = found.join(worst, ["qid", "id"], "left")
+        return told.select("qid", "id", "depth", F.reverse("chain").alias("chain") if reverse else "chain", F.element_at(F.array(*map(F.lit, TIERS)), F.col("t").cast("int")).alias("tier"))
+
+    def answer_symbols(self, questions: DataFrame, certain: bool = False) -> DataFrame:
+        """(qid, op, status, id, depth, chain, tier, alternatives) of questions about definitions; questions of another kind have no row.
+
+        A name that several definitions have asks for a choice of at most twenty; one that none has is no match.
+        """
+        asked = questions.select("qid", T.symbol_request(T.normalize_question(F.col("question"))).alias("s")).where("s is not null").select("qid", "s.*")
+        asked = graph.cut(asked)
+        names = asked.select("qid", F.explode(F.filter(F.array(F.struct(F.lit(0).alias("role"), F.col("first").alias("name")), F.struct(F.lit(1).alias("role"), F.col("second").alias("name"))), lambda x: x["name"].isNotNull())).alias("n")).select("qid", "n.*")
+        met = names.withColumn("key", F.lower("name")).join(self.symbols.select("id", F.explode(F.array_distinct(F.array(F.lower("id"), F.lower("name")))).alias("key")), "key", "left")
+        ends = met.groupBy("qid", "role").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+        sides = ends.groupBy("qid").agg(F.max(F.when(F.col("role") == 0, F.col("ids"))).alias("a"), F.max(F.when(F.col("role") == 1, F.col("ids"))).alias("b"))
+        rows = asked.join(sides, "qid").withColumn("least", F.least(F.size("a"), F.coalesce(F.when(F.col("op") == "FLOW", F.size("b")), F.size("a")))).withColumn("most", F.greatest(F.size("a"), F.coalesce(F.when(F.col("op") == "FLOW", F.size("b")), F.lit(0))))
+        rows = graph.cut(rows.withColumn("state", F.when(F.col("least") == 0, "no-match").when(F.col("most") > 1, "needs-choice").otherwise("bound")))
+        one = lambda *ops: rows.where(F.col("op").isin(*ops) & (F.col("state") == "bound")).select("qid", F.element_at("a", 1).alias("id"))
+        near = lambda ids, back: (self.callers if back else self.callees)(ids, certain).select("qid", "id", F.lit(1).alias("depth"), F.array("id").alias("chain"), F.col("confidence").alias("tier"))
+        located = one("LOCATE").select("qid", "id", F.lit(0).alias("depth"), F.array("id").alias("chain"), F.lit(None).cast("string").alias("tier"))
+        pairs = rows.where("op = 'FLOW' and state = 'bound'").select("qid", F.element_at("a", 1).alias("source"), F.element_at("b", 1).alias("target"))
+        found = located.unionByName(near(one("CALLERS"), True)).unionByName(near(one("CALLEES"), False)).unionByName(self.trace(one("TRACE"), certain)).unionByName(self.flow(pairs, certain))
+        told = rows.join(found, "qid", "left")
+        status = F.when(F.col("state") != "bound", F.col("state")).when((F.col("op") == "FLOW") & F.col("id").isNull(), "no-path").otherwise("matched")
+        choice = F.when(F.col("state") == "needs-choice", F.array_join(F.slice(F.when(F.size("a") > 1, F.col("a")).otherwise(F.col("b")), 1, 20), ","))
+        return told.select("qid", "op", status.alias("status"), "id", "depth", F.array_join("chain", ">").alias("chain"), "tier", choice.alias("alternatives"))
+
     def find_symbols(self, wanted: DataFrame) -> DataFrame:
         return wanted.select("qid", F.lower("name").alias("key")).join(self.symbols.select("id", F.lower("name").alias("key")), "key").select("qid", "id")
 

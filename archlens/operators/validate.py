@@ -25,22 +25,41 @@ def twice(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).count().where("count > 1").select(F.concat_ws(" ", *key).alias("key"))
 
 
-def snapshot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Violations of nodes(id, kind, layer) and edges(src, dst, type)."""
-    kinds = nodes.select("id", "kind")
+DIGEST = "^[0-9a-f]{64}$"
+
+
+def unsafe(path):
+    """Whether a path is no literal relative one."""
+    return (path == "") | path.rlike(r"[\x00-\x1f\\]|^[A-Za-z]:|^/") | F.exists(F.split(path, "/"), lambda p: p.isin("", ".", ".."))
+
+
+def snapshot(nodes: DataFrame, edges: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+    """Violations of nodes(id, kind, layer), edges(src, dst, type) and, where it is given, inventory(path, sha256, line_count)."""
+    kinds = nodes.select("id", "kind").distinct()
     a, b = kinds.select(F.col("id").alias("src"), F.col("kind").alias("ka")), kinds.select(F.col("id").alias("dst"), F.col("kind").alias("kb"))
     ends = edges.join(a, "src", "left").join(b, "dst", "left")
     edge = F.concat_ws(" ", "src", "dst", "type")
-    owners = nodes.where("kind = 'layer'").select(F.col("id").alias("layer"))
-    return together(
+    owners = nodes.where("kind = 'layer'").select(F.col("id").alias("layer")).distinct()
+    files = nodes.where("kind = 'file'")
+    found = [
         rule("duplicate node", twice(nodes, "id"), "key"),
+        rule("unknown kind", nodes.where(~F.coalesce("kind", F.lit("")).isin("file", "layer")), "id"),
         rule("duplicate edge", twice(edges, "src", "dst", "type"), "key"),
         rule("dangling edge", ends.where("ka is null or kb is null"), edge),
         rule("mixed edge", ends.where("ka <> kb"), edge),
         rule("unknown type", edges.where(~F.coalesce("type", F.lit("")).isin(*EDGE_TYPES)), edge),
         rule("file type", ends.where("ka = 'file' and kb = 'file' and type not in ('import', 'http', 'rpc')"), edge),
-        rule("unknown owner", nodes.where("kind = 'file'").join(owners, "layer", "left_anti"), "id"),
-    )
+        rule("unknown owner", files.join(owners, "layer", "left_anti"), "id"),
+    ]
+    if inventory is not None:
+        found += [
+            rule("unsafe path", inventory.where(unsafe(F.col("path"))), "path"),
+            rule("duplicate path", twice(inventory, "path"), "key"),
+            rule("digest", inventory.where(~F.coalesce("sha256", F.lit("")).rlike(DIGEST)), "path"),
+            rule("line count", inventory.where("line_count < 0"), "path"),
+            rule("not inventoried", files.join(inventory.select(F.col("path").alias("id")), "id", "left_anti"), "id"),
+        ]
+    return together(*found)
 
 
 def folders(nodes: DataFrame) -> DataFrame:
@@ -86,25 +105,95 @@ def group_spec(spec: list[dict]) -> list[str]:
     return out
 
 
-def packets(packets_: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Violations of packets(request_id, status, selected, witnesses array<array<string>>, alternatives, limitations, truncated, continuation)."""
+OPERATIONS = ("LOCATE", "UPSTREAM", "DOWNSTREAM", "PATH", "NOT_SURE", "IMPACT", "CALLERS", "CALLEES", "FLOW", "TRACE")
+HIGHLIGHTS = ("relevant", "potential-impact", "changed", "agent-inferred")
+
+
+def packets(packets_: DataFrame, nodes: DataFrame, edges: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+    """Violations of packets(request_id, operation, status, highlight, seed, selected, edges array<struct<src, dst, type>>, witnesses
+    array<array<string>>, alternatives, limitations, truncated, continuation, refs array<struct<path, sha256>>)."""
+    hop = lambda c: F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
     picked = packets_.select("request_id", F.explode("selected").alias("id"))
     chains = packets_.select("request_id", F.explode("witnesses").alias("chain"))
-    hops = chains.select("request_id", F.explode(F.zip_with(F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0))), F.slice("chain", 2, F.greatest(F.size("chain") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))).alias("h")).select("request_id", "h.src", "h.dst")
+    hops = chains.select("request_id", F.explode(hop("chain")).alias("h")).select("request_id", "h.src", "h.dst")
+    shown = packets_.select("request_id", "selected", F.explode("edges").alias("e")).select("request_id", "selected", "e.src", "e.dst", "e.type")
+    moving = edges.where(~F.col("type").isin("realtime"))
     none = packets_.where(F.col("status").isin("needs-choice", "no-match", "stale"))
+    id_, link = F.col("request_id"), F.concat_ws(" ", "request_id", "src", "dst")
+    impact = packets_.where("highlight = 'potential-impact'")
+    backed = F.transform(F.filter("witnesses", lambda w: (F.size(w) > 1) & (F.element_at(w, -1) == F.col("seed"))), lambda w: F.element_at(w, 1))
+    bare = F.size(F.array_except(F.array_except("selected", F.array("seed")), backed)) > 0
+    found = [
+        rule("request id", packets_.where("coalesce(request_id, '') = '' or length(request_id) > 512"), id_),
+        rule("unknown status", packets_.where(~F.coalesce("status", F.lit("")).isin(*STATUSES)), id_),
+        rule("unknown operation", packets_.where(~F.coalesce("operation", F.lit("")).isin(*OPERATIONS)), id_),
+        rule("unknown highlight", packets_.where(~F.coalesce("highlight", F.lit("")).isin(*HIGHLIGHTS)), id_),
+        rule("selected twice", packets_.where(F.size("selected") != F.size(F.array_distinct("selected"))), id_),
+        rule("unknown node", picked.join(nodes.select("id").distinct(), "id", "left_anti"), F.concat_ws(" ", "request_id", "id")),
+        rule("edge shown twice", packets_.where(F.size("edges") != F.size(F.array_distinct("edges"))), id_),
+        rule("edge not observed", shown.join(moving.select("src", "dst", "type").distinct(), ["src", "dst", "type"], "left_anti"), link),
+        rule("edge outside the selection", shown.where(~F.array_contains("selected", F.col("src")) | ~F.array_contains("selected", F.col("dst"))), link),
+        rule("empty witness", chains.where("size(chain) = 0"), id_),
+        rule("witness meets a node twice", chains.where(F.size("chain") != F.size(F.array_distinct("chain"))), id_),
+        rule("hop is no edge", hops.join(moving.select("src", "dst").distinct(), ["src", "dst"], "left_anti"), link),
+        rule("alternative twice", packets_.where(F.size("alternatives") != F.size(F.array_distinct("alternatives"))), id_),
+        rule("matched without nodes", packets_.where("status = 'matched' and size(selected) = 0"), id_),
+        rule("nodes where none may be", none.where("size(selected) > 0 or size(edges) > 0 or size(witnesses) > 0"), id_),
+        rule("path where there is none", packets_.where("status = 'no-path' and (operation not in ('PATH', 'FLOW') or size(edges) > 0 or size(witnesses) > 0)"), id_),
+        rule("impact of no dependents", impact.where("status <> 'matched' or operation not in ('IMPACT', 'DOWNSTREAM')"), id_),
+        rule("impact without its seed", impact.where(~F.coalesce(F.array_contains("selected", F.col("seed")), F.lit(False))), id_),
+        rule("impact without a consumer", impact.where("size(selected) < 2"), id_),
+        rule("impact without a witness", impact.where(bare), id_),
+        rule("unsupported without reason", packets_.where("status = 'unsupported' and size(limitations) = 0"), id_),
+        rule("too many", packets_.where((F.size("selected") > CAPS["nodes"]) | (F.size("edges") > CAPS["edges"]) | (F.size("witnesses") > CAPS["witnesses"]) | (F.size("alternatives") > CAPS["alternatives"]) | (F.size("limitations") > 100)), id_),
+        rule("long limitation", packets_.where(F.exists("limitations", lambda x: F.length(x) > 2048)), id_),
+        rule("truncated without continuation", packets_.where("truncated <> (continuation is not null)"), id_),
+    ]
+    if inventory is not None:
+        refs = packets_.select("request_id", F.explode("refs").alias("r")).select("request_id", "r.path", "r.sha256")
+        found.append(rule("reference not inventoried", refs.join(inventory.select("path", "sha256"), ["path", "sha256"], "left_anti"), F.concat_ws(" ", "request_id", "path")))
+    return together(*found)
+
+
+def tours(steps: DataFrame, links: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
+    """Violations of steps(tour, step, path, start, end) and links(tour, src, dst, type) against files(path, lines) and edges."""
+    told = steps.join(files.select("path", "lines"), "path", "left")
+    where = F.concat_ws(" ", "tour", F.col("step").cast("string"), "path")
+    involved = steps.select("tour", F.col("path").alias("p")).distinct()
+    away = links.join(involved, (links["tour"] == involved["tour"]) & (links["src"] == F.col("p")), "left_anti").unionByName(links.join(involved, (links["tour"] == involved["tour"]) & (links["dst"] == F.col("p")), "left_anti")).distinct()
+    link = F.concat_ws(" ", "tour", "src", "dst")
     return together(
-        rule("unknown status", packets_.where(~F.col("status").isin(*STATUSES)), "request_id"),
-        rule("unknown node", picked.join(nodes.select("id"), "id", "left_anti"), F.concat_ws(" ", "request_id", "id")),
-        rule("hop is no edge", hops.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti"), F.concat_ws(" ", "request_id", "src", "dst")),
-        rule("matched without nodes", packets_.where("status = 'matched' and size(selected) = 0"), "request_id"),
-        rule("nodes where none may be", none.where("size(selected) > 0 or size(witnesses) > 0"), "request_id"),
-        rule("path where there is none", packets_.where("status = 'no-path' and size(witnesses) > 0"), "request_id"),
-        rule("unsupported without reason", packets_.where("status = 'unsupported' and size(limitations) = 0"), "request_id"),
-        rule("too many", packets_.where((F.size("selected") > CAPS["nodes"]) | (F.size("witnesses") > CAPS["witnesses"]) | (F.size("alternatives") > CAPS["alternatives"])), "request_id"),
-        rule("truncated without continuation", packets_.where("truncated <> (continuation is not null)"), "request_id"),
+        rule("unmapped source", told.where("lines is null"), where),
+        rule("line bounds", told.where("lines is not null and (start < 1 or end < start or end > lines)"), where),
+        rule("more than fifty lines", told.where("end - start > 49"), where),
+        rule("link outside the tour", away, link),
+        rule("import link not observed", links.where("type = 'import'").join(edges.where("type = 'import'").select("src", "dst").distinct(), ["src", "dst"], "left_anti"), link),
     )
 
 
+def provenance(findings: DataFrame, counts: DataFrame, extracted: DataFrame, unscanned: DataFrame, files: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """Violations of findings(category, path, target), their counts(category, n) and the partition of files(path) into extracted and
+    unscanned ones."""
+    again = findings.groupBy("category").agg(F.count("*").alias("found"))
+    every = extracted.select("path").unionByName(unscanned.select("path"))
+    return together(
+        rule("unknown category", findings.where(~F.col("category").isin(*categories)).select("category").distinct(), "category"),
+        rule("empty field", findings.where("coalesce(path, '') = '' or coalesce(target, '') = ''"), F.concat_ws(" ", "category", "path")),
+        rule("count", counts.join(again, "category", "full_outer").where("coalesce(n, 0) <> coalesce(found, 0)"), "category"),
+        rule("scanned and not", extracted.select("path").intersect(unscanned.select("path")), "path"),
+        rule("neither scanned nor not", files.select("path").exceptAll(every.distinct()), "path"),
+        rule("no source file", every.distinct().join(files, "path", "left_anti"), "path"),
+    )
+
+
+def feedback(records: DataFrame, nodes: DataFrame, map_digest: str, scorer_digest: str) -> DataFrame:
+    """records(id, map_sha, scorer_sha, target, ...) with ``reason``: why a record may not be used against this map, or null."""
+    known = nodes.select(F.col("id").alias("target"), F.lit(True).alias("known")).distinct()
+    told = records.join(known, "target", "left")
+    reason = F.when(F.col("map_sha") != map_digest, "other map").when(F.col("scorer_sha") != scorer_digest, "other scorer").when(F.col("target").isNotNull() & F.col("known").isNull(), "unknown target")
+    return told.withColumn("reason", reason).drop("known")
+
+
 def explanations(citations: DataFrame, evidence: DataFrame) -> DataFrame:
     """Violations of citations(explanation_id, statement, inferred, evidence_id): neither cited nor said to be inferred, or unknown evidence."""
     return together(

@@ -132,7 +132,17 @@ def page_chain_budget(spark, sf_dir):
     return told.select("qid", "rows", "nodes", F.when(F.col("last") < F.col("total"), F.concat(F.lit("offset:"), F.col("last").cast("string"))).alias("continuation"))
 
 
-@query("answer_batch")
+_asked = "asked as (select qid * 10 + k as qid, k, path, case k when 0 then 'DOWNSTREAM' when 1 then 'UPSTREAM' when 2 then 'LOCATE' else 'DOWNSTREAM' end as op from seeds, (select unnest(range(0, 4)) as k))"
+_walk = lambda name, k, a, b: f"{name}(qid, id) using key (qid, id) as (select qid * 10 + {k}, path from seeds union select w.qid, p.{b} from {name} w join pairs p on w.id = p.{a} where not exists (select 1 from recurring.{name} r where r.qid = w.qid and r.id = p.{b}) group by 1, 2)"
+
+
+@query(
+    "answer_batch",
+    f"with {_asked}, pairs as materialized (select distinct src, dst from path_edges where type <> 'realtime'), {_walk('down', 0, 'dst', 'src')}, {_walk('up', 1, 'src', 'dst')}, c as (select qid, count(*) as n from (select * from down union all select * from up) group by 1)"
+    " select a.qid, op, case when k < 3 then path end as target, case when k < 3 then 'matched' else 'no-match' end as status, case when k = 3 then 0 when k = 2 then 1 else n end as n_nodes from asked a left join c using (qid)",
+    ("seeds", "path_edges"),
+    recursive=True,
+)
 def answer_batch(spark, sf_dir):
     """Packets of a batch: status, operation, target and number of rows, by parse, bind, decide and search."""
     files = code_files(spark, sf_dir).select("path", F.lower("path").alias("target"))

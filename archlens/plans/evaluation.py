@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from archlens.functions import text as T
 from archlens.operators import qlog
 from archlens.plans.base import query
-from archlens.plans.text import PHRASES
+from archlens.plans.text import NORMAL, PHRASES, duck_intent
 from archlens.sources.tables import code_files, table
 from archlens.streaming.question_log import folded_stream
 
@@ -56,7 +56,7 @@ def log_newest(spark, sf_dir):
     return log(spark, sf_dir).withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 20").select("kind", "seq", "rank")
 
 
-@query("log_stream")
+@query("log_stream", FOLD + " select q.entry_id, q.seq, verdict from q left join v using (entry_id)")
 def log_stream(spark, sf_dir):
     """The same fold by Structured Streaming over the events as they are read; the last state of each entry."""
     schema = table(spark, sf_dir, "events").schema
@@ -190,7 +190,10 @@ def variation_grid(spark, sf_dir):
     return rows.select("fid", "p.k", "form", F.replace("p.phrase", F.lit("{}"), F.col("name")).alias("question"))
 
 
-@query("grid_operations")
+GRID = "with p(k, phrase) as (values " + ", ".join("({}, '{}')".format(i, p.replace("'", "''")) for i, p in enumerate(PHRASES)) + "), n as (select fid, unnest([path, stem, upper(stem), replace(stem, '_', ' ')]) as name, unnest(['path', 'stem', 'upper', 'spaced']) as form from code_files), g as (select k, form, replace(phrase, '{}', name) as question from n, p), q as (select k, form, " + NORMAL.replace("{}", "question") + " as normal from g)"
+
+
+@query("grid_operations", GRID + f", o as (select k, form, {duck_intent().split(', case')[0]} from q) select k, form, op, count(*) as n from o group by 1, 2, 3", ("code_files",))
 def grid_operations(spark, sf_dir):
     """The whole grid parsed: questions by phrase, form and operation."""
     rows = variation_grid(spark, sf_dir).select("k", "form", T.intent(T.normalize_question(F.col("question")))["op"].alias("op"))

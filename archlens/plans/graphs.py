@@ -517,7 +517,29 @@ def context_pages(spark, sf_dir):
     return code_files(spark, sf_dir).withColumn("n", F.row_number().over(order).cast("long")).where("n <= 3").select("path", "n", F.col("lines").alias("first_line"))
 
 
-@query("context_budget")
+def greedy_sql(rows: str, group: str, key: str, size: str, budget: int) -> str:
+    """(group, kept) of rows(group, key, size): in order of key, each that still fits; DuckDB folds a list of one-element parts."""
+    return f"""select {group}, unnest(kept.k) as kept from (select {group}, list_reduce(list({{'u': cast({size} as bigint), 'k': [{key}]}} order by {key}), lambda a, x: case when a.u + x.u <= {budget} then {{'u': a.u + x.u, 'k': list_concat(a.k, x.k)}} else a end, {{'u': 0::bigint, 'k': []}}) as kept from ({rows}) group by 1)"""
+
+
+@query("context_budget", "with g as (" + greedy_sql("select folder, path, lines from code_files", "folder", "path", "lines", 100) + ") select kept as path, g.folder, lines from g join code_files f on f.path = kept", ("code_files",))
 def context_budget(spark, sf_dir):
     """Files of each folder that fit a budget of 100 lines, taken in order of path, those that do not fit passed over."""
     return graph.within_budget(code_files(spark, sf_dir).select("path", "folder", "lines"), "folder", "path", "lines", 100).where("kept").select("path", "folder", "lines")
+
+
+@query(
+    "context_files",
+    walk_sql(SEEDS, FORWARD, ", r as (select qid, id, row_number() over (partition by qid order by depth, chain) as n from best where depth > 0), a as (select qid, id, 1 + n as n from r where n < 200 union all select qid, path, 0 from seeds), t as (select qid, n, id, lines, sum(least(lines, 8)) over (partition by qid order by n) as used, row_number() over (partition by qid order by n) as place from a join code_files f on f.path = id) select qid, n, id, cast(least(lines, 8) as bigint) as shown, lines > 8 as truncated from t where place <= 20 and used <= 120"),
+    ("code_files", "seeds", "path_edges"),
+    recursive=True,
+)
+def context_files(spark, sf_dir):
+    """Excerpts of what an answer selects, the file that was asked about first: at most eight lines a file, twenty files, 120 lines."""
+    found = graph.search(starts(spark, sf_dir), forward(spark, sf_dir))
+    n = (F.row_number().over(Window.partitionBy("qid").orderBy("depth", "chain")) - 1).cast("long")
+    rows = found.withColumn("n", n).where("n < 200").withColumn("n", F.when(F.col("n") > 0, F.col("n") + 1).otherwise(0))
+    told = rows.select("qid", "n", "id").join(code_files(spark, sf_dir).select(F.col("path").alias("id"), "lines"), "id")
+    order = Window.partitionBy("qid").orderBy("n")
+    told = told.withColumn("shown", F.least("lines", F.lit(8)).cast("long")).withColumn("used", F.sum("shown").over(order)).withColumn("place", F.row_number().over(order))
+    return told.where("place <= 20 and used <= 120").select("qid", "n", "id", "shown", (F.col("lines") > 8).alias("truncated"))

@@ -319,13 +319,6 @@ def violations_edges(spark, sf_dir):
     )
 
 
-@query("violations_folders", "select f.folder as label, 'missing parent' as rule from (select distinct folder, top from code_files where lines > 3) f where top not in (select top from code_files where lines = 49) union all select 'root', 'no root' where (select count(*) from code_files) = 0", ("code_files",))
-def violations_folders(spark, sf_dir):
-    """Folders of which the parent is not in the catalogue (here: tops with a file of 49 lines)."""
-    files = code_files(spark, sf_dir)
-    return files.where("lines > 3").select("folder", "top").distinct().join(files.where("lines = 49").select("top"), "top", "left_anti").select(F.col("folder").alias("label"), F.lit("missing parent").alias("rule"))
-
-
 @query(
     "build_checks",
     OWNED_SQL + """, manual(src, dst) as (values ('brand11', 'brand12'), ('brand12', 'nowhere'))

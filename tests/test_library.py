@@ -182,3 +182,18 @@ def test_engine_answers(spark):
     assert got[5] == [("PATH", "no-path", None, None, None)] and got[6][0][1] == "no-match" and got[7][0][2] == "app/b.py"
     who = spark.createDataFrame([(1, "g")], "qid long, id string")
     assert rows(engine.callers(who)) == [(1, "f", "resolved"), (1, "h", "typed")] and rows(engine.callers(who, certain=True)) == [(1, "f", "resolved")]
+
+
+def test_engine_answers_about_definitions(spark):
+    symbols = spark.createDataFrame([("m#a", "a"), ("m#b", "b"), ("m#c", "c"), ("n#c", "c"), ("m#d", "d")], "id string, name string")
+    calls = spark.createDataFrame([("m#a", "m#b", "resolved"), ("m#b", "m#d", "typed"), ("m#b", "m#b", "resolved"), ("m#d", "n#c", "resolved")], "src string, dst string, confidence string")
+    engine = Engine(spark.createDataFrame([], "id string, kind string, path string"), calls.select("src", "dst").withColumn("type", F.lit("call")), symbols=symbols, calls=calls)
+    asked = ["trace from a", "who calls d?", "what does b call", "how does a reach d", "how does d reach a", "where is c defined", "callers of nothing", "where is the api"]
+    got = {}
+    for r in engine.answer_symbols(spark.createDataFrame(list(enumerate(asked)), "qid int, question string")).collect():
+        got.setdefault(r["qid"], []).append((r["status"], r["id"], r["chain"], r["tier"], r["alternatives"]))
+    assert sorted(got[0]) == [("matched", "m#b", "m#a>m#b", "resolved", None), ("matched", "m#d", "m#a>m#b>m#d", "typed", None), ("matched", "n#c", "m#a>m#b>m#d>n#c", "typed", None)]
+    assert got[1] == [("matched", "m#b", "m#b", "typed", None)] and {x[1] for x in got[2]} == {"m#b", "m#d"}
+    assert got[3] == [("matched", "m#d", "m#a>m#b>m#d", "typed", None)] and got[4] == [("no-path", None, None, None, None)]
+    assert got[5] == [("needs-choice", None, None, None, "m#c,n#c")] and got[6] == [("no-match", None, None, None, None)] and 7 not in got
+    assert [r["id"] for r in engine.trace(spark.createDataFrame([(1, "m#a")], "qid int, id string"), certain=True).collect()] == ["m#b"]

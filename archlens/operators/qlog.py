@@ -29,3 +29,15 @@ def retained(rows: DataFrame, group: str, at: str, size: str, seq: str, records:
     young = rows.withColumn("__last", F.max(at).over(Window.partitionBy(group))).where(F.col(at) >= F.expr(f"__last - interval {days} days"))
     cut = young.withColumn("__n", F.row_number().over(newest)).withColumn("__b", F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return cut.where((F.col("__n") <= records) & (F.col("__b") <= bytes_)).drop("__last", "__n", "__b")
+
+
+def rotated(rows: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
+    """(group, lines, generations, bytes) of logs that begin a new generation when a line does not fit; bytes: of the last one.
+
+    When a line fits depends on all before it, so a log's sizes are folded in order as one array of numbers.
+    """
+    sizes = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(1).cast("long").alias("generations"))
+    full = lambda a, x: (a["used"] > 0) & (a["used"] + x["s"] > most)
+    step = lambda a, x: F.struct(F.when(full(a, x), x["s"]).otherwise(a["used"] + x["s"]).alias("used"), (a["generations"] + full(a, x).cast("long")).alias("generations"))
+    return sizes.select(group, F.size("all").cast("long").alias("lines"), F.aggregate("all", start, step).alias("r")).select(group, "lines", "r.generations", F.col("r.used").alias("bytes"))

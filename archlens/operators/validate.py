@@ -220,3 +220,9 @@ def scores(heads: DataFrame) -> DataFrame:
         rule("order", heads.withColumn("before", F.lag("score").over(order)).where("score > before"), "qid"),
         rule("range", heads.where("p < 0 or p > 1"), "qid"),
     )
+
+
+def alias_problem(alias, node):
+    """Why an alias may not be stored, or null."""
+    blank = F.trim(F.coalesce(alias, F.lit(""))) == ""
+    return F.when(blank, "blank").when(alias.rlike(r"[\x00-\x1f\x7f-\x9f]"), "control character").when(F.length(alias) > 160, "too long").when(alias != F.trim(alias), "outer space").when(F.coalesce(node, F.lit("")) == "", "no target").when(F.length(node) > 1024, "no target")

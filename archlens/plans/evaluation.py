@@ -104,11 +104,61 @@ def eval_grouping_sets(spark, sf_dir):
     return gold(spark, sf_dir).groupingSets([["split", "kind"], ["split", "toxic"], ["kind"], []], "split", "kind", "toxic").agg(*metrics())
 
 
-@query("eval_topk", "with r as (select conv_id, turn, role, row_number() over (partition by conv_id order by length(text) desc, turn) as rank from conversations) select role, cast(count_if(rank = 1) as bigint) as top1, cast(count_if(rank <= 3) as bigint) as top3, count(*) as n from r group by 1")
+GRID = "with p(k, phrase) as (values " + ", ".join("({}, '{}')".format(i, p.replace("'", "''")) for i, p in enumerate(PHRASES)) + "), n as (select fid, unnest([path, stem, upper(stem), replace(stem, '_', ' ')]) as name, unnest(['path', 'stem', 'upper', 'spaced']) as form from code_files), g as (select k, form, replace(phrase, '{}', name) as question from n, p), q as (select k, form, " + NORMAL.replace("{}", "question") + " as normal from g)"
+TOPK = "with r as (select f.top, f.fid, f.path as expected, g.path as id, row_number() over (partition by f.fid order by levenshtein(f.stem, g.stem), g.fid) as rank, levenshtein(f.stem, g.stem) as d from code_files f join code_files g on f.folder = g.folder and f.fid <> g.fid and f.fid % 20 = 0), e as (select top, fid, max(case when rank = 1 then d end) as d1, coalesce(max(case when rank = 2 then d end), 99) as d2, min(case when right(id, 5) = right(expected, 5) then rank end) as hit from r group by 1, 2)"
+
+
+@query("eval_topk", TOPK + " select top, count(*) as n, count(*) filter (hit = 1) as top1, count(*) filter (hit <= 3) as top3, count(*) filter (d2 - d1 < 1) as abstained, count(*) filter (d2 - d1 >= 1 and coalesce(hit, 99) > 1) as false_accepts, round(count(*) filter (hit <= 3) / count(*), 6) as recall from e group by 1", ("code_files",))
 def eval_topk(spark, sf_dir):
-    """How often each role has the longest turn, or one of the three longest, of its conversation."""
-    order = Window.partitionBy("conv_id").orderBy(F.desc(F.length("text")), "turn")
-    return table(spark, sf_dir, "conversations").withColumn("rank", F.row_number().over(order)).groupBy("role").agg(F.count_if(F.col("rank") == 1).alias("top1"), F.count_if(F.col("rank") <= 3).alias("top3"), F.count("*").alias("n"))
+    """Ranking of a folder's files by the nearness of their names against what is expected: top one and three, abstentions and false
+    acceptances by group."""
+    files = code_files(spark, sf_dir)
+    f = files.where("fid % 20 = 0").select("top", "folder", F.col("fid").alias("q"), F.col("stem").alias("own"), F.col("path").alias("expected"))
+    rows = f.join(files.select("folder", "fid", "stem", "path"), "folder").where("fid <> q").withColumn("d", F.levenshtein("own", "stem"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "fid")))
+    same = F.expr("right(path, 5) = right(expected, 5)")
+    told = rows.groupBy("top", "q").agg(F.max(F.when(F.col("rank") == 1, F.col("d"))).alias("d1"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("d"))), F.lit(99)).alias("d2"), F.min(F.when(same, F.col("rank"))).alias("hit"))
+    hit, close = F.coalesce("hit", F.lit(99)), F.col("d2") - F.col("d1") < 1
+    return told.groupBy("top").agg(F.count("*").alias("n"), F.count_if(hit == 1).alias("top1"), F.count_if(hit <= 3).alias("top3"), F.count_if(close).alias("abstained"), F.count_if(~close & (hit > 1)).alias("false_accepts"), F.round(F.try_divide(F.count_if(hit <= 3), F.count("*")), 6).alias("recall"))
+
+
+MODES = "select case_id, split, kind as origin, expected, case mode when 'alias-on' then case when case_id % 5 = 0 then expected else actual end else actual end as actual, mode from gold, (values ('original'), ('alias-off'), ('alias-on')) m(mode)"
+
+
+@query("eval_modes", f"with {GOLD} select origin, split, mode, count(*) as n, count(*) filter (expected = actual) as correct from ({MODES}) group by grouping sets ((origin, split, mode), (split, mode), (mode))")
+def eval_modes(spark, sf_dir):
+    """Cases by origin, split and mode, as they were, without learned aliases and with them."""
+    rows = gold(spark, sf_dir).select("case_id", "split", F.col("kind").alias("origin"), "expected", "actual", F.explode(F.array(*map(F.lit, ("original", "alias-off", "alias-on")))).alias("mode"))
+    rows = rows.withColumn("actual", F.when((F.col("mode") == "alias-on") & (F.col("case_id") % 5 == 0), F.col("expected")).otherwise(F.col("actual")))
+    return rows.groupingSets([["origin", "split", "mode"], ["split", "mode"], ["mode"]], "origin", "split", "mode").agg(F.count("*").alias("n"), F.count_if(F.col("expected") == F.col("actual")).alias("correct"))
+
+
+@query("grid_summaries", GRID + f", o as (select k, form, {duck_intent().split(', case')[0]} from q) select k, form, op, count(*) as n, count(*) filter (op = case when k in (2, 3, 8) then 'DOWNSTREAM' when k in (4, 5) then 'UPSTREAM' when k in (6, 7, 10) then 'PATH' else 'LOCATE' end) as right_ from o group by grouping sets ((k), (form), (op), (k, form))", ("code_files",))
+def grid_summaries(spark, sf_dir):
+    """The grid by phrase, form, operation, and phrase by form: how many are read as they are meant."""
+    rows = variation_grid(spark, sf_dir).select("k", "form", T.intent(T.normalize_question(F.col("question")))["op"].alias("op"))
+    k = F.col("k")
+    meant = F.when(k.isin(2, 3, 8), "DOWNSTREAM").when(k.isin(4, 5), "UPSTREAM").when(k.isin(6, 7, 10), "PATH").otherwise("LOCATE")
+    return rows.withColumn("ok", F.col("op") == meant).groupingSets([["k"], ["form"], ["op"], ["k", "form"]], "k", "form", "op").agg(F.count("*").alias("n"), F.count_if("ok").alias("right_"))
+
+
+@query("misaligned_cases", "with b as (select doc_id from labels where doc_id % 7 <> 0), a as (select doc_id from labels where doc_id % 9 <> 0) select 'only before' as rule, count(*) as n from (select * from b except select * from a) union all select 'only after', count(*) from (select * from a except select * from b) union all select 'both', count(*) from (select * from a intersect select * from b)")
+def misaligned_cases(spark, sf_dir):
+    """Cases of two runs that must be the same ones before they are compared."""
+    rows = table(spark, sf_dir, "labels").select("doc_id")
+    before, after = rows.where("doc_id % 7 <> 0"), rows.where("doc_id % 9 <> 0")
+    count = lambda name, df: df.agg(F.lit(name).alias("rule"), F.count("*").alias("n")).select("rule", "n")
+    return count("only before", before.subtract(after)).union(count("only after", after.subtract(before))).union(count("both", after.intersect(before)))
+
+
+@query("lookup_eval", f"with {GOLD}, l as (select kind, case when actual = 1 then 'match' when case_id % 3 = 0 then 'choose' else 'no-match' end as said, case when expected = 1 then 'match' when case_id % 2 = 0 then 'choose' else 'no-match' end as want, case_id % 4 > 0 as offered from gold) select kind, count(*) as n, count(*) filter (said = want) as label_right, count(*) filter (said = 'match' and want <> 'match') as accepted_wrong, count(*) filter (want = 'choose') as choices, count(*) filter (want = 'choose' and said = 'choose' and offered) as suggested from l group by 1")
+def lookup_eval(spark, sf_dir):
+    """Match, choice or nothing against what is expected: right labels, wrong acceptances, and expected choices that offered the target."""
+    c = F.col("case_id")
+    said = F.when(F.col("actual") == 1, "match").when(c % 3 == 0, "choose").otherwise("no-match")
+    want = F.when(F.col("expected") == 1, "match").when(c % 2 == 0, "choose").otherwise("no-match")
+    rows = gold(spark, sf_dir).select("kind", said.alias("said"), want.alias("want"), (c % 4 > 0).alias("offered"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("said") == F.col("want")).alias("label_right"), F.count_if((F.col("said") == "match") & (F.col("want") != "match")).alias("accepted_wrong"), F.count_if(F.col("want") == "choose").alias("choices"), F.count_if((F.col("want") == "choose") & (F.col("said") == "choose") & F.col("offered")).alias("suggested"))
 
 
 @query("latency_percentiles", "select event_type, count(*) as n, round(quantile_disc(value, 0.5), 6) as p50, round(quantile_disc(value, 0.95), 6) as p95, round(quantile_disc(value, 0.99), 6) as p99, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as sd, round(max(value), 6) as max from events where value is not null group by 1")
@@ -190,11 +240,44 @@ def variation_grid(spark, sf_dir):
     return rows.select("fid", "p.k", "form", F.replace("p.phrase", F.lit("{}"), F.col("name")).alias("question"))
 
 
-GRID = "with p(k, phrase) as (values " + ", ".join("({}, '{}')".format(i, p.replace("'", "''")) for i, p in enumerate(PHRASES)) + "), n as (select fid, unnest([path, stem, upper(stem), replace(stem, '_', ' ')]) as name, unnest(['path', 'stem', 'upper', 'spaced']) as form from code_files), g as (select k, form, replace(phrase, '{}', name) as question from n, p), q as (select k, form, " + NORMAL.replace("{}", "question") + " as normal from g)"
-
-
 @query("grid_operations", GRID + f", o as (select k, form, {duck_intent().split(', case')[0]} from q) select k, form, op, count(*) as n from o group by 1, 2, 3", ("code_files",))
 def grid_operations(spark, sf_dir):
     """The whole grid parsed: questions by phrase, form and operation."""
     rows = variation_grid(spark, sf_dir).select("k", "form", T.intent(T.normalize_question(F.col("question")))["op"].alias("op"))
     return rows.groupBy("k", "form", "op").agg(F.count("*").alias("n"))
+
+
+CHANGES = ("lower", "upper", "question mark", "stop", "the", "please", "file", "function", "inserted")
+
+
+@query(
+    "variation_perturbations",
+    "with m as (select fid, stem, unnest(['lower', 'upper', 'question mark', 'stop', 'the', 'please', 'file', 'function', 'inserted']) as change from code_files) select fid, change, 'where is ' || case change when 'lower' then lower(stem) when 'upper' then upper(stem) when 'question mark' then stem || '?' when 'stop' then stem || '.' when 'the' then 'the ' || stem when 'please' then stem || ' please' when 'file' then 'file ' || stem when 'function' then 'function ' || stem else stem || 'z' end as question, false as negative from m"
+    " union all select -1 - i, 'absent', 'where is ' || left(sha256('absent' || i), 12), true from range(0, 240) r(i)",
+    ("code_files",),
+)
+def variation_perturbations(spark, sf_dir):
+    """Every file asked for with one change at a time, and 240 questions for what is not there."""
+    s, c = F.col("stem"), F.col("change")
+    said = {"lower": F.lower(s), "upper": F.upper(s), "question mark": F.concat(s, F.lit("?")), "stop": F.concat(s, F.lit(".")), "the": F.concat(F.lit("the "), s), "please": F.concat(s, F.lit(" please")), "file": F.concat(F.lit("file "), s), "function": F.concat(F.lit("function "), s)}
+    text = F.concat(s, F.lit("z"))
+    for name, value in said.items():
+        text = F.when(c == name, value).otherwise(text)
+    rows = code_files(spark, sf_dir).select("fid", "stem", F.explode(F.array(*map(F.lit, CHANGES))).alias("change")).select("fid", "change", F.concat(F.lit("where is "), text).alias("question"), F.lit(False).alias("negative"))
+    absent = spark.range(240).select((-1 - F.col("id")).alias("fid"), F.lit("absent").alias("change"), F.concat(F.lit("where is "), F.substring(F.sha2(F.concat(F.lit("absent"), F.col("id").cast("string")), 256), 1, 12)).alias("question"), F.lit(True).alias("negative"))
+    return rows.unionByName(absent)
+
+
+@query("log_rotation", "with e as (select event_type, event_id, octet_length(encode(props)) + 1 as n from events), f as (select event_type, list_reduce(list({'s': cast(n as bigint), 'g': [0::bigint], 'b': cast(n as bigint)} order by event_id), lambda a, x: case when a.s + x.s > 500 then {'s': x.s, 'g': list_append(a.g, a.g[-1] + 1), 'b': a.b} else {'s': a.s + x.s, 'g': list_append(a.g, a.g[-1]), 'b': a.b} end) as r from e group by 1) select event_type, len(r.g) as lines, r.g[-1] + 1 as generations, r.s as bytes from f")
+def log_rotation(spark, sf_dir):
+    """Logs that turn to a new generation when a line would exceed 500 bytes: how many there were, and what the last holds."""
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", (F.octet_length("props") + 1).cast("long").alias("n"))
+    return qlog.rotated(rows, "event_type", "event_id", "n", 500)
+
+
+@query("log_order", f"with {LOG} select entry_id, n from (select entry_id, seq, row_number() over (order by case when seq % 10 = 0 then 0 else seq end desc, seq desc) as n from log where kind = 'question') where n <= 50")
+def log_order(spark, sf_dir):
+    """The newest fifty questions; those without a time of making count as the oldest."""
+    rows = log(spark, sf_dir).where("kind = 'question'").withColumn("made", F.when(F.col("seq") % 10 != 0, F.col("seq")))
+    top = rows.orderBy(F.coalesce("made", F.lit(0)).desc(), F.desc("seq")).limit(50)
+    return top.withColumn("n", F.row_number().over(Window.orderBy(F.coalesce("made", F.lit(0)).desc(), F.desc("seq"))).cast("long")).select("entry_id", "n")

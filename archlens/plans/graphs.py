@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from archlens.operators import graph
-from archlens.plans.base import query
+from archlens.plans.base import greedy_sql, query
 from archlens.sources.tables import TIERS, call_edges, call_sites, code_files, code_symbols, group_edges, path_edges, seeds, table
 
 
@@ -249,7 +249,7 @@ def impact_boundary(spark, sf_dir):
 
 @query(
     "impact_tests",
-    walk_sql(SEEDS, IMPORTED, "select qid, id, depth from best where depth > 0 and regexp_matches(case when fid % 11 = 0 then 'tests/' || id when fid % 11 = 1 then replace(id, '/' || stem, '/test_' || stem) else id end, '(^|/)(tests?|__tests__|e2e)(/|$)|(^|/)test_[^/]+\\.py$')").replace("as (select * from walk)", "as (select w.*, f.fid, f.stem from walk w join code_files f on f.path = w.id)"),
+    walk_sql(SEEDS, IMPORTED, "select qid, id, depth from best where depth > 0 and (fid % 13 = 0 or regexp_matches(case when fid % 11 = 0 then 'tests/' || id when fid % 11 = 1 then replace(id, '/' || stem, '/test_' || stem) else id end, '(^|/)(tests?|__tests__|e2e)(/|$)|(^|/)test_[^/]+\\.py$'))").replace("as (select * from walk)", "as (select w.*, f.fid, f.stem from walk w join code_files f on f.path = w.id)"),
     ("seeds", "path_edges"),
     recursive=True,
 )
@@ -266,8 +266,8 @@ TEST_FILE = r"(^|/)test_[^/]+\.py$|\.(test|spec)\.(c?[jt]sx?|mjs)$"
 
 @query(
     "linked_tests",
-    """select f.id, reason, count(distinct e.src) as callers from (select *, case when regexp_matches(p, '(^|/)(tests?|__tests__|e2e)(/|$)') then 'folder' when regexp_matches(p, '(^|/)test_[^/]+\\.py$|\\.(test|spec)\\.(c?[jt]sx?|mjs)$') then 'file' end as reason
-      from (select path as id, case when fid % 11 = 0 then 'tests/' || path when fid % 11 = 1 then replace(path, '/' || stem, '/test_' || stem) else path end as p from code_files)) f
+    """select f.id, reason, count(distinct e.src) as callers from (select *, case when fid % 13 = 0 then 'flag' when regexp_matches(p, '(^|/)(tests?|__tests__|e2e)(/|$)') then 'folder' when regexp_matches(p, '(^|/)test_[^/]+\\.py$|\\.(test|spec)\\.(c?[jt]sx?|mjs)$') then 'file' end as reason
+      from (select fid, path as id, case when fid % 11 = 0 then 'tests/' || path when fid % 11 = 1 then replace(path, '/' || stem, '/test_' || stem) else path end as p from code_files)) f
     left join path_edges e on e.dst = f.id where reason is not null group by all""",
     ("code_files", "path_edges"),
 )
@@ -278,9 +278,9 @@ def linked_tests(spark, sf_dir):
 
 
 def test_files(spark, sf_dir):
-    """(id, reason): every eleventh file lies in a folder of tests, every eleventh is called like a test."""
+    """(id, reason): every thirteenth file is said to be a test, every eleventh lies in a folder of tests, every eleventh is called like one."""
     renamed = F.when(F.col("fid") % 11 == 0, F.concat(F.lit("tests/"), "path")).when(F.col("fid") % 11 == 1, F.replace("path", F.concat(F.lit("/"), "stem"), F.concat(F.lit("/test_"), "stem"))).otherwise(F.col("path"))
-    reason = F.when(renamed.rlike(TEST_FOLDER), "folder").when(renamed.rlike(TEST_FILE), "file")
+    reason = F.when(F.col("fid") % 13 == 0, "flag").when(renamed.rlike(TEST_FOLDER), "folder").when(renamed.rlike(TEST_FILE), "file")
     return code_files(spark, sf_dir).select(F.col("path").alias("id"), reason.alias("reason")).where("reason is not null")
 
 
@@ -517,11 +517,6 @@ def context_pages(spark, sf_dir):
     return code_files(spark, sf_dir).withColumn("n", F.row_number().over(order).cast("long")).where("n <= 3").select("path", "n", F.col("lines").alias("first_line"))
 
 
-def greedy_sql(rows: str, group: str, key: str, size: str, budget: int) -> str:
-    """(group, kept) of rows(group, key, size): in order of key, each that still fits; DuckDB folds a list of one-element parts."""
-    return f"""select {group}, unnest(kept.k) as kept from (select {group}, list_reduce(list({{'u': cast({size} as bigint), 'k': [{key}]}} order by {key}), lambda a, x: case when a.u + x.u <= {budget} then {{'u': a.u + x.u, 'k': list_concat(a.k, x.k)}} else a end, {{'u': 0::bigint, 'k': []}}) as kept from ({rows}) group by 1)"""
-
-
 @query("context_budget", "with g as (" + greedy_sql("select folder, path, lines from code_files", "folder", "path", "lines", 100) + ") select kept as path, g.folder, lines from g join code_files f on f.path = kept", ("code_files",))
 def context_budget(spark, sf_dir):
     """Files of each folder that fit a budget of 100 lines, taken in order of path, those that do not fit passed over."""

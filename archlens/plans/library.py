@@ -380,3 +380,51 @@ def holdout_quarter(spark, sf_dir):
     order = every.orderBy(F.sha2(F.concat(F.lit("quarter"), F.col("doc_id").cast("string")), 256), "doc_id")
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang").withColumn("n", F.row_number().over(order)).withColumn("total", F.count("*").over(every))
     return rows.select("doc_id", "lang", F.when(F.col("n") <= F.ceil(F.col("total") / 4), "holdout").otherwise("dev").alias("split"))
+
+
+# Scope, requests and entries.
+
+
+@query("scoped_inputs", "select path from code_files where top in ('brand1', 'brand2', 'brand3', 'lib') and regexp_matches(case when fid % 3 = 0 then replace(path, '.py', '.tsx') else path end, '\\.(ts|tsx|mjs|js|jsx|cjs)$') and fid % 10 <> 0", ("code_files",))
+def scoped_inputs(spark, sf_dir):
+    """Inputs of the script extractor: below the folders that are asked for, with its extensions, outside excluded folders."""
+    shown = F.when(F.col("fid") % 3 == 0, F.replace("path", F.lit(".py"), F.lit(".tsx"))).otherwise(F.col("path"))
+    listed = F.when(F.col("fid") % 10 == 0, F.concat("top", F.lit("/node_modules/"), F.substring_index(shown, "/", -1))).otherwise(shown)
+    files = code_files(spark, sf_dir).select(F.col("path").alias("own"), listed.alias("path"))
+    return inv.script_inputs(files, ["brand1", "brand2", "brand3", "lib"]).select(F.col("own").alias("path"))
+
+
+@query("worker_replies", "select role, turn % 3 as kind, case when length(text) > 2000 then 'too long' when turn % 3 = 1 then 'not JSON' when turn % 3 = 2 then 'no request id' else 'ok' end as reply, count(*) as n from conversations group by 1, 2, 3")
+def worker_replies(spark, sf_dir):
+    """Requests as JSON lines: which a worker takes, and why it refuses the others."""
+    kind = F.col("turn") % 3
+    made = F.when(kind == 2, F.to_json(F.struct(F.col("text").alias("query")))).otherwise(F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("requestId"), F.col("text").alias("query"))))
+    lines = table(spark, sf_dir, "conversations").select("role", kind.alias("kind"), F.when(kind == 1, F.substring(made, F.lit(1), F.length(made) - 3)).otherwise(made).alias("line"), (F.length("text") > 2000).alias("long"))
+    return inv.replies(lines, 64 << 10, 2000).groupBy("role", "kind", "reply").agg(F.count("*").alias("n"))
+
+
+@query("alias_entries", "select fid, case when fid % 17 = 0 then 'blank' when fid % 13 = 0 then 'control character' when fid % 11 = 0 then 'too long' when fid % 7 = 0 then 'outer space' end as problem from code_files", ("code_files",))
+def alias_entries(spark, sf_dir):
+    """Learned aliases that may not be stored, and why."""
+    f = F.col("fid")
+    alias = F.when(f % 17 == 0, "  ").when(f % 13 == 0, F.concat("stem", F.lit("\x07x"))).when(f % 11 == 0, F.repeat("stem", 40)).when(f % 7 == 0, F.concat(F.lit(" "), "stem")).otherwise(F.col("stem"))
+    return code_files(spark, sf_dir).select("fid", validate.alias_problem(alias, F.col("path")).alias("problem"))
+
+
+@query("safe_paths", r"select page_id, p <> '' and not regexp_matches(p, '[\x00-\x1f\\]|^[A-Za-z]:|^/') and not list_contains(string_split(p, '/'), '') and not list_contains(string_split(p, '/'), '.') and not list_contains(string_split(p, '/'), '..') as safe from (select page_id, case when page_id % 5 = 0 then regexp_extract(url, '://[^/]*(.*)$', 1) when page_id % 5 = 1 then '../' || page_id when page_id % 5 = 2 then 'C:/x' when page_id % 5 = 3 then 'a\b' else 'ok/' || page_id end as p from pages)")
+def safe_paths(spark, sf_dir):
+    """Which paths are literal relative ones."""
+    i = F.col("page_id")
+    path = F.when(i % 5 == 0, F.regexp_extract("url", "://[^/]*(.*)$", 1)).when(i % 5 == 1, F.concat(F.lit("../"), i.cast("string"))).when(i % 5 == 2, "C:/x").when(i % 5 == 3, "a\\b").otherwise(F.concat(F.lit("ok/"), i.cast("string")))
+    return table(spark, sf_dir, "pages").select("page_id", inv.safe_path(path).alias("safe"))
+
+
+DRAFT = "select folder as label, case when split_part(folder, '/', 2) in ('lib', 'utils', 'util', 'helpers', 'shared', 'common') then 'helper' else 'folder' end as reason, count(*) as files, 'folder-' || left(sha256(folder), 16) as id from code_files group by 1"
+
+
+@query("draft_groups", DRAFT, ("code_files",))
+def draft_groups(spark, sf_dir):
+    """Groups that are proposed: the files of each folder, with a name that does not change and the reason."""
+    helper = F.substring_index("folder", "/", -1).isin("lib", "utils", "util", "helpers", "shared", "common")
+    rows = code_files(spark, sf_dir).groupBy("folder").agg(F.count("*").alias("files"))
+    return rows.select(F.col("folder").alias("label"), F.when(helper, "helper").otherwise("folder").alias("reason"), "files", F.concat(F.lit("folder-"), F.substring(F.sha2("folder", 256), 1, 16)).alias("id"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from archlens.functions import text as T
-from archlens.operators import ranking
-from archlens.plans.base import query
+from archlens.operators import graph, ranking
+from archlens.plans.base import greedy_sql, query
 from archlens.sources.tables import code_files, table
 
 #: Phrases of questions: each file is asked about by one of them, chosen by its number.
@@ -44,7 +44,16 @@ def tokens_scorer(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query("tokens_builder")
+SPLIT = r"regexp_replace(regexp_replace(regexp_replace(x, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([0-9])', '\1 \2', 'g')"
+
+
+@query(
+    "tokens_builder",
+    f"""with c as (select doc_id as id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) as x, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9]+'), 1) as i from documents),
+    w as (select id, i, string_split({SPLIT}, ' ') as ws, x from c), t as (select id, i, unnest(case when len(ws) > 1 then list_append(ws, x) else ws end) as t, generate_subscripts(case when len(ws) > 1 then list_append(ws, x) else ws end, 1) as j from w),
+    f as (select id, lower(t) as t, min((i, j)) as at_ from t where length(t) > 1 group by 1, 2)
+    select d.doc_id as id, coalesce(string_agg(t, ' ' order by at_), '') as tokens from documents d left join f on d.doc_id = f.id group by 1""",
+)
 def tokens_builder(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(T.builder_tokens(F.col("text")), " ").alias("tokens"))
 
@@ -188,3 +197,12 @@ def excerpt_budget(spark, sf_dir):
     sizes = F.transform(F.split("text", "\n"), lambda x: F.octet_length(x) + 1)
     step = F.aggregate(sizes, F.struct(F.lit(0).alias("lines"), F.lit(0).alias("bytes"), F.lit(True).alias("on")), lambda a, n: F.when(a["on"] & (a["bytes"] + n <= 1000), F.struct((a["lines"] + 1).alias("lines"), (a["bytes"] + n).alias("bytes"), F.lit(True).alias("on"))).otherwise(F.struct(a["lines"].alias("lines"), a["bytes"].alias("bytes"), F.lit(False).alias("on"))))
     return table(spark, sf_dir, "documents").select("doc_id", step.alias("s")).where("s.lines > 0").select("doc_id", F.col("s.lines").cast("long").alias("lines"), F.col("s.bytes").cast("long").alias("bytes"))
+
+
+@query("search_text_budget", "with " + TEXTS + ", s as (select id, path as grp, octet_length(encode(name)) + octet_length(encode(path)) + octet_length(encode(docstring)) + 40 as size from texts), g as (" + greedy_sql("select grp, id, size from s", "grp", "id", "size", 1500) + "), k as (select grp, count(*) as kept from g group by 1) select s.grp, coalesce(any_value(kept), 0) as kept, count(*) - coalesce(any_value(kept), 0) as omitted from s left join k using (grp) group by 1")
+def search_text_budget(spark, sf_dir):
+    """How many records of each source and language fit a budget of bytes in input order, and how many are left out; a smaller one may fit
+    after a larger one did not."""
+    size = F.octet_length("name") + F.octet_length("path") + F.octet_length("docstring") + 40
+    rows = code_text(spark, sf_dir).select(F.col("path").alias("grp"), "id", size.cast("long").alias("size"))
+    return graph.within_budget(rows, "grp", "id", "size", 1500).groupBy("grp").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("omitted"))

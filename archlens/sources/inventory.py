@@ -45,6 +45,23 @@ def source_files(tree: DataFrame) -> DataFrame:
     return tree.where(F.regexp_extract("path", r"[.]([^./]*)$", 1).isin(*EXTENSIONS) & ~F.arrays_overlap(folders, F.array(*map(F.lit, EXCLUDED))))
 
 
+SCRIPTS = ("ts", "tsx", "mjs", "js", "jsx", "cjs")
+
+
+def script_inputs(tree: DataFrame, tops: list[str]) -> DataFrame:
+    """Rows of source_files that a script extractor reads: below the given top folders, or one of them itself."""
+    scoped = tree.where(F.substring_index("path", "/", 1).isin(*tops))
+    return source_files(scoped).where(F.regexp_extract("path", r"[.]([^./]*)$", 1).isin(*SCRIPTS))
+
+
+def replies(lines: DataFrame, most_bytes: int = 64 << 10, most_characters: int = 2048) -> DataFrame:
+    """lines(line, ...) with ``reply``: ok, or why a worker refuses the request."""
+    asked = lines.withColumn("asked", F.try_parse_json("line")).withColumn("r", F.from_json("line", "requestId string, query string"))
+    reply = F.when((F.octet_length("line") > most_bytes) | (F.length("r.query") > most_characters), "too long").when(F.col("asked").isNull(), "not JSON")
+    reply = reply.when(F.coalesce("r.requestId", F.lit("")) == "", "no request id").when(F.col("r.query").isNull(), "no query").otherwise("ok")
+    return asked.withColumn("reply", reply).drop("asked", "r")
+
+
 def inventory(blobs: DataFrame) -> DataFrame:
     """(path, bytes, sha256, git_mode, content_kind, line_count, status, reason) of blobs(path, mode, size, content)."""
     is_text = F.is_valid_utf8(F.col("content").cast("string")) & ~F.contains(F.col("content").cast("string"), F.lit("\x00"))

@@ -287,3 +287,64 @@ def heads(texts: DataFrame, ranked: DataFrame) -> DataFrame:
     ids = F.transform("l", lambda x: x["id"])
     rows = texts.select("qid").join(top, "qid", "left").join(listed, "qid", "left")
     return rows.select("qid", F.coalesce("label", F.lit("No match")).alias("label"), F.coalesce("yes", F.lit(False)).alias("yes"), "choice", F.coalesce("branch", F.lit("responsibility")).alias("branch"), F.coalesce("tier", F.lit("lexical")).alias("tier"), F.coalesce("margin", F.lit(0.0)).alias("margin"), F.coalesce("missing", F.lit(False)).alias("missing"), F.coalesce(ids, F.array().cast("array<string>")).alias("suggestions"))
+
+
+#: What a question about calls means where its ends are files or folders.
+FOR_FILES = {"CALLERS": "DOWNSTREAM", "CALLEES": "UPSTREAM", "TRACE": "UPSTREAM", "FLOW": "PATH"}
+
+
+def resolved(questions: DataFrame, index: DataFrame, symbols: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(qid, op, file_op, outcome, ids) of questions(qid, question): whether names alone tell the graph that is meant.
+
+    index: files and groups; symbols(id, name, qualname, path). A bare name that several kinds of node have is a choice, those of the
+    kind that is hinted at first. Else a definition's own name counts, then an exact node. outcome: scored (left to the scorer),
+    needs-choice, unresolved, unsupported (a definition and a file), symbols or files; ids: of the first end that is not one node, else of all.
+    """
+    asked = questions.select("qid", "question", T.normalize_question(F.col("question")).alias("normal"))
+    keys = F.array_distinct(F.array("id", "name", "qualname", F.concat_ws(":", "path", "qualname")))
+    names = cut(symbols.select("id", F.explode(F.transform(keys, T.normalize_question)).alias("key")).distinct())
+    own = names.select(F.col("key").alias("normal")).distinct().join(index.select(F.col("id").alias("normal")), "normal", "left_anti").withColumn("whole", F.lit(True))
+    asked = asked.join(own, "normal", "left").withColumn("i", T.intent(F.col("normal"))).withColumn("s", T.symbol_request(F.col("normal")))
+    none = F.lit(None).cast("string")
+    bare = F.struct(F.lit("LOCATE").alias("op"), F.col("normal").alias("first"), none.alias("second"))
+    asked = asked.withColumn("s", F.when(F.col("s").isNotNull(), F.col("s")).when(F.col("whole"), bare))
+    lost = (F.col("i.op") == "PATH") & F.col("i.from").isNull()
+    asked = asked.where(~lost).withColumn("op", F.coalesce("s.op", "i.op"))
+    asked = asked.withColumn("ends", F.when(F.col("s").isNotNull(), F.array("s.first", "s.second")).when(F.col("i.op") == "PATH", F.array("i.from", "i.to")).otherwise(F.array("i.target", none)))
+    asked = cut(asked.select("qid", "op", F.col("i.op").alias("intent"), F.col("s").isNotNull().alias("by_symbol"), T.kind_hint(F.col("question")).alias("q_hint"), F.filter("ends", lambda e: e.isNotNull()).alias("ends")))
+    ends = asked.select("qid", "op", "q_hint", F.posexplode("ends").alias("place", "text"))
+    ends = ends.withColumn("name", T.filename_text(F.col("text"))).withColumn("hint", F.coalesce(T.kind_hint(F.col("text")), F.when(F.col("op") == "LOCATE", F.col("q_hint")))).withColumn("own_hint", T.kind_hint(F.col("text")))
+    ends = ends.withColumn("key", T.normalize_question(F.col("text")))
+    if aliases is not None:
+        ends = ends.join(aliases.select(F.col("alias").alias("name"), F.lit(True).alias("alias")).distinct(), "name", "left")
+    else:
+        ends = ends.withColumn("alias", F.lit(None).cast("boolean"))
+    ends = cut(ends)
+    nodes = index.select("id", "kind", F.col("bare").alias("name")).unionByName(symbols.select("id", F.lit("symbol").alias("kind"), F.lower("name").alias("name")))
+    literal = ends.where(F.col("alias").isNull() & F.col("name").rlike(r"^\.?[\w-]+$")).join(nodes.where("name <> ''"), "name")
+    every = Window.partitionBy("qid", "place")
+    literal = literal.withColumn("kinds", F.size(F.collect_set("kind").over(every))).where("kinds > 1").withColumn("likes", F.coalesce(F.col("kind") == F.col("hint"), F.lit(False))).withColumn("any", F.max("likes").over(every)).where("likes or not any")
+    collided = literal.select("qid", "place", "id", F.lit(0).alias("order"))
+    by_name = ends.join(names, "key").select("qid", "place", "id", F.lit(1).alias("order"))
+    by_hint = ends.where("hint = 'symbol'").join(names.withColumnRenamed("key", "name"), "name").select("qid", "place", "id", F.lit(2).alias("order"))
+    exact = index.select("id", F.explode(F.array_distinct(F.array(F.lower("id"), F.lower(F.coalesce("path", F.lit(""))), F.when(F.col("kind") == "layer", F.lower("label")).otherwise("")))).alias("name")).where("name <> ''")
+    by_node = ends.join(exact, "name").select("qid", "place", "id", F.lit(3).alias("order"))
+    found = collided.unionByName(by_name).unionByName(by_hint).unionByName(by_node).distinct()
+    first = found.groupBy("qid", "place").agg(F.min("order").alias("best"))
+    found = found.join(first, ["qid", "place"]).where("order = best")
+    is_symbol = found.join(symbols.select("id", F.lit(1).alias("sym")).distinct(), "id", "left")
+    told = is_symbol.groupBy("qid", "place").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.max((F.col("order") == 0).cast("int")).alias("collision"), F.min(F.coalesce("sym", F.lit(0))).alias("symbol"))
+    node_ids = index.select(F.col("id").alias("name"), F.lit(True).alias("is_id"))
+    rows = ends.join(node_ids, "name", "left").join(told, ["qid", "place"], "left").withColumn("n", F.coalesce(F.size("ids"), F.lit(0)))
+    rows = rows.withColumn("n", F.when(F.col("ids").isNull(), 0).otherwise(F.col("n")))
+    canonical = (F.coalesce("own_hint", F.lit("")) == "layer") & F.coalesce("is_id", F.lit(False))
+    per = rows.groupBy("qid").agg(
+        F.max(F.coalesce("collision", F.lit(0))).alias("collision"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.coalesce("symbol", F.lit(0))).alias("some"), F.min(F.coalesce("symbol", F.lit(0))).alias("every_"), F.max(canonical.cast("int")).alias("canonical"),
+        F.min_by("ids", F.when(F.col("n") > 1, F.col("place")).otherwise(F.lit(9))).alias("choice"), F.array_sort(F.collect_list(F.struct("place", F.get(F.coalesce("ids", F.array().cast("array<string>")), F.lit(0)).alias("id")))).alias("single"),
+    )
+    rows = asked.join(per, "qid").withColumn("file_op", F.coalesce(*[F.when(F.col("op") == k, v) for k, v in FOR_FILES.items()], F.col("op")))
+    explicit = (F.col("least") == 1) & (F.col("most") == 1) & ((F.col("canonical") == 1) | (F.col("by_symbol") & (F.col("op") != "LOCATE") & (F.col("intent") != F.col("file_op"))) | ((F.col("intent") != "LOCATE") & (F.col("some") == 1)))
+    outcome = F.when((F.col("collision") == 0) & ~explicit, "scored").when(F.col("most") > 1, "needs-choice").when(F.col("least") == 0, "unresolved").when(F.col("some") != F.col("every_"), "unsupported").when(F.col("some") == 1, "symbols").otherwise("files")
+    rows = rows.withColumn("outcome", outcome)
+    ids = F.when(F.col("outcome") == "needs-choice", F.slice("choice", 1, 20)).when(F.col("outcome").isin("symbols", "files"), F.transform("single", lambda x: x["id"]))
+    return rows.select("qid", "op", "file_op", "outcome", ids.alias("ids"))

@@ -111,7 +111,13 @@ HIGHLIGHTS = ("relevant", "potential-impact", "changed", "agent-inferred")
 
 def packets(packets_: DataFrame, nodes: DataFrame, edges: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
     """Violations of packets(request_id, operation, status, highlight, seed, selected, edges array<struct<src, dst, type>>, witnesses
-    array<array<string>>, alternatives, limitations, truncated, continuation, refs array<struct<path, sha256>>)."""
+    array<array<string>>, alternatives, limitations, truncated, continuation, refs array<struct<path, sha256>>). Packets may lack
+    operation, highlight, seed and edges: those of what they lack are not judged."""
+    absent = {"operation", "highlight", "seed", "edges"} - set(packets_.columns)
+    fill = {c: F.lit(None).cast("string") for c in absent - {"edges"}}
+    if "edges" in absent:
+        fill["edges"] = F.array().cast("array<struct<src:string,dst:string,type:string>>")
+    packets_ = packets_.withColumns(fill) if fill else packets_
     hop = lambda c: F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
     picked = packets_.select("request_id", F.explode("selected").alias("id"))
     chains = packets_.select("request_id", F.explode("witnesses").alias("chain"))
@@ -126,8 +132,8 @@ def packets(packets_: DataFrame, nodes: DataFrame, edges: DataFrame, inventory:
     found = [
         rule("request id", packets_.where("coalesce(request_id, '') = '' or length(request_id) > 512"), id_),
         rule("unknown status", packets_.where(~F.coalesce("status", F.lit("")).isin(*STATUSES)), id_),
-        rule("unknown operation", packets_.where(~F.coalesce("operation", F.lit("")).isin(*OPERATIONS)), id_),
-        rule("unknown highlight", packets_.where(~F.coalesce("highlight", F.lit("")).isin(*HIGHLIGHTS)), id_),
+        rule("unknown operation", packets_.where(~F.coalesce("operation", F.lit("")).isin(*OPERATIONS) & F.lit("operation" not in absent)), id_),
+        rule("unknown highlight", packets_.where(~F.coalesce("highlight", F.lit("")).isin(*HIGHLIGHTS) & F.lit("highlight" not in absent)), id_),
         rule("selected twice", packets_.where(F.size("selected") != F.size(F.array_distinct("selected"))), id_),
         rule("unknown node", picked.join(nodes.select("id").distinct(), "id", "left_anti"), F.concat_ws(" ", "request_id", "id")),
         rule("edge shown twice", packets_.where(F.size("edges") != F.size(F.array_distinct("edges"))), id_),

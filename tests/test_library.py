@@ -150,7 +150,12 @@ def test_packets(spark):
     assert check(make("1", "odd", ["z"], [["b", "a"]], [], [], True, None)) == {"unknown status", "unknown node", "hop is no edge", "truncated without continuation"}
     assert check(make("1", "matched", [], [], [], [], False, None)) == {"matched without nodes"}
     assert check(make("1", "no-match", ["a"], [], [], [], False, None)) == {"nodes where none may be"}
-    assert check(make("1", "unsupported", [], [], ["a"] * 21, [], False, None)) == {"unsupported without reason", "too many"}
+    assert check(make("1", "unsupported", [], [], ["a"] * 21, [], False, None)) == {"unsupported without reason", "too many", "alternative twice"}
+    full = schema + ", operation string, highlight string, seed string, edges array<struct<src string, dst string, type string>>"
+    make = lambda *r: spark.createDataFrame([("1", "matched", ["a", "b"], [["a", "b"]], [], [], False, None, *r)], full)
+    kind = edges.where("src = 'a' and dst = 'b'").first()["type"]
+    assert check(make("PATH", "relevant", "a", [("a", "b", kind)])) == set()
+    assert check(make(None, "odd", "a", [("b", "a", kind)])) == {"unknown operation", "unknown highlight", "edge not observed"}
 
 
 def test_edits():

@@ -20,6 +20,8 @@ WINDOW = 1024
 BUCKET = 16_384
 #: The id that ends each document.
 END_ID = 0
+#: A run of so much white space is left to ``tokenizers``: the fast engine's matcher backs up over it and runs out of stack.
+BLANK = 20_000
 
 
 def encoder(path: str):
@@ -29,10 +31,13 @@ def encoder(path: str):
     texts by the public pattern; that is read from the file. Texts that hold a special token's string, and files of another
     kind, go through ``tokenizers`` itself.
     """
+    import re
+
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
+    blank = re.compile(r"\s{%d}" % BLANK)
     slow = Tokenizer.from_file(path)
     model = json.load(open(path, encoding="utf-8"))
     special = [x["content"] for x in model.get("added_tokens", [])]
@@ -50,12 +55,14 @@ def encoder(path: str):
     def encode(texts):
         out = []
         for t in texts:
-            if any(s in t for s in special):
+            if any(s in t for s in special) or (len(t) >= BLANK and blank.search(t)):
                 out.append(plain([t])[0])
                 continue
             try:
                 out.append(fast.encode_ordinary(t))
-            except Exception:  # the engine's pattern matcher gives up on some very long runs
+            except BaseException as e:  # what the engine throws when its matcher gives up is no Exception
+                if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError)):
+                    raise
                 out.append(plain([t])[0])
         return out
 

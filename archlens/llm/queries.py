@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from archlens.llm import exact_topk, license_scan, mixing, url_filter, warc
+from archlens.llm import exact_topk, license_scan, line_dedup, mixing, ranked_search, url_filter, vector_codes, warc
 from archlens.llm.common import table
 from archlens.llm.embed_dedup import near_duplicate_vectors
 from archlens.llm.minhash_dedup import near_duplicates
@@ -60,5 +61,31 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_toxicity": op2_toxicity, "op4_quality": op4_quality, "op3_exact_topk": op3_exact_topk, "op9_embed_dedup": op9_embed_dedup, "op5_minhash_dedup": op5_minhash_dedup, "op6_warc": op6_warc, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op10_packing": op10_packing}
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op3_exact_topk": exact_topk.ORACLE, "op6_warc": warc.ORACLE, "op8_url_filter": url_filter.ORACLE, "op7_mixing": mixing.ORACLE}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = [
+    op1_license_scan, op2_toxicity, op4_quality, op3_exact_topk, op9_embed_dedup, op5_minhash_dedup, op6_warc,
+    op7_mixing, op8_url_filter, op10_packing, op11_vector_codes, op12_line_dedup, op13_ranked_search,
+]
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle(),
+    "op3_exact_topk": exact_topk.ORACLE,
+    "op6_warc": warc.ORACLE,
+    "op7_mixing": mixing.ORACLE,
+    "op8_url_filter": url_filter.ORACLE,
+    "op11_vector_codes": vector_codes.oracle(),
+    "op12_line_dedup": line_dedup.ORACLE,
+    "op13_ranked_search": ranked_search.ORACLE,
+}

@@ -11,7 +11,7 @@ def docs(spark, rows):
 
 
 WORDS = [f"word{i}" for i in range(400)]
-ODD = [(1, None, None), (2, "", "a"), (3, "   \n\t ", "a"), (4, "one", "b"), (5, "one", "b"), (6, " ".join(WORDS * 200), "b"), (None, "nobody's text", "a"), (7, "ünï\u00a0cödé \x85 text", None), (4, "one", "b")]
+ODD = [(1, None, None), (2, "", "a"), (3, "   \n\t ", "a"), (4, "one", "b"), (5, "one", "b"), (6, " ".join(WORDS * 200), "b"), (None, "nobody's text", "a"), (7, "ünï\u00a0cödé \x85 text", None), (4, "one", "b"), (8, " " * 1_000_000, "b"), (9, "x" * 300_000, "a"), (11, "\n" * 300_000, None)]
 
 
 def labels(spark, rows):

@@ -36,7 +36,7 @@ def _rank(doc_id) -> tuple:
 def _hits(docs: DataFrame, least: int, many: int) -> DataFrame:
     """(key, place, doc_id, row, at): positions ``at`` of a key in a row's text; a null key: settled, these lines go.
 
-    place is the range that the key falls into, or for settled lines one by their row.
+    place is the range that the key falls into, or for settled lines one by their document, so that copies of a text part.
     """
     places = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,7 +59,7 @@ def _hits(docs: DataFrame, least: int, many: int) -> DataFrame:
                     if left is None or _rank(doc) >= left:
                         out.append((key, place, doc, row, at))
                     else:
-                        out.append((None, (row & 0xFFFFFFFF) * places >> 32, doc, row, at))
+                        out.append((None, (hash((doc or 0, row)) & 0xFFFFFFFF) * places >> 32, doc, row, at))
             for i in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 20_000], strict=True), schema.types, strict=True)], schema=schema)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archlens.functions import text as T
-from archlens.operators import graph, ranking
+from archlens.operators import graph, packets, ranking, scoring
 
 #: Confidence of a call from strongest to weakest.
 TIERS = ("resolved", "instance-local", "typed", "through-decorator")
@@ -14,10 +14,15 @@ TIERS = ("resolved", "instance-local", "typed", "through-decorator")
 
 class Engine:
     """nodes(id, kind, label, path, aliases, descr), edges(src, dst, type), and where there are any search_text(id, name, path,
-    docstring), symbols(id, name) and calls(src, dst, confidence). Searches go on to the end where no max_depth is given."""
+    docstring), symbols(id, name, qualname, path), calls(src, dst, confidence), learned aliases(alias, node), prior(id, prior),
+    inventory(path, sha256) and members(layer, id, kind, ord). Searches go on to the end where no max_depth is given."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, search_text: DataFrame | None = None, symbols: DataFrame | None = None, calls: DataFrame | None = None, max_depth: int | None = None):
+    def __init__(
+        self, nodes: DataFrame, edges: DataFrame, search_text: DataFrame | None = None, symbols: DataFrame | None = None, calls: DataFrame | None = None, max_depth: int | None = None,
+        aliases: DataFrame | None = None, prior: DataFrame | None = None, inventory: DataFrame | None = None, members: DataFrame | None = None,
+    ):
         self.nodes, self.edges, self.search_text, self.symbols, self.calls, self.max_depth = nodes, edges, search_text, symbols, calls, max_depth
+        self.aliases, self.prior, self.inventory, self.members, self.index = aliases, prior, inventory, members, None
 
     def parse(self, questions: DataFrame) -> DataFrame:
         """(qid, normal, op, target, from, to) of questions(qid, question)."""
@@ -117,27 +122,37 @@ class Engine:
         """Candidates by text; never an answer of their own."""
         return ranking.bm25(self.search_text, questions)
 
+    def _described(self) -> DataFrame:
+        """Nodes with all columns that the scorer reads; ``idx`` numbers them in the order of their ids where there is none."""
+        nodes = self.nodes
+        if "idx" not in nodes.columns:
+            nodes = nodes.orderBy("id").withColumn("idx", F.monotonically_increasing_id())
+        base = F.regexp_extract(F.coalesce("path", "id"), "([^/]*)$", 1)
+        fill = {"label": base, "aliases": F.array().cast("array<string>"), "descr": F.lit("")}
+        return nodes.withColumns({c: v for c, v in fill.items() if c not in nodes.columns})
+
+    def answer_packets(self, questions: DataFrame, certain: bool = False) -> DataFrame:
+        """Packets of questions(qid, question[, offset]) about files, groups and definitions alike; see `packets.answer_packets`."""
+        if self.index is None:
+            self.index = graph.cut(scoring.indexed(self._described()))
+        spark = questions.sparkSession
+        symbols = self.symbols if self.symbols is not None else spark.createDataFrame([], "id string, name string")
+        for c in {"qualname", "path"} - set(symbols.columns):
+            symbols = symbols.withColumn(c, F.lit(None).cast("string"))
+        calls = self.calls if self.calls is not None else spark.createDataFrame([], "src string, dst string, confidence string")
+        return packets.answer_packets(questions, self.index, self.edges, symbols, calls, self.aliases, self.prior, self.search_text, self.inventory, self.members, certain)
+
     def answer(self, questions: DataFrame) -> DataFrame:
-        """(qid, op, status, target, id, depth, chain, alternatives) of questions(qid, question): one row for each selected node,
-        or one with a status. A name that several nodes have asks for a choice; one that none has gives text candidates.
-        """
-        parsed = graph.cut(self.parse(questions).withColumn("name", F.when(F.col("op") == "LOCATE", T.filename_text(F.col("target"))).otherwise(F.col("target"))))
-        ends = parsed.select("qid", F.explode(F.filter(F.array(F.struct(F.lit("target").alias("role"), F.col("name").alias("name")), F.struct(F.lit("from").alias("role"), F.col("from").alias("name")), F.struct(F.lit("to").alias("role"), F.col("to").alias("name"))), lambda x: x["name"].isNotNull())).alias("e")).select("qid", "e.*")
-        keyed = ends.select(F.concat_ws("|", "qid", "role").alias("qid"), "name")
-        met = self.find_nodes(keyed).groupBy("qid").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-        bound = graph.cut(met.select(F.element_at(F.split("qid", r"\|"), 1).alias("q"), F.element_at(F.split("qid", r"\|"), 2).alias("role"), "ids"))
-        wide = bound.groupBy("q").agg(*[F.max(F.when(F.col("role") == r, F.col("ids"))).alias("ids_" + r) for r in ("target", "from", "to")])
-        rows = graph.cut(parsed.join(wide, F.col("qid").cast("string") == F.col("q"), "left").drop("q"))
-        many = F.greatest(*[F.coalesce(F.size(F.coalesce("ids_" + r, F.array())), F.lit(0)) for r in ("target", "from", "to")]) > 1
-        path = F.col("op") == "PATH"
-        lost = F.when(path, F.col("ids_from").isNull() | F.col("ids_to").isNull()).otherwise(F.col("ids_target").isNull())
-        state = rows.withColumn("state", F.when(lost, "no-match").when(many, "needs-choice").otherwise("bound"))
-        one = lambda op: state.where((F.col("op") == op) & (F.col("state") == "bound")).select("qid", F.element_at("ids_target", 1).alias("id"))
-        pairs = state.where(path & (F.col("state") == "bound")).select("qid", F.element_at("ids_from", 1).alias("source"), F.element_at("ids_to", 1).alias("target"))
-        located = one("LOCATE").select("qid", "id", F.lit(0).alias("depth"), F.array("id").alias("chain"))
-        routed = self.find_path(pairs).select("qid", F.element_at("chain", -1).alias("id"), "depth", "chain")
-        found = located.unionByName(self.dependencies(one("UPSTREAM"))).unionByName(self.dependents(one("DOWNSTREAM"))).unionByName(routed)
-        choices = F.coalesce("ids_target", "ids_from", "ids_to")
-        joined = state.join(found, "qid", "left")
-        status = F.when(F.col("state") != "bound", F.col("state")).when(F.col("id").isNotNull(), "matched").when(path, "no-path").otherwise("matched")
-        return joined.select("qid", "op", status.alias("status"), F.when(F.col("state") == "bound", F.element_at(choices, 1)).alias("target"), "id", "depth", F.array_join("chain", ">").alias("chain"), F.when(F.col("state") == "needs-choice", F.array_join(F.slice(choices, 1, 20), ",")).alias("alternatives"))
+        """(qid, op, status, target, id, depth, chain, alternatives): `answer_packets` as rows, one for each witness or located node, else one
+        with the status alone."""
+        told = graph.cut(self.answer_packets(questions))
+        back = F.col("requested").isin(*packets.BACKWARD)
+        end = lambda w: F.when(back, F.element_at(w, 1)).otherwise(F.element_at(w, -1))
+        rows = F.transform(F.filter("witnesses", lambda w: F.size(w) > 0), lambda w: F.struct(end(w).alias("id"), (F.size(w) - 1).alias("depth"), F.array_join(w, ">").alias("chain")))
+        located = F.transform("selected", lambda x: F.struct(x.alias("id"), F.lit(0).alias("depth"), x.alias("chain")))
+        rows = F.when(F.col("requested") == "LOCATE", located).when(F.col("status") == "matched", rows)
+        out = told.withColumn("r", F.explode_outer(rows))
+        return out.select(
+            F.col("request_id").alias("qid"), F.col("requested").alias("op"), "status", F.col("seed").alias("target"), "r.id", "r.depth", "r.chain",
+            F.when(F.size("alternatives") > 0, F.array_join("alternatives", ",")).alias("alternatives"),
+        )

@@ -293,21 +293,37 @@ def heads(texts: DataFrame, ranked: DataFrame) -> DataFrame:
 FOR_FILES = {"CALLERS": "DOWNSTREAM", "CALLEES": "UPSTREAM", "TRACE": "UPSTREAM", "FLOW": "PATH"}
 
 
+def symbol_names(symbols: DataFrame) -> DataFrame:
+    """(id, key): every normalised name of symbols(id, name, qualname, path)."""
+    keys = F.array_distinct(F.array("id", "name", "qualname", F.concat_ws(":", "path", "qualname")))
+    return symbols.select("id", F.explode(F.transform(keys, T.normalize_question)).alias("key")).distinct()
+
+
+def requests(questions: DataFrame, index: DataFrame, names: DataFrame) -> DataFrame:
+    """(qid, question, normal, i, s) of questions(qid, question): what is asked of files and groups, and of definitions if it may be.
+
+    A question that is nothing but a definition's name, and no node's id, asks where that is.
+    """
+    asked = questions.select("qid", "question", T.normalize_question(F.col("question")).alias("normal"))
+    own = names.select(F.col("key").alias("normal")).distinct().join(index.select(F.col("id").alias("normal")), "normal", "left_anti")
+    asked = asked.join(own.withColumn("whole", F.lit(True)), "normal", "left")
+    asked = asked.withColumn("i", T.intent(F.col("normal"))).withColumn("s", T.symbol_request(F.col("normal")))
+    asked = cut(asked)  # the grammar is a long expression: it is worked out once, not wherever a part of it is read
+    bare = F.struct(F.lit("LOCATE").alias("op"), F.col("normal").alias("first"), F.lit(None).cast("string").alias("second"))
+    return asked.select("qid", "question", "normal", "i", F.when(F.col("s").isNotNull(), F.col("s")).when(F.col("whole"), bare).alias("s"))
+
+
 def resolved(questions: DataFrame, index: DataFrame, symbols: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(qid, op, file_op, outcome, ids) of questions(qid, question): whether names alone tell the graph that is meant.
+    """(qid, op, file_op, outcome, ids, ends) of questions(qid, question): whether names alone tell the graph that is meant.
 
     index: files and groups; symbols(id, name, qualname, path). A bare name that several kinds of node have is a choice, those of the
     kind that is hinted at first. Else a definition's own name counts, then an exact node. outcome: scored (left to the scorer),
-    needs-choice, unresolved, unsupported (a definition and a file), symbols or files; ids: of the first end that is not one node, else of all.
+    needs-choice, unresolved, unsupported (a definition and a file), symbols or files; ids: of the first end that is not one node,
+    else of all. ends: (place, text, ids) of each end.
     """
-    asked = questions.select("qid", "question", T.normalize_question(F.col("question")).alias("normal"))
-    keys = F.array_distinct(F.array("id", "name", "qualname", F.concat_ws(":", "path", "qualname")))
-    names = cut(symbols.select("id", F.explode(F.transform(keys, T.normalize_question)).alias("key")).distinct())
-    own = names.select(F.col("key").alias("normal")).distinct().join(index.select(F.col("id").alias("normal")), "normal", "left_anti").withColumn("whole", F.lit(True))
-    asked = asked.join(own, "normal", "left").withColumn("i", T.intent(F.col("normal"))).withColumn("s", T.symbol_request(F.col("normal")))
+    names = cut(symbol_names(symbols))
+    asked = requests(questions, index, names)
     none = F.lit(None).cast("string")
-    bare = F.struct(F.lit("LOCATE").alias("op"), F.col("normal").alias("first"), none.alias("second"))
-    asked = asked.withColumn("s", F.when(F.col("s").isNotNull(), F.col("s")).when(F.col("whole"), bare))
     lost = (F.col("i.op") == "PATH") & F.col("i.from").isNull()
     asked = asked.where(~lost).withColumn("op", F.coalesce("s.op", "i.op"))
     asked = asked.withColumn("ends", F.when(F.col("s").isNotNull(), F.array("s.first", "s.second")).when(F.col("i.op") == "PATH", F.array("i.from", "i.to")).otherwise(F.array("i.target", none)))
@@ -341,10 +357,11 @@ def resolved(questions: DataFrame, index: DataFrame, symbols: DataFrame, aliases
     per = rows.groupBy("qid").agg(
         F.max(F.coalesce("collision", F.lit(0))).alias("collision"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.coalesce("symbol", F.lit(0))).alias("some"), F.min(F.coalesce("symbol", F.lit(0))).alias("every_"), F.max(canonical.cast("int")).alias("canonical"),
         F.min_by("ids", F.when(F.col("n") > 1, F.col("place")).otherwise(F.lit(9))).alias("choice"), F.array_sort(F.collect_list(F.struct("place", F.get(F.coalesce("ids", F.array().cast("array<string>")), F.lit(0)).alias("id")))).alias("single"),
+        F.array_sort(F.collect_list(F.struct("place", "text", F.coalesce("ids", F.array().cast("array<string>")).alias("ids")))).alias("ends"),
     )
-    rows = asked.join(per, "qid").withColumn("file_op", F.coalesce(*[F.when(F.col("op") == k, v) for k, v in FOR_FILES.items()], F.col("op")))
+    rows = asked.drop("ends").join(per, "qid").withColumn("file_op", F.coalesce(*[F.when(F.col("op") == k, v) for k, v in FOR_FILES.items()], F.col("op")))
     explicit = (F.col("least") == 1) & (F.col("most") == 1) & ((F.col("canonical") == 1) | (F.col("by_symbol") & (F.col("op") != "LOCATE") & (F.col("intent") != F.col("file_op"))) | ((F.col("intent") != "LOCATE") & (F.col("some") == 1)))
     outcome = F.when((F.col("collision") == 0) & ~explicit, "scored").when(F.col("most") > 1, "needs-choice").when(F.col("least") == 0, "unresolved").when(F.col("some") != F.col("every_"), "unsupported").when(F.col("some") == 1, "symbols").otherwise("files")
     rows = rows.withColumn("outcome", outcome)
-    ids = F.when(F.col("outcome") == "needs-choice", F.slice("choice", 1, 20)).when(F.col("outcome").isin("symbols", "files"), F.transform("single", lambda x: x["id"]))
-    return rows.select("qid", "op", "file_op", "outcome", ids.alias("ids"))
+    ids = F.when(F.col("outcome") == "needs-choice", F.col("choice")).when(F.col("outcome").isin("symbols", "files"), F.transform("single", lambda x: x["id"]))
+    return rows.select("qid", "op", "file_op", "outcome", ids.alias("ids"), "ends")

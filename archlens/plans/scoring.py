@@ -281,16 +281,16 @@ _ends = [(f"regexp_matches(normal, '{p}')" + (f" and not (regexp_matches(normal,
 _x = lambda p, g: "null" if g is None else f"regexp_extract(normal, '{p}', {g})"
 
 
-@query(
-    "operation_resolution",
-    f"""with {NODES_SQL}, cross_ as (select qid * 100 + k as qid, {_said} as question from (select s.qid, f.* from seeds s join code_files f using (path)), (select unnest([{_cross}]) as t, unnest(range(0, {len(CROSS)})) as k)),
+def resolution_sql(asked: str) -> str:
+    """Steps from asked, a select of (qid, question), to ``z`` with the outcome of each question; they follow NODES_SQL."""
+    return f"""cross_ as ({asked}),
     sym as (select id, name, qualname, path from code_symbols), bar as (select id, kind, case kind when 'file' then regexp_replace(split_part(lower(path), '/', -1), '\\.[^.]+$', '') else lower(split_part(label, '/', -1)) end as bare, label, path from nodes),
     snames as (select distinct id, {NORMAL.format('k')} as key from (select id, unnest([id, name, qualname, path || ':' || qualname]) as k from sym)),
     n as (select qid, question, {NORMAL.format('question')} as normal from cross_),
     i as (select *, {_pick([(w, f"'{'PATH' if op == 'MALFORMED' else op}'") for w, op, *_ in _ends], 'i_op0')}, {_pick([(w, 'null' if op in ('PATH', 'MALFORMED') else _x(p, a)) for w, op, p, a, b in _ends], 'i_target0')}, {_pick([(w, _x(p, a) if op == 'PATH' else 'null') for w, op, p, a, b in _ends], 'i_from')}, {_pick([(w, _x(p, b) if op == 'PATH' else 'null') for w, op, p, a, b in _ends], 'i_to')},
       {_pick([(w, f"'{op}'") for w, op, *_ in _rule], 's_op0')}, {_pick([(w, _x(p, a)) for w, op, p, a, b in _rule], 's_first0')}, {_pick([(w, _x(p, b)) for w, op, p, a, b in _rule], 's_second')}, normal in (select key from snames) and normal not in (select id from nodes) as whole from n),
     j as (select *, coalesce(i_op0, 'LOCATE') as intent, case when i_op0 is null then normal else i_target0 end as i_target, coalesce(s_op0, case when whole then 'LOCATE' end) as s_op, case when s_op0 is null and whole then normal else s_first0 end as s_first, {_kind(f"list_filter({_tok('question')}, lambda t: t in {duck_list(T.KIND_WORDS)})[1]")} as q_hint from i),
-    a as (select qid, coalesce(s_op, intent) as op, intent, s_op is not null as by_symbol, q_hint, case when s_op is not null then [s_first, s_second] when intent = 'PATH' then [i_from, i_to] else [i_target] end as ends from j where not (intent = 'PATH' and i_from is null)),
+    a as (select qid, normal, i_target, coalesce(s_op, intent) as op, intent, s_op is not null as by_symbol, q_hint, case when s_op is not null then [s_first, s_second] when intent = 'PATH' then [i_from, i_to] else [i_target] end as ends from j where not (intent = 'PATH' and i_from is null)),
     e0 as (select qid, op, q_hint, unnest(list_filter(ends, lambda z: z is not null)) as text, generate_subscripts(list_filter(ends, lambda z: z is not null), 1) - 1 as place from a),
     e as (select *, {_name('text')} as name, {_kind(f"list_filter({_tok('text')}, lambda t: t in {duck_list(T.KIND_WORDS)})[1]")} as own_hint, {NORMAL.format('text')} as key from e0),
     f as (select *, coalesce(own_hint, case when op = 'LOCATE' then q_hint end) as hint from e),
@@ -305,7 +305,15 @@ _x = lambda p, g: "null" if g is None else f"regexp_extract(normal, '{p}', {g})"
     r as (select f.qid, f.place, ids, coalesce(collision, 0) as collision, coalesce(symbol, 0) as symbol, coalesce(len(ids), 0) as n, coalesce(own_hint, '') = 'layer' and f.name in (select id from nodes) as canonical from f left join t using (qid, place)),
     p as (select qid, max(collision) as collision, min(n) as least, max(n) as most, max(symbol) as some_, min(symbol) as all_, bool_or(canonical) as canonical, arg_min(ids, case when n > 1 then place else 9 end) as choice, list(ids[1] order by place) as single from r group by 1),
     o as (select a.*, p.* exclude (qid), case op when 'CALLERS' then 'DOWNSTREAM' when 'CALLEES' then 'UPSTREAM' when 'TRACE' then 'UPSTREAM' when 'FLOW' then 'PATH' else op end as file_op from a join p using (qid)),
-    z as (select *, case when collision = 0 and not (least = 1 and most = 1 and (canonical or (by_symbol and op <> 'LOCATE' and intent <> file_op) or (intent <> 'LOCATE' and some_ = 1))) then 'scored' when most > 1 then 'needs-choice' when least = 0 then 'unresolved' when some_ <> all_ then 'unsupported' when some_ = 1 then 'symbols' else 'files' end as outcome from o)
+    z as (select *, case when collision = 0 and not (least = 1 and most = 1 and (canonical or (by_symbol and op <> 'LOCATE' and intent <> file_op) or (intent <> 'LOCATE' and some_ = 1))) then 'scored' when most > 1 then 'needs-choice' when least = 0 then 'unresolved' when some_ <> all_ then 'unsupported' when some_ = 1 then 'symbols' else 'files' end as outcome from o)"""
+
+
+_cross_sql = f"select qid * 100 + k as qid, {_said} as question from (select s.qid, f.* from seeds s join code_files f using (path)), (select unnest([{_cross}]) as t, unnest(range(0, {len(CROSS)})) as k)"
+
+
+@query(
+    "operation_resolution",
+    f"""with {NODES_SQL}, {resolution_sql(_cross_sql)}
     select qid, op, file_op, outcome, case when outcome = 'needs-choice' then array_to_string(choice[1:20], ',') when outcome in ('symbols', 'files') then array_to_string(single, ',') end as ids from z""",
     ("code_files", "seeds", "code_symbols"),
 )
@@ -322,4 +330,4 @@ def operation_resolution(spark, sf_dir):
     asked = graph.cut(rows.select((F.col("qid") * 100 + F.col("t.k")).alias("qid"), said.alias("question")))
     index = graph.cut(scoring.indexed(nodes(spark, sf_dir)))
     out = scoring.resolved(asked, index, graph.cut(code_symbols(spark, sf_dir).select("id", "name", "qualname", "path")))
-    return out.withColumn("ids", F.array_join("ids", ","))
+    return out.select("qid", "op", "file_op", "outcome", F.array_join(F.slice("ids", 1, 20), ",").alias("ids"))

@@ -34,20 +34,31 @@ def indexed(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("bare", F.when(F.col("kind") == "file", F.col("stem")).when(F.col("kind") == "layer", F.lower(F.substring_index("label", "/", -1))))
 
 
-def pieces(name: Column, own: bool) -> Column:
-    """Keys under which two names at most two edits apart meet: of three pieces of the one, one is in the other, moved by two at most.
+#: Names below this length are found by what is left when a letter goes, longer ones by their pieces; from BOTH on, by both.
+SHORT, BOTH = 10, 8
 
-    ``own``: the pieces of a name by its own length; else those that a name of any fitting length could share with it.
+
+def shared_keys(name: Column, asked: bool) -> Column:
+    """Keys of which a name and a text that may pass for its misspelling share one, so that the two meet by an equal join.
+
+    At most two edits apart, and two only where the longer has ten letters or more. One edit: leaving out one letter or none, both
+    come to the same. Two: of three pieces of the name one is in the text, moved by two at most; it has two letters at least. A
+    name has eleven keys at most, few of them short; a text that is ``asked`` for tries every piece of every fitting length.
     """
+    whole, three = F.length(name), F.sequence(F.lit(0), F.lit(2))
+    less = F.transform(F.sequence(F.lit(1), whole), lambda i: F.concat(F.lit("-"), F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, whole)))
+    less = F.array_distinct(F.concat(F.array(F.concat(F.lit("-"), name)), less))
     size = lambda n, i: F.when(i < 2, F.floor(n / 3)).otherwise(n - 2 * F.floor(n / 3)).cast("int")
     start = lambda n, i: (1 + i * F.floor(n / 3)).cast("int")
     key = lambda n, i, p: F.concat_ws("|", n.cast("string"), i.cast("string"), F.substring(name, p, size(n, i)))
-    whole, three = F.length(name), F.sequence(F.lit(0), F.lit(2))
-    if own:
-        return F.transform(three, lambda i: key(whole, i, start(whole, i)))
+    none = F.array().cast("array<string>")
+    if not asked:
+        own = F.transform(three, lambda i: key(whole, i, start(whole, i)))
+        return F.concat(F.when(whole < SHORT, less).otherwise(none), F.when(whole >= BOTH, own).otherwise(none))
     fits = lambda n, i: F.filter(F.sequence(start(n, i) - 2, start(n, i) + 2), lambda p: (p >= 1) & (p + size(n, i) - 1 <= whole))
     of = lambda n: F.flatten(F.transform(three, lambda i: F.transform(fits(n, i), lambda p: key(n, i, p))))
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(3), whole - 2), F.greatest(F.lit(3), whole + 2)), of)))
+    tried = F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(BOTH), whole - 2), F.greatest(F.lit(BOTH), whole + 2)), of)))
+    return F.concat(F.when(whole <= SHORT, less).otherwise(none), F.when(whole >= BOTH, tried).otherwise(none))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -57,13 +68,15 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def near_names(wanted: DataFrame, names: DataFrame) -> DataFrame:
-    """(a, b, d): strings of wanted(a) and names(b), both distinct, that are one or two edits apart and may pass for a misspelling.
+    """(a, b, d, ...) of strings wanted(a) and names(b), both distinct, that are one or two edits apart and may pass for a misspelling;
+    further columns of both sides must agree.
 
     Five letters or more; one edit below eight, else two; and at most a fifth of the longer one.
     """
-    left = wanted.where(F.length("a") >= FUZZY_LEAST).select("a", F.explode(pieces(F.col("a"), True)).alias("key"))
-    right = names.where(F.length("b") >= 3).select("b", F.explode(pieces(F.col("b"), False)).alias("key"))
-    met = left.join(right, "key").select("a", "b").distinct().withColumn("d", distance(F.col("a"), F.col("b")))
+    same = [c for c in names.columns if c != "b"]
+    left = wanted.where(F.length("a") >= FUZZY_LEAST).select("a", *same, F.explode(shared_keys(F.col("a"), True)).alias("key"))
+    right = names.where(F.length("b") >= FUZZY_LEAST - 1).select("b", *same, F.explode(shared_keys(F.col("b"), False)).alias("key"))
+    met = left.join(right, [*same, "key"]).select("a", "b", *same).distinct().withColumn("d", distance(F.col("a"), F.col("b")))
     limit = F.when(F.length("a") < FUZZY_SHORT, 1).otherwise(2)
     return met.where((F.col("d") > 0) & (F.col("d") <= limit) & (F.col("d") / F.greatest(F.length("a"), F.length("b")) <= FUZZY_RATIO))
 
@@ -119,10 +132,14 @@ def file_scores(requests: DataFrame, index: DataFrame) -> DataFrame:
     by_run = partial.join(files.where(F.length("own") >= PART).withColumn("run", F.explode(runs)), F.substring(F.lower("stem"), 1, PART) == F.col("run")).where(fits & F.col("own").contains(F.lower("stem")))
     for df in (by_word, by_run):
         found.append(df.select("qid", "idx", "id", F.lit("partial").alias("tier"), F.lit(FILE["partial"]).alias("score")))
-    for where, name in (("pathed", "literal"), ("not pathed and ext <> ''", "basename"), ("not pathed and ext = ''", "own")):
-        asked = rows.where(where).withColumn("a", F.lower("query"))
-        near = near_names(asked.select("a").distinct(), files.select(F.col(name).alias("b")).distinct())
-        found.append(asked.join(near, "a").join(files, F.col("b") == F.col(name)).select("qid", "idx", "id", F.lit("fuzzy").alias("tier"), (FILE["fuzzy"] - F.col("d")).alias("score")))
+    # Misspelt paths, names with an extension and names without one, in one join.
+    against = F.when(F.col("pathed"), "literal").when(F.col("ext") != "", "basename").otherwise("own")
+    asked = rows.select("qid", against.alias("field"), F.lower("query").alias("a"))
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("b")) for f in ("literal", "basename", "own")])
+    named_ = files.select("idx", "id", F.explode(fields).alias("n")).select("idx", "id", "n.field", "n.b")
+    near = near_names(asked.select("a", "field").distinct(), named_.select("b", "field").distinct())
+    met_ = asked.join(near, ["field", "a"]).join(named_, ["field", "b"])
+    found.append(met_.select("qid", "idx", "id", F.lit("fuzzy").alias("tier"), (FILE["fuzzy"] - F.col("d")).alias("score")))
     every = reduce(DataFrame.unionByName, found)
     return every.groupBy("qid", "idx", "id").agg(F.max(F.struct("score", "tier")).alias("b")).select("qid", "idx", "id", "b.tier", "b.score")
 

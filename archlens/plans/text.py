@@ -117,12 +117,10 @@ NAMES = "names as (select distinct lower(split_part(p_name, ' ', 1)) as name fro
 
 @query("fuzzy_names", f"with {NAMES} select a.name, b.name as other, levenshtein(a.name, b.name) as d from names a join names b on a.name < b.name and abs(length(a.name) - length(b.name)) <= 2 where levenshtein(a.name, b.name) <= 2 + 1 and levenshtein(a.name, b.name) <= 2")
 def fuzzy_names(spark, sf_dir):
-    """Pairs of distinct words at most two edits apart; only words of nearly equal length meet."""
+    """Pairs of distinct words at most two edits apart."""
     part = table(spark, sf_dir, "part")
-    names = part.select(F.lower(F.substring_index("p_name", " ", 1)).alias("name")).union(part.select(F.lower(F.get(F.split("p_type", " "), F.lit(1))))).distinct()
-    a = names.select("name", F.length("name").alias("n"))
-    b = names.select(F.col("name").alias("other"), F.explode(F.sequence(F.length("name") - 2, F.length("name") + 2)).alias("n"))
-    return a.join(b, "n").where("name < other").withColumn("d", ranking.edit_distance(F.col("name"), F.col("other"))).where("d <= 2").select("name", "other", "d")
+    names = part.select(F.lower(F.substring_index("p_name", " ", 1)).alias("name")).union(part.select(F.lower(F.get(F.split("p_type", " "), F.lit(1)))))
+    return ranking.close_words(names.distinct())
 
 
 TEXTS = r"""texts as (select doc_id as id, left(source, 80) as name, left(source || '/' || lang, 120) as path, left(trim(regexp_replace(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\n\s*\n')[1], '[ \t\r\n]+', ' ', 'g')), 300) as docstring from documents)"""

@@ -171,6 +171,8 @@ def test_misspellings_meet_by_pieces(spark):
     want = {(a, b, edits(a, b)) for a in names for b in names if len(a) >= 5 and len(b) >= 3 and 0 < edits(a, b) <= (1 if len(a) < 8 else 2) and edits(a, b) / max(len(a), len(b)) <= 0.2}
     frame = spark.createDataFrame([(n,) for n in names], "a string")
     assert {(r["a"], r["b"], r["d"]) for r in scoring.near_names(frame, frame.withColumnRenamed("a", "b")).collect()} == want and want
+    close = {(a, b, edits(a, b)) for a in names for b in names if a < b and edits(a, b) <= 2}
+    assert {(r["name"], r["other"], r["d"]) for r in ranking.close_words(frame.withColumnRenamed("a", "name")).collect()} == close
 
 
 def test_concept_search_needs_every_word(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from archlens.operators import assign, graph, validate
+from archlens.operators import assign, graph, quantiles, validate
 from archlens.plans.base import query
 from archlens.plans.graphs import BACKWARD, SEEDS, backward, starts, walk_sql
 from archlens.plans.library import CATEGORIES, FINDINGS, findings
@@ -241,8 +241,8 @@ def map_completeness(spark, sf_dir):
 @query("release_evidence", "select event_type, n >= 30 as enough, p95 < 40 as fast, n from (select event_type, count(*) as n, quantile_disc(value, 0.95) as p95 from events where value is not null group by 1)")
 def release_evidence(spark, sf_dir):
     """Whether there are enough measurements of each kind and the slow ones are fast enough."""
-    rows = table(spark, sf_dir, "events").where("value is not null").groupBy("event_type").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
-    return rows.select("event_type", (F.col("n") >= 30).alias("enough"), (F.col("p95") < 40).alias("fast"), "n")
+    rows = quantiles.exact_quantiles(table(spark, sf_dir, "events"), "event_type", "value", (0.95,))
+    return rows.select("event_type", (F.col("n") >= 30).alias("enough"), (F.col("value") < 40).alias("fast"), "n")
 
 
 @query("stored_summary", "with now as (select lang, count(*) as n, cast(sum(n_chars) as bigint) as chars from documents group by 1), stored as (select lang, n, chars + case when lang = (select min(lang) from now) then 1 else 0 end as chars from now) select case when s.lang is null then 'only before' else 'only after' end as rule, 1 as n from now n full join stored s on n.lang = s.lang and n.n = s.n and n.chars = s.chars where s.lang is null or n.lang is null")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from archlens.operators import assign
+from archlens.operators import assign, folders
 from archlens.plans.base import query
-from archlens.sources.tables import code_edges, code_files, group_edges, path_edges, refs, table
+from archlens.sources.tables import code_edges, code_files, group_edges, path_edges, refs, seeds, table
 
 # Source extensions and excluded folders.
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "sql")
@@ -388,3 +388,43 @@ def release_comparison(spark, sf_dir):
     digest = lambda df, name: df.select("path", F.sha2(F.col("lines").cast("string"), 256).alias(name))
     both = digest(old, "a").join(digest(new, "b"), "path", "full_outer")
     return both.select("path", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deleted").when(F.col("a") == F.col("b"), "same").otherwise("changed").alias("state"))
+
+
+_folders = "folders_ as materialized (select distinct unnest([top, folder]) as label from code_files)"
+_id = "'folder-' || left(sha256({}), 16)"
+
+
+@query(
+    "folder_listing",
+    f"""with {_folders}, asked as (select qid * 2 + k as qid, case k when 0 then f.top else f.folder end as label from seeds s join code_files f using (path), (select unnest([0, 1]) as k)),
+    found as (select qid, 0 as k, 'layer' as kind, {_id.format('f.label')} as id, [{_id.format('a.label')}, {_id.format('f.label')}] as ord from asked a join folders_ f on starts_with(f.label, a.label || '/')
+      union all select qid, 1, 'file', path, [path] from asked join code_files on starts_with(path, label || '/'))
+    select qid, row_number() over (partition by qid order by k, ord) as n, kind, id from found""",
+    ("code_files", "seeds"),
+)
+def folder_listing(spark, sf_dir):
+    """What lies in each asked folder, by intervals: folders level by level, then files."""
+    files = code_files(spark, sf_dir)
+    labels = F.array(F.struct(F.lit(0).alias("k"), F.col("top").alias("label")), F.struct(F.lit(1).alias("k"), F.col("folder").alias("label")))
+    asked = seeds(spark, sf_dir).join(files, "path").select("qid", F.explode(labels).alias("l")).select((F.col("qid") * 2 + F.col("l.k")).alias("qid"), "l.label")
+    return folders.listing(files, asked)
+
+
+@query(
+    "edges_collapsed",
+    """with opened as (select qid as session, top as label from seeds s join code_files f using (path) union select qid, folder from seeds s join code_files f using (path) where qid % 2 = 1
+      union select 100 + qid, folder from seeds s join code_files f using (path)),
+    sessions as (select distinct session from opened),
+    seen_ as materialized (select s.session, f.path, case when not exists (select 1 from opened o where o.session = s.session and o.label = f.top) then f.top
+      when not exists (select 1 from opened o where o.session = s.session and o.label = f.folder) then f.folder else f.path end as seen from sessions s cross join code_files f)
+    select a.session, a.seen as src, b.seen as dst, e.type, count(*) as weight from (select distinct src, dst, type from path_edges where type <> 'realtime') e
+      join seen_ a on a.path = e.src join seen_ b on b.path = e.dst and b.session = a.session where a.seen <> b.seen group by all""",
+    ("code_files", "seeds", "path_edges"),
+)
+def edges_collapsed(spark, sf_dir):
+    """Edges between what each session sees, which opens some folders: a top folder, one in it too, or one whose top stays closed."""
+    files = code_files(spark, sf_dir)
+    mine = seeds(spark, sf_dir).join(files, "path").select("qid", "top", "folder")
+    opened = mine.select(F.col("qid").alias("session"), F.col("top").alias("label")).unionByName(mine.where("qid % 2 = 1").select(F.col("qid").alias("session"), F.col("folder").alias("label")))
+    opened = opened.unionByName(mine.select((100 + F.col("qid")).alias("session"), F.col("folder").alias("label")))
+    return folders.collapsed(files, path_edges(spark, sf_dir), opened)

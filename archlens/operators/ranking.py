@@ -32,23 +32,10 @@ def query_terms(questions: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, questions: DataFrame, hits: int = HITS) -> DataFrame:
-    """(qid, rank, id, score, matched): candidates of questions(qid, question); none where a term is in no document.
+    """(qid, rank, id, score, matched): candidates of questions(qid, question) in docs(id, name, path, docstring[, kind])."""
+    from archlens.operators import text_index
 
-    The index is joined on the term; counts of documents, documents of a term and mean length are one row each or one a term.
-    """
-    post = postings(docs)
-    length = lengths(post, docs)
-    whole = length.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    q = query_terms(questions)
-    df = post.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    known = q.join(df, "term").groupBy("qid").agg(F.count("*").alias("known"))
-    gated = q.join(known, "qid").where("known = n").select("qid", "term", "n")
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = gated.join(df, "term").join(post, "term").join(length, "id").crossJoin(F.broadcast(whole)).groupBy("qid", "id", "n").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
-    kept = scored.where((F.round("score", 9) >= FLOOR) & (F.col("matched") / F.col("n") >= COVERAGE))
-    order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hits).select("qid", "rank", "id", F.round("score", 6).alias("score"), "matched")
+    return text_index.search(text_index.build(docs), questions, hits)
 
 
 def edit_distance(a: Column, b: Column, cap: int = 2) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from archlens.functions import text as T
-from archlens.operators import graph, ranking
+from archlens.operators import graph, ranking, text_index
 from archlens.plans.base import greedy_sql, query
 from archlens.sources.tables import code_files, table
 
@@ -124,8 +124,25 @@ def fuzzy_names(spark, sf_dir):
 
 
 TEXTS = r"""texts as (select doc_id as id, left(source, 80) as name, left(source || '/' || lang, 120) as path, left(trim(regexp_replace(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\n\s*\n')[1], '[ \t\r\n]+', ' ', 'g')), 300) as docstring from documents)"""
-PROBES = "probes(qid, question) as (values (1, 'that the mission'), (2, 'src3 thing'), (3, 'zebra'), (4, 'ener shth'), (5, 'src7 onan'))"
-PROBE_ROWS = [(1, "that the mission"), (2, "src3 thing"), (3, "zebra"), (4, "ener shth"), (5, "src7 onan")]
+KINDS = {"en": "file", "de": "layer"}
+_kind = "case " + " ".join(f"when lang = '{a}' then '{b}'" for a, b in KINDS.items()) + " else 'symbol' end"
+#: Three questions about each text, of its first words and its name; some hint at a kind.
+PROBE = ("where is the {0} {1} file", "{1} {2} {name}", "the {0} {name} folder")
+_word = lambda i: f"coalesce(string_split(docstring, ' ')[{i + 1}], '')"
+_probe = "t"
+for _i in range(3):
+    _probe = f"replace({_probe}, '{{{_i}}}', {_word(_i)})"
+PROBES = f"""probes as materialized (select id * 3 + k as qid, replace({_probe}, '{{name}}', coalesce(name, '')) as question from texts,
+  (select unnest([{", ".join(f"'{t}'" for t in PROBE)}]) as t, unnest(range(0, {len(PROBE)})) as k))"""
+
+
+def probes(spark, sf_dir):
+    """(qid, question): what is asked of the index."""
+    rows = code_text(spark, sf_dir).select("id", "name", F.split("docstring", " ").alias("w"), F.posexplode(F.array(*map(F.lit, PROBE))).alias("k", "t"))
+    said = F.col("t")
+    for i in range(3):
+        said = F.replace(said, F.lit("{%d}" % i), F.coalesce(F.get("w", F.lit(i)), F.lit("")))
+    return rows.select((F.col("id") * 3 + F.col("k")).alias("qid"), F.replace(said, F.lit("{name}"), F.coalesce("name", F.lit(""))).alias("question"))
 
 
 def code_text(spark, sf_dir):
@@ -163,24 +180,29 @@ BM25 = f"""with {TEXTS}, {POSTINGS}, {PROBES},
 
 @query(
     "bm25_search",
-    BM25 + """, s as (select qid, p.id, n, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) as score, count(*) as matched from gated join post p using (term) join len on p.id = len.id, whole group by all),
-  k as (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as rank from s where round(score, 9) >= 4 and matched / n >= 0.5)
+    BM25 + f""", kinds as (select doc_id as id, {_kind} as kind from documents),
+  hints as (select qid, case when w in {tuple(k for k, v in T.KIND_WORDS.items() if v == "layer")} then 'layer' when w in {tuple(k for k, v in T.KIND_WORDS.items() if v == "file")} then 'file' when w is not null then 'symbol' end as hint
+    from (select qid, list_filter({TOKENS.format('question')}, lambda t: t in {duck_list(T.KIND_WORDS)})[1] as w from probes)),
+  s as (select qid, p.id, n, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) as score, count(*) as matched from gated join post p using (term) join len on p.id = len.id, whole group by all),
+  k as (select *, row_number() over (partition by qid order by round(score, 9) desc, coalesce(kind = hint, false) desc, id) as rank from s join kinds using (id) join hints using (qid) where round(score, 9) >= 4 and matched / n >= 0.5)
   select qid, rank, id, round(score, 6) as score, matched from k where rank <= 8""",
 )
 def bm25_search(spark, sf_dir):
-    probes = spark.createDataFrame(PROBE_ROWS, "qid int, question string")
-    return ranking.bm25(code_text(spark, sf_dir), probes)
+    """Three questions about each text of the table, against an index that is built once."""
+    kind = F.coalesce(*[F.when(F.col("lang") == a, b) for a, b in KINDS.items()], F.lit("symbol"))
+    kinds = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), kind.alias("kind"))
+    return text_index.search(text_index.build(code_text(spark, sf_dir).join(kinds, "id")), probes(spark, sf_dir))
 
 
 @query("bm25_vocab_gate", BM25 + " select qid, question, qid in (select qid from gated) as searched from probes")
 def bm25_vocab_gate(spark, sf_dir):
     """Questions all of whose terms are in the vocabulary; others are not searched."""
-    probes = spark.createDataFrame(PROBE_ROWS, "qid int, question string")
+    asked = graph.cut(probes(spark, sf_dir))
     words = ranking.postings(code_text(spark, sf_dir)).select("term").distinct()
-    q = ranking.query_terms(probes)
+    q = ranking.query_terms(asked)
     missing = q.join(words, "term", "left_anti").select("qid").distinct().withColumn("out", F.lit(True))
     some = q.select("qid").distinct().withColumn("has", F.lit(True))
-    return probes.join(some, "qid", "left").join(missing, "qid", "left").select("qid", "question", (F.col("has").isNotNull() & F.col("out").isNull()).alias("searched"))
+    return asked.join(some, "qid", "left").join(missing, "qid", "left").select("qid", "question", (F.col("has").isNotNull() & F.col("out").isNull()).alias("searched"))
 
 
 @query("excerpt_range", "select doc_id, line_no, line from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no from documents) where line_no between 2 and 4")

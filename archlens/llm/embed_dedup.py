@@ -4,7 +4,8 @@
 2. In each pass the classes are ordered by 64 random hashes of the vector, concatenated, and each is compared with its next
    ``WINDOW`` neighbours. A hash says which of two vectors of the table, drawn at random, is nearer: in a table without clusters that is
    the sign of a random projection, and a cluster is cut by the pairs that lie in it. The order is dealt out by range; the ends of
-   neighbouring ranges are compared in a step of their own, so no neighbour is lost at a border.
+   neighbouring ranges are compared in a step of their own. Ranges shorter than a window are compared there as a whole, together with
+   all that follow up to one that is not, and empty ones are passed over, so no neighbour is lost at a border.
 3. Rows of an order carry directions in 16 bits a component. That bounds the error of a cosine; pairs surely above the threshold are
    links, the few within the error are compared in double precision afterwards. Links of all passes are united into components.
 4. A window is a bound on partners, so the rest is found exactly: inside each component all its classes are compared,
@@ -187,16 +188,16 @@ def window_links(classes: DataFrame, kind: str, cosine: float, passes: int, scra
         import numpy as np
         import pyarrow as pa
 
-        fields = [("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_()), ("part", pa.int32()), ("place", pa.int32()), ("pass", pa.int32()), ("id", pa.int64()), ("way", pa.binary())]
+        fields = [("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_()), ("part", pa.int32()), ("side", pa.int32()), ("place", pa.int32()), ("pass", pa.int32()), ("id", pa.int64()), ("way", pa.binary())]
         schema = pa.schema(fields)
 
         def end(t, side, part):
-            """The rows at a border of this range, in order; part: the border's number."""
+            """The rows at the head (side 0) or the tail (1) of this range, or all of a short one (2), in order."""
             n = t.num_rows
-            place = np.arange(n, dtype=np.int32) + (0 if side else -n)
             nulls = [pa.nulls(n, f.type) for f in list(schema)[:3]]
             own = [t.column(c).combine_chunks() for c in ("pass", "id", "way")]
-            return pa.RecordBatch.from_arrays([*nulls, pa.array(np.full(n, part, np.int32)), pa.array(place), *own], schema=schema)
+            marks = [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, side, np.int32)), pa.array(np.arange(n, dtype=np.int32))]
+            return pa.RecordBatch.from_arrays([*nulls, *marks, *own], schema=schema)
 
         tail = head = None
         part = 0
@@ -210,19 +211,28 @@ def window_links(classes: DataFrame, kind: str, cosine: float, passes: int, scra
             rest = [pa.nulls(len(a), f.type) for f in list(schema)[3:]]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure), *rest], schema=schema)
             tail = t.slice(max(0, t.num_rows - window))
-        if head is not None:
-            yield end(head, 1, part)
-            yield end(tail, 0, part + 1)
+        if head is not None and head.num_rows < window:
+            yield end(head, 2, part)
+        elif head is not None:
+            yield end(head, 0, part)
+            yield end(tail, 1, part)
 
     def across(group):
         import pyarrow as pa
 
-        group = group.sort_by("place")
+        group = group.sort_by([("part", "ascending"), ("place", "ascending")])
         a, b, sure = _linked(group.column("pass").to_numpy(), group.column("id").to_numpy(), group.column("way").to_pylist(), cosine, window)
         return pa.table({"a": a, "b": b, "sure": sure})
 
-    got = scratch.put(ordered.mapInArrow(work, "a long, b long, sure boolean, part int, place int, pass int, id long, way binary"), "windows")
-    border = got.where("a is null").groupBy("part").applyInArrow(across, "a long, b long, sure boolean")
+    got = scratch.put(ordered.mapInArrow(work, "a long, b long, sure boolean, part int, side int, place int, pass int, id long, way binary"), "windows")
+    rows = got.where("a is null")
+    parts = rows.groupBy("part").agg(F.max("side").alias("side")).orderBy("part").collect()  # a row for each range
+    if parts:
+        groups = classes.sparkSession.createDataFrame(_borders([(r["part"], r["side"] == 2) for r in parts]), "part int, side int, border int")
+        rows = rows.join(F.broadcast(groups), ["part", "side"])
+    else:
+        rows = rows.withColumn("border", F.lit(0))
+    border = rows.select("border", "part", "place", "pass", "id", "way").groupBy("border").applyInArrow(across, "a long, b long, sure boolean")
     pairs = scratch.put(got.where("a is not null").select("a", "b", "sure").unionByName(border).groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
     scratch.drop(got)
     open_ = pairs.where("not sure").select("a", "b")
@@ -230,6 +240,19 @@ def window_links(classes: DataFrame, kind: str, cosine: float, passes: int, scra
     return pairs.where("sure").select("a", "b").unionByName(open_.join(ends("a"), "a").join(ends("b"), "b").mapInArrow(_confirmed(kind, cosine), "a long, b long"))
 
 
+def _borders(parts: list[tuple[int, bool]]) -> list[tuple[int, int, int]]:
+    """(part, side, border) of ranges (part, short) in order: the border at which a range's head, its tail or all of it is compared. A
+    short range has one border for both sides, so that what lies before it also meets what comes after."""
+    out, border = [], 0
+    for part, short in parts:
+        if short:
+            out.append((part, 2, border))
+        else:
+            out += [(part, 0, border), (part, 1, border + 1)]
+            border += 1
+    return out
+
+
 def _confirmed(kind: str, cosine: float):
     def work(batches):
         import numpy as np

@@ -82,3 +82,10 @@ def compacted(files: DataFrame) -> DataFrame:
         if after.join(shown, ["label", "compact_label"], "left_anti").isEmpty():
             return after
         shown = after
+
+
+def manual_edges(drawn: DataFrame) -> DataFrame:
+    """(src, dst, type, weight, sample, why) of edges drawn by hand, drawn(src, dst, why): each counts once and has no sample; an edge of a
+    group to itself is none."""
+    none = F.lit(None).cast("string").alias("sample")
+    return drawn.where("src <> dst").select("src", "dst", F.lit("manual").alias("type"), F.lit(1).alias("weight"), none, F.coalesce("why", F.lit("")).alias("why"))

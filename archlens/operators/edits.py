@@ -1,8 +1,12 @@
-"""Edits of a literal group spec: pure, each gives a new spec and warnings."""
+"""Edits of groups: of tables, a batch of sessions at once, and of a literal spec; pure, each gives new groups and warnings."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from archlens.operators.assign import glob_pattern
+from archlens.operators.graph import cut
 
 
 def _find(spec: list[dict], id_: str) -> int:
@@ -54,3 +58,42 @@ def split(spec: list[dict], id_: str, glob: str, new: str) -> tuple[list[dict],
 def delete(spec: list[dict], id_: str) -> tuple[list[dict], list[str]]:
     at = _find(spec, id_)
     return [*spec[:at], *spec[at + 1 :]], [f"files of {id_} have no group"]
+
+
+def edited(groups: DataFrame, members: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(session, id, label, files) after the edit of each session, and (session, warning).
+
+    groups(id, label), members(id, path): a file lies in one group at most. edits(session, op, a, b): rename a to label b, move file a to b,
+    merge b into a, split files below folder b off a into a group of that name, delete a. An edit that names a group that is not there, or
+    splits into one that is, changes nothing and warns. Files are counted once for all sessions; an edit adds what it changes.
+    """
+    sizes = cut(groups.join(members.groupBy("id").agg(F.count("*").alias("files")), "id", "left").select("id", "label", F.coalesce("files", F.lit(0)).alias("files")))
+    known = sizes.select("id", "files")
+    size = lambda key, name: known.select(F.col("id").alias(key), F.col("files").alias(name))
+    asked = edits.join(size("a", "size_a"), "a", "left").join(size("b", "size_b"), "b", "left")
+    asked = asked.join(members.select(F.col("path").alias("a"), F.col("id").alias("owner")), "a", "left")
+    inside = edits.where("op = 'split'").select("session", F.col("a").alias("id"), "b").join(members, "id").where(F.col("path").startswith(F.concat("b", F.lit("/"))))
+    taken = inside.groupBy("session").agg(F.count("*").alias("taken"))
+    asked = asked.join(taken, "session", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    has_a, has_b, is_ = F.col("size_a").isNotNull(), F.col("size_b").isNotNull(), lambda op: F.col("op") == op
+    fits = F.when(is_("move"), F.col("owner").isNotNull() & has_b & (F.col("owner") != F.col("b"))).when(is_("merge"), has_a & has_b & (F.col("a") != F.col("b"))).when(is_("split"), has_a & ~has_b).otherwise(has_a & F.col("op").isin("rename", "delete"))
+    asked = cut(asked.withColumn("fits", fits))
+    done = asked.where("fits")
+    row = lambda id_, n: F.struct(id_.alias("id"), n.cast("long").alias("n"))
+    a, b, one = F.col("a"), F.col("b"), F.lit(1)
+    change = (
+        F.when(is_("move"), F.array(row(F.col("owner"), -one), row(b, one)))
+        .when(is_("merge"), F.array(row(a, F.col("size_b"))))
+        .when(is_("split"), F.array(row(a, -F.col("taken")), row(b, F.col("taken"))))
+    )
+    changes = done.select("session", F.explode(change).alias("c")).select("session", "c.id", "c.n")
+    gone = done.where("op in ('merge', 'delete')").select("session", F.when(is_("merge"), b).otherwise(a).alias("id"))
+    named = done.where("op = 'rename'").select("session", a.alias("id"), b.alias("new"))
+    every = edits.select("session").distinct().crossJoin(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes).join(gone, ["session", "id"], "left_anti")
+    every = every.unionByName(done.where("op = 'split'").select("session", b.alias("id"), b.alias("label"), F.lit(0).cast("long").alias("files")))
+    out = every.join(changes.groupBy("session", "id").agg(F.sum("n").alias("n")), ["session", "id"], "left").join(named, ["session", "id"], "left")
+    out = cut(out.select("session", "id", F.coalesce("new", "label").alias("label"), (F.col("files") + F.coalesce("n", F.lit(0))).alias("files")))
+    empty = out.join(changes.select("session", "id").distinct(), ["session", "id"], "left_semi").where("files = 0").select("session", F.concat("id", F.lit(" is empty")).alias("warning"))
+    lost = done.where("op = 'delete' and size_a > 0").select("session", F.concat(F.lit("files of "), a, F.lit(" have no group")).alias("warning"))
+    odd = asked.where("not fits").select("session", F.concat_ws(" ", "op", "a", F.lit("changes nothing")).alias("warning"))
+    return out, empty.unionByName(lost).unionByName(odd)

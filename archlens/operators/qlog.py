@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,3 +43,9 @@ def rotated(rows: DataFrame, group: str, order: str, size: str, most: int) -> Da
     full = lambda a, x: (a["used"] > 0) & (a["used"] + x["s"] > most)
     step = lambda a, x: F.struct(F.when(full(a, x), x["s"]).otherwise(a["used"] + x["s"]).alias("used"), (a["generations"] + full(a, x).cast("long")).alias("generations"))
     return sizes.select(group, F.size("all").cast("long").alias("lines"), F.aggregate("all", start, step).alias("r")).select(group, "lines", "r.generations", F.col("r.used").alias("bytes"))
+
+
+def merged_aliases(*stores: DataFrame) -> DataFrame:
+    """(alias, node, store) of stores(alias, node): each pair once, the alias in lower case with single spaces; store: the first that has it."""
+    rows = [df.select(F.lower(F.trim(F.regexp_replace("alias", r"\s+", " "))).alias("alias"), "node", F.lit(i).alias("store")) for i, df in enumerate(stores)]
+    return reduce(DataFrame.unionByName, rows).where("alias <> ''").groupBy("alias", "node").agg(F.min("store").alias("store"))

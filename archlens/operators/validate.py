@@ -90,6 +90,21 @@ def symbols(symbols_: DataFrame, sites: DataFrame, inventory: DataFrame) -> Data
     )
 
 
+def group_specs(groups: DataFrame, entries: DataFrame) -> DataFrame:
+    """Violations of groups(ord, id) and their entries(ord, kind, entry), kind glob or file: ids missing or repeated, both kinds or none, and
+    entries that are no path below the root."""
+    named = groups.where("coalesce(id, '') <> ''")
+    kinds = entries.groupBy("ord").agg(F.count_distinct("kind").alias("kinds"))
+    unsafe = (F.coalesce("entry", F.lit("")) == "") | F.col("entry").startswith("/") | F.array_contains(F.split("entry", "/"), "..")
+    place = F.col("ord").cast("string")
+    return together(
+        rule("id missing", groups.where("coalesce(id, '') = ''"), place),
+        rule("id repeated", twice(named, "id"), "key"),
+        rule("globs or files", groups.join(kinds, "ord", "left").where("coalesce(kinds, 0) <> 1"), place),
+        rule("unsafe entry", entries.where(unsafe), F.concat_ws(" ", place, "entry")),
+    )
+
+
 def group_spec(spec: list[dict]) -> list[str]:
     """Problems of a literal group spec: repeated or missing ids, globs and files both or neither, unsafe entries."""
     out, seen = [], set()

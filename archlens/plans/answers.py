@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from archlens.functions import text as T
-from archlens.operators import graph, ranking
+from archlens.operators import graph, qlog, ranking
 from archlens.plans.base import query
 from archlens.plans.graphs import BACKWARD, FORWARD, SEEDS, starts, walk_sql
 from archlens.plans.text import NORMAL
@@ -71,10 +71,21 @@ def alias_overlay(spark, sf_dir):
     return out.withColumn("conflict", F.col("targets") > 1)
 
 
-@query("alias_merge", f"with {ALIAS_SQL} select distinct lower(trim(regexp_replace(alias, '\\s+', ' ', 'g'))) as alias, node from aliases union select 'added', 'brand44'")
+_merged = "select initcap_ || '  ' || w2 as alias, top as node, 0 as ord from w where fid % 2 = 0 union all select ' ' || upper(w1) || ' ' || w2 || ' ', top, 1 from w where fid % 3 = 0"
+
+
+@query(
+    "alias_merge",
+    f"""with w as (select fid, top, split_part(stem, '_', 1) as w1, upper(left(stem, 1)) || substr(split_part(stem, '_', 1), 2) as initcap_, split_part(stem, '_', 2) as w2 from code_files), m as ({_merged})
+    select lower(trim(regexp_replace(alias, '\\s+', ' ', 'g'))) as alias, node, min(ord) as store from m group by 1, 2""",
+    ("code_files",),
+)
 def alias_merge(spark, sf_dir):
-    rows = spark.createDataFrame([*ALIASES, ("Added", "brand44")], "alias string, node string")
-    return rows.withColumn("alias", F.lower(F.trim(F.regexp_replace("alias", r"\s+", " ")))).dropDuplicates(["alias", "node"])
+    """Two stores of aliases put together: each normalised alias of a node once, from the store that comes first."""
+    files = code_files(spark, sf_dir).select("fid", "top", F.split("stem", "_").alias("w"))
+    own = files.where("fid % 2 = 0").select(F.concat(F.initcap(F.get("w", F.lit(0))), F.lit("  "), F.get("w", F.lit(1))).alias("alias"), F.col("top").alias("node"))
+    other = files.where("fid % 3 = 0").select(F.concat(F.lit(" "), F.upper(F.get("w", F.lit(0))), F.lit(" "), F.get("w", F.lit(1)), F.lit(" ")).alias("alias"), F.col("top").alias("node"))
+    return qlog.merged_aliases(own, other)
 
 
 @query(

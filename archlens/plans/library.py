@@ -103,14 +103,26 @@ def jsonc_values(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), got.alias("v")).select("id", "v.size", "v.name")
 
 
-CONFIGS = {"tsconfig.json": '{"extends": "./conf/base", "compilerOptions": {"paths": {"@lib/*": ["lib/*", "more/*"], "app": ["./main.ts"],}}}', "conf/base.json": '{"extends": "../tsconfig.json", /* back */ "compilerOptions": {"baseUrl": "../src", "paths": {"lost/*": ["x/*"]}}}'}
+CONFIGURED = """chain as (select top, folder, min(fid) as n from code_files group by 1, 2)"""
 
 
-@query("alias_patterns", "select * from (values (0, '@lib/*', false, 'src/lib/*,src/more/*'), (1, 'app', true, 'src/main.ts')) t(ord, pattern, exact, targets)")
+@query(
+    "alias_patterns",
+    f"""with {CONFIGURED} select folder || '/tsconfig.json' as start, 0 as ord, '@' || top || '/*' as pattern, false as exact, case when n % 2 = 0 then folder || '/src/lib/*' else top || '/base/lib/*' end as targets from chain where n % 3 = 0
+    union all select folder || '/tsconfig.json', 0, '@base/*', false, case when n % 2 = 0 then folder || '/src/shared/*,' || folder || '/src/more/*' else top || '/base/shared/*,' || top || '/base/more/*' end from chain where n % 3 <> 0
+    union all select folder || '/tsconfig.json', 1, 'app', true, case when n % 2 = 0 then folder || '/src/main.ts' else top || '/base/main.ts' end from chain where n % 3 <> 0""",
+    ("code_files",),
+)
 def alias_patterns(spark, sf_dir):
-    """Patterns of a chain of configurations that comes back to itself: paths replace inherited ones, the base address is inherited."""
-    rows = [(p["ord"], p["pattern"], p["exact"], ",".join(p["targets"])) for p in inv.alias_patterns(CONFIGS)]
-    return spark.createDataFrame(rows, "ord int, pattern string, exact boolean, targets string")
+    """Patterns of many chains of configurations, each back to itself: paths replace inherited ones, the base address is inherited."""
+    folders = code_files(spark, sf_dir).groupBy("top", "folder").agg(F.min("fid").alias("n"))
+    base = F.when(F.col("n") % 2 == 0, F.lit('"baseUrl": "./src", ')).otherwise(F.lit(""))
+    paths = F.when(F.col("n") % 3 == 0, F.concat(F.lit('"paths": {"@'), "top", F.lit('/*": ["lib/*"]}'))).otherwise(F.lit(""))
+    own = folders.select(F.concat("folder", F.lit("/tsconfig.json")).alias("path"), F.concat(F.lit('{ // own\n "extends": "../common", "compilerOptions": {'), base, paths, F.lit("} }")).alias("text"))
+    common = '{"extends": "./nested/../tsconfig.root.json", "compilerOptions": {"paths": {"@base/*": ["shared/*", "more/*"], "app": ["./main.ts"]}, /* c */ }}'
+    root = '{"extends": "./common.json", "compilerOptions": {"baseUrl": "base", "paths": {"lost/*": ["x/*"]}}}'
+    shared = folders.select("top").distinct().select(F.explode(F.array(F.struct(F.concat("top", F.lit("/common.json")).alias("path"), F.lit(common).alias("text")), F.struct(F.concat("top", F.lit("/tsconfig.root.json")).alias("path"), F.lit(root).alias("text")))).alias("c")).select("c.*")
+    return inv.config_patterns(own.unionByName(shared), own.select(F.col("path").alias("start"))).withColumn("targets", F.array_join("targets", ","))
 
 
 @query("project_index", "select o_custkey as project_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as current, count(distinct o_orderkey) as snapshots from orders group by 1")
@@ -227,22 +239,55 @@ def score_contract(spark, sf_dir):
     return validate.scores(head)
 
 
-SPEC = [{"id": "a", "globs": ["app/**"]}, {"id": "a", "files": ["x.py"]}, {"id": "b"}, {"id": "c", "globs": ["/etc/*"], "files": ["../y"]}]
+SPECS = """g as (select fid as ord, case when fid % 11 = 0 then '' when fid % 13 = 0 then 'g' || (fid + 1) else 'g' || fid end as id from code_files),
+  e as (select fid as ord, 'file' as kind, case when fid % 17 = 0 then '../' || path when fid % 19 = 0 then '/' || path else path end as entry from code_files where fid % 7 <> 0 union all select fid, 'glob', folder || '/**' from code_files where fid % 5 = 0)"""
 
 
-@query("spec_problems", "select * from (values ('id ''a'''), ('b: globs or files'), ('c: globs or files'), ('c: ''/etc/*'''), ('c: ''../y''')) t(problem)")
+@query(
+    "spec_problems",
+    f"""with {SPECS} select rule, count(*) as n_rows from (select 'id missing' as rule from g where id = '' union all select 'id repeated' from (select id from g where id <> '' group by id having count(*) > 1)
+      union all select 'globs or files' from g left join (select ord, count(distinct kind) as k from e group by 1) using (ord) where coalesce(k, 0) <> 1
+      union all select 'unsafe entry' from e where entry like '/%' or list_contains(string_split(entry, '/'), '..')) group by 1""",
+    ("code_files",),
+)
 def spec_problems(spark, sf_dir):
-    """What is wrong with a group spec."""
-    return spark.createDataFrame([(p,) for p in validate.group_spec(SPEC)], "problem string")
+    """What is wrong with a group spec of a group for each file: how often each rule is broken."""
+    files = code_files(spark, sf_dir)
+    fid = F.col("fid")
+    of = lambda c: F.concat(F.lit("g"), c.cast("string"))
+    groups = files.select(fid.alias("ord"), F.when(fid % 11 == 0, "").when(fid % 13 == 0, of(fid + 1)).otherwise(of(fid)).alias("id"))
+    path = F.when(fid % 17 == 0, F.concat(F.lit("../"), "path")).when(fid % 19 == 0, F.concat(F.lit("/"), "path")).otherwise(F.col("path"))
+    own = files.where("fid % 7 <> 0").select(fid.alias("ord"), F.lit("file").alias("kind"), path.alias("entry"))
+    globs = files.where("fid % 5 = 0").select(fid.alias("ord"), F.lit("glob").alias("kind"), F.concat("folder", F.lit("/**")).alias("entry"))
+    return validate.group_specs(groups, own.unionByName(globs)).groupBy("rule").agg(F.count("*").alias("n_rows"))
+
+
+EDITS = """base as (select top as id, 'Brand ' || substr(top, 6) as label, count(*) as files from code_files group by 1), members as (select top as id, path from code_files),
+  edits as (select qid as session, case qid % 6 when 0 then 'rename' when 1 then 'move' when 2 then 'merge' when 3 then 'split' when 4 then 'delete' else 'rename' end as op,
+    case qid % 6 when 1 then path when 5 then 'nowhere' else top end as a, case qid % 6 when 0 then 'New ' || top when 1 then case when top = 'brand12' then 'brand13' else 'brand12' end when 2 then case when top = 'brand14' then 'brand15' else 'brand14' end when 3 then folder end as b from seeds join code_files using (path))"""
 
 
-@query("group_edits", "select * from (values ('rename', 'a:A/3 b:b/1', ''), ('move', 'a:a/2 b:b/2', ''), ('merge', 'a:a/4', ''), ('split', 'a:a/2 n:n/1 b:b/1', ''), ('delete', 'b:b/1', 'files of a have no group'), ('move all', 'a:a/3 b:b/0', 'b is empty')) t(edit, groups, warnings)")
+@query(
+    "group_edits",
+    f"""with {EDITS}, applied as (select e.session, b.id, case when op = 'rename' and e.a = b.id then e.b else label end as label,
+        files + case when op = 'move' and e.b = b.id then 1 when op = 'move' and b.id = (select id from members m where m.path = e.a) then -1 when op = 'merge' and e.a = b.id then (select files from base x where x.id = e.b)
+          when op = 'split' and e.a = b.id then -(select count(*) from members m where m.id = e.a and starts_with(m.path, e.b || '/')) else 0 end as files from edits e cross join base b where not (op = 'delete' and e.a = b.id) and not (op = 'merge' and e.b = b.id)
+      union all select session, b, b, (select count(*) from members m where m.id = e.a and starts_with(m.path, e.b || '/')) from edits e where op = 'split')
+    select session, id, label, cast(files as bigint) as files from applied
+    union all select session, case op when 'delete' then 'files of ' || a || ' have no group' else op || ' ' || a || ' changes nothing' end, 'warning', null from edits where op = 'delete' or a = 'nowhere'""",
+    ("code_files", "seeds"),
+)
 def group_edits(spark, sf_dir):
-    """Edits of a literal spec, each from the same start."""
-    spec = [{"id": "a", "label": "a", "files": ["x/1.py", "x/2.py", "y/3.py"]}, {"id": "b", "label": "b", "files": ["z.py"]}]
-    made = {"rename": edits.rename(spec, "a", "A"), "move": edits.move(spec, "x/1.py", "b"), "merge": edits.merge(spec, "a", "b"), "split": edits.split(spec, "a", "y/**", "n"), "delete": edits.delete(spec, "a"), "move all": edits.move([{**spec[0], "files": spec[0]["files"][:2]}, spec[1]], "z.py", "a")}
-    rows = [(name, " ".join(f"{g['id']}:{g['label']}/{len(g['files'])}" for g in out), "; ".join(warnings)) for name, (out, warnings) in made.items()]
-    return spark.createDataFrame(rows, "edit string, groups string, warnings string")
+    """A batch of sessions, each with one edit of the groups, and what it warns of."""
+    files = code_files(spark, sf_dir)
+    groups = files.select(F.col("top").alias("id"), F.concat(F.lit("Brand "), F.substring("top", F.lit(6), F.lit(9))).alias("label")).distinct()
+    k, top = F.col("qid") % 6, F.col("top")
+    other = lambda x, y: F.when(top == x, y).otherwise(x)
+    op = F.get(F.array(*map(F.lit, ("rename", "move", "merge", "split", "delete", "rename"))), k.cast("int"))
+    b = F.when(k == 0, F.concat(F.lit("New "), top)).when(k == 1, other("brand12", "brand13")).when(k == 2, other("brand14", "brand15")).when(k == 3, F.col("folder"))
+    asked = seeds(spark, sf_dir).join(files, "path").select(F.col("qid").alias("session"), op.alias("op"), F.when(k == 1, F.col("path")).when(k == 5, "nowhere").otherwise(top).alias("a"), b.alias("b"))
+    made, warnings = edits.edited(groups, files.select(top.alias("id"), "path"), graph.cut(asked))
+    return made.unionByName(warnings.select("session", F.col("warning").alias("id"), F.lit("warning").alias("label"), F.lit(None).cast("long").alias("files")))
 
 
 # Projections.

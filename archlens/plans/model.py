@@ -216,16 +216,25 @@ def folder_compact(spark, sf_dir):
     return assign.compacted(code_files(spark, sf_dir).select(deep.alias("path")))
 
 
-@query("manual_edges", "select src, dst, 'manual' as type, 1 as weight, cast(null as varchar) as sample, coalesce(why, '') as why from (values ('brand11', 'brand12', 'shared cache'), ('brand12', 'brand13', null)) t(src, dst, why)")
+MANUAL = """manual as (select 'brand' || (n_nationkey + 1) as src, 'brand' || (n_regionkey + 20) as dst, 'manual' as type, 1 as weight, case when n_nationkey % 3 = 0 then '' else n_name end as why from nation where n_nationkey + 1 <> n_regionkey + 20)"""
+
+
+def manual(spark, sf_dir):
+    """Edges between groups that were drawn by hand: one for each nation, some without a reason."""
+    nation = table(spark, sf_dir, "nation")
+    why = F.when(F.col("n_nationkey") % 3 > 0, F.col("n_name"))
+    src, dst = (F.concat(F.lit("brand"), c.cast("string")) for c in (F.col("n_nationkey") + 1, F.col("n_regionkey") + 20))
+    return assign.manual_edges(nation.select(src.alias("src"), dst.alias("dst"), why.alias("why")))
+
+
+@query("manual_edges", f"with {MANUAL} select src, dst, type, weight, cast(null as varchar) as sample, why from manual")
 def manual_edges(spark, sf_dir):
-    rows = spark.createDataFrame([("brand11", "brand12", "shared cache"), ("brand12", "brand13", None)], "src string, dst string, why string")
-    return rows.select("src", "dst", F.lit("manual").alias("type"), F.lit(1).alias("weight"), F.lit(None).cast("string").alias("sample"), F.coalesce("why", F.lit("")).alias("why"))
+    return manual(spark, sf_dir)
 
 
-@query("typed_group_edges", "select src, dst, type, weight from group_edges union all select 'brand11', 'brand12', 'manual', 1", ("group_edges",))
+@query("typed_group_edges", f"with {MANUAL} select src, dst, type, weight from group_edges union all select src, dst, type, weight from manual", ("group_edges",))
 def typed_group_edges(spark, sf_dir):
-    manual = spark.createDataFrame([("brand11", "brand12", "manual", 1)], "src string, dst string, type string, weight long")
-    return group_edges(spark, sf_dir).unionByName(manual, allowMissingColumns=True)
+    return group_edges(spark, sf_dir).unionByName(manual(spark, sf_dir).select("src", "dst", "type", F.col("weight").cast("long").alias("weight")))
 
 
 OLD_NEW = """o as (select path, top, lines from code_files where fid % 10 <> 0), n as (select path, top, lines + case when fid % 7 = 0 then 1 else 0 end as lines from code_files where fid % 10 <> 1)"""

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from archlens.operators.graph import cut
 from archlens.plans.model import EXCLUDED, EXTENSIONS
 
 MOST_MEMBERS = 200_000
@@ -140,6 +141,48 @@ def alias_patterns(configs: dict[str, str], start: str = "tsconfig.json") -> lis
     return [{"pattern": p, "prefix": p.partition("*")[0], "suffix": p.partition("*")[2], "exact": "*" not in p, "targets": [_joined(origin, t) for t in targets], "ord": i} for i, (p, targets) in enumerate(paths[0].items())]
 
 
+def config_patterns(configs: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, ord, pattern, exact, targets) for each of starts(start): the patterns of its chain in configs(path, text).
+
+    Each step of all chains is a join. Paths are those of the first configuration that has some, replacing inherited ones; they are relative to
+    the first base address of the chain, else to the folder of their own configuration. A chain ends where it comes back to itself, at a
+    configuration that is missing or does not parse, at one that extends a package, or after MOST_EXTENDS.
+    """
+    kind = "struct<extends:string,compilerOptions:struct<baseUrl:string,paths:string>>"
+    parsed = configs.select("path", F.from_json(plain_json(F.col("text")), kind).alias("c")).where("c is not null")
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    parent = F.col("c.extends")
+    parent = F.when(parent.startswith("."), normal(F.concat(folder, F.lit("/"), parent, F.when(parent.endswith(".json"), "").otherwise(".json"))))
+    base = F.when(F.col("c.compilerOptions.baseUrl").isNotNull(), normal(F.concat(folder, F.lit("/"), F.col("c.compilerOptions.baseUrl"))))
+    table = cut(parsed.select("path", parent.alias("parent"), base.alias("base"), folder.alias("folder"), F.col("c.compilerOptions.paths").alias("paths")))
+    at = cut(starts.select("start", F.col("start").alias("path")).distinct().join(table, "path").withColumn("seen", F.array("path")))
+    done, hops = at, 1
+    while hops < MOST_EXTENDS:
+        step = at.where("parent is not null").select("start", "seen", F.col("parent").alias("path"), F.col("base").alias("b"), "folder", F.col("paths").alias("p"))
+        step = step.where(~F.array_contains("seen", F.col("path")))
+        grown = step.drop("folder").join(table, "path").join(step.select("start", F.col("folder").alias("f")), "start")
+        # What is nearer wins; a folder goes with its paths.
+        near = grown.select("start", "path", "parent", F.coalesce("b", "base").alias("base"), F.when(F.col("p").isNotNull(), F.col("f")).otherwise(F.col("folder")).alias("folder"), F.coalesce("p", "paths").alias("paths"), F.concat("seen", F.array("path")).alias("seen"))
+        at = cut(near)
+        if at.isEmpty():
+            break
+        done = cut(done.join(at.select("start"), "start", "left_anti").unionByName(at.select(*done.columns)))
+        hops += 1
+    rows = done.where("paths is not null").withColumn("origin", F.coalesce("base", "folder"))
+    keys = F.json_object_keys("paths")
+    told = rows.select("start", "origin", F.from_json("paths", "map<string,array<string>>").alias("m"), F.posexplode(keys).alias("ord", "pattern"))
+    targets = F.transform(F.element_at("m", F.col("pattern")), lambda t: normal(F.concat("origin", F.lit("/"), t)))
+    return told.select("start", "ord", "pattern", (~F.col("pattern").contains("*")).alias("exact"), targets.alias("targets"))
+
+
+def normal(c):
+    """A path without empty and ``.`` segments, ``..`` taking one back; what leaves the tree stays at its root."""
+    parts = F.filter(F.split(c, "/"), lambda p: (p != "") & (p != "."))
+    none = F.array().cast("array<string>")
+    back = lambda a: F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(none)
+    return F.array_join(F.aggregate(parts, none, lambda a, p: F.when(p == "..", back(a)).otherwise(F.concat(a, F.array(p)))), "/")
+
+
 def _joined(folder: str, path: str) -> str:
     out: list[str] = []
     for part in f"{folder}/{path}".split("/"):

@@ -15,7 +15,7 @@ import shutil
 import tempfile
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Edge types that are drawn but are no dependency.
@@ -24,15 +24,21 @@ IGNORED = ("realtime",)
 LOCAL_PAIRS = 1_000_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that the session names; a cluster must name one."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which a cluster must name; a local session without one gets a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        own = tempfile.mkdtemp(prefix="archlens-checkpoints-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(own)
+        base = tempfile.mkdtemp(prefix="archlens-checkpoints-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

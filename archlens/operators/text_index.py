@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archlens.functions.text import concept_terms, kind_hint
-from archlens.operators.graph import cut
+from archlens.operators.graph import cut, shared_folder
 from archlens.operators.ranking import B, COVERAGE, FIELDS, FLOOR, HITS, K1, query_terms
 
 #: Postings of a block, about; steps of contribution that part blocks; buckets that the blocks of a term are spread over.
@@ -60,7 +60,7 @@ def build(docs: DataFrame, path: str | None = None, buckets: int | None = None)
     salt = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(max(1, -(-n // BLOCK)))).cast("int")
     blocks = posts.groupBy("term", step.alias("step"), salt.alias("salt")).agg(F.count("*").alias("n"), F.max("part").alias("best"), F.collect_list(F.struct("id", "kind", "part")).alias("posts"))
     blocks = blocks.withColumn("spread", F.pmod(F.col("salt"), F.lit(SPREAD)))
-    where = path or f"{_folder(spark)}/text-index-{uuid.uuid4().hex}"
+    where = path or f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}"
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"text_index_{uuid.uuid4().hex}"
     blocks.repartition(buckets, "term", "spread").write.bucketBy(buckets, "term", "spread").sortBy("term", "spread").option("path", f"{where}/blocks").saveAsTable(name)
@@ -84,11 +84,6 @@ def opened(spark: SparkSession, path: str) -> TextIndex:
     return TextIndex(spark.table(name), spark.read.parquet(f"{path}/terms"), about["docs"])
 
 
-def _folder(spark: SparkSession) -> str:
-    cut(spark.range(1))  # sets a folder of its own where a local session names none
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()).rstrip("/")
-
-
 def search(index: TextIndex, questions: DataFrame, hits: int = HITS) -> DataFrame:
     """(qid, rank, id, score, matched): the best documents of questions(qid, question), FLOOR at least and with half of its terms.
 

@@ -23,14 +23,19 @@ from archlens.sources.tables import call_sites, code_files, path_edges, seeds, t
 KINDS = "case when fid % 50 = 0 then '120000' when fid % 50 = 1 then '160000' else '100644' end"
 
 
-def listings(spark, sf_dir):
-    """(listing): a tree listing for each top folder, every ninety-seventh path once more in capitals."""
+def listed(files):
+    """(r): records of a tree listing of files(path, mode, lines)."""
+    kind, size = F.when(F.col("mode") == "160000", "commit").otherwise("blob"), F.when(F.col("mode") == "160000", F.lit("-")).otherwise(F.col("lines").cast("string"))
+    return files.select(F.concat("mode", F.lit(" "), kind, F.lit(" "), F.sha1(F.col("path").cast("binary")), F.lit("    "), size, F.lit("\t"), "path").alias("r"))
+
+
+def listing_files(spark, sf_dir):
+    """Where the listing of all files lies, every ninety-seventh path once more in capitals: files of NUL-ended records."""
     files = code_files(spark, sf_dir)
-    more = files.withColumn("path", F.explode(F.when(F.col("fid") % 97 == 0, F.array("path", F.upper("path"))).otherwise(F.array("path"))))
-    mode = F.expr(KINDS)
-    kind, size = F.when(mode == "160000", "commit").otherwise("blob"), F.when(mode == "160000", F.lit("-")).otherwise(F.col("lines").cast("string"))
-    record = F.concat(mode, F.lit(" "), kind, F.lit(" "), F.sha1(F.col("path").cast("binary")), F.lit("    "), size, F.lit("\t"), "path", F.lit("\x00"))
-    return more.groupBy("top").agg(F.array_join(F.sort_array(F.collect_list(record)), "").alias("listing"))
+    more = files.withColumn("mode", F.expr(KINDS)).withColumn("path", F.explode(F.when(F.col("fid") % 97 == 0, F.array("path", F.upper("path"))).otherwise(F.array("path"))))
+    where = f"{graph.shared_folder(spark)}/listing-{uuid.uuid4().hex}"
+    listed(more).write.option("lineSep", "\x00").text(where)
+    return where
 
 
 LISTED = f"listed as (select case when c = 1 then upper(path) else path end as path, {KINDS} as mode, lines from code_files, (values (0), (1)) v(c) where c = 0 or fid % 97 = 0)"
@@ -39,12 +44,58 @@ LISTED = f"listed as (select case when c = 1 then upper(path) else path end as p
 @query("tree_listing", f"with {LISTED} select path, mode, case mode when '160000' then 'commit' else 'blob' end as kind, sha1(path) as object, case when mode <> '160000' then cast(lines as bigint) end as size from listed", ("code_files",))
 def tree_listing(spark, sf_dir):
     """NUL-ended records of tree listings as rows."""
-    return inv.tree_listing(listings(spark, sf_dir)).where("valid").drop("valid")
+    return inv.read_listing(spark, listing_files(spark, sf_dir)).where("valid").drop("valid")
+
+
+ODD = """odd as (select path from code_files union all select upper(path) from code_files where fid % 97 = 0 union all select replace(path, '.py', 'ß.py') from code_files where fid % 89 = 0 union all select replace(path, '.py', 'SS.py') from code_files where fid % 89 = 0
+  union all select path || chr(233) from code_files where fid % 83 = 0 union all select path || 'e' || chr(769) from code_files where fid % 83 = 0 union all select path || '. ' from code_files where fid % 79 = 0 union all select top || '/Aux.' || fid from code_files where fid % 73 = 0
+  union all select path from code_files where fid % 71 = 0)"""
 
 
-@query("tree_violations", f"with {LISTED} select 'portable collision' as rule, min(path) as what from listed group by lower(path) having count(*) > 1", ("code_files",))
+@query(
+    "tree_violations",
+    f"""with {ODD}, k as (select distinct path, regexp_replace(lower(replace(nfc_normalize(path), 'ß', 'ss')), '[ .]+$', '') as key from odd)
+    select 'portable collision' as rule, min(path) as what from k group by key having count(*) > 1 union all select 'duplicate', path from odd group by path having count(*) > 1
+    union all select 'unsafe path', path from odd where nfc_normalize(path) <> path union all select 'trailing dot or space', path from odd where regexp_matches(path, '[ .]$') union all select 'reserved name', path from odd where contains(path, '/Aux.')""",
+    ("code_files",),
+)
 def tree_violations(spark, sf_dir):
-    return inv.listing_violations(inv.tree_listing(listings(spark, sf_dir)))
+    """Paths that mean one file on some systems, or none: by case, sharp s, composed and decomposed letters, trailing dots, reserved names."""
+    fid, path = F.col("fid"), F.col("path")
+    every = lambda n, *c: F.when(fid % n == 0, F.array(*c)).otherwise(F.array().cast("array<string>"))
+    more = F.concat(
+        F.array(path), every(97, F.upper(path)), every(89, F.replace(path, F.lit(".py"), F.lit("ß.py")), F.replace(path, F.lit(".py"), F.lit("SS.py"))), every(83, F.concat(path, F.lit("\u00e9")), F.concat(path, F.lit("e\u0301"))),
+        every(79, F.concat(path, F.lit(". "))), every(73, F.concat("top", F.lit("/Aux."), fid.cast("string"))), every(71, path),
+    )
+    files = code_files(spark, sf_dir).select(F.lit("100644").alias("mode"), F.explode(more).alias("path"), "lines")
+    return inv.listing_violations(inv.records(listed(files)))
+
+
+FAULTY = ("fine", "digest", "repeated key", "no JSON", "no object", "unknown field", "missing field", "wrong type", "fine too")
+
+
+@query(
+    "snapshot_documents",
+    f"""with d as (select path, {', '.join(f"fid % {len(FAULTY)} = {i} as f{i}" for i in range(len(FAULTY)))} from code_files)
+    select path as name, case when f1 then 'digest differs' when f2 or f3 then 'no JSON or a repeated key' when f4 then 'no object' when f5 then 'unknown field extra' when f6 then 'missing field projectId' when f7 then 'wrong type of inventory' end as problem, null as files from d where not f0 and not f8
+    union all select path, null, 1 from d where f0 or f8""",
+    ("code_files",),
+)
+def snapshot_documents(spark, sf_dir):
+    """Snapshot documents that load, and why others are refused."""
+    path = F.col("path")
+    inventory = F.concat(F.lit('"inventory": [{"path": "'), path, F.lit('", "sha256": "0", "lineCount": '), F.col("lines").cast("string"), F.lit("}]"))
+    head = F.lit('{"schema": "s", "projectId": "p", "snapshotId": "1", ')
+    whole = F.concat(head, inventory, F.lit("}"))
+    texts = F.array(
+        whole, whole, F.concat(head, F.lit('"schema": "t", '), inventory, F.lit("}")), F.concat(whole, F.lit(",")), F.lit("[1]"), F.concat(head, F.lit('"extra": 1, '), inventory, F.lit("}")),
+        F.concat(F.lit('{"schema": "s", "snapshotId": "1", '), inventory, F.lit("}")), F.concat(head, F.lit('"inventory": "none"}')), F.concat(head, F.lit('"limitations": ["x"], '), inventory, F.lit("}")),
+    )
+    k = (F.col("fid") % len(FAULTY)).cast("int")
+    docs = code_files(spark, sf_dir).select(path.alias("name"), F.get(texts, k).alias("document"), k.alias("k"))
+    docs = docs.withColumn("sha256", F.sha2(F.when(F.col("k") == 1, "other").otherwise(F.col("document")), 256))
+    loaded, refused = inv.load_documents(docs)
+    return refused.select("name", "problem", F.lit(None).cast("int").alias("files")).unionByName(loaded.select("name", F.lit(None).cast("string").alias("problem"), F.size("inventory").alias("files")))
 
 
 CONTENT = "content as (select doc_id, case when doc_id % 40 = 0 then '120000' when doc_id % 40 = 1 then '160000' else '100644' end as mode, case when doc_id % 7 = 0 then text || chr(0) else text end as t, doc_id % 11 = 0 as short from documents)"

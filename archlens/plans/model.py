@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from archlens.operators import assign, folders
+from archlens.operators import assign, folders, manifest
 from archlens.plans.base import query
 from archlens.sources.tables import code_edges, code_files, group_edges, path_edges, refs, seeds, table
 
@@ -373,14 +373,24 @@ def build_checks(spark, sf_dir):
     return out
 
 
-@query("manifest_digest", "with b as (select doc_id // 1000 as block, sha256(string_agg(cast(doc_id as varchar) || ':' || sha256(text), ',' order by doc_id)) as digest, count(*) as n from documents group by 1) select sha256(string_agg(digest, ',' order by block)) as digest, cast(sum(n) as bigint) as n from b")
+MANIFEST = """line as (select doc_id::varchar as key, doc_id || ':' || sha256(text) as line from documents), leaf as (select left(sha256(key), 2) as place, sha256(string_agg(line, chr(10) order by key)) as digest, count(*) as n from line group by 1),
+  inner_ as (select left(place, 1) as place, sha256(string_agg(place || ':' || digest, chr(10) order by place)) as digest, sum(n) as n from leaf group by 1),
+  root as (select '' as place, sha256(string_agg(place || ':' || digest, chr(10) order by place)) as digest, sum(n) as n from inner_)"""
+
+
+@query("manifest_digest", f"with {MANIFEST} select 2 as level, place, digest, n from leaf union all select 1, place, digest, cast(n as bigint) from inner_ union all select 0, place, digest, cast(n as bigint) from root")
 def manifest_digest(spark, sf_dir):
-    """One digest of the ordered list of (id, digest): of the digests of its blocks of a thousand ids, so that no task holds the list."""
-    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 1000).alias("block"), "doc_id", F.concat_ws(":", "doc_id", F.sha2("text", 256)).alias("line"))
-    listed = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "line"))).alias("rows"), F.count("*").alias("n"))
-    blocks = listed.select("block", F.sha2(F.array_join(F.col("rows.line"), ","), 256).alias("digest"), "n")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"]), ",")
-    return blocks.agg(F.sha2(whole, 256).alias("digest"), F.sum("n").alias("n"))
+    """The tree of digests of all documents: its root stands for the whole list, and no task holds the list."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.concat_ws(":", "doc_id", F.sha2("text", 256)).alias("line"))
+    return manifest.tree(rows, 2)
+
+
+@query("manifest_changes", f"with {OLD_NEW} select coalesce(o.path, n.path) as key, case when o.path is null then 'added' when n.path is null then 'deleted' else 'changed' end as state from o full join n on o.path = n.path where o.lines is distinct from n.lines", ("code_files",))
+def manifest_changes(spark, sf_dir):
+    """Lines that two manifests do not share, by comparing their trees from the roots."""
+    old, new = old_new(spark, sf_dir)
+    line = lambda df: df.select(F.col("path").alias("key"), F.concat_ws(":", "path", F.sha2(F.col("lines").cast("string"), 256)).alias("line"))
+    return manifest.changes(line(old), line(new))
 
 
 @query("mermaid_export", "select 'graph LR' || chr(10) || string_agg('  ' || src || ' --> ' || dst, chr(10) order by src, dst) as chart from (select distinct src, dst from group_edges where type <> 'realtime')", ("group_edges",))

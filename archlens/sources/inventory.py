@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,26 +20,110 @@ MOST_EXTENDS = 64
 def tree_listing(raw: DataFrame) -> DataFrame:
     """(path, mode, kind, object, size) of raw(listing binary or string): NUL-ended records ``mode kind object size<TAB>path``."""
     text = F.col("listing").cast("string")
+    return records(raw.select(F.explode(F.filter(F.split(text, "\x00"), lambda r: r != "")).alias("r")))
+
+
+def records(rows: DataFrame) -> DataFrame:
+    """(path, mode, kind, object, size, valid) of records, rows(r)."""
     record = r"(?s)^(\d{6}) +(\w+) +([0-9a-f]{40,64}) +(-|\d+)\t(.*)$"
-    rows = raw.select(F.explode(F.filter(F.split(text, "\x00"), lambda r: r != "")).alias("r"))
     part = lambda i: F.regexp_extract("r", record, i)
     return rows.select(part(5).alias("path"), part(1).alias("mode"), part(2).alias("kind"), part(3).alias("object"), part(4).try_cast("long").alias("size"), F.col("r").rlike(record).alias("valid"))
 
 
+def read_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, mode, kind, object, size, valid) of listings in files below path. Spark cuts a file by bytes and moves each cut to the end of a
+    NUL-ended record, so that one huge file is read by many tasks and no record is lost or read twice."""
+    return records(spark.read.option("lineSep", "\x00").text(path).select(F.col("value").alias("r")).where("r <> ''"))
+
+
 def listing_violations(tree: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
-    """(rule, what): records that do not parse, unsafe or repeated paths, paths that collide without regard to case, too many."""
-    twice = tree.where("valid").groupBy("path").count().where("count > 1").select(F.lit("duplicate").alias("rule"), F.col("path").alias("what"))
-    fold = tree.where("valid").select(F.lower("path").alias("low"), "path").distinct().groupBy("low").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1").select(F.lit("portable collision").alias("rule"), F.col("path").alias("what"))
+    """(rule, what): records that do not parse, unsafe, repeated, not portable or reserved paths, paths that mean one file where case, Unicode
+    forms and trailing dots do not count, too many."""
+    valid = cut(tree.where("valid").select("path", portable("path").alias("p")).select("path", "p.key", "p.composed"))
+    twice = valid.groupBy("path").count().where("count > 1").select(F.lit("duplicate").alias("rule"), F.col("path").alias("what"))
+    fold = valid.select("key", "path").distinct().groupBy("key").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1").select(F.lit("portable collision").alias("rule"), F.col("path").alias("what"))
     bad = tree.where("not valid").select(F.lit("malformed").alias("rule"), F.col("path").alias("what"))
-    unsafe = tree.where(F.col("valid") & ~safe_path(F.col("path"))).select(F.lit("unsafe path").alias("rule"), F.col("path").alias("what"))
+    unsafe = valid.where(~safe_path(F.col("path")) | ~F.col("composed")).select(F.lit("unsafe path").alias("rule"), F.col("path").alias("what"))
+    parts = F.split("path", "/")
+    trailing = valid.where(F.exists(parts, lambda s: s.rlike(r"[ .]$") & ~s.isin(".", ".."))).select(F.lit("trailing dot or space").alias("rule"), F.col("path").alias("what"))
+    reserved = valid.where(F.exists(parts, lambda s: s.rlike(RESERVED))).select(F.lit("reserved name").alias("rule"), F.col("path").alias("what"))
     many = tree.agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.lit("too many members").alias("rule"), F.col("n").cast("string").alias("what"))
-    return twice.union(fold).union(bad).union(unsafe).union(many)
+    return twice.union(fold).union(bad).union(unsafe).union(trailing).union(reserved).union(many)
+
+
+# Fixed value: names that no file may have on some systems.
+RESERVED = r"(?i)^(?:con|prn|aux|nul|com[1-9]|lpt[1-9])(?:\..*)?[ .]*$"
+
+
+def portable(path: str):
+    """struct(key, composed) of a path: what it is told apart by where case, Unicode forms and trailing dots and spaces do not count, and
+    whether it is in composed form. ASCII paths stay in the JVM; others go through Python a batch at a time."""
+
+    @F.pandas_udf("key string, composed boolean")
+    def folded(c: pd.Series) -> pd.DataFrame:
+        import unicodedata
+
+        form = c.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+        key = form.map(lambda x: None if x is None else "/".join(p.casefold().rstrip(" .") for p in x.split("/")))
+        return pd.DataFrame({"key": key, "composed": form == c})
+
+    c = F.col(path)
+    plain = c.rlike(r"^[\x00-\x7f]*$")
+    trimmed = F.array_join(F.transform(F.split(F.lower(c), "/"), lambda p: F.regexp_replace(p, r"[ .]+$", "")), "/")
+    return F.when(plain, F.struct(trimmed.alias("key"), F.lit(True).alias("composed"))).otherwise(folded(F.when(~plain, c)))
 
 
 def safe_path(c):
-    """Relative, no empty, ``.`` or ``..`` segment, no drive, backslash or control character."""
+    """Relative, no empty, ``.`` or ``..`` segment, no drive, backslash or control character, 4,096 characters at most."""
     segments = F.split(c, "/")
-    return (c != "") & ~c.rlike(r"[\x00-\x1f\\]|^[A-Za-z]:|^/") & F.forall(segments, lambda s: (s != "") & (s != ".") & (s != ".."))
+    return (c != "") & (F.length(c) <= 4096) & ~c.rlike(r"[\x00-\x1f\x7f\\]|^[A-Za-z]:|^/") & F.forall(segments, lambda s: (s != "") & (s != ".") & (s != ".."))
+
+
+def _of_other_types(parts: list[tuple[str, str]]):
+    """Whether a variant has one of the parts (name, type) as another type; a cast of the whole would leave it null."""
+
+    def odd(record):
+        given = lambda n: F.try_variant_get(record, f"$.{n}", "variant")
+        each = [F.try_variant_get(record, f"$.{n}", kind).isNull() & given(n).isNotNull() & ~F.is_variant_null(given(n)) for n, kind in parts]
+        return reduce(lambda a, b: a | b, each)
+
+    return odd
+
+
+#: Fields of a snapshot document with their types; others are refused.
+FIELDS = {"schema": "string", "projectId": "string", "snapshotId": "string", "inventory": "array<struct<path:string,sha256:string,lineCount:int>>", "limitations": "array<string>"}
+
+
+def load_documents(docs: DataFrame, fields: dict[str, str] = FIELDS, required: tuple[str, ...] = ("schema", "projectId", "snapshotId", "inventory")) -> tuple[DataFrame, DataFrame]:
+    """Documents docs(name, document, sha256) as (name, one column for each field), and (name, problem) of those that are refused.
+
+    A document is parsed once, into a variant, which refuses what is no JSON and objects that repeat a key; fields are then taken by path and
+    cast. A document whose digest differs is not parsed at all.
+    """
+    rows = docs.select("name", "document", (F.sha2("document", 256) == F.col("sha256")).alias("same"))
+    # In brackets, since what follows a whole value would else be passed over; one value is asked for, so no second may stand there.
+    rows = rows.withColumn("all", F.when(F.coalesce("same", F.lit(False)), F.try_parse_json(F.concat(F.lit("["), "document", F.lit("]")))))
+    rows = rows.withColumn("v", F.when(F.try_variant_get("all", "$[1]", "variant").isNull(), F.try_variant_get("all", "$[0]", "variant"))).drop("all")
+    got = {f: F.try_variant_get("v", f"$.{f}", t) for f, t in fields.items()}
+    given = lambda f: F.try_variant_get("v", f"$.{f}", "variant")
+    there = {f: given(f).isNotNull() & ~F.is_variant_null(given(f)) for f in fields}
+    for f, t in fields.items():
+        if t.startswith("array<struct<"):
+            parts = [tuple(p.split(":")) for p in t[len("array<struct<") : -2].split(",")]
+            odd_record = F.exists(F.try_variant_get("v", f"$.{f}", "array<variant>"), _of_other_types(parts))
+            got[f] = F.when(~F.coalesce(odd_record, F.lit(False)), got[f])
+    rows = cut(rows.select("name", "document", "same", F.schema_of_variant("v").startswith("OBJECT").alias("object"), *[c.alias(f) for f, c in got.items()], *[c.alias(f"has_{f}") for f, c in there.items()]))
+    odd = F.filter(F.json_object_keys("document"), lambda k: ~k.isin(*fields))
+    told = F.array(
+        F.when(~F.coalesce("same", F.lit(False)), "digest differs"),
+        F.when(F.col("same") & F.col("object").isNull(), "no JSON or a repeated key"),
+        F.when(~F.col("object"), "no object"),
+        F.when(F.col("object") & (F.size(odd) > 0), F.concat(F.lit("unknown field "), F.get(odd, F.lit(0)))),
+        *[F.when(F.col("object") & ~F.col(f"has_{f}"), f"missing field {f}") for f in required],
+        *[F.when(F.col("object") & F.col(f"has_{f}") & F.col(f).isNull(), f"wrong type of {f}") for f in fields],
+    )
+    rows = cut(rows.withColumn("problems", F.array_compact(told)))
+    return rows.where(F.size("problems") == 0).select("name", *fields), rows.select("name", F.explode("problems").alias("problem"))
 
 
 def source_files(tree: DataFrame) -> DataFrame:

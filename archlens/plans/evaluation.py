@@ -105,32 +105,6 @@ def eval_grouping_sets(spark, sf_dir):
 
 
 GRID = "with p(k, phrase) as (values " + ", ".join("({}, '{}')".format(i, p.replace("'", "''")) for i, p in enumerate(PHRASES)) + "), n as (select fid, unnest([path, stem, upper(stem), replace(stem, '_', ' ')]) as name, unnest(['path', 'stem', 'upper', 'spaced']) as form from code_files), g as (select k, form, replace(phrase, '{}', name) as question from n, p), q as (select k, form, " + NORMAL.replace("{}", "question") + " as normal from g)"
-TOPK = "with r as (select f.top, f.fid, f.path as expected, g.path as id, row_number() over (partition by f.fid order by levenshtein(f.stem, g.stem), g.fid) as rank, levenshtein(f.stem, g.stem) as d from code_files f join code_files g on f.folder = g.folder and f.fid <> g.fid and f.fid % 20 = 0), e as (select top, fid, max(case when rank = 1 then d end) as d1, coalesce(max(case when rank = 2 then d end), 99) as d2, min(case when right(id, 5) = right(expected, 5) then rank end) as hit from r group by 1, 2)"
-
-
-@query("eval_topk", TOPK + " select top, count(*) as n, count(*) filter (hit = 1) as top1, count(*) filter (hit <= 3) as top3, count(*) filter (d2 - d1 < 1) as abstained, count(*) filter (d2 - d1 >= 1 and coalesce(hit, 99) > 1) as false_accepts, round(count(*) filter (hit <= 3) / count(*), 6) as recall from e group by 1", ("code_files",))
-def eval_topk(spark, sf_dir):
-    """Ranking of a folder's files by the nearness of their names against what is expected: top one and three, abstentions and false
-    acceptances by group."""
-    files = code_files(spark, sf_dir)
-    f = files.where("fid % 20 = 0").select("top", "folder", F.col("fid").alias("q"), F.col("stem").alias("own"), F.col("path").alias("expected"))
-    rows = f.join(files.select("folder", "fid", "stem", "path"), "folder").where("fid <> q").withColumn("d", F.levenshtein("own", "stem"))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "fid")))
-    same = F.expr("right(path, 5) = right(expected, 5)")
-    told = rows.groupBy("top", "q").agg(F.max(F.when(F.col("rank") == 1, F.col("d"))).alias("d1"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("d"))), F.lit(99)).alias("d2"), F.min(F.when(same, F.col("rank"))).alias("hit"))
-    hit, close = F.coalesce("hit", F.lit(99)), F.col("d2") - F.col("d1") < 1
-    return told.groupBy("top").agg(F.count("*").alias("n"), F.count_if(hit == 1).alias("top1"), F.count_if(hit <= 3).alias("top3"), F.count_if(close).alias("abstained"), F.count_if(~close & (hit > 1)).alias("false_accepts"), F.round(F.try_divide(F.count_if(hit <= 3), F.count("*")), 6).alias("recall"))
-
-
-MODES = "select case_id, split, kind as origin, expected, case mode when 'alias-on' then case when case_id % 5 = 0 then expected else actual end else actual end as actual, mode from gold, (values ('original'), ('alias-off'), ('alias-on')) m(mode)"
-
-
-@query("eval_modes", f"with {GOLD} select origin, split, mode, count(*) as n, count(*) filter (expected = actual) as correct from ({MODES}) group by grouping sets ((origin, split, mode), (split, mode), (mode))")
-def eval_modes(spark, sf_dir):
-    """Cases by origin, split and mode, as they were, without learned aliases and with them."""
-    rows = gold(spark, sf_dir).select("case_id", "split", F.col("kind").alias("origin"), "expected", "actual", F.explode(F.array(*map(F.lit, ("original", "alias-off", "alias-on")))).alias("mode"))
-    rows = rows.withColumn("actual", F.when((F.col("mode") == "alias-on") & (F.col("case_id") % 5 == 0), F.col("expected")).otherwise(F.col("actual")))
-    return rows.groupingSets([["origin", "split", "mode"], ["split", "mode"], ["mode"]], "origin", "split", "mode").agg(F.count("*").alias("n"), F.count_if(F.col("expected") == F.col("actual")).alias("correct"))
 
 
 @query("grid_summaries", GRID + f", o as (select k, form, {duck_intent().split(', case')[0]} from q) select k, form, op, count(*) as n, count(*) filter (op = case when k in (2, 3, 8) then 'DOWNSTREAM' when k in (4, 5) then 'UPSTREAM' when k in (6, 7, 10) then 'PATH' else 'LOCATE' end) as right_ from o group by grouping sets ((k), (form), (op), (k, form))", ("code_files",))
@@ -151,16 +125,6 @@ def misaligned_cases(spark, sf_dir):
     return count("only before", before.subtract(after)).union(count("only after", after.subtract(before))).union(count("both", after.intersect(before)))
 
 
-@query("lookup_eval", f"with {GOLD}, l as (select kind, case when actual = 1 then 'match' when case_id % 3 = 0 then 'choose' else 'no-match' end as said, case when expected = 1 then 'match' when case_id % 2 = 0 then 'choose' else 'no-match' end as want, case_id % 4 > 0 as offered from gold) select kind, count(*) as n, count(*) filter (said = want) as label_right, count(*) filter (said = 'match' and want <> 'match') as accepted_wrong, count(*) filter (want = 'choose') as choices, count(*) filter (want = 'choose' and said = 'choose' and offered) as suggested from l group by 1")
-def lookup_eval(spark, sf_dir):
-    """Match, choice or nothing against what is expected: right labels, wrong acceptances, and expected choices that offered the target."""
-    c = F.col("case_id")
-    said = F.when(F.col("actual") == 1, "match").when(c % 3 == 0, "choose").otherwise("no-match")
-    want = F.when(F.col("expected") == 1, "match").when(c % 2 == 0, "choose").otherwise("no-match")
-    rows = gold(spark, sf_dir).select("kind", said.alias("said"), want.alias("want"), (c % 4 > 0).alias("offered"))
-    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("said") == F.col("want")).alias("label_right"), F.count_if((F.col("said") == "match") & (F.col("want") != "match")).alias("accepted_wrong"), F.count_if(F.col("want") == "choose").alias("choices"), F.count_if((F.col("want") == "choose") & (F.col("said") == "choose") & F.col("offered")).alias("suggested"))
-
-
 @query("latency_percentiles", "select event_type, count(*) as n, round(quantile_disc(value, 0.5), 6) as p50, round(quantile_disc(value, 0.95), 6) as p95, round(quantile_disc(value, 0.99), 6) as p99, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as sd, round(max(value), 6) as max from events where value is not null group by 1")
 def latency_percentiles(spark, sf_dir):
     """Nearest-rank percentiles by type, by counts in buckets: the values of a type meet in no task."""
@@ -183,12 +147,6 @@ def slowest(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 10").select("event_type", "event_id", "value", "rank")
 
 
-@query("transition_counts", f"with {GOLD} select actual as before, toxic as after, expected, count(*) as n from gold group by all")
-def transition_counts(spark, sf_dir):
-    """Cases by outcome before and after."""
-    return gold(spark, sf_dir).groupBy(F.col("actual").alias("before"), F.col("toxic").alias("after"), "expected").agg(F.count("*").alias("n"))
-
-
 @query("ambiguous_strata", "select role, left(text, 4) as question, count(distinct turn % 3) as labels, count(*) as n from conversations group by 1, 2 having count(distinct turn % 3) > 1")
 def ambiguous_strata(spark, sf_dir):
     """Questions that have more than one label."""

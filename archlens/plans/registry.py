@@ -3,4 +3,4 @@
 from __future__ import annotations
 
 from archlens.plans.base import ORACLES, QUERIES  # noqa: F401
-from archlens.plans import answers, checks, evaluation, extraction, graphs, library, model, packets, scoring, text  # noqa: F401
+from archlens.plans import answers, checks, evaluation, extraction, graphs, library, model, outcomes, packets, scoring, text  # noqa: F401

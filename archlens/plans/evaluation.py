@@ -8,10 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from archlens.functions import text as T
-from archlens.operators import qlog, quantiles
+from archlens.operators import graph, qlog, quantiles
 from archlens.plans.base import query
 from archlens.plans.text import NORMAL, PHRASES, duck_intent
 from archlens.sources.tables import code_files, table
+from archlens.sources.pointers import FeedbackStore
+from archlens.streaming.log_sink import LogSink, answered
 from archlens.streaming.question_log import folded_stream
 
 LOG = "log as (select user_id as entry_id, case event_type when 'signup' then 'question' else 'verdict' end as kind, case when event_type = 'purchase' then case event_id % 3 when 0 then 'match' when 1 then 'unsure' else 'no match' end end as label, event_id as seq, ts as asked from events where event_type in ('signup', 'purchase'))"
@@ -69,6 +71,43 @@ def log_stream(spark, sf_dir):
     return spark.table(name).groupBy("entry_id").agg(F.max("seq").alias("seq"), F.max_by("verdict", "seq").alias("verdict"))
 
 
+@query("verdict_stream", f"with {LOG} select q.entry_id, q.seq, v.seq as verdict_seq, v.label from log q join log v using (entry_id) where q.kind = 'question' and v.kind = 'verdict' and v.asked >= q.asked and v.asked <= q.asked + interval 7 days")
+def verdict_stream(spark, sf_dir):
+    """Verdicts joined to their questions as two streams over the log, which arrives in four slices of time; written exactly once, read back."""
+    rows = graph.cut(log(spark, sf_dir).withColumn("at", F.col("at").cast("timestamp")))
+    ends = rows.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
+    base = f"{graph.shared_folder(spark)}/verdicts-{uuid.uuid4().hex}"
+    step = (ends["b"] - ends["a"]) / 4
+    for i in range(4):
+        inside = (F.col("at") >= F.lit(ends["a"] + i * step)) & ((F.col("at") < F.lit(ends["a"] + (i + 1) * step)) | F.lit(i == 3))
+        rows.where(inside).write.mode("append").parquet(f"{base}/in")
+    stream = lambda kind: spark.readStream.schema(rows.schema).parquet(f"{base}/in").where(F.col("kind") == kind)
+    sink = LogSink(spark, f"{base}/out")
+    run = answered(stream("question"), stream("verdict")).writeStream.foreachBatch(sink.write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return sink.read("entry_id long, seq long, verdict_seq long, label string").select("entry_id", "seq", "verdict_seq", "label")
+
+
+@query(
+    "feedback_import",
+    """with a as (select doc_id as id, case when doc_id % 4 = 0 then 'holdout' else 'dev' end as split, quality as label from labels where doc_id % 3 <> 0), b as (select doc_id as id, 'dev' as split, 1 - quality as label from labels where doc_id % 2 = 0)
+    select coalesce(a.id, b.id) as id, case when b.id is null or a.split = 'holdout' then a.split else b.split end as split, case when b.id is null or a.split = 'holdout' then a.label else b.label end as label,
+      case when b.id is null then 'kept' when a.id is null then 'add' when a.split = 'holdout' then 'refused' else 'replace' end as action from a full join b using (id)""",
+)
+def feedback_import(spark, sf_dir):
+    """Feedback imported in two steps; a second import that saw the same version is refused, held-out records stay."""
+    labels = table(spark, sf_dir, "labels")
+    first = labels.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 == 0, "holdout").otherwise("dev").alias("split"), F.col("quality").alias("label"))
+    second = labels.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.lit("dev").alias("split"), (1 - F.col("quality")).alias("label"))
+    store = FeedbackStore(spark, f"{graph.shared_folder(spark)}/feedback-{uuid.uuid4().hex}", "id long, split string, label int")
+    store.commit(first, 0)
+    seen, shown = store.preview(second)
+    shown = graph.cut(shown)
+    took, again = store.commit(second, seen), store.commit(first, seen)
+    rows = store.table()[1].join(shown, "id", "left").select("id", "split", "label", F.coalesce("action", F.lit("kept")).alias("action"))
+    return rows if took and not again else rows.where("false")
+
+
 GOLD = "gold as (select l.doc_id as case_id, l.quality as expected, case when d.n_chars > 1500 then 1 else 0 end as actual, case when l.doc_id % 4 = 0 then 'holdout' else 'dev' end as split, d.lang as kind, l.toxic from labels l join documents d using (doc_id))"
 
 

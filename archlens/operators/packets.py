@@ -303,3 +303,15 @@ def assembled(rows: DataFrame, pages: DataFrame, edges: DataFrame, calls: DataFr
         F.when(F.col("status") == "needs-choice", F.slice("alternatives", F.col("offset") + 1, F.lit(ALTERNATIVES))).otherwise(_none()).alias("alternatives"), notes.alias("limitations"),
         goes_on.alias("truncated"), F.when(goes_on, F.concat(F.lit("offset:"), place.cast("string"))).alias("continuation"), "refs", F.coalesce("confidence", _none()).alias("confidence"), F.concat(why, total).alias("reason"),
     )
+
+
+def node_witnesses(packets_: DataFrame) -> DataFrame:
+    """(request_id, id, witness) for each selected node but the seed: the chain that ends, or for what depends on the seed begins, with it.
+
+    A chain between other ends than the seed is no witness of a node; of several the first counts.
+    """
+    rows = packets_.select("request_id", "seed", "selected", F.posexplode("witnesses").alias("n", "witness")).where(F.size("witness") > 0)
+    first, last = F.element_at("witness", 1), F.element_at("witness", -1)
+    other = F.when(first == F.col("seed"), last).when(last == F.col("seed"), first)
+    rows = rows.withColumn("id", other).where(F.col("id").isNotNull() & F.array_contains("selected", F.col("id")) & ((F.col("id") != F.col("seed")) | (F.size("witness") == 1)))
+    return rows.groupBy("request_id", "id").agg(F.min_by("witness", "n").alias("witness"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from archlens.operators import graph, packets, scoring
 from archlens.plans.base import query
+from archlens.plans.checks import PACKETS
+from archlens.plans.checks import packets as dependents_packets
 from archlens.plans.scoring import NODES_SQL, TEXTS, _name, _pairs, finish_sql, learned, nodes, prior, resolution_sql, scorer_sql
 from archlens.plans.text import NORMAL
 from archlens.sources.tables import call_sites, code_files, code_symbols, group_edges, path_edges, seeds
@@ -132,3 +134,9 @@ def answer_packets(spark, sf_dir):
         F.col("request_id").alias("qid"), "operation", "status", "seed", F.array_join("selected", ",").alias("selected"), F.when(F.size(chains) > 0, F.md5(F.array_join(chains, ";"))).otherwise("").alias("witnesses"),
         F.array_join("alternatives", ",").alias("alternatives"), "continuation",
     )
+
+
+@query("node_witnesses", PACKETS + " select 'r' || qid as request_id, unnest(ids) as id, array_to_string(unnest(ws), '>') as witness from p", ("seeds", "path_edges"), recursive=True)
+def node_witnesses(spark, sf_dir):
+    """Of each node that a packet selects the chain that shows why."""
+    return packets.node_witnesses(dependents_packets(spark, sf_dir)).select("request_id", "id", F.array_join("witness", ">").alias("witness"))

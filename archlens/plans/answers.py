@@ -112,8 +112,8 @@ PAGED = walk_sql(SEEDS, FORWARD, ", r as (select qid, id, depth, chain, row_numb
 
 
 def reached_rows(spark, sf_dir):
-    found = graph.search(starts(spark, sf_dir), graph.adjacency(path_edges(spark, sf_dir))).where("depth > 0")
-    return found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("depth", "chain")).cast("long"))
+    """The rows up to the last that a page can hold: each brings a node of its own, its end."""
+    return graph.first_reached(starts(spark, sf_dir), graph.adjacency(path_edges(spark, sf_dir)), OFFSET + MOST_NODES)
 
 
 @query("page_offset", PAGED + f"select qid, n, id from r where n > {OFFSET} and n <= {OFFSET + MOST_NODES}", ("seeds", "path_edges"), recursive=True)
@@ -133,8 +133,8 @@ def page_offset(spark, sf_dir):
 )
 def page_chain_budget(spark, sf_dir):
     """How many rows fit a packet after an offset when each row brings the nodes of its chain that are not there yet, and where to go on."""
-    rows = graph.cut(reached_rows(spark, sf_dir).select("qid", "n", "chain"))
-    total = rows.groupBy("qid").agg(F.count("*").alias("total"))
+    rows = graph.cut(reached_rows(spark, sf_dir).select("qid", "n", "chain", "total"))
+    total = rows.groupBy("qid").agg(F.max("total").alias("total"))
     page = rows.where(F.col("n") > OFFSET)
     first = page.select("qid", "n", F.explode(F.slice("chain", 2, F.size("chain"))).alias("node")).groupBy("qid", "node").agg(F.min("n").alias("n")).groupBy("qid", "n").agg(F.count("*").alias("c"))
     used = 1 + F.sum(F.coalesce("c", F.lit(0))).over(Window.partitionBy("qid").orderBy("n"))
@@ -163,7 +163,7 @@ def answer_batch(spark, sf_dir):
     parsed = asked.select("qid", T.intent(T.normalize_question(F.col("question"))).alias("i")).select("qid", "i.op", F.regexp_replace("i.target", "^where is ", "").alias("target"))
     bound = graph.cut(parsed.join(files, "target", "left").select("qid", "op", "path"))
     pairs = path_edges(spark, sf_dir)
-    go = lambda op, back: graph.search(bound.where((F.col("op") == op) & F.col("path").isNotNull()).select("qid", F.col("path").alias("id")), graph.adjacency(pairs, reverse=back))
+    go = lambda op, back: graph.search(bound.where((F.col("op") == op) & F.col("path").isNotNull()).select("qid", F.col("path").alias("id")), graph.adjacency(pairs, reverse=back), chains=False)
     rows = go("DOWNSTREAM", True).unionByName(go("UPSTREAM", False)).groupBy("qid").agg(F.count("*").alias("n"))
     status = F.when(F.col("path").isNull(), "no-match").otherwise("matched")
     return bound.join(rows, "qid", "left").select("qid", "op", F.col("path").alias("target"), status.alias("status"), F.coalesce("n", F.when(F.col("path").isNull(), 0).otherwise(1)).cast("long").alias("n_nodes"))

@@ -126,11 +126,7 @@ def violations_packets(spark, sf_dir):
 
 def packets(spark, sf_dir):
     """A packet for each question: what depends on its file, whole chains, and where to go on."""
-    from pyspark.sql import Window
-
-    found = graph.search(starts(spark, sf_dir), backward(spark, sf_dir)).where("depth > 0")
-    order = Window.partitionBy("qid").orderBy("depth", "chain")
-    rows = found.withColumn("n", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy("qid"))).where("n <= 150")
+    rows = graph.first_reached(starts(spark, sf_dir), backward(spark, sf_dir), 150)
     told = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("n", "id", F.reverse("chain").alias("w")))).alias("l"), F.max("total").alias("total"))
     of = lambda c: F.coalesce(F.transform("l", lambda x: x[c]), F.array().cast("array<string>" if c == "id" else "array<array<string>>"))
     base = seeds(spark, sf_dir).join(told, "qid", "left")

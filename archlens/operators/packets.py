@@ -50,7 +50,7 @@ def bound(questions: DataFrame, index: DataFrame, symbols: DataFrame, aliases: D
     state: bound (ids: a node for each end), needs-choice (alternatives), no-match or unsupported; plane: files or symbols. missing: an
     extension or folder was named that is not there. index as `scoring.indexed` gives it; symbols(id, name, qualname, path).
     """
-    names = graph.cut(scoring.symbol_names(symbols))
+    names = graph.wide(graph.cut(scoring.symbol_names(symbols)))
     told = graph.cut(scoring.resolved(questions, index, symbols, aliases))
     asked = scoring.requests(questions, index, names)
     rest = graph.cut(asked.join(told.where("outcome <> 'scored'").select("qid"), "qid", "left_anti").withColumn("hint", T.kind_hint(F.col("question"))))
@@ -211,6 +211,7 @@ def answer_packets(
     asked = questions.withColumn("offset", F.coalesce(F.col("offset").cast("int"), F.lit(0)) if "offset" in questions.columns else F.lit(0)).select("qid", "question", "offset")
     rows = bound(asked, index, symbols, aliases, prior)
     kinds = index.select("id", "kind").unionByName(symbols.select("id", F.lit("symbol").alias("kind"))).distinct()
+    kinds = graph.wide(graph.cut(kinds))
     first, second = (kinds.select(F.col("id").alias(n), F.col("kind").alias(f"k_{n}")) for n in ("seed", "end"))
     rows = rows.withColumn("seed", F.get("ids", F.lit(0))).withColumn("end", F.get("ids", F.lit(1))).join(first, "seed", "left").join(second, "end", "left")
     mixed = (F.col("state") == "bound") & F.col("end").isNotNull() & (F.col("k_seed") != F.col("k_end"))

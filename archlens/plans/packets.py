@@ -44,8 +44,8 @@ def asked(spark, sf_dir):
 def packets_of(spark, sf_dir):
     files = code_files(spark, sf_dir)
     edges = path_edges(spark, sf_dir).select("src", "dst", "type").unionByName(group_edges(spark, sf_dir).select("src", "dst", "type"))
-    index = graph.cut(scoring.indexed(nodes(spark, sf_dir)))
-    symbols = graph.cut(code_symbols(spark, sf_dir).select("id", "name", "qualname", "path"))
+    index = graph.wide(graph.cut(scoring.indexed(nodes(spark, sf_dir))))
+    symbols = graph.wide(graph.cut(code_symbols(spark, sf_dir).select("id", "name", "qualname", "path")))
     calls = call_sites(spark, sf_dir).where("dst is not null").select("src", "dst", "confidence")
     kept = files.select("path", F.sha2("path", 256).alias("sha256"))
     return packets.answer_packets(asked(spark, sf_dir), index, edges, symbols, calls, learned(spark), prior(spark, sf_dir), inventory=kept)

@@ -10,7 +10,7 @@ from archlens.operators import graph, qlog, ranking
 from archlens.plans.base import query
 from archlens.plans.graphs import BACKWARD, FORWARD, SEEDS, starts, walk_sql
 from archlens.plans.text import NORMAL
-from archlens.sources.tables import code_files, path_edges, seeds
+from archlens.sources.tables import code_files, file_graph, seeds
 
 ASKED = "asked as (select qid, 'What depends on ' || path || '?' as question from seeds)"
 
@@ -27,7 +27,7 @@ def q_dependents(spark, sf_dir):
     parsed = asked.select("qid", T.intent(T.normalize_question(F.col("question"))).alias("i")).where("i.op = 'DOWNSTREAM'").select("qid", "i.op", "i.target")
     files = code_files(spark, sf_dir).select("path", F.lower("path").alias("target"))
     bound = parsed.join(files, "target").select("qid", "op", F.col("path").alias("id"))
-    found = graph.search(bound.select("qid", "id"), graph.adjacency(path_edges(spark, sf_dir), reverse=True))
+    found = graph.search(bound.select("qid", "id"), **file_graph(spark, sf_dir, reverse=True))
     return found.where("depth > 0").select("qid", F.lit("DOWNSTREAM").alias("op"), F.element_at("chain", 1).alias("target"), "id", "depth", F.array_join(F.reverse("chain"), ">").alias("witness"))
 
 
@@ -113,7 +113,7 @@ PAGED = walk_sql(SEEDS, FORWARD, ", r as (select qid, id, depth, chain, row_numb
 
 def reached_rows(spark, sf_dir):
     """The rows up to the last that a page can hold: each brings a node of its own, its end."""
-    return graph.first_reached(starts(spark, sf_dir), graph.adjacency(path_edges(spark, sf_dir)), OFFSET + MOST_NODES)
+    return graph.first_reached(starts(spark, sf_dir), most=OFFSET + MOST_NODES, **file_graph(spark, sf_dir))
 
 
 @query("page_offset", PAGED + f"select qid, n, id from r where n > {OFFSET} and n <= {OFFSET + MOST_NODES}", ("seeds", "path_edges"), recursive=True)
@@ -162,8 +162,7 @@ def answer_batch(spark, sf_dir):
     asked = s.select("qid", "path", F.posexplode(phrases).alias("k", "phrase")).select((F.col("qid") * 10 + F.col("k")).alias("qid"), F.replace("phrase", F.lit("%s"), "path").alias("question"))
     parsed = asked.select("qid", T.intent(T.normalize_question(F.col("question"))).alias("i")).select("qid", "i.op", F.regexp_replace("i.target", "^where is ", "").alias("target"))
     bound = graph.cut(parsed.join(files, "target", "left").select("qid", "op", "path"))
-    pairs = path_edges(spark, sf_dir)
-    go = lambda op, back: graph.search(bound.where((F.col("op") == op) & F.col("path").isNotNull()).select("qid", F.col("path").alias("id")), graph.adjacency(pairs, reverse=back), chains=False)
+    go = lambda op, back: graph.search(bound.where((F.col("op") == op) & F.col("path").isNotNull()).select("qid", F.col("path").alias("id")), **file_graph(spark, sf_dir, reverse=back), chains=False)
     rows = go("DOWNSTREAM", True).unionByName(go("UPSTREAM", False)).groupBy("qid").agg(F.count("*").alias("n"))
     status = F.when(F.col("path").isNull(), "no-match").otherwise("matched")
     return bound.join(rows, "qid", "left").select("qid", "op", F.col("path").alias("target"), status.alias("status"), F.coalesce("n", F.when(F.col("path").isNull(), 0).otherwise(1)).cast("long").alias("n_nodes"))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from archlens.operators import graph
 
@@ -55,3 +56,34 @@ def test_components_in_three_ways(spark, monkeypatch, way):
     for k, v in WAYS[way].items():
         monkeypatch.setattr(graph, k, v)
     assert told(graph.strong_components(ids, frame)) == want
+
+
+def test_keys_with_names_find_what_names_do(spark, monkeypatch):
+    """Ends of pairs as numbers: two ids of a key, two keys of an id, keys without id and ids without pairs."""
+    rng = random.Random(11)
+    names = [(i, f"n{i % 38:02}") for i in range(40)] + [(5, "other"), (90, "alone")]
+    coded = [(rng.randrange(43), rng.randrange(43)) for _ in range(120)]
+    spelt = [(a, b) for s, d in coded for k, a in names if k == s for j, b in names if j == d]
+    pairs, table = spark.createDataFrame(coded, "src long, dst long"), spark.createDataFrame(names, "key long, id string")
+    plain = spark.createDataFrame(spelt, "src string, dst string")
+    starts = spark.createDataFrame([(1, "n01"), (2, "alone"), (2, "nowhere"), (3, "other")], "qid long, id string")
+    found, parts = (told(graph.search(starts, plain)), told(graph.first_reached(starts, plain, 6))), told(graph.strong_components(None, plain))
+    assert len(found[0]) > 60 and any(r[1] == "other" for r in found[0])
+    for limits in WAYS.values():
+        with monkeypatch.context() as m:
+            for k, v in limits.items():
+                m.setattr(graph, k, v)
+            assert (told(graph.search(starts, pairs, names=table)), told(graph.first_reached(starts, pairs, 6, names=table))) == found
+            assert told(graph.strong_components(None, pairs, table)) == parts
+
+
+def test_no_task_gets_the_graph_by_a_shuffle(spark, monkeypatch):
+    """The blocks are read where they were written, by each task that searches."""
+    monkeypatch.setattr(graph, "LOCAL_PAIRS", -1)
+    pairs = spark.createDataFrame([(f"f{i}", f"f{i * 7 % 50}") for i in range(50)], "src string, dst string")
+    starts = spark.createDataFrame([(q, f"f{q}") for q in range(3)], "qid long, id string")
+    for found, tasks in ((graph.search(starts, pairs), 3), (graph.strong_components(None, pairs), 1)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not any(f"Exchange {x}" in plan for x in ("hash", "RoundRobin", "REPARTITION", "range", "Single")) and "REPARTITION" not in plan
+        assert found.where("id is not null").select(F.spark_partition_id().alias("p")).distinct().count() == tasks
+    assert "Exchange" in graph.search(starts, pairs).where("qid is not null and depth > 0").groupBy("qid").count()._jdf.queryExecution().executedPlan().toString()

@@ -149,7 +149,7 @@ GRID = "with p(k, phrase) as (values " + ", ".join("({}, '{}')".format(i, p.repl
 @query("grid_summaries", GRID + f", o as (select k, form, {duck_intent().split(', case')[0]} from q) select k, form, op, count(*) as n, count(*) filter (op = case when k in (2, 3, 8) then 'DOWNSTREAM' when k in (4, 5) then 'UPSTREAM' when k in (6, 7, 10) then 'PATH' else 'LOCATE' end) as right_ from o group by grouping sets ((k), (form), (op), (k, form))", ("code_files",))
 def grid_summaries(spark, sf_dir):
     """The grid by phrase, form, operation, and phrase by form: how many are read as they are meant."""
-    rows = variation_grid(spark, sf_dir).select("k", "form", T.intent(T.normalize_question(F.col("question")))["op"].alias("op"))
+    rows = parsed_grid(spark, sf_dir)
     k = F.col("k")
     meant = F.when(k.isin(2, 3, 8), "DOWNSTREAM").when(k.isin(4, 5), "UPSTREAM").when(k.isin(6, 7, 10), "PATH").otherwise("LOCATE")
     return rows.withColumn("ok", F.col("op") == meant).groupingSets([["k"], ["form"], ["op"], ["k", "form"]], "k", "form", "op").agg(F.count("*").alias("n"), F.count_if("ok").alias("right_"))
@@ -230,18 +230,26 @@ FORMS = ["path", "stem", "upper", "spaced"]
 
 
 @query("variation_grid", "with p(k, phrase) as (values " + ", ".join("({}, '{}')".format(i, p.replace("'", "''")) for i, p in enumerate(PHRASES)) + "), n as (select fid, unnest([path, stem, upper(stem), replace(stem, '_', ' ')]) as name, unnest(['path', 'stem', 'upper', 'spaced']) as form from code_files) select fid, k, form, replace(phrase, '{}', name) as question from n, p", ("code_files",))
-def variation_grid(spark, sf_dir):
+def variation_grid(spark, sf_dir, files=None):
     """Every phrase with every form of every file's name, made in place from literals."""
+    files = code_files(spark, sf_dir) if files is None else files
     names = F.array(*[F.struct(F.lit(f).alias("form"), x.alias("name")) for f, x in zip(FORMS, [F.col("path"), F.col("stem"), F.upper("stem"), F.replace("stem", F.lit("_"), F.lit(" "))], strict=True)])
     phrases = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(p).alias("phrase")) for i, p in enumerate(PHRASES)])
-    rows = code_files(spark, sf_dir).select("fid", F.explode(names).alias("f")).select("fid", "f.form", "f.name", F.explode(phrases).alias("p"))
+    rows = files.select("fid", F.explode(names).alias("f")).select("fid", "f.form", "f.name", F.explode(phrases).alias("p"))
     return rows.select("fid", "p.k", "form", F.replace("p.phrase", F.lit("{}"), F.col("name")).alias("question"))
 
 
+def parsed_grid(spark, sf_dir):
+    """(k, form, op) of the whole grid. Files are few bytes and many questions, so they are dealt to all tasks before the grid is made."""
+    files = code_files(spark, sf_dir).select("fid", "path", "stem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fid")
+    rows = variation_grid(spark, sf_dir, files).select("k", "form", T.normalize_question(F.col("question")).alias("normal"))
+    return rows.select("k", "form", T.operation(F.col("normal")).alias("op"))
+
+
 @query("grid_operations", GRID + f", o as (select k, form, {duck_intent().split(', case')[0]} from q) select k, form, op, count(*) as n from o group by 1, 2, 3", ("code_files",))
 def grid_operations(spark, sf_dir):
     """The whole grid parsed: questions by phrase, form and operation."""
-    rows = variation_grid(spark, sf_dir).select("k", "form", T.intent(T.normalize_question(F.col("question")))["op"].alias("op"))
+    rows = parsed_grid(spark, sf_dir)
     return rows.groupBy("k", "form", "op").agg(F.count("*").alias("n"))
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a Python worker turns into objects at once; Spark itself bounds the bytes of an Arrow batch (64 MB by default).
 BATCH_ROWS = 512
+#: Rows from which on a table is joined by sorting: Spark sizes what is read by compressed files, and what is exploded by one row of it.
+WIDE_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,11 @@ class Scratch:
         self.drop(*[df for key, (_, df) in list(self.paths.items()) if key not in left])
 
 
+def wide(df: DataFrame, rows: int) -> DataFrame:
+    """df, never to be broadcast if it may have so many rows; nor is what is selected, exploded or grouped from it."""
+    return df.hint("merge") if rows > WIDE_ROWS else df
+
+
 def sliced(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
     """Arrow batches of at most so many rows: bounds the objects that a Python worker holds, whatever the session's batch size."""
     for batch in batches:

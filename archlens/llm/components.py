@@ -16,7 +16,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Alternates large-star and small-star steps: each hangs a node's neighbours on the smallest of them, so chains halve and a
     hub is a partial minimum, never a collected list. Few edges are joined by broadcast; of more, both sides of each join are
-    tables, so that adaptive execution can split a hub's edges over many tasks. Loops and repeated edges are harmless; it ends when a
+    tables, joined by sorting, so that adaptive execution can split a hub's edges over many tasks. Loops and repeated edges are harmless; it ends when a
     round changes nothing.
     """
     ends = edges.where("a is not null and b is not null and a <> b")
@@ -29,7 +29,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             if few:
                 return F.broadcast(df)
             made.append(scratch.put(df, "side"))
-            return made[-1]
+            return made[-1].hint("merge")
 
         # The larger end of an edge hangs on the least neighbour of the smaller one, where that is not the end itself.
         low = side(now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")))

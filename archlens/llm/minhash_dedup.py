@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archlens.llm.bloom import build_filter
-from archlens.llm.common import Scratch, runs, sliced
+from archlens.llm.common import WIDE_ROWS, Scratch, runs, sliced, wide
 from archlens.llm.components import components
 
 COORDS, MATCHES = 64, 38
@@ -232,8 +232,9 @@ def confirmed(sets: list, sk, percent: int) -> list[tuple[int, int]]:
             open_[np.ix_(m, m)] = False
 
 
-def _confirm(members: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the links inside each group of members (component, id, n, sketch, doc_id, digest, set_hash)."""
+def _confirm(members: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int, classes: int) -> DataFrame:
+    """(a, b): a spanning forest of the links inside each group of members (component, id, n, sketch, doc_id, digest, set_hash), of which
+    there are at most so many as classes."""
     members = scratch.put(members, "members")
     # Texts are read where they lie: a filter of those that stand for a class lets these through, and only their sets are moved.
     sent = docs.sparkSession.sparkContext.broadcast(build_filter(members.select(F.xxhash64("doc_id", "digest").alias("key"))))
@@ -280,7 +281,7 @@ def _confirm(members: DataFrame, docs: DataFrame, scratch: Scratch, k: int, perc
             yield pa.RecordBatch.from_arrays([batch.column("id").filter(keep), batch.column("pivot").filter(keep)], names=["a", "b"])
 
     sets = rows.mapInArrow(hashed, "set_hash binary, shingles binary").dropDuplicates(["set_hash"])
-    sets = sets.join(members.select("set_hash", "id"), "set_hash").select("id", "shingles")
+    sets = sets.join(wide(members.select("set_hash", "id"), classes), "set_hash").select("id", "shingles")
     members = members.select("component", "id", "n", "sketch")
     blocks_of = lambda count, n: F.greatest(F.ceil(count / BLOCK), F.ceil(n * 8 / BLOCK_BYTES)).cast("long")
     sizes = scratch.put(members.groupBy("component").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")), "sizes")
@@ -294,20 +295,23 @@ def _confirm(members: DataFrame, docs: DataFrame, scratch: Scratch, k: int, perc
         own = members.join(huge, "component", "left_semi")
         picked = own.groupBy("component").agg(F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(PIVOTS)])).alias("p")).select("component", F.explode("p").alias("pivot"))
         pivots = scratch.put(picked.join(sets.withColumnRenamed("id", "pivot"), "pivot").select("component", "pivot", F.col("shingles").alias("pivot_set")), "pivots")
-        tried = own.select("component", "id").join(sets, "id").join(pivots, "component").select("id", "shingles", "pivot", "pivot_set")
+        tried = wide(own.select("component", "id"), classes).join(sets, "id").join(pivots, "component").select("id", "shingles", "pivot", "pivot_set")
         stars = scratch.put(tried.mapInArrow(linked, "a long, b long").where("a <> b"), "stars")
-        star = components(stars, scratch).withColumnRenamed("component", "star")
+        star = wide(components(stars, scratch).withColumnRenamed("component", "star"), classes)
         counted = own.join(star, "id").groupBy("component", "star").agg(F.count("*").alias("k")).groupBy("component").agg(F.max_by("star", "k").alias("main"))
         members = members.drop("core").join(star, "id", "left").join(counted, "component", "left").withColumn("core", F.coalesce(F.col("star") == F.col("main"), F.lit(False))).drop("star", "main")
         members = scratch.put(members, "members")
     parts_of = members.groupBy("component").agg(F.coalesce(blocks_of(F.count_if("core"), F.sum(F.when(F.col("core"), F.col("n")))), F.lit(0)).alias("cores"), F.coalesce(blocks_of(F.count_if(~F.col("core")), F.sum(F.when(~F.col("core"), F.col("n")))), F.lit(0)).alias("rests"))
+    # A row for each group: few are sent to where the members lie, so that those of one group stay apart.
+    groups = sizes.count()
+    parts_of = F.broadcast(parts_of) if groups <= WIDE_ROWS else wide(parts_of, groups)
     one = F.lit(1).cast("long")
     block = F.when(F.col("core"), F.pmod(F.xxhash64("id"), F.greatest("cores", one))).otherwise(F.col("cores") + F.pmod(F.xxhash64("id"), F.greatest("rests", one)))
     first, last = F.when(F.col("core"), F.col("cores")).otherwise(F.lit(0).cast("long")), F.col("cores") + F.col("rests") - 1
     dealt = members.join(parts_of, "component").withColumn("block", block).withColumn("other", F.explode(F.when(first <= last, F.sequence(first, last))))
     # Two blocks at a time; a block alone only where there is no other.
     dealt = dealt.where((F.col("cores") + F.col("rests") == 1) | (F.col("block") != F.col("other"))).select("id", "sketch", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
-    parts = dealt.join(sets, "id").repartition("key").sortWithinPartitions("key", "id").select("key", "id", "sketch", "shingles")
+    parts = dealt.hint("merge").join(sets, "id").repartition("key").sortWithinPartitions("key", "id").select("key", "id", "sketch", "shingles")
     links = parts.mapInArrow(work, "a long, b long")
     return scratch.put(links if stars is None else links.unionByName(stars), "links")
 
@@ -327,12 +331,12 @@ def _rarer(reps: DataFrame, live: DataFrame, scratch: Scratch) -> DataFrame:
     from pyspark.sql import Window
 
     common = live.where(F.col("size") > LONGEST)
-    held = scratch.put(_tokens(reps.join(common.select("id").distinct(), "id", "left_semi"), F.col("low")), "held")
+    held = scratch.put(_tokens(reps.join(common.select("id").distinct().hint("merge"), "id", "left_semi"), F.col("low")), "held")
     later = held.where(F.col("c") >= PREFIX).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > LONGEST)
     frequent = scratch.put(common.select("key", "size").distinct().unionByName(later), "frequent")
     order = Window.partitionBy("id").orderBy(F.col("size").asc_nulls_first(), "c")
     first = held.join(frequent, "key", "left").withColumn("at", F.row_number().over(order)).where(F.col("at") <= PREFIX)
-    more = scratch.put(first.where((F.col("c") >= PREFIX) | F.col("size").isNotNull()).select("key", "id"), "more")
+    more = scratch.put(first.where((F.col("c") >= PREFIX) | F.col("size").isNotNull()).select("key", "id"), "more").hint("merge")
     sizes = more.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     return live.where(F.col("size") <= LONGEST).unionByName(more.join(sizes, "key").select("key", "id", "size"))
 
@@ -363,7 +367,7 @@ def _blocks(lists: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame
     tried = lists.join(picked, "key").select("key", "id", "n", "sketch", F.explode("p").alias("p")).select("key", "id", "n", "sketch", "p.*")
     stars = scratch.put(tried.mapInArrow(near, "key long, id long, pivot long"), "pivots")
     best = stars.groupBy("key", "pivot").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("pivot"))
-    core = stars.join(best, ["key", "pivot"], "left_semi").select("key", "id", F.lit(True).alias("core"))
+    core = stars.join(best, ["key", "pivot"], "left_semi").select("key", "id", F.lit(True).alias("core")).hint("merge")
     # A little wider than the sizes of a link can differ, so rounding parts no pair.
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) + 1e-6)).cast("long")
     rows = scratch.put(lists.join(core, ["key", "id"], "left").withColumn("core", F.coalesce("core", F.lit(False))).withColumn("band", band), "long")
@@ -390,13 +394,15 @@ def _grouped(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFra
     told = some.groupBy("set_hash").agg(F.min(F.struct("row", "doc_id", "digest")).alias("r"), F.min("doc_id").alias("least"), *alike)
     reps = scratch.put(told.select(F.col("r.row").alias("id"), "r.doc_id", "r.digest", "set_hash", "least", F.col("n_shingles").alias("n"), "low", "sketch"), "classes")
 
-    posted = _tokens(reps, F.slice("low", 1, PREFIX)).select("id", "key")
+    # Spark sizes postings by one coordinate of each class, and would send them all to the driver and on.
+    n = reps.count()
+    posted = wide(_tokens(reps, F.slice("low", 1, PREFIX)).select("id", "key"), n * PREFIX)
     lists = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    live = scratch.put(posted.join(lists, "key"), "postings")
-    sketches = reps.select("id", "n", "sketch")
+    live = wide(scratch.put(posted.join(lists, "key"), "postings"), n * PREFIX)
+    sketches = wide(reps.select("id", "n", "sketch"), n)
     met = None
     if live.where(F.col("size") > LONGEST).limit(1).count():
-        live = scratch.put(_rarer(reps, live, scratch), "postings")
+        live = wide(scratch.put(_rarer(reps, live, scratch), "postings"), n * PREFIX)
         long_ = live.where(F.col("size") > LONGEST)
         if long_.limit(1).count():
             dealt, met = _blocks(scratch.put(long_.select("key", "id").join(sketches, "id"), "long"), scratch, percent)
@@ -406,13 +412,16 @@ def _grouped(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFra
     short = _collide(live.select("key", "id").join(sketches, "id"), percent)
     met = short if met is None else met.unionByName(short)
     groups = components(met, scratch)
-    links = _confirm(groups.join(reps.select("id", "n", "sketch", "doc_id", "digest", "set_hash"), "id"), docs, scratch, k, percent)
+    links = _confirm(groups.join(wide(reps, n).select("id", "n", "sketch", "doc_id", "digest", "set_hash"), "id"), docs, scratch, k, percent, n)
     comps = components(links, scratch).withColumnRenamed("id", "rep")
-    classes = scratch.put(reps.select("id", "set_hash", "least").join(comps, F.col("id") == F.col("rep"), "left").select("set_hash", "least", "component", "id"), "linked")
+    classes = scratch.put(wide(reps, n).select("id", "set_hash", "least").join(comps, F.col("id") == F.col("rep"), "left").select("set_hash", "least", "component", "id"), "linked")
     leasts = scratch.put(classes.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("least").alias("l")), "leasts")
-    placed = classes.join(leasts, classes["component"] == leasts["c"], "left").select(F.col("set_hash").alias("h"), F.coalesce("component", "id").alias("component"), F.when(F.col("c").isNotNull(), F.col("l")).otherwise(F.col("least")).alias("least"))
+    # A class without links is looked up by its own number, which no component has, so that not all of them are dealt to one task.
+    placed = classes.withColumn("component", F.coalesce("component", "id")).join(wide(leasts, n), F.col("component") == F.col("c"), "left")
+    placed = placed.select(F.col("set_hash").alias("h"), "component", F.when(F.col("c").isNotNull(), F.col("l")).otherwise(F.col("least")).alias("least"))
     placed = scratch.put(placed, "placed")
     scratch.keep(signed, placed)
+    placed = wide(placed, n)
     return signed.join(placed, signed["set_hash"] == placed["h"], "left").select("doc_id", "digest", "n_shingles", "component", "least")
 
 
@@ -438,7 +447,7 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     pair = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     told = scratch.put(rows.groupBy("doc_id", "digest").agg(F.min("component").alias("component"), F.count("*").alias("times")), "texts")
     first = scratch.put(told.groupBy(F.col("component").alias("c")).agg(F.min(pair).alias("first")), "first")
-    stays = told.join(first, told["component"] == first["c"]).select("doc_id", "digest", "times", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).alias("stays"))
+    stays = told.join(wide(first, told.count()), told["component"] == first["c"]).select("doc_id", "digest", "times", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).alias("stays"))
     stays = scratch.put(stays.select(F.struct("doc_id", "digest").alias("key"), "times", "stays"), "stays")
     scratch.keep(stays)
     doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))

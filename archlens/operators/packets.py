@@ -133,11 +133,50 @@ def _shaped(rows: DataFrame, plane, op, state, ids, alternatives, missing, reaso
     return rows.select("qid", "plane", "op", "state", keep("bound", "ids"), keep("needs-choice", "alternatives"), "missing", "reason")
 
 
-def reached(asked: DataFrame, edges: DataFrame, back: tuple[str, ...], one_hop: tuple[str, ...] = (), members: DataFrame | None = None) -> DataFrame:
-    """(qid, id, depth, chain) of bound questions asked(qid, op, ids) over edges(src, dst): chain from a start to what it leads to.
+def stepped(starts: DataFrame, pairs: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(qid, id, depth, chain) of what starts(qid, id) reach by one of pairs(src, dst), but other starts of theirs: what `graph.search` finds
+    in one step, by joins alone, since of a large graph only a few pairs are needed. See there for names."""
+    starts, send = _counted(starts.where("id is not null").select("qid", "id").distinct())
+    if names is None:
+        keyed = starts.select("qid", F.col("id").alias("start"), F.col("id").alias("src"))
+    else:
+        keyed = names.join(send(starts), "id").select("qid", F.col("id").alias("start"), F.col("key").alias("src"))
+    keyed, send = _counted(keyed)
+    met = pairs.join(send(keyed), "src").select("qid", "start", F.col("dst").alias("key")).distinct()
+    if names is None:
+        met = met.withColumnRenamed("key", "id")
+    else:
+        met, send = _counted(met)
+        met = names.join(send(met), "key").select("qid", "start", "id")
+    found = met.groupBy("qid", "id").agg(F.min(F.array("start", "id")).alias("chain")).join(starts, ["qid", "id"], "left_anti")
+    return found.select("qid", "id", F.lit(1).alias("depth"), "chain")
+
+
+def _counted(rows: DataFrame) -> tuple:
+    """rows, cut, and how frames of as many rows are joined: by broadcast if they are few."""
+    rows = graph.cut(rows)
+    few = rows.count() <= graph.WIDE_ROWS
+    return rows, lambda df: F.broadcast(df) if few else df.hint("merge")
+
+
+def among(wanted: DataFrame, edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """edges between the ends of wanted(src, dst), each by their ids; see `graph.search` for names."""
+    wanted, send = _counted(wanted.where("src is not null and dst is not null").select("src", "dst").distinct())
+    if names is None:
+        return edges.join(send(wanted), ["src", "dst"], "left_semi")
+    ends, send_ends = _counted(names.join(send(wanted.select(F.explode(F.array("src", "dst")).alias("id")).distinct()), "id").select("id", "key"))
+    a, b = (ends.select(F.col("id").alias(e), F.col("key").alias(f"{e}_key")) for e in ("src", "dst"))
+    keyed, send = _counted(wanted.join(send_ends(a), "src").join(send_ends(b), "dst"))
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    return edges.withColumnsRenamed({"src": "src_key", "dst": "dst_key"}).join(send(keyed), ["src_key", "dst_key"]).select("src", "dst", *rest)
+
+
+def reached(asked: DataFrame, edges: DataFrame, back: tuple[str, ...], one_hop: tuple[str, ...] = (), members: DataFrame | None = None, names: DataFrame | None = None, most: int = NODES) -> DataFrame:
+    """(qid, id, depth, chain, n, total) of bound questions asked(qid, op, ids) over edges(src, dst): chain from a start to what it leads to;
+    of each question the first ``most`` in order of depth and chain, numbered from 1, and the number of all.
 
     Operations in ``back`` go against the edges, those in ``one_hop`` one step only; of a pair of ends the shortest chain alone. members(layer,
-    id): a group stands for its files, as start and as target, and its own files are not results.
+    id): a group stands for its files, as start and as target, and its own files are not results. See `graph.search` for names.
     """
 
     def ends(rows: DataFrame, place: int) -> DataFrame:
@@ -149,17 +188,27 @@ def reached(asked: DataFrame, edges: DataFrame, back: tuple[str, ...], one_hop:
 
     moving = asked.where("op <> 'LOCATE'")
     goes_back, short, pair = F.col("op").isin(*back), F.col("op").isin(*one_hop), F.col("op").isin(*PAIRED)
-    targets = graph.cut(ends(moving.where(pair), 1))
-    ahead = graph.search(ends(moving.where(~goes_back & ~short), 0), graph.adjacency(edges), targets=targets)
-    behind = graph.search(ends(moving.where(goes_back & ~short), 0), graph.adjacency(edges, reverse=True))
-    found = [ahead, behind]
+    few = [moving.where("false").select("qid", F.get("ids", F.lit(0)).alias("id"), F.lit(0).alias("depth"), F.col("ids").alias("chain"))]
     if one_hop:
-        found.append(graph.search(ends(moving.where(short & ~goes_back), 0), graph.adjacency(edges), 1))
-        found.append(graph.search(ends(moving.where(short & goes_back), 0), graph.adjacency(edges, reverse=True), 1))
-    found = graph.cut(reduce(DataFrame.unionByName, found))
-    routes = found.join(targets, ["qid", "id"], "left_semi").groupBy("qid").agg(F.min(F.struct("depth", "chain", "id")).alias("b")).select("qid", "b.id", "b.depth", "b.chain")
-    wide = found.join(moving.where(pair).select("qid"), "qid", "left_anti").where("depth > 0")
-    return wide.unionByName(routes.select(*wide.columns))
+        for reverse, which in ((False, short & ~goes_back), (True, short & goes_back)):
+            few.append(stepped(ends(moving.where(which), 0), graph.adjacency(edges, reverse), names))
+    found = []
+    # A graph is not made for no question, and of what a question reaches only the rows that a packet may hold leave the task.
+    for reverse, which in ((False, ~goes_back & ~short & ~pair), (True, goes_back & ~short)):
+        first = graph.cut(ends(moving.where(which), 0))
+        if not first.isEmpty():
+            found.append(graph.first_reached(first, graph.adjacency(edges, reverse), most, names=names))
+    first = graph.cut(ends(moving.where(pair & ~short & ~goes_back), 0))
+    if not first.isEmpty():
+        met = graph.search(first, graph.adjacency(edges), targets=graph.cut(ends(moving.where(pair), 1)), met=True, names=names)
+        few.append(met.groupBy("qid").agg(F.min(F.struct("depth", "chain", "id")).alias("b")).select("qid", "b.id", "b.depth", "b.chain"))
+    return reduce(DataFrame.unionByName, [ranked(reduce(DataFrame.unionByName, few)).where(F.col("n") <= most), *found])
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """found(qid, id, depth, chain) with n and total as `reached` gives them."""
+    own = Window.partitionBy("qid")
+    return found.withColumn("n", F.row_number().over(own.orderBy("depth", "chain")).cast("long")).withColumn("total", F.count("*").over(own))
 
 
 def paged(found: DataFrame, asked: DataFrame, symbols: bool) -> DataFrame:
@@ -168,11 +217,8 @@ def paged(found: DataFrame, asked: DataFrame, symbols: bool) -> DataFrame:
     found as of `reached`; asked(qid, seed, offset, single): single, a group's start is no node of the chain, so a row adds its end only.
     A row brings the nodes of its chain that no row before it brought; rows go in as long as nodes, witnesses and bytes allow.
     """
-    order = Window.partitionBy("qid").orderBy("depth", "chain")
-    totals = found.groupBy("qid").agg(F.count("*").alias("total"))
-    most = (asked.agg(F.max("offset")).first()[0] or 0) + NODES
-    rows = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)  # ranks are cut before the window's shuffle
-    rows = graph.cut(rows.join(asked.select("qid", "seed", "offset", "single"), "qid").where("n > offset and n <= offset + %d" % NODES))
+    totals = found.groupBy("qid").agg(F.max("total").alias("total"))
+    rows = graph.cut(found.drop("total").withColumn("n", F.col("n").cast("int")).join(asked.select("qid", "seed", "offset", "single"), "qid").where("n > offset and n <= offset + %d" % NODES))
     new = F.when(F.col("single"), F.array("id")).otherwise(F.filter("chain", lambda c: c != F.col("seed")))
     brought = rows.select("qid", "n", F.posexplode(new).alias("pos", "node")).groupBy("qid", "node").agg(F.min(F.struct("n", "pos")).alias("f"))
     brought = brought.groupBy("qid", F.col("f.n").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col("f.pos").alias("pos"), "node"))).alias("fresh"))
@@ -186,10 +232,14 @@ def paged(found: DataFrame, asked: DataFrame, symbols: bool) -> DataFrame:
     return totals.join(told, "qid", "left").withColumn("next", F.when(F.coalesce("last", F.lit(0)) < F.col("total"), F.col("last")))
 
 
+def _hops(w):
+    """The hops (src, dst) of a chain of one node or more."""
+    return F.arrays_zip(F.slice(w, 1, F.size(w) - 1).alias("src"), F.slice(w, 2, F.size(w) - 1).alias("dst"))
+
+
 def typed_hops(rows: DataFrame, edges: DataFrame, type_: str) -> DataFrame:
     """(qid, edges) of rows(qid, witnesses, selected): each hop once with its type, in the order of the witnesses; EDGES at most."""
-    pair = lambda w: F.arrays_zip(F.slice(w, 1, F.size(w) - 1).alias("src"), F.slice(w, 2, F.size(w) - 1).alias("dst"))
-    hops = rows.select("qid", "selected", F.posexplode(F.flatten(F.transform(F.filter("witnesses", lambda w: F.size(w) > 1), pair))).alias("n", "h"))
+    hops = rows.select("qid", "selected", F.posexplode(F.flatten(F.transform(F.filter("witnesses", lambda w: F.size(w) > 1), _hops))).alias("n", "h"))
     hops = hops.where(F.array_contains("selected", F.col("h.src")) & F.array_contains("selected", F.col("h.dst"))).groupBy("qid", "h.src", "h.dst").agg(F.min("n").alias("n"))
     kinds = edges.groupBy("src", "dst").agg(F.min(type_).alias("type"))
     listed = F.slice(F.array_sort(F.collect_list(F.struct("n", "src", "dst", "type"))), 1, EDGES)
@@ -199,6 +249,7 @@ def typed_hops(rows: DataFrame, edges: DataFrame, type_: str) -> DataFrame:
 def answer_packets(
     questions: DataFrame, index: DataFrame, edges: DataFrame, symbols: DataFrame, calls: DataFrame, aliases: DataFrame | None = None, prior: DataFrame | None = None,
     search_text: DataFrame | None = None, inventory: DataFrame | None = None, members: DataFrame | None = None, certain: bool = False,
+    names: DataFrame | None = None, call_names: DataFrame | None = None,
 ) -> DataFrame:
     """A packet for each of questions(qid, question[, offset]): request_id, operation (NOT_SURE where the scorer cannot tell), requested (what
     was asked for all the same), status, highlight, seed, selected, edges, witnesses,
@@ -206,7 +257,8 @@ def answer_packets(
 
     index: `scoring.indexed` nodes; edges(src, dst, type) between files and between groups; calls(src, dst, confidence); members(layer, id,
     kind, ord): what lies in a folder, where groups are folders; inventory(path, sha256); search_text as `ranking.bm25` reads it. A question
-    repeated under another qid is answered again; rows that repeat a qid are not expected. ``certain``: resolved calls only.
+    repeated under another qid is answered again; rows that repeat a qid are not expected. ``certain``: resolved calls only. With
+    names(key, id) the ends of edges are keys, with call_names those of calls; see `graph.search`.
     """
     asked = questions.withColumn("offset", F.coalesce(F.col("offset").cast("int"), F.lit(0)) if "offset" in questions.columns else F.lit(0)).select("qid", "question", "offset")
     rows = bound(asked, index, symbols, aliases, prior)
@@ -223,18 +275,22 @@ def answer_packets(
 
     used = calls.where("confidence = 'resolved'") if certain else calls
     tier = F.array_position(F.array(*map(F.lit, TIERS)), F.col("confidence"))
-    used = graph.cut(used.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.max(tier).cast("int").alias("tier")))
+    used = used.where("src is not null and dst is not null").select("src", "dst", tier.cast("int").alias("tier"))
+    if call_names is None:  # numbers are cheap to read again, and most are not needed
+        used = graph.cut(used.groupBy("src", "dst").agg(F.max("tier").alias("tier")))
     moving = edges.where(~F.col("type").isin(*graph.IGNORED))
     go = rows.where("state = 'bound'")
     inner = None if members is None else members.where("kind = 'file'").select("layer", "id")
-    found = reached(go.where("plane = 'files'"), moving, BACKWARD, members=inner)
-    found = found.unionByName(reached(go.where("plane = 'symbols'"), used.where("src <> dst"), BACKWARD, ("CALLERS", "CALLEES")).select(*found.columns))
+    most = (go.agg(F.max("offset")).first()[0] or 0) + NODES
+    found = reached(go.where("plane = 'files'"), moving, BACKWARD, members=inner, names=names, most=most)
+    found = found.unionByName(reached(go.where("plane = 'symbols'"), used, BACKWARD, ("CALLERS", "CALLEES"), names=call_names, most=most).select(*found.columns))
     if members is not None:
         # A folder that is located lists what lies in it, folders first, by pages.
         listed = go.where("op = 'LOCATE' and single").select("qid", F.col("seed").alias("layer")).join(members, "layer")
-        found = found.unionByName(listed.select("qid", "id", F.col("ord").cast("int").alias("depth"), F.array("id").alias("chain")))
+        listed = ranked(listed.select("qid", "id", F.col("ord").cast("int").alias("depth"), F.array("id").alias("chain")))
+        found = found.unionByName(listed.where(F.col("n") <= most))
     pages = paged(graph.cut(found), go, symbols=False)
-    return assembled(rows, pages, moving, used, index, inventory)
+    return assembled(rows, pages, moving, used, index, inventory, names, call_names)
 
 
 def _with_concepts(rows: DataFrame, asked: DataFrame, search_text: DataFrame) -> DataFrame:
@@ -247,8 +303,10 @@ def _with_concepts(rows: DataFrame, asked: DataFrame, search_text: DataFrame) ->
     return rows.withColumn("state", F.when(F.col("offers").isNotNull(), "needs-choice").otherwise(F.col("state"))).withColumn("alternatives", F.coalesce("offers", "alternatives")).drop("offers")
 
 
-def assembled(rows: DataFrame, pages: DataFrame, edges: DataFrame, calls: DataFrame, index: DataFrame, inventory: DataFrame | None) -> DataFrame:
-    """Packets of bound rows and their pages."""
+def assembled(
+    rows: DataFrame, pages: DataFrame, edges: DataFrame, calls: DataFrame, index: DataFrame, inventory: DataFrame | None, names: DataFrame | None = None, call_names: DataFrame | None = None,
+) -> DataFrame:
+    """Packets of bound rows and their pages; see `answer_packets` for names."""
     rows = rows.join(pages, "qid", "left").withColumn("rows", F.coalesce("rows", F.array().cast("array<struct<n:int,id:string,chain:array<string>,fresh:array<string>>>")))
     bound_, pair, back = F.col("state") == "bound", F.col("op").isin(*PAIRED), F.col("op").isin(*BACKWARD)
     listing = (F.col("op") == "LOCATE") & F.col("single")
@@ -268,6 +326,11 @@ def assembled(rows: DataFrame, pages: DataFrame, edges: DataFrame, calls: DataFr
     picked = F.when(pair & (F.size("rows") > 0), route).when(pair, F.array("seed", "end")).otherwise(F.concat(F.array("seed"), fresh))
     rows = graph.cut(rows.withColumn("selected", F.when(shown, F.array_distinct(picked)).otherwise(_none())))
 
+    # Of edges and calls only those along a witness, and calls of itself, are needed from here on.
+    along = rows.select("plane", F.explode(F.flatten(F.transform(F.filter("witnesses", lambda w: F.size(w) > 1), _hops))).alias("h")).select("plane", "h.*")
+    selves = rows.where("plane = 'symbols'").select(F.col("seed").alias("src"), F.col("seed").alias("dst"))
+    edges = graph.cut(among(along.where("plane = 'files'"), edges, names).groupBy("src", "dst").agg(F.min("type").alias("type")))
+    calls = graph.cut(among(along.where("plane = 'symbols'").select("src", "dst").unionByName(selves), calls, call_names).groupBy("src", "dst").agg(F.max("tier").alias("tier")))
     hops = typed_hops(rows.where("plane = 'files'"), edges, "type")
     name = F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier"))
     named = calls.withColumn("type", name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from archlens.operators import graph, packets, scoring
@@ -10,7 +11,7 @@ from archlens.plans.checks import PACKETS
 from archlens.plans.checks import packets as dependents_packets
 from archlens.plans.scoring import NODES_SQL, TEXTS, _name, _pairs, finish_sql, learned, nodes, prior, resolution_sql, scorer_sql
 from archlens.plans.text import NORMAL
-from archlens.sources.tables import call_sites, code_files, code_symbols, group_edges, path_edges, seeds
+from archlens.sources.tables import code_files, code_symbols, group_edges, numbered_sites, refs, seeds, symbol_ids
 
 #: Questions about each question's file, its group, its definition and the next question's file; then every text of the scorer.
 QUESTIONS = (
@@ -43,12 +44,18 @@ def asked(spark, sf_dir):
 
 def packets_of(spark, sf_dir):
     files = code_files(spark, sf_dir)
-    edges = path_edges(spark, sf_dir).select("src", "dst", "type").unionByName(group_edges(spark, sf_dir).select("src", "dst", "type"))
+    # Ends of edges and calls are numbers, even ones of files and odd ones of groups: ids of many files are long to shuffle.
+    groups = graph.cut(group_edges(spark, sf_dir).select("src", "dst", "type"))
+    layers = groups.select(F.col("src").alias("id")).union(groups.select("dst")).distinct().select((2 * F.row_number().over(Window.orderBy("id")) + 1).cast("long").alias("key"), "id")
+    a, b = (layers.select(F.col("id").alias(e), F.col("key").alias(f"{e}_key")) for e in ("src", "dst"))
+    groups = groups.join(a, "src").join(b, "dst").select(F.col("src_key").alias("src"), F.col("dst_key").alias("dst"), "type")
+    edges = refs(spark, sf_dir).select((2 * F.col("src")).alias("src"), (2 * F.col("dst")).alias("dst"), "type").unionByName(groups)
+    names = files.select((2 * F.col("fid")).alias("key"), F.col("path").alias("id")).where("id is not null").unionByName(layers)
     index = graph.wide(graph.cut(scoring.indexed(nodes(spark, sf_dir))))
     symbols = graph.wide(graph.cut(code_symbols(spark, sf_dir).select("id", "name", "qualname", "path")))
-    calls = call_sites(spark, sf_dir).where("dst is not null").select("src", "dst", "confidence")
     kept = files.select("path", F.sha2("path", 256).alias("sha256"))
-    return packets.answer_packets(asked(spark, sf_dir), index, edges, symbols, calls, learned(spark), prior(spark, sf_dir), inventory=kept)
+    calls, ids = numbered_sites(spark, sf_dir), symbol_ids(spark, sf_dir)
+    return packets.answer_packets(asked(spark, sf_dir), index, edges, symbols, calls, learned(spark), prior(spark, sf_dir), inventory=kept, names=names, call_names=ids)
 
 
 _list = ", ".join("'" + t.replace("'", "''") + "'" for t in QUESTIONS)
